@@ -53,7 +53,7 @@ def get_path(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, spark_path(path), "variant")
 
 
-def with_status(doc: Column, path: str, status_code: Column | None) -> Column:
+def with_status(doc: Column, path: str, status_code: Column | None, is_object: Column | None = None) -> Column:
     """Like ``get_path`` where ``response.status_code`` may come from a second column.
 
     A document that has its own ``response`` key wins; a document that is not an object
@@ -61,7 +61,8 @@ def with_status(doc: Column, path: str, status_code: Column | None) -> Column:
     """
     if status_code is None:
         return get_path(doc, path)
-    is_object = V.json_type(doc) == "object"
+    if is_object is None:
+        is_object = V.json_type(doc) == "object"
     if path == "response.status_code":
         own = get_path(doc, "response")
         injected = F.to_variant_object(F.struct(status_code.alias("v")))
@@ -95,7 +96,7 @@ def flatten(
     ).filter(F.col("_node.value").isNotNull())
     for _ in range(max_depth):
         path, value, pos = F.col("_node.path"), F.col("_node.value"), F.col("_node.pos")
-        kind = V.json_type(value)
+        kind = F.col("_kind")
 
         def child(key_path: Column, v: Column, done: Column | bool, i: Column) -> Column:
             return F.struct(
@@ -128,7 +129,9 @@ def flatten(
             .when(kind == "list", from_list)
             .otherwise(leaf)
         )
-        out = out.select(*keep, F.explode(step.cast(f"array<{node}>")).alias("_node"))
+        # the type is a column of its own, computed once per node
+        typed = out.withColumn("_kind", F.when(~F.col("_node.done"), V.json_type(value)))
+        out = typed.select(*keep, F.explode(step.cast(f"array<{node}>")).alias("_node"))
     out = out.select(*keep, F.col("_node.path").alias("path"), F.col("_node.value").alias("value"), F.col("_node.pos").alias("_pos"))
     if max_fields is not None:
         from pyspark.sql import Window
@@ -173,97 +176,128 @@ def _items(v: Column) -> Column:
     return v.try_cast("array<variant>")
 
 
-def _has_items_same(v: Column, expected: str, opt: V.Options) -> Column:
-    return F.exists(_items(v), lambda item: V.same(item, VARIANT, F.lit(expected), STRING, opt))
+def _length(v: V.JsonValue) -> Column:
+    return (
+        F.when(v.kind == "list", F.size(_items(v.value)))
+        .when(v.kind == "object", F.size(F.map_keys(v.value.try_cast("map<string,variant>"))))
+        .when(v.kind == "string", F.length(v.text))
+    )
+
+
+@dataclass(frozen=True)
+class RuleColumns:
+    """A rule as columns, so that one expression serves any number of rules.
 
+    ``wanted`` is the normal form of the expected text, ``limit`` and ``count`` its numbers
+    (NULL when it is none), ``matched`` whether the text matches its pattern (NULL when the
+    pattern is not valid).
+    """
 
-def _length(v: Column, kind: Column) -> Column:
+    operator: Column
+    expected: Column
+    wanted: Column
+    limit: Column
+    count: Column
+    matched: Column
+
+
+def rule_literals(rule: Rule, opt: V.Options = V.DEFAULT) -> dict[str, Column]:
+    """The constant parts of a rule."""
+    exp = rule.expected
+    return {
+        "operator": F.lit(rule.operator),
+        "expected": F.lit(exp),
+        "wanted": V.normalise(F.lit(exp), STRING, opt, True),
+        "limit": F.lit(float(exp) if _is_number(exp) else None).cast("double"),
+        "count": F.lit(int(exp) if _is_whole(exp) else None).cast("bigint"),
+    }
+
+
+def pattern_match(text: Column, rule: Rule) -> Column:
+    """A pattern stays a constant of the plan, so that it is compiled once."""
+    if rule.operator != "matches regex" or not _valid_pattern(rule.expected):
+        return F.lit(None).cast("boolean")
+    return text.rlike(rule.expected)
+
+
+def rule_holds(v: V.JsonValue, rule: RuleColumns, opt: V.Options = V.DEFAULT) -> Column:
+    """Does the value satisfy the rule?  NULL when that cannot be told."""
+    op, kind, text, present = rule.operator, v.kind, v.text, v.value.isNotNull()
+    hollow = (
+        (kind == "null") | ((kind == "string") & (text == ""))
+        | (kind.isin("object", "list") & F.to_json(v.value).isin("[]", "{}"))
+    )
+    equal = V.json_form(v, opt, True).eqNullSafe(rule.wanted)
+    inside = F.lower(text).contains(F.lower(rule.expected)) if opt.case_insensitive else text.contains(rule.expected)
+    listed = F.exists(_items(v.value), lambda item: V.normalise(item, VARIANT, opt, True).eqNullSafe(rule.wanted))
+    number = (
+        F.when(kind.isin("number", "string"), text.try_cast("double"))
+        .when(kind == "boolean", F.when(text == "true", 1.0).otherwise(0.0))
+    )
     return (
-        F.when(kind == "list", F.size(_items(v)))
-        .when(kind == "object", F.size(F.map_keys(v.try_cast("map<string,variant>"))))
-        .when(kind == "string", F.length(F.try_variant_get(v, "$", "string")))
+        F.when(op == "exists", present)
+        .when(op == "not exists", ~present)
+        .when(~op.isin(RULE_OPERATORS), F.lit(None).cast("boolean"))
+        .when(~present, False)
+        .when(op == "is null", kind == "null")
+        .when(op == "not null", kind != "null")
+        .when(op == "not empty", ~hollow)
+        .when(op == "equals", equal)
+        .when(op == "not equals", ~equal)
+        .when(op == "contains", F.when(kind == "list", listed).when(kind == "string", inside))
+        .when(op == "matches regex", F.when(kind == "string", rule.matched))
+        .when(op == "greater than", number > rule.limit)
+        .when(op == "less than", number < rule.limit)
+        .when(op == "count at least", _length(v) >= rule.count)
+        .when(op == "count equals", _length(v) == rule.count)
+        .when(op == "type is", kind == F.lower(F.trim(rule.expected)))
     )
 
 
-def check_rule(doc: Column, rule: Rule, opt: V.Options = V.DEFAULT, status_code: Column | None = None) -> Column:
-    """struct(status, detail): status is pass, fail, or warn when the rule could not be evaluated."""
+def rule_status(holds: Column) -> Column:
+    return F.when(holds, "pass").when(~holds, "fail").otherwise("warn")
 
-    def outcome(status: Column | str, detail: Column | str) -> Column:
-        return F.struct(
-            (status if isinstance(status, Column) else F.lit(status)).alias("status"),
-            (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail"),
-        )
 
-    op, exp = rule.operator, rule.expected
-    if op not in RULE_OPERATORS:
-        return outcome("warn", f"Unknown operator “{op}”")
-    v = with_status(doc, rule.path, status_code)
-    kind = V.json_type(v)
-    shown = V.display(v, VARIANT)
-    text = F.try_variant_get(v, "$", "string")
-    absent = v.isNull()
-
-    def verdict(ok: Column, good: Column | str, bad: Column | str) -> Column:
-        return F.when(ok, outcome("pass", good)).otherwise(outcome("fail", bad))
-
-    if op == "exists":
-        return verdict(~absent, shown, "field is not present")
-    if op == "not exists":
-        return verdict(absent, "field is not present", F.concat(F.lit("present: "), shown))
-    if op == "is null":
-        body = verdict(kind == "null", "null", shown)
-    elif op == "not null":
-        body = verdict(kind != "null", shown, "null")
-    elif op == "not empty":
-        empty = (kind == "null") | F.to_json(v).isin('""', "[]", "{}")
-        body = verdict(~empty, shown, "empty")
-    elif op in ("equals", "not equals"):
-        equal = V.same(v, VARIANT, F.lit(exp), STRING, opt)
-        body = (
-            verdict(equal, shown, F.concat(shown, F.lit(f" (expected {exp})")))
-            if op == "equals"
-            else verdict(~equal, shown, shown)
-        )
-    elif op == "contains":
-        found = F.lower(text).contains(exp.lower()) if opt.case_insensitive else text.contains(exp)
-        ok = F.when(kind == "list", _has_items_same(v, exp, opt)).otherwise(found)
-        body = F.when(
-            ~kind.isin("list", "string"), outcome("warn", F.concat(F.lit("cannot use contains on "), kind))
-        ).otherwise(verdict(ok, shown, F.concat(shown, F.lit(f" does not contain {exp}"))))
-    elif op == "matches regex":
-        if not _valid_pattern(exp):
-            body = outcome("warn", "invalid regular expression")
-        else:
-            body = verdict(text.rlike(exp), shown, F.concat(shown, F.lit(" does not match")))
-        body = F.when(
-            kind != "string", outcome("warn", F.concat(F.lit("value is "), kind, F.lit(", not text")))
-        ).otherwise(body)
-    elif op in ("greater than", "less than"):
-        not_number = outcome("warn", F.concat(shown, F.lit(f" or '{exp}' is not a number")))
-        if not _is_number(exp):
-            body = not_number
-        else:
-            number = F.when(
-                kind.isin("number", "string"), text.try_cast("double")
-            ).when(kind == "boolean", F.when(text == "true", 1.0).otherwise(0.0))
-            ok = number > F.lit(float(exp)) if op == "greater than" else number < F.lit(float(exp))
-            body = F.when(number.isNull(), not_number).otherwise(
-                verdict(ok, shown, F.concat(shown, F.lit(f" (expected {op} {exp})")))
-            )
-    elif op in ("count at least", "count equals"):
-        n = _length(v, kind)
-        counted = F.concat(n.cast("string"), F.lit(" items"))
-        if not _is_whole(exp):
-            body = outcome("warn", f"expected count '{exp}' is not a whole number")
-        else:
-            ok = n >= int(exp) if op == "count at least" else n == int(exp)
-            body = verdict(ok, counted, F.concat(counted, F.lit(f" (expected {op} {exp})")))
-        body = F.when(
-            n.isNull(), outcome("warn", F.concat(F.lit("value is "), kind, F.lit(", it has no count")))
-        ).otherwise(body)
-    else:  # type is
-        body = verdict(kind == exp.strip().lower(), kind, F.concat(kind, F.lit(f" (expected {exp})")))
-    return F.when(absent, outcome("fail", "field is not present")).otherwise(body)
+def rule_detail(v: V.JsonValue, rule: RuleColumns, holds: Column) -> Column:
+    """What was seen, and for a failure what was expected."""
+    op, kind, shown = rule.operator, v.kind, V.json_shown(v)
+    counting, comparing = op.isin("count at least", "count equals"), op.isin("greater than", "less than")
+    n = _length(v)
+    told = F.concat(F.lit(" (expected "), F.when(counting | comparing, F.concat(op, F.lit(" "))).otherwise(""), rule.expected, F.lit(")"))
+    seen = (
+        F.when(counting, F.concat(n.cast("string"), F.lit(" items"))).when(op == "type is", kind)
+        .when((op == "is null") & holds, "null").when((op == "not null") & ~holds, "null")
+        .when((op == "not empty") & ~holds, "empty").when(op == "not exists", F.concat(F.lit("present: "), shown))
+        .otherwise(shown)
+    )
+    missed = (
+        F.when((op == "equals") | counting | comparing | (op == "type is"), told)
+        .when(op == "contains", F.concat(F.lit(" does not contain "), rule.expected))
+        .when(op == "matches regex", " does not match").otherwise("")
+    )
+    unclear = (
+        F.when(op == "contains", F.concat(F.lit("cannot use contains on "), kind))
+        .when((op == "matches regex") & (kind != "string"), F.concat(F.lit("value is "), kind, F.lit(", not text")))
+        .when(op == "matches regex", "invalid regular expression")
+        .when(comparing, F.concat(shown, F.lit(" or '"), rule.expected, F.lit("' is not a number")))
+        .when(n.isNull(), F.concat(F.lit("value is "), kind, F.lit(", it has no count")))
+        .otherwise(F.concat(F.lit("expected count '"), rule.expected, F.lit("' is not a whole number")))
+    )
+    return (
+        F.when(~op.isin(RULE_OPERATORS), F.concat(F.lit("Unknown operator “"), op, F.lit("”")))
+        .when(v.value.isNull(), "field is not present")
+        .when(holds.isNull(), unclear)
+        .when(holds, seen)
+        .otherwise(F.concat(seen, missed))
+    )
+
+
+def check_rule(doc: Column, rule: Rule, opt: V.Options = V.DEFAULT, status_code: Column | None = None) -> Column:
+    """struct(status, detail) of one rule on a document; ``operators.documents.check_rules`` takes many."""
+    v = V.JsonValue.of(with_status(doc, rule.path, status_code))
+    columns = RuleColumns(**rule_literals(rule, opt), matched=pattern_match(v.text, rule))
+    holds = rule_holds(v, columns, opt)
+    return F.struct(rule_status(holds).alias("status"), rule_detail(v, columns, holds).alias("detail"))
 
 
 def field_name_key(name: Column) -> Column:

@@ -71,7 +71,14 @@ def _number_form(col: Column, dtype: T.DataType, opt: Options) -> Column:
     return F.concat(F.lit("num:"), number_text(col))
 
 
-def _text_form(col: Column, opt: Options) -> Column:
+def _boolean_marks(opt: Options, as_numbers: bool) -> tuple[str, str]:
+    """How true and false are tagged; as 1 and 0 where they may meet numbers."""
+    if not opt.booleans:
+        return "str:true", "str:false"
+    return ("num:1", "num:0") if as_numbers and opt.numbers else ("bool:true", "bool:false")
+
+
+def _text_form(col: Column, opt: Options, as_numbers: bool) -> Column:
     s = strip(col) if opt.trim else col
     branches = []
     if opt.empty_is_null:
@@ -82,8 +89,9 @@ def _text_form(col: Column, opt: Options) -> Column:
     if opt.numbers:
         branches.append((s.rlike(PLAIN_NUMBER), F.concat(F.lit("num:"), number_text(s))))
     if opt.booleans:
-        branches.append((F.lower(s).isin(TRUE_WORDS), F.lit("bool:true")))
-        branches.append((F.lower(s).isin(FALSE_WORDS), F.lit("bool:false")))
+        true, false = _boolean_marks(opt, as_numbers)
+        branches.append((F.lower(s).isin(TRUE_WORDS), F.lit(true)))
+        branches.append((F.lower(s).isin(FALSE_WORDS), F.lit(false)))
     plain = F.concat(F.lit("str:"), F.lower(s) if opt.case_insensitive else s)
     if not branches:
         return plain
@@ -93,27 +101,51 @@ def _text_form(col: Column, opt: Options) -> Column:
     return case.otherwise(plain)
 
 
-def _variant_form(col: Column, opt: Options) -> Column:
+@dataclass(frozen=True)
+class JsonValue:
+    """A JSON value with its type and text (and, where wanted, display text and normal form).
+
+    As columns of an earlier projection each is computed once, however often it is used.
+    """
+
+    value: Column
+    kind: Column
+    text: Column
+    shown: Column | None = None
+    form: Column | None = None
+
+    @classmethod
+    def of(cls, value: Column) -> "JsonValue":
+        return cls(value, json_type(value), json_text(value))
+
+
+def json_text(value: Column) -> Column:
+    """Text of a scalar (and JSON of a container); NULL for JSON null."""
+    return F.try_variant_get(value, "$", "string")
+
+
+def json_form(v: JsonValue, opt: Options = DEFAULT, as_numbers: bool = False) -> Column:
     """JSON values carry their own type, so the branch is chosen per row."""
-    kind = json_type(col)
-    text = F.try_variant_get(col, "$", "string")
-    number = (
-        F.concat(F.lit("num:"), number_text(text)) if opt.numbers else F.concat(F.lit("str:"), text)
-    )
-    boolean = F.concat(F.lit("bool:" if opt.booleans else "str:"), text)
+    if v.form is not None:
+        return v.form
+    number = F.concat(F.lit("num:"), number_text(v.text)) if opt.numbers else F.concat(F.lit("str:"), v.text)
+    true, false = _boolean_marks(opt, as_numbers)
     return (
-        F.when(col.isNull() | (kind == "null"), F.lit(None).cast("string"))
-        .when(kind == "boolean", boolean)
-        .when(kind == "number", number)
-        .when(kind == "string", _text_form(text, opt))
-        .otherwise(F.concat(F.lit("str:"), F.to_json(col)))
+        F.when(v.kind == "string", _text_form(v.text, opt, as_numbers))
+        .when(v.kind == "number", number)
+        .when(v.kind == "boolean", F.when(v.text == "true", true).otherwise(false))
+        .when(v.kind.isin("object", "list"), F.concat(F.lit("str:"), F.to_json(v.value)))
     )
 
 
-def normalise(col: Column, dtype: T.DataType, opt: Options = DEFAULT) -> Column:
-    """Tagged comparable form; NULL (and NaN) stay NULL."""
+def normalise(col: Column, dtype: T.DataType, opt: Options = DEFAULT, as_numbers: bool = False) -> Column:
+    """Tagged comparable form; NULL (and NaN) stay NULL.
+
+    With ``as_numbers`` true counts as 1 and false as 0, as when a boolean meets a number.
+    """
     if isinstance(dtype, T.BooleanType):
-        return F.concat(F.lit("bool:" if opt.booleans else "str:"), col.cast("string"))
+        true, false = _boolean_marks(opt, as_numbers)
+        return F.when(col, F.lit(true)).when(~col, F.lit(false))
     if isinstance(dtype, TIMES):
         if opt.dates:
             return F.concat(F.lit("time:"), F.date_format(col, TIME_FORMAT))
@@ -123,17 +155,10 @@ def normalise(col: Column, dtype: T.DataType, opt: Options = DEFAULT) -> Column:
     if isinstance(dtype, NESTED):
         return F.concat(F.lit("str:"), F.to_json(F.to_variant_object(col)))
     if isinstance(dtype, T.VariantType):
-        return _variant_form(col, opt)
+        return json_form(JsonValue.of(col), opt, as_numbers)
     if isinstance(dtype, T.BinaryType):
         return F.concat(F.lit("str:"), F.hex(col))
-    return _text_form(col.cast("string"), opt)
-
-
-def _fold(form: Column, opt: Options) -> Column:
-    """true counts as 1 and false as 0 when compared with a number."""
-    if not (opt.booleans and opt.numbers):
-        return form
-    return F.when(form == "bool:true", F.lit("num:1")).when(form == "bool:false", F.lit("num:0")).otherwise(form)
+    return _text_form(col.cast("string"), opt, as_numbers)
 
 
 def _plain_type(a: T.DataType, b: T.DataType) -> str | None:
@@ -164,7 +189,7 @@ def comparable_pair(
     plain = _plain_type(a_type, b_type)
     if plain:
         return a.cast(plain), b.cast(plain)
-    return _fold(normalise(a, a_type, opt), opt), _fold(normalise(b, b_type, opt), opt)
+    return normalise(a, a_type, opt, True), normalise(b, b_type, opt, True)
 
 
 def same(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType, opt: Options = DEFAULT) -> Column:
@@ -173,30 +198,32 @@ def same(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType, opt: Opti
     return left.eqNullSafe(right)
 
 
+# Names of JSON types by the head of a variant's schema; any other head is a number.
+JSON_TYPES = {"OBJECT": "object", "ARRAY": "list", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+
+
 def json_type(col: Column) -> Column:
     """string / number / boolean / list / object / null of a variant; NULL when absent."""
-    schema = F.schema_of_variant(col)
+    names = F.create_map(*[F.lit(x) for pair in JSON_TYPES.items() for x in pair])
+    head = F.regexp_extract(F.schema_of_variant(col), "^[A-Z]+", 0)
+    return F.when(col.isNotNull(), F.coalesce(F.try_element_at(names, head), F.lit("number")))
+
+
+def json_shown(v: JsonValue) -> Column:
+    if v.shown is not None:
+        return v.shown
     return (
-        F.when(col.isNull(), F.lit(None).cast("string"))
-        .when(F.is_variant_null(col), "null")
-        .when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "list")
-        .when(schema == "STRING", "string")
-        .when(schema == "BOOLEAN", "boolean")
-        .otherwise("number")
+        F.when(v.value.isNull(), F.lit(NOT_PRESENT))
+        .when(v.kind == "null", F.lit(NULL_TEXT))
+        .when(v.kind.isin("object", "list"), F.substring(F.to_json(v.value), 1, 200))
+        .otherwise(v.text)
     )
 
 
 def display(col: Column, dtype: T.DataType, absent: Column | None = None) -> Column:
     """Text shown for a value; ``absent`` marks values that are not there at all."""
     if isinstance(dtype, T.VariantType):
-        nested = json_type(col).isin("object", "list")
-        text = (
-            F.when(col.isNull(), F.lit(NOT_PRESENT))
-            .when(F.is_variant_null(col), F.lit(NULL_TEXT))
-            .when(nested, F.substring(F.to_json(col), 1, 200))
-            .otherwise(F.try_variant_get(col, "$", "string"))
-        )
+        text = json_shown(JsonValue.of(col))
     elif isinstance(dtype, NESTED):
         text = F.coalesce(F.substring(F.to_json(F.to_variant_object(col)), 1, 200), F.lit(NULL_TEXT))
     elif isinstance(dtype, T.BinaryType):

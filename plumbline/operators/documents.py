@@ -22,18 +22,43 @@ def _c(name: str) -> Column:
 
 def check_rules(df: DataFrame, doc: str, rules: Sequence[D.Rule], opt: V.Options = V.DEFAULT,
                 status_code: str | None = None) -> DataFrame:
-    """One row per document and rule: the frame's other columns, rule number, path, operator, status, detail."""
+    """One row per document and rule: the frame's other columns, rule number, path, operator, status, detail.
+
+    Values are read once per path, then typed once; each rule is a branch over those columns.
+    """
     code = _c(status_code) if status_code else None
     keep = [_c(c) for c in df.columns if c != doc]
-    results = [
+    is_object = None
+    if code is not None:
+        df, is_object = df.withColumn("_object", V.json_type(_c(doc)) == "object"), F.col("_object")
+    cells = [
         F.struct(
-            F.lit(i).alias("rule"), F.lit(r.path).alias("path"), F.lit(r.operator).alias("operator"),
-            D.check_rule(_c(doc), r, opt, code).alias("outcome"),
+            F.lit(i).alias("rule"), F.lit(r.path).alias("path"),
+            *[c.alias(name) for name, c in D.rule_literals(r, opt).items()],
+            D.with_status(_c(doc), r.path, code, is_object).alias("_v"),
         )
         for i, r in enumerate(rules, start=1)
     ]
-    out = df.select(*keep, F.inline(F.array(*results)))
-    return out.select(*keep, "rule", "path", "operator", "outcome.status", "outcome.detail")
+    # every step is a projection over columns of the one before: read, type, normalise, judge, tell
+    read = df.select(*keep, F.inline(F.array(*cells)))
+    typed = read.select("*", V.json_type(F.col("_v")).alias("_kind"), V.json_text(F.col("_v")).alias("_text"))
+    plain = V.JsonValue(F.col("_v"), F.col("_kind"), F.col("_text"))
+    compared = F.col("operator").isin("equals", "not equals")
+    matched = F.lit(None).cast("boolean")
+    for i, r in enumerate(rules, start=1):
+        if r.operator == "matches regex":
+            matched = F.when(F.col("rule") == i, D.pattern_match(F.col("_text"), r)).otherwise(matched)
+    shaped = typed.select(
+        "*", V.json_shown(plain).alias("_shown"), F.when(compared, V.json_form(plain, opt, True)).alias("_form"),
+        matched.alias("_matched"),
+    )
+    value = V.JsonValue(F.col("_v"), F.col("_kind"), F.col("_text"), F.col("_shown"), F.col("_form"))
+    rule = D.RuleColumns(*[F.col(c) for c in ("operator", "expected", "wanted", "limit", "count", "_matched")])
+    judged = shaped.withColumn("_holds", D.rule_holds(value, rule, opt))
+    return judged.select(
+        *keep, "rule", "path", "operator", D.rule_status(F.col("_holds")).alias("status"),
+        D.rule_detail(value, rule, F.col("_holds")).alias("detail"),
+    )
 
 
 def rule_counts(results: DataFrame) -> DataFrame:
@@ -70,26 +95,46 @@ def field_verdicts(docs: DataFrame, doc: str, table: DataFrame, match: tuple[str
         .agg(first, F.count(F.lit(1)).alias("_rows"))
     )
     key = F.try_variant_get(_c(doc), D.spark_path(path), types[column].simpleString())
-    joined = docs.select(*[_c(c) for c in keep], _c(doc).alias("_doc"), key.alias("_match")).join(
-        rows, F.col("_match") == F.col("_key"), "left"
-    )
+    mapping = [
+        {"api": (m.get("api_field") or "").strip(), "db": (m.get("db_column") or "").strip(),
+         "expected": None if m.get("expected") in (None, "") else str(m["expected"])}
+        for m in mapping
+    ]
+    nothing = F.lit(None).cast("variant")
+    reads = [
+        (D.get_path(_c(doc), m["api"]) if m["api"] else nothing).alias(f"v_{i}") for i, m in enumerate(mapping)
+    ]
+    # documents are read before the join, so only the mapped values travel
+    kept = [_c(c) for c in keep]
+    read = docs.select(*kept, key.alias("_match"), *reads)
+    joined = read.join(rows, F.col("_match") == F.col("_key"), "left")
     found = F.col("_rows").isNotNull()
     variant, string = T.VariantType(), T.StringType()
+    typed = joined.select(
+        *kept, "_rows", "_row", *[f"v_{i}" for i in range(len(mapping))],
+        *[V.json_type(F.col(f"v_{i}")).alias(f"k_{i}") for i in range(len(mapping))],
+        *[V.json_text(F.col(f"v_{i}")).alias(f"x_{i}") for i in range(len(mapping))],
+    )
+    sides = []
+    for i, m in enumerate(mapping):
+        known = m["db"] in types
+        db = F.col(f"_row.t_{cols.index(m['db'])}") if known else F.lit(None).cast("string")
+        db_type = types[m["db"]] if known else string
+        api = V.JsonValue(F.col(f"v_{i}"), F.col(f"k_{i}"), F.col(f"x_{i}"))
+        no_db = ~found if known else F.lit(True)
+        sides += [
+            api.value.isNull().alias(f"no_api_{i}"), no_db.alias(f"no_db_{i}"),
+            V.json_form(api, opt, True).alias(f"f_api_{i}"), V.normalise(db, db_type, opt, True).alias(f"f_db_{i}"),
+            V.json_shown(api).alias(f"s_api_{i}"), V.display(db, db_type, absent=no_db).alias(f"s_db_{i}"),
+        ]
+    formed = typed.select(*kept, "_rows", *sides)
     lines = []
-    for m in mapping:
-        api_field, db_column = (m.get("api_field") or "").strip(), (m.get("db_column") or "").strip()
-        expected = m.get("expected")
-        has_expected = expected not in (None, "")
-        exp = F.lit(None if not has_expected else str(expected)).cast("string")
-        api = D.get_path(F.col("_doc"), api_field) if api_field else F.lit(None).cast("variant")
-        known = db_column in types
-        db = F.col(f"_row.t_{cols.index(db_column)}") if known else F.lit(None).cast("string")
-        db_type = types[db_column] if known else string
-        no_api, no_db = api.isNull(), ~found if known else F.lit(True)
-        agree = V.same(api, variant, db, db_type, opt)
-        if has_expected:
-            api_ok = V.same(exp, string, api, variant, opt)
-            db_ok = V.same(exp, string, db, db_type, opt)
+    for i, m in enumerate(mapping):
+        no_api, no_db = F.col(f"no_api_{i}"), F.col(f"no_db_{i}")
+        agree = F.col(f"f_api_{i}").eqNullSafe(F.col(f"f_db_{i}"))
+        if m["expected"] is not None:
+            wanted = V.normalise(F.lit(m["expected"]), string, opt, True)
+            api_ok, db_ok = wanted.eqNullSafe(F.col(f"f_api_{i}")), wanted.eqNullSafe(F.col(f"f_db_{i}"))
             result = F.when(api_ok & db_ok, "Match").otherwise("Mismatch")
             where = (
                 F.when(api_ok & db_ok, "")
@@ -103,19 +148,17 @@ def field_verdicts(docs: DataFrame, doc: str, table: DataFrame, match: tuple[str
             where = F.when(agree, "").otherwise("API ≠ DB")
         lines.append(
             F.struct(
-                F.lit(api_field or db_column).alias("field"),
-                F.lit(db_column).alias("db_column"),
-                F.coalesce(exp, F.lit("")).alias("expected"),
-                V.display(api, variant).alias("api"),
-                V.display(db, db_type, absent=no_db).alias("db"),
+                F.lit(m["api"] or m["db"]).alias("field"),
+                F.lit(m["db"]).alias("db_column"),
+                F.lit(m["expected"] or "").alias("expected"),
+                F.col(f"s_api_{i}").alias("api"),
+                F.col(f"s_db_{i}").alias("db"),
                 F.when(no_api & no_db, "Missing in API and DB").when(no_api, "Missing in API")
                 .when(no_db, "Missing in DB").otherwise(result).alias("result"),
                 F.when(no_api & no_db, "API, DB").when(no_api, "API").when(no_db, "DB").otherwise(where).alias("where"),
             )
         )
-    return joined.select(
-        *[_c(c) for c in keep], F.coalesce("_rows", F.lit(0)).alias("db_rows"), F.inline(F.array(*lines))
-    )
+    return formed.select(*kept, F.coalesce("_rows", F.lit(0)).alias("db_rows"), F.inline(F.array(*lines)))
 
 
 def verdict_counts(verdicts: DataFrame) -> DataFrame:

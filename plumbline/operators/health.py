@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import names as N
 from plumbline.functions import text as X
-from plumbline.operators.profile import key_candidates
-from plumbline.sources.catalog import column_nulls, table_counts, union_all
+from plumbline.operators.profile import measure, unique_columns
+from plumbline.sources.catalog import column_nulls, table_counts, type_name, union_all
 from plumbline.sources.environment import Env
 
 # Thresholds and titles.
@@ -27,22 +29,43 @@ TITLES = {
 }
 
 
-def all_key_candidates(env: Env) -> DataFrame:
-    """Key candidates of every table."""
-    return union_all(
-        [key_candidates(env.table(t), env.policy).select(F.lit(t).alias("tbl"), "column", "rank") for t in env.tables]
-    )
+MEASURED_SCHEMA = (
+    "tbl string, col string, type string, nullable string, key string, default string, pos int, rows bigint, nulls bigint"
+)
 
 
-def tables_without_key(env: Env, candidates: DataFrame | None = None) -> DataFrame:
-    """Tables in which no single column is unique (and none is declared)."""
-    declared = [(t,) for t in env.tables if t in env.keys]
-    tables = table_counts(env).select("tbl")
-    found = (candidates if candidates is not None else all_key_candidates(env)).select("tbl").distinct()
-    out = tables.join(found, "tbl", "left_anti")
-    if declared:
-        out = out.join(env.spark.createDataFrame(declared, "tbl string"), "tbl", "left_anti")
-    return out
+def measured_columns(env: Env, workers: int = 4) -> DataFrame:
+    """A catalog in which NULLs and keys are what the data holds, one row per column.
+
+    ``key`` is PRI for the declared key while it is unique, UNI for any other unique column.
+    Like a statistics command this measures now: per table one pass of counts and sketches,
+    then exact counts of the few columns that may be unique.  Only catalog rows come back.
+    """
+
+    def one(table: str) -> list[tuple]:
+        df = env.table(table)
+        measured = measure(df)
+        likely = [c for c, _, _, maybe in measured if maybe]
+        unique = {r["column"] for r in union_all(unique_columns(df, likely)).collect()} if likely else set()
+        rows = []
+        for pos, (c, n, nulls, _) in enumerate(measured, start=1):
+            key = "" if c not in unique else "PRI" if env.keys.get(table) == c else "UNI"
+            rows.append((table, c, type_name(df.schema[c].dataType), "YES" if nulls else "NO", key, "", pos, n, nulls))
+        return rows
+
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        found = list(pool.map(one, env.tables))
+    return env.spark.createDataFrame([r for rows in found for r in rows], MEASURED_SCHEMA)
+
+
+def measured_counts(columns: DataFrame) -> DataFrame:
+    """Rows per table of a measured catalog."""
+    return columns.groupBy("tbl").agg(F.max("rows").alias("rows"))
+
+
+def tables_without_key(columns: DataFrame) -> DataFrame:
+    """Tables of a measured catalog in which no single column is unique."""
+    return columns.groupBy("tbl").agg(F.max("key").alias("key")).filter(F.col("key") == "").select("tbl")
 
 
 def type_mismatches(columns: DataFrame, links: DataFrame) -> DataFrame:
@@ -63,11 +86,14 @@ def type_mismatches(columns: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def structure_findings(columns: DataFrame, counts: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """Findings from declared columns (tbl, col, type, nullable, key) and row counts (tbl, rows)."""
+    """Findings from columns (tbl, col, type, nullable, key) and row counts (tbl, rows).
+
+    A unique column is as good as a declared key.
+    """
     per_table = columns.groupBy("tbl").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.upper("nullable") == "YES").alias("nullable"),
-        F.count_if(F.col("key") == "PRI").alias("primary"),
+        F.count_if(F.col("key").isin("PRI", "UNI")).alias("primary"),
     ).join(counts, "tbl")
     n, columns_text = F.col("n"), F.concat(F.col("n").cast("string"), F.lit(" columns"))
 
@@ -100,27 +126,10 @@ def with_titles(findings: DataFrame) -> DataFrame:
     return findings.withColumn("title", title)
 
 
-def measured_columns(env: Env) -> DataFrame:
-    """A catalog (tbl, col, type, nullable, key, default, pos) in which NULLs and keys are what the data holds.
-
-    ``key`` is PRI for the declared key while it is unique, UNI for any other unique column.
-    """
-    nulls = column_nulls(env)
-    unique = all_key_candidates(env).select("tbl", F.col("column").alias("col"), F.lit(True).alias("unique"))
-    declared = F.lit(False)
-    for t, c in env.keys.items():
-        declared = declared | ((F.col("tbl") == t) & (F.col("col") == c))
-    key = F.when(F.col("unique") & declared, "PRI").when(F.col("unique"), "UNI").otherwise("")
-    return nulls.join(unique, ["tbl", "col"], "left").select(
-        "tbl", "col", "type", F.when(F.col("nulls") > 0, "YES").otherwise("NO").alias("nullable"), key.alias("key"),
-        F.lit("").alias("default"), "pos", "rows", "nulls",
-    )
-
-
 def health(env: Env, links: DataFrame | None = None) -> DataFrame:
     """All findings of an environment, with measured NULLs, keys and row counts."""
     columns = measured_columns(env)
-    return with_titles(structure_findings(columns, table_counts(env), links))
+    return with_titles(structure_findings(columns, measured_counts(columns), links))
 
 
 def finding_counts(findings: DataFrame) -> DataFrame:

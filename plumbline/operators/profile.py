@@ -7,6 +7,7 @@ than any other because only partial counts are shuffled.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,23 +70,29 @@ def status_breakdown(df: DataFrame, column: str, limit: int = 100) -> DataFrame:
     return counts.orderBy(F.desc("row_count"), F.asc("value")).limit(limit)
 
 
-def _copies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    cond = None
-    for c in columns:
-        cond = _c(c).isNotNull() if cond is None else cond & _c(c).isNotNull()
-    grouped = df.filter(cond).groupBy(*[_c(c) for c in columns]).agg(F.count(F.lit(1)).alias("copies"))
+def _copies(df: DataFrame, columns: Sequence[str], long_values: bool = False) -> DataFrame:
+    """Values that occur more than once, with their copies.
+
+    With ``long_values`` the first shuffle carries 8-byte hashes only and the values
+    themselves move just for rows that have a twin by hash.
+    """
+    df = df.filter(reduce(lambda a, b: a & b, [_c(c).isNotNull() for c in columns]))
+    if long_values:
+        cells = _repeated_cells(df, columns)
+        df = cells.select(*[F.col(f"_v{i}").alias(c) for i, c in enumerate(columns)])
+    grouped = df.groupBy(*[_c(c) for c in columns]).agg(F.count(F.lit(1)).alias("copies"))
     return grouped.filter(F.col("copies") > 1)
 
 
-def duplicates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def duplicates(df: DataFrame, columns: Sequence[str], long_values: bool = False) -> DataFrame:
     """How many values occur more than once, and how many rows carry them."""
-    return _copies(df, columns).agg(
+    return _copies(df, columns, long_values).agg(
         F.count(F.lit(1)).alias("duplicated_values"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_involved")
     )
 
 
-def most_repeated(df: DataFrame, columns: Sequence[str], limit: int = 50) -> DataFrame:
-    out = _copies(df, columns)
+def most_repeated(df: DataFrame, columns: Sequence[str], limit: int = 50, long_values: bool = False) -> DataFrame:
+    out = _copies(df, columns, long_values)
     return out.orderBy(F.desc("copies"), *[F.asc(f"`{c}`") for c in columns]).limit(limit)
 
 
@@ -180,32 +187,76 @@ KEY_ESTIMATE_ERROR = 0.02
 KEY_ESTIMATE_SHARE = 0.8
 
 
+def _cell(f: T.StructField) -> Column:
+    """The value that has to be unique; NULL counts as the text None."""
+    return F.coalesce(_c(f.name), F.lit("None")) if isinstance(f.dataType, T.StringType) else _c(f.name)
+
+
+def unique_columns(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
+    """Per column a frame that holds its name if, and only if, no value occurs twice.
+
+    Text is grouped by its 8-byte hash: different hashes are different values, so a column
+    without a repeated hash is unique.  Only rows under a repeated hash are compared as text.
+    """
+    fields = {f.name: f for f in df.schema.fields}
+
+    def one(c: str) -> DataFrame:
+        cell, name = _cell(fields[c]), F.lit(c).alias("column")
+        if isinstance(fields[c].dataType, (T.StringType, T.BinaryType)):
+            repeated = _repeated_cells(df, [c])
+            most = repeated.groupBy("_v0").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+        else:
+            most = df.groupBy(cell.alias("_v0")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+        return most.filter(F.coalesce(F.col("n"), F.lit(1)) == 1).select(name)
+
+    return [one(c) for c in columns]
+
+
+def _repeated_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The cells (_v0, _v1, ...) of rows whose hash occurs more than once."""
+    fields = {f.name: f for f in df.schema.fields}
+    cells = [_cell(fields[c]).alias(f"_v{i}") for i, c in enumerate(columns)]
+    hashed = df.select(*cells).withColumn("_h", F.xxhash64(*[f"_v{i}" for i in range(len(cells))]))
+    twice = (
+        hashed.groupBy(F.col("_h").alias("_r")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("_r")
+    )
+    return hashed.join(twice, F.col("_h") == F.col("_r"), "left_semi").drop("_h")
+
+
+def measure(df: DataFrame) -> list[tuple[str, int, int, bool]]:
+    """(column, rows, nulls, may be unique) from one pass of counts and sketches: one row reaches the driver."""
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(df.columns):
+        aggs.append(F.count(_c(c)).alias(f"n{i}"))
+        aggs.append(F.approx_count_distinct(F.xxhash64(_c(c)), KEY_ESTIMATE_ERROR).alias(f"d{i}"))
+    row = df.agg(*aggs).first()
+    return [
+        (c, row["rows"], row["rows"] - row[f"n{i}"], row[f"d{i}"] >= KEY_ESTIMATE_SHARE * row["rows"])
+        for i, c in enumerate(df.columns)
+    ]
+
+
+def key_rank(df: DataFrame, column: str) -> int:
+    """Id-like names first, then the order of the columns."""
+    id_like = column == "id" or column.endswith("_id")
+    return (0 if id_like else len(df.columns)) + df.columns.index(column)
+
+
 def key_candidates(df: DataFrame, policy: N.NamePolicy = N.DEFAULT_POLICY) -> DataFrame:
-    """Columns whose text form is unique over the whole table, id-like names first.
+    """Columns that are unique over the whole table, id-like names first.
 
     One pass of sketches rules out the clear cases; only what is left is counted exactly,
     one column at a time, with map-side combining.
     """
-    columns = policy.safe(df.columns)
-    text = {c: F.coalesce(_c(c).cast("string"), F.lit("None")) for c in columns}
-    sketch = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.approx_count_distinct(text[c], KEY_ESTIMATE_ERROR).alias(f"d{i}") for i, c in enumerate(columns)],
-    ).first()
-    likely = [c for i, c in enumerate(columns) if sketch[f"d{i}"] >= KEY_ESTIMATE_SHARE * sketch["rows"]]
-    schema = "column string, rank int"
+    df = df.select(*[_c(c) for c in policy.safe(df.columns)])
+    likely = [c for c, _, _, maybe in measure(df) if maybe]
     if not likely:
-        return df.sparkSession.createDataFrame([], schema)
-
-    def exact(c: str) -> DataFrame:
-        id_like = c == "id" or c.endswith("_id")
-        rank = (0 if id_like else len(df.columns)) + df.columns.index(c)
-        copies = df.groupBy(text[c].alias("v")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
-        return copies.filter(F.coalesce(F.col("n"), F.lit(1)) == 1).select(
-            F.lit(c).alias("column"), F.lit(rank).cast("int").alias("rank")
-        )
-
-    return union_all([exact(c) for c in likely])
+        return df.sparkSession.createDataFrame([], "column string, rank int")
+    found = union_all(unique_columns(df, likely))
+    rank = F.lit(0)
+    for c in likely:
+        rank = F.when(F.col("column") == c, F.lit(key_rank(df, c))).otherwise(rank)
+    return found.select("column", rank.alias("rank"))
 
 
 def tables_per_column(columns: DataFrame) -> DataFrame:

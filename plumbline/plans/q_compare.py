@@ -43,6 +43,7 @@ _PLAIN_DETAILS = f"""{_plain_lines()}
     SELECT CAST(k AS VARCHAR) AS key, 'Missing in target' AS status, '' AS field, '' AS source_value, '' AS target_value FROM d WHERE copies IS NULL
     UNION ALL SELECT CAST(k AS VARCHAR), 'Duplicate in target', 'o_orderkey', '', CAST(copies AS VARCHAR) || ' rows' FROM d WHERE copies > 1
     UNION ALL SELECT CAST(k AS VARCHAR), 'Mismatch', 'o_orderstatus ↔ o_orderstatus', s1, coalesce(t1, 'NULL') FROM d WHERE copies IS NOT NULL AND d1
+    UNION ALL SELECT CAST(k AS VARCHAR), 'Mismatch', 'o_totalprice ↔ o_totalprice', s2, t2 FROM d WHERE copies IS NOT NULL AND d2
     UNION ALL SELECT CAST(k AS VARCHAR), 'Mismatch', 'o_orderpriority ↔ o_orderpriority', s3, coalesce(t3, 'NULL') FROM d WHERE copies IS NOT NULL AND d3
     UNION ALL SELECT CAST(k AS VARCHAR), 'Mismatch', 'o_custkey ↔ o_custkey', CAST(s4 AS VARCHAR), CAST(t4 AS VARCHAR) FROM d WHERE copies IS NOT NULL AND d4"""
 _SUMMARY = """ SELECT count(*) AS compared, count(*) FILTER (WHERE copies IS NOT NULL AND NOT (d1 OR d2 OR d3 OR d4)) AS matching,
@@ -52,7 +53,6 @@ _SUMMARY = """ SELECT count(*) AS compared, count(*) FILTER (WHERE copies IS NOT
 
 @query(_PLAIN_DETAILS)
 def table_compare_details(env):
-    # prices of repeated orders differ by 1.25, yet the smaller (first) target row is the original
     return CM.compare_tables(env, star.environment_b(env), PLAIN)
 
 
@@ -102,7 +102,9 @@ def table_compare_text_export(env):
 @query(_TEXT + """ SELECT CAST(o_orderkey AS VARCHAR) AS key, 'o_orderstatus ↔ state' AS field, o_orderstatus AS source_value,
         coalesce(state, 'NULL') AS target_value FROM d WHERE copies IS NOT NULL AND d1
     UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'o_orderpriority ↔ priority', o_orderpriority, coalesce(priority, 'NULL')
-        FROM d WHERE copies IS NOT NULL AND d2""")
+        FROM d WHERE copies IS NOT NULL AND d2
+    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'o_totalprice ↔ total', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), total
+        FROM d WHERE copies IS NOT NULL AND d4""")
 def table_compare_text_details(env):
     details = CM.compare_tables(env, _export(env), TEXT_SPEC).filter(F.col("status") == "Mismatch")
     return details.select("key", "field", "source_value", "target_value")

@@ -162,7 +162,7 @@ def duplicates_summary(env):
 @query("""SELECT count(*) AS duplicated_values, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows_involved FROM (
           SELECT count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1)""")
 def duplicate_texts(env):
-    return PF.duplicates(env.table("documents"), ["text"])
+    return PF.duplicates(env.table("documents"), ["text"], long_values=True)
 
 
 @query("""SELECT p_name, count(*) AS copies FROM part WHERE p_name IS NOT NULL GROUP BY p_name HAVING count(*) > 1

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
+from plumbline.sources.catalog import local_frame
 from plumbline.sources.environment import Env
 from plumbline.sources.stores import RUN_SCHEMA
 
@@ -47,7 +48,7 @@ def with_defaults(check: Mapping) -> dict:
 def checks_frame(env: Env, checks: Sequence[Mapping]) -> DataFrame:
     names = [c.split()[0] for c in CHECK_SCHEMA.split(", ")]
     rows = [tuple(with_defaults(c).get(n) for n in names) for c in checks]
-    return env.spark.createDataFrame(rows, CHECK_SCHEMA)
+    return local_frame(env.spark, rows, CHECK_SCHEMA)
 
 
 def filter_checks(checks: DataFrame, database: str | None = None, severities: Sequence[str] = (),
@@ -222,8 +223,8 @@ def run_checks(env: Env, checks: Sequence[Mapping], history: DataFrame | None =
     rows = [
         (first_id + i, c["id"], rows, seconds, error, moment) for i, (c, (rows, seconds, error)) in enumerate(zip(checks, outcomes))
     ]
-    ran = env.spark.createDataFrame(
-        rows, "run_id bigint, check_id string, result_rows bigint, seconds double, error string, ran_at timestamp_ntz"
+    ran = local_frame(
+        env.spark, rows, "run_id bigint, check_id string, result_rows bigint, seconds double, error string, ran_at timestamp_ntz"
     )
     defined = checks_frame(env, checks).select(
         F.col("id").alias("check_id"), "title", "area", "severity", "expect", F.col("alerts").alias("alerts")

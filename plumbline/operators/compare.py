@@ -17,7 +17,7 @@ from plumbline.functions import privacy as P
 from plumbline.functions import values as V
 from plumbline.functions.names import DEFAULT_POLICY, NamePolicy
 from plumbline.operators.filters import apply_filters, newest
-from plumbline.sources.catalog import table_counts
+from plumbline.sources.catalog import local_frame, table_counts
 from plumbline.sources.environment import Env
 
 # Kinds of schema differences and the order of row-count statuses.
@@ -348,6 +348,6 @@ def schema_diff(columns_a: DataFrame, columns_b: DataFrame, links_a: DataFrame |
 
 def difference_counts(diff: DataFrame) -> DataFrame:
     """Differences per kind, every kind listed."""
-    kinds = diff.sparkSession.createDataFrame([(k,) for k in DIFFERENCE_KINDS], "difference string")
+    kinds = local_frame(diff.sparkSession, [(k,) for k in DIFFERENCE_KINDS], "difference string")
     counts = diff.groupBy("difference").agg(F.count(F.lit(1)).alias("n"))
     return kinds.join(counts, "difference", "left").select("difference", F.coalesce("n", F.lit(0)).alias("rows"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import names as N
 from plumbline.functions import text as X
 from plumbline.operators.profile import measure, unique_columns
-from plumbline.sources.catalog import column_nulls, table_counts, type_name, union_all
+from plumbline.sources.catalog import column_nulls, local_frame, table_counts, type_name, union_all
 from plumbline.sources.environment import Env
 
 # Thresholds and titles.
@@ -55,7 +55,7 @@ def measured_columns(env: Env, workers: int = 4) -> DataFrame:
 
     with ThreadPoolExecutor(max_workers=workers) as pool:
         found = list(pool.map(one, env.tables))
-    return env.spark.createDataFrame([r for rows in found for r in rows], MEASURED_SCHEMA)
+    return local_frame(env.spark, [r for rows in found for r in rows], MEASURED_SCHEMA)
 
 
 def measured_counts(columns: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def health(env: Env, links: DataFrame | None = None) -> DataFrame:
 
 def finding_counts(findings: DataFrame) -> DataFrame:
     """Findings per check, every check listed."""
-    checks = findings.sparkSession.createDataFrame([(c,) for c in TITLES], "check string")
+    checks = local_frame(findings.sparkSession, [(c,) for c in TITLES], "check string")
     counts = findings.groupBy("check").agg(F.count(F.lit(1)).alias("n"))
     return checks.join(counts, "check", "left").select("check", F.coalesce("n", F.lit(0)).alias("findings"))
 
@@ -145,12 +145,12 @@ def catalog_totals(env: Env, links: DataFrame) -> DataFrame:
     totals = nulls.groupBy("tbl").agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("rows")).agg(
         F.count(F.lit(1)).alias("tables"), F.sum("n").alias("columns"), F.sum("rows").alias("rows"),
     )
-    return totals.withColumn("links", F.lit(links.count()))
+    return totals.withColumn("links", links.agg(F.count(F.lit(1))).scalar())
 
 
 def biggest_tables(env: Env, n: int = 15) -> DataFrame:
     sizes = table_counts(env)
-    widths = env.spark.createDataFrame([(t, len(env.table(t).columns)) for t in env.tables], "tbl string, columns int")
+    widths = local_frame(env.spark, [(t, len(env.table(t).columns)) for t in env.tables], "tbl string, columns int")
     return sizes.join(widths, "tbl").orderBy(F.desc("rows"), "tbl").limit(n)
 
 

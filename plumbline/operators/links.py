@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.sources.catalog import union_all
+from plumbline.sources.catalog import as_catalog, local_frame, union_all
 from plumbline.sources.environment import Env, Link
 
 
@@ -26,7 +26,6 @@ def discover_links(columns: DataFrame, declared: DataFrame | None = None,
     ``columns`` has (tbl, col); ``declared`` (tbl, col, ref_tbl, ref_col, how);
     ``column_links`` (col, ref_tbl, ref_col) for every table with such a column.
     """
-    spark = columns.sparkSession
     cols = columns.select("tbl", "col")
     targets = cols.select(F.col("tbl").alias("ref_tbl"), F.col("col").alias("ref_col"))
     out_cols = ["tbl", "col", "ref_tbl", "ref_col", "how", "rank"]
@@ -101,47 +100,54 @@ def verify_links(env: Env, links: Sequence[Link] | None = None) -> DataFrame:
     return union_all([verify_link(env, k) for k in (links or env.links)])
 
 
+def _edges(links: DataFrame, include_guesses: bool) -> DataFrame:
+    """Links walkable both ways: from table and column (a, ac) to table and column (b, bc)."""
+    if not include_guesses:
+        links = links.filter(F.col("how") != "name pattern")
+    links = as_catalog(links.select("tbl", "col", "ref_tbl", "ref_col", "how"))
+    both = [("tbl", "col", "ref_tbl", "ref_col"), ("ref_tbl", "ref_col", "tbl", "col")]
+    return union_all(
+        [
+            links.select(*[F.col(c).alias(n) for c, n in zip(cols, ("a", "ac", "b", "bc"))], "how", F.lit(i).alias("backwards"))
+            for i, cols in enumerate(both)
+        ]
+    )
+
+
+def _walks(edges: DataFrame, start: str, rounds: int) -> list[DataFrame]:
+    """Per number of links the tables reached and one way there, never through a table twice."""
+    hop = "struct<from_tbl:string,from_col:string,to_tbl:string,to_col:string,how:string>"
+    spark = edges.sparkSession
+    walk = local_frame(spark, [(start,)], "tbl string").select(
+        "tbl", F.array("tbl").alias("seen"), F.array().cast(f"array<{hop}>").alias("path"), F.lit(0).alias("turns"))
+    out = [walk]
+    for _ in range(rounds):
+        step = walk.join(edges, (F.col("tbl") == F.col("a")) & ~F.array_contains("seen", F.col("b"))).select(
+            F.col("b").alias("tbl"), F.concat("seen", F.array("b")).alias("seen"),
+            F.concat("path", F.array(F.struct("a", "ac", "b", "bc", "how").cast(hop))).alias("path"),
+            (F.col("turns") + F.col("backwards")).alias("turns"),
+        )
+        best = F.min(F.struct("seen", "turns", "path")).alias("w")
+        walk = step.groupBy("tbl").agg(best).select("tbl", "w.seen", "w.path", "w.turns")
+        out.append(walk)
+    return out
+
+
 def neighbourhood(links: DataFrame, table: str, depth: int = 1, include_guesses: bool = True,
                   max_tables: int | None = 40) -> DataFrame:
     """Tables within ``depth`` links of a table, in either direction, with their distance."""
-    if not include_guesses:
-        links = links.filter(F.col("how") != "name pattern")
-    edges = links.select(F.col("tbl").alias("a"), F.col("ref_tbl").alias("b")).unionAll(
-        links.select(F.col("ref_tbl").alias("a"), F.col("tbl").alias("b"))
-    ).distinct()
-    reached = links.sparkSession.createDataFrame([(table, 0)], "tbl string, distance int")
-    for d in range(1, depth + 1):
-        step = reached.join(edges, F.col("tbl") == F.col("a")).select(F.col("b").alias("tbl"), F.lit(d).alias("distance"))
-        reached = reached.unionAll(step).groupBy("tbl").agg(F.min("distance").alias("distance"))
+    walks = _walks(_edges(links, include_guesses), table, depth)
+    reached = union_all([w.select("tbl", F.lit(d).alias("distance")) for d, w in enumerate(walks)])
+    reached = reached.groupBy("tbl").agg(F.min("distance").alias("distance"))
     return reached.orderBy("distance", "tbl").limit(max_tables) if max_tables else reached
 
 
 def join_path(links: DataFrame, start: str, goal: str, include_guesses: bool = True, max_depth: int = 4) -> DataFrame:
-    """The shortest chain of links between two tables: step, from, to, condition columns; empty when there is none.
-
-    Each round extends the paths found so far by one link and keeps the first arrival per table.
-    """
-    if not include_guesses:
-        links = links.filter(F.col("how") != "name pattern")
-    hop = "array<struct<from_tbl:string,from_col:string,to_tbl:string,to_col:string,how:string>>"
-    forward = links.select(F.col("tbl").alias("a"), F.col("col").alias("ac"), F.col("ref_tbl").alias("b"),
-                           F.col("ref_col").alias("bc"), "how", F.lit(0).alias("dir"))
-    back = links.select(F.col("ref_tbl").alias("a"), F.col("ref_col").alias("ac"), F.col("tbl").alias("b"),
-                        F.col("col").alias("bc"), "how", F.lit(1).alias("dir"))
-    edges = forward.unionAll(back)
-    paths = links.sparkSession.createDataFrame([(start,)], "tbl string").select(
-        "tbl", F.array().cast(hop).alias("path"), F.lit(0).alias("n"), F.lit(0).alias("dir"))
-    for d in range(1, max_depth + 1):
-        step = paths.filter(F.col("n") == d - 1).drop("dir").join(edges, F.col("tbl") == F.col("a")).select(
-            F.col("b").alias("tbl"),
-            F.concat("path", F.array(F.struct("a", "ac", "b", "bc", "how"))).cast(hop).alias("path"),
-            F.lit(d).alias("n"), F.col("dir"),
-        )
-        best = F.min(F.struct("n", F.transform("path", lambda h: h["to_tbl"]).alias("via"), "dir", "path")).alias("p")
-        paths = paths.unionByName(step).groupBy("tbl").agg(best).select("tbl", "p.path", "p.n", "p.dir")
-    return paths.filter((F.col("tbl") == goal) & (F.col("n") > 0)).select(
-        F.posexplode("path").alias("step", "h")
-    ).select((F.col("step") + 1).alias("step"), "h.*")
+    """The shortest chain of links between two tables: step, from, to, condition columns; empty when there is none."""
+    walks = _walks(_edges(links, include_guesses), start, max_depth)
+    arrived = union_all([w.filter(F.col("tbl") == goal).select("path") for w in walks[1:]])
+    shortest = arrived.filter(F.lit(start != goal)).agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("p"))
+    return shortest.select(F.posexplode("p.path").alias("step", "h")).select((F.col("step") + 1).alias("step"), "h.*")
 
 
 def join_along(env: Env, start: str, path: Sequence[tuple[str, str, str, str]], columns_per_table: int | None = 6,

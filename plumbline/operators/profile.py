@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from plumbline.functions import names as N
 from plumbline.functions import values as V
 from plumbline.operators.filters import apply_filters, newest
-from plumbline.sources.catalog import union_all
+from plumbline.sources.catalog import local_frame, union_all
 
 
 def _c(name: str) -> Column:
@@ -181,9 +181,9 @@ def examples_per_value(df: DataFrame, column: str, pk: str, limit: int = 50) ->
     return out.orderBy(F.desc("rows"), F.asc("value")).limit(limit)
 
 
-# A column whose estimated distinct count is below this share of the rows cannot be unique:
-# the estimate's relative error is 2 %, so the margin is ten standard errors.
-KEY_ESTIMATE_ERROR = 0.02
+# A column whose estimated distinct count is below this share of the rows cannot be unique: the
+# relative error of a sketch of 2^12 registers is 1.6 %, so the margin is twelve standard errors.
+KEY_SKETCH_BITS = 12
 KEY_ESTIMATE_SHARE = 0.8
 
 
@@ -228,7 +228,8 @@ def measure(df: DataFrame) -> list[tuple[str, int, int, bool]]:
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
         aggs.append(F.count(_c(c)).alias(f"n{i}"))
-        aggs.append(F.approx_count_distinct(F.xxhash64(_c(c)), KEY_ESTIMATE_ERROR).alias(f"d{i}"))
+        sketch = F.hll_sketch_agg(F.xxhash64(_c(c)), F.lit(KEY_SKETCH_BITS))
+        aggs.append(F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0)).alias(f"d{i}"))
     row = df.agg(*aggs).first()
     return [
         (c, row["rows"], row["rows"] - row[f"n{i}"], row[f"d{i}"] >= KEY_ESTIMATE_SHARE * row["rows"])
@@ -251,7 +252,7 @@ def key_candidates(df: DataFrame, policy: N.NamePolicy = N.DEFAULT_POLICY) -> Da
     df = df.select(*[_c(c) for c in policy.safe(df.columns)])
     likely = [c for c, _, _, maybe in measure(df) if maybe]
     if not likely:
-        return df.sparkSession.createDataFrame([], "column string, rank int")
+        return local_frame(df.sparkSession, [], "column string, rank int")
     found = union_all(unique_columns(df, likely))
     rank = F.lit(0)
     for c in likely:

@@ -13,7 +13,7 @@ from plumbline.functions import names as N
 from plumbline.functions import text as X
 from plumbline.functions.values import INTEGRAL
 from plumbline.operators.filters import typed_literal
-from plumbline.sources.catalog import union_all
+from plumbline.sources.catalog import local_frame, union_all
 from plumbline.sources.environment import Env
 
 # Asset kinds in report order and the rank of key classes.
@@ -116,7 +116,7 @@ def search_values(
         counts = found.groupBy("value", "col", "key_class").agg(F.count(F.lit(1)).alias("matches"))
         parts.append(counts.select("value", F.lit(table).alias("tbl"), "col", "key_class", "matches"))
     if not parts:
-        return env.spark.createDataFrame([], "value string, tbl string, col string, key_class string, matches bigint")
+        return local_frame(env.spark, [], "value string, tbl string, col string, key_class string, matches bigint")
     out = union_all(parts)
     if cap is not None:
         out = out.withColumn("matches", F.least("matches", F.lit(cap)))
@@ -161,7 +161,7 @@ def find_by_id(env: Env, column: str, value: str, rows: int = 50) -> tuple[DataF
         summary.append(match.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(table).alias("tbl"), "rows"))
         samples[table] = match.limit(rows)
     if not summary:
-        return env.spark.createDataFrame([], "tbl string, rows bigint"), samples
+        return local_frame(env.spark, [], "tbl string, rows bigint"), samples
     return union_all(summary), samples
 
 

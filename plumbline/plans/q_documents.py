@@ -252,7 +252,7 @@ def query_log_lint(env):
 @query("""SELECT "table", count(*) AS queries FROM events JOIN (VALUES ('click', 'orders'), ('view', 'orders'), ('signup', 'customer'),
     ('purchase', 'lineitem'), ('purchase', 'orders'), ('error', 'part')) v(t, "table") ON event_type = t GROUP BY ALL""")
 def query_log_tables(env):
-    names = env.spark.createDataFrame([(t,) for t in env.tables], "name string")
+    names = C.local_frame(env.spark, [(t,) for t in env.tables], "name string")
     return QL.tables_used(star.query_log(env), names)
 
 

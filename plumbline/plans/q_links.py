@@ -160,7 +160,7 @@ def find_by_id(env):
 
 
 def _tables_frame(env):
-    widths = env.spark.createDataFrame([(t, " ".join(env.table(t).columns)) for t in env.tables], "tbl string, columns string")
+    widths = C.local_frame(env.spark, [(t, " ".join(env.table(t).columns)) for t in env.tables], "tbl string, columns string")
     return C.table_counts(env).join(widths, "tbl").select(F.col("tbl").alias("name"), "columns", "rows")
 
 

@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.sources.environment import Env
 
+ARROW_TYPES = {
+    "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(),
+    "timestamp_ntz": pa.timestamp("us"), "array<string>": pa.list_(pa.string()),
+}
+
+
+def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A frame of definition-sized rows held in the plan, so that its size is known to the optimizer."""
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    arrays = [pa.array(list(c), ARROW_TYPES[t]) for c, (_, t) in zip(columns, fields)]
+    return spark.createDataFrame(pa.table(arrays, names=[n for n, _ in fields]))
+
+
+def as_catalog(df: DataFrame) -> DataFrame:
+    """Evaluate a catalog frame once.
+
+    Only for frames with at most a row per column or link of the environment: they are as
+    small as the schemas the driver holds anyway.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return local_frame(df.sparkSession, [tuple(r) for r in df.collect()], schema)
+
+
 COLUMNS_SCHEMA = (
     "tbl string, col string, type string, nullable string, key string, default string, extra string, pos int"
 )
@@ -38,12 +64,12 @@ def catalog_columns(env: Env) -> DataFrame:
             declared = meta.get("type") or type_name(f.dataType)
             nullable = meta.get("nullable", "YES" if f.nullable else "NO")
             rows.append((table, f.name, declared, nullable, key, meta.get("default"), meta.get("extra", ""), pos))
-    return env.spark.createDataFrame(rows, COLUMNS_SCHEMA)
+    return local_frame(env.spark, rows, COLUMNS_SCHEMA)
 
 
 def catalog_links(env: Env) -> DataFrame:
     rows = [(k.table, k.column, k.ref_table, k.ref_column, k.how) for k in env.links]
-    return env.spark.createDataFrame(rows, LINKS_SCHEMA)
+    return local_frame(env.spark, rows, LINKS_SCHEMA)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -73,72 +73,46 @@ def with_status(doc: Column, path: str, status_code: Column | None, is_object: C
     return F.when(is_object, get_path(doc, path))
 
 
-def flatten(
-    df: DataFrame,
-    doc: str,
-    max_depth: int = 8,
-    list_items: int | None = None,
-    max_fields: int | None = None,
-) -> DataFrame:
-    """One row per leaf (and per list) of every document: the frame's columns plus ``path`` and ``value``.
-
-    Each level turns a container into an array of its members, so a document of any width
-    stays in its row until it is exploded, and no shuffle is needed.
+def flatten(df: DataFrame, doc: str, max_depth: int = 8, list_items: int | None = None) -> DataFrame:
+    """One row per leaf and per list of every document: the frame's columns plus ``path``, ``value`` and ``type``.
+
+    Every level is a generator over the members of objects and lists; leaves pass through,
+    so there is no shuffle and no array of a document's fields.  Containers below
+    ``max_depth`` stay whole as the value of their path.  ``list_items`` keeps only the
+    first members of each list.
     """
+    spark = df.sparkSession
     keep = [F.col(f"`{c}`") for c in df.columns if c != doc]
-    node = "struct<path:string,value:variant,done:boolean,pos:array<int>>"
-    out = df.select(
-        *keep,
-        F.struct(
-            F.lit("").alias("path"), F.col(doc).alias("value"), F.lit(False).alias("done"),
-            F.array().cast("array<int>").alias("pos"),
-        ).cast(node).alias("_node"),
-    ).filter(F.col("_node.value").isNotNull())
+    path, value, kind, done = F.col("_path"), F.col("_value"), F.col("_kind"), F.col("_done")
+    out = df.filter(F.col(doc).isNotNull()).select(
+        *keep, F.lit("").alias("_path"), F.col(doc).alias("_value"), F.lit(None).cast("string").alias("_kind"),
+        F.lit(False).alias("_done"),
+    )
     for _ in range(max_depth):
-        path, value, pos = F.col("_node.path"), F.col("_node.value"), F.col("_node.pos")
-        kind = F.col("_kind")
-
-        def child(key_path: Column, v: Column, done: Column | bool, i: Column) -> Column:
-            return F.struct(
-                key_path.alias("path"), v.alias("value"),
-                (done if isinstance(done, Column) else F.lit(done)).alias("done"),
-                F.concat(pos, F.array(i.cast("int"))).alias("pos"),
-            )
-
-        members = F.map_entries(value.try_cast("map<string,variant>"))
-        items = value.try_cast("array<variant>")
+        typed = out.select(*keep, path, value, F.when(done, kind).otherwise(V.json_type(value)).alias("_kind"), done)
+        # a list gives one row for itself and one for each member
+        itself = F.when((kind == "list") & ~done, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+        copied = typed.select("*", F.explode(itself).alias("_itself"))
+        opened = F.when(~done & ~F.col("_itself") & kind.isin("object", "list"), value)
+        nodes = copied.withColumn("_opened", opened)
+        members = nodes.lateralJoin(spark.tvf.variant_explode_outer(F.col("_opened").outer()).toDF("_pos", "_key", "_member"))
+        is_member = F.col("_pos").isNotNull()
+        # nothing comes out of an empty list (its own row is there) or an empty document
+        hollow = ~is_member & F.col("_opened").isNotNull() & ((kind == "list") | (path == ""))
+        members = members.filter(~F.coalesce(hollow, F.lit(False)))
         if list_items is not None:
-            items = F.slice(items, 1, list_items)
-        from_object = F.transform(
-            members,
-            lambda e, i: child(
-                F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"])), e["value"], False, i
-            ),
-        )
-        from_list = F.concat(
-            F.array(child(path, value, True, F.lit(-1))),
-            F.transform(
-                items,
-                lambda v, i: child(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), v, False, i),
-            ),
+            members = members.filter(~is_member | (kind == "object") | (F.col("_pos") < list_items))
+        named = F.when(path == "", F.col("_key")).otherwise(F.concat(path, F.lit("."), F.col("_key")))
+        placed = F.concat(path, F.lit("["), F.col("_pos").cast("string"), F.lit("]"))
+        out = members.select(
+            *keep,
+            F.when(~is_member, path).when(kind == "object", named).otherwise(placed).alias("_path"),
+            F.when(is_member, F.col("_member")).otherwise(value).alias("_value"),
+            F.when(~is_member, kind).alias("_kind"),
+            (~is_member).alias("_done"),
         )
-        leaf = F.array(child(path, value, True, F.lit(0)))
-        step = (
-            F.when(F.col("_node.done"), F.array(F.col("_node")))
-            .when((kind == "object") & ((F.size(members) > 0) | (path == "")), from_object)
-            .when(kind == "list", from_list)
-            .otherwise(leaf)
-        )
-        # the type is a column of its own, computed once per node
-        typed = out.withColumn("_kind", F.when(~F.col("_node.done"), V.json_type(value)))
-        out = typed.select(*keep, F.explode(step.cast(f"array<{node}>")).alias("_node"))
-    out = out.select(*keep, F.col("_node.path").alias("path"), F.col("_node.value").alias("value"), F.col("_node.pos").alias("_pos"))
-    if max_fields is not None:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy(*keep).orderBy("_pos")
-        out = out.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max_fields).drop("_n")
-    return out.drop("_pos")
+    found = F.coalesce(kind, V.json_type(value))
+    return out.select(*keep, path.alias("path"), value.alias("value"), found.alias("type"))
 
 
 @dataclass(frozen=True)
@@ -184,86 +158,55 @@ def _length(v: V.JsonValue) -> Column:
     )
 
 
-@dataclass(frozen=True)
-class RuleColumns:
-    """A rule as columns, so that one expression serves any number of rules.
-
-    ``wanted`` is the normal form of the expected text, ``limit`` and ``count`` its numbers
-    (NULL when it is none), ``matched`` whether the text matches its pattern (NULL when the
-    pattern is not valid).
-    """
-
-    operator: Column
-    expected: Column
-    wanted: Column
-    limit: Column
-    count: Column
-    matched: Column
-
-
-def rule_literals(rule: Rule, opt: V.Options = V.DEFAULT) -> dict[str, Column]:
-    """The constant parts of a rule."""
-    exp = rule.expected
-    return {
-        "operator": F.lit(rule.operator),
-        "expected": F.lit(exp),
-        "wanted": V.normalise(F.lit(exp), STRING, opt, True),
-        "limit": F.lit(float(exp) if _is_number(exp) else None).cast("double"),
-        "count": F.lit(int(exp) if _is_whole(exp) else None).cast("bigint"),
-    }
-
-
-def pattern_match(text: Column, rule: Rule) -> Column:
-    """A pattern stays a constant of the plan, so that it is compiled once."""
-    if rule.operator != "matches regex" or not _valid_pattern(rule.expected):
-        return F.lit(None).cast("boolean")
-    return text.rlike(rule.expected)
-
-
-def rule_holds(v: V.JsonValue, rule: RuleColumns, opt: V.Options = V.DEFAULT) -> Column:
+def rule_holds(v: V.JsonValue, rule: Rule, opt: V.Options = V.DEFAULT) -> Column:
     """Does the value satisfy the rule?  NULL when that cannot be told."""
-    op, kind, text, present = rule.operator, v.kind, v.text, v.value.isNotNull()
-    hollow = (
-        (kind == "null") | ((kind == "string") & (text == ""))
-        | (kind.isin("object", "list") & F.to_json(v.value).isin("[]", "{}"))
-    )
-    equal = V.json_form(v, opt, True).eqNullSafe(rule.wanted)
-    inside = F.lower(text).contains(F.lower(rule.expected)) if opt.case_insensitive else text.contains(rule.expected)
-    listed = F.exists(_items(v.value), lambda item: V.normalise(item, VARIANT, opt, True).eqNullSafe(rule.wanted))
-    number = (
-        F.when(kind.isin("number", "string"), text.try_cast("double"))
-        .when(kind == "boolean", F.when(text == "true", 1.0).otherwise(0.0))
-    )
-    return (
-        F.when(op == "exists", present)
-        .when(op == "not exists", ~present)
-        .when(~op.isin(RULE_OPERATORS), F.lit(None).cast("boolean"))
-        .when(~present, False)
-        .when(op == "is null", kind == "null")
-        .when(op == "not null", kind != "null")
-        .when(op == "not empty", ~hollow)
-        .when(op == "equals", equal)
-        .when(op == "not equals", ~equal)
-        .when(op == "contains", F.when(kind == "list", listed).when(kind == "string", inside))
-        .when(op == "matches regex", F.when(kind == "string", rule.matched))
-        .when(op == "greater than", number > rule.limit)
-        .when(op == "less than", number < rule.limit)
-        .when(op == "count at least", _length(v) >= rule.count)
-        .when(op == "count equals", _length(v) == rule.count)
-        .when(op == "type is", kind == F.lower(F.trim(rule.expected)))
-    )
+    op, exp = rule.operator, rule.expected
+    kind, text, present = v.kind, v.text, v.value.isNotNull()
+    unknown = F.lit(None).cast("boolean")
+    if op not in RULE_OPERATORS:
+        return unknown
+    if op in ("exists", "not exists"):
+        return present if op == "exists" else ~present
+    if op in ("is null", "not null"):
+        holds = kind == "null" if op == "is null" else kind != "null"
+    elif op == "not empty":
+        hollow = kind.isin("object", "list") & F.to_json(v.value).isin("[]", "{}")
+        holds = ~((kind == "null") | ((kind == "string") & (text == "")) | hollow)
+    elif op in ("equals", "not equals"):
+        equal = V.json_form(v, opt, True).eqNullSafe(V.normalise(F.lit(exp), STRING, opt, True))
+        holds = equal if op == "equals" else ~equal
+    elif op == "contains":
+        wanted = V.normalise(F.lit(exp), STRING, opt, True)
+        listed = F.exists(_items(v.value), lambda item: V.normalise(item, VARIANT, opt, True).eqNullSafe(wanted))
+        inside = F.lower(text).contains(exp.lower()) if opt.case_insensitive else text.contains(exp)
+        holds = F.when(kind == "list", listed).when(kind == "string", inside)
+    elif op == "matches regex":
+        holds = F.when(kind == "string", text.rlike(exp)) if _valid_pattern(exp) else unknown
+    elif op in ("greater than", "less than"):
+        number = (
+            F.when(kind.isin("number", "string"), text.try_cast("double"))
+            .when(kind == "boolean", F.when(text == "true", 1.0).otherwise(0.0))
+        )
+        limit = F.lit(float(exp) if _is_number(exp) else None).cast("double")
+        holds = number > limit if op == "greater than" else number < limit
+    elif op in ("count at least", "count equals"):
+        count = F.lit(int(exp) if _is_whole(exp) else None).cast("bigint")
+        holds = _length(v) >= count if op == "count at least" else _length(v) == count
+    else:  # type is
+        holds = kind == exp.strip().lower()
+    return F.when(~present, False).otherwise(holds)
 
 
 def rule_status(holds: Column) -> Column:
     return F.when(holds, "pass").when(~holds, "fail").otherwise("warn")
 
 
-def rule_detail(v: V.JsonValue, rule: RuleColumns, holds: Column) -> Column:
-    """What was seen, and for a failure what was expected."""
-    op, kind, shown = rule.operator, v.kind, V.json_shown(v)
+def rule_detail(v: V.JsonValue, op: Column, expected: Column, holds: Column) -> Column:
+    """What was seen, and for a failure what was expected; operator and expected text are columns."""
+    kind, shown = v.kind, V.json_shown(v)
     counting, comparing = op.isin("count at least", "count equals"), op.isin("greater than", "less than")
     n = _length(v)
-    told = F.concat(F.lit(" (expected "), F.when(counting | comparing, F.concat(op, F.lit(" "))).otherwise(""), rule.expected, F.lit(")"))
+    told = F.concat(F.lit(" (expected "), F.when(counting | comparing, F.concat(op, F.lit(" "))).otherwise(""), expected, F.lit(")"))
     seen = (
         F.when(counting, F.concat(n.cast("string"), F.lit(" items"))).when(op == "type is", kind)
         .when((op == "is null") & holds, "null").when((op == "not null") & ~holds, "null")
@@ -272,16 +215,16 @@ def rule_detail(v: V.JsonValue, rule: RuleColumns, holds: Column) -> Column:
     )
     missed = (
         F.when((op == "equals") | counting | comparing | (op == "type is"), told)
-        .when(op == "contains", F.concat(F.lit(" does not contain "), rule.expected))
+        .when(op == "contains", F.concat(F.lit(" does not contain "), expected))
         .when(op == "matches regex", " does not match").otherwise("")
     )
     unclear = (
         F.when(op == "contains", F.concat(F.lit("cannot use contains on "), kind))
         .when((op == "matches regex") & (kind != "string"), F.concat(F.lit("value is "), kind, F.lit(", not text")))
         .when(op == "matches regex", "invalid regular expression")
-        .when(comparing, F.concat(shown, F.lit(" or '"), rule.expected, F.lit("' is not a number")))
+        .when(comparing, F.concat(shown, F.lit(" or '"), expected, F.lit("' is not a number")))
         .when(n.isNull(), F.concat(F.lit("value is "), kind, F.lit(", it has no count")))
-        .otherwise(F.concat(F.lit("expected count '"), rule.expected, F.lit("' is not a whole number")))
+        .otherwise(F.concat(F.lit("expected count '"), expected, F.lit("' is not a whole number")))
     )
     return (
         F.when(~op.isin(RULE_OPERATORS), F.concat(F.lit("Unknown operator “"), op, F.lit("”")))
@@ -295,9 +238,9 @@ def rule_detail(v: V.JsonValue, rule: RuleColumns, holds: Column) -> Column:
 def check_rule(doc: Column, rule: Rule, opt: V.Options = V.DEFAULT, status_code: Column | None = None) -> Column:
     """struct(status, detail) of one rule on a document; ``operators.documents.check_rules`` takes many."""
     v = V.JsonValue.of(with_status(doc, rule.path, status_code))
-    columns = RuleColumns(**rule_literals(rule, opt), matched=pattern_match(v.text, rule))
-    holds = rule_holds(v, columns, opt)
-    return F.struct(rule_status(holds).alias("status"), rule_detail(v, columns, holds).alias("detail"))
+    holds = rule_holds(v, rule, opt)
+    detail = rule_detail(v, F.lit(rule.operator), F.lit(rule.expected), holds)
+    return F.struct(rule_status(holds).alias("status"), detail.alias("detail"))
 
 
 def field_name_key(name: Column) -> Column:

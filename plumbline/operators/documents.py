@@ -24,40 +24,40 @@ def check_rules(df: DataFrame, doc: str, rules: Sequence[D.Rule], opt: V.Options
                 status_code: str | None = None) -> DataFrame:
     """One row per document and rule: the frame's other columns, rule number, path, operator, status, detail.
 
-    Values are read once per path, then typed once; each rule is a branch over those columns.
+    Each path is read, typed and normalised once per document, however many rules it has.
     """
     code = _c(status_code) if status_code else None
     keep = [_c(c) for c in df.columns if c != doc]
     is_object = None
     if code is not None:
         df, is_object = df.withColumn("_object", V.json_type(_c(doc)) == "object"), F.col("_object")
+    by_path: dict[str, list[tuple[int, D.Rule]]] = {}
+    for i, r in enumerate(rules, start=1):
+        by_path.setdefault(r.path, []).append((i, r))
     cells = [
-        F.struct(
-            F.lit(i).alias("rule"), F.lit(r.path).alias("path"),
-            *[c.alias(name) for name, c in D.rule_literals(r, opt).items()],
-            D.with_status(_c(doc), r.path, code, is_object).alias("_v"),
-        )
-        for i, r in enumerate(rules, start=1)
+        F.struct(F.lit(n).alias("_n"), F.lit(p).alias("path"), D.with_status(_c(doc), p, code, is_object).alias("_v"))
+        for n, p in enumerate(by_path)
     ]
-    # every step is a projection over columns of the one before: read, type, normalise, judge, tell
+    # every step is a projection over columns of the one before: read a path, type it, normalise it, judge its rules
     read = df.select(*keep, F.inline(F.array(*cells)))
     typed = read.select("*", V.json_type(F.col("_v")).alias("_kind"), V.json_text(F.col("_v")).alias("_text"))
     plain = V.JsonValue(F.col("_v"), F.col("_kind"), F.col("_text"))
-    compared = F.col("operator").isin("equals", "not equals")
-    matched = F.lit(None).cast("boolean")
-    for i, r in enumerate(rules, start=1):
-        if r.operator == "matches regex":
-            matched = F.when(F.col("rule") == i, D.pattern_match(F.col("_text"), r)).otherwise(matched)
-    shaped = typed.select(
-        "*", V.json_shown(plain).alias("_shown"), F.when(compared, V.json_form(plain, opt, True)).alias("_form"),
-        matched.alias("_matched"),
-    )
-    value = V.JsonValue(F.col("_v"), F.col("_kind"), F.col("_text"), F.col("_shown"), F.col("_form"))
-    rule = D.RuleColumns(*[F.col(c) for c in ("operator", "expected", "wanted", "limit", "count", "_matched")])
-    judged = shaped.withColumn("_holds", D.rule_holds(value, rule, opt))
-    return judged.select(
-        *keep, "rule", "path", "operator", D.rule_status(F.col("_holds")).alias("status"),
-        D.rule_detail(value, rule, F.col("_holds")).alias("detail"),
+    compared = [n for n, of_path in enumerate(by_path.values()) if any(r.operator in ("equals", "not equals") for _, r in of_path)]
+    form = F.when(F.col("_n").isin(compared), V.json_form(plain, opt, True)) if compared else F.lit(None).cast("string")
+    formed = typed.select("*", form.alias("_form"))
+    value = V.JsonValue(F.col("_v"), F.col("_kind"), F.col("_text"), form=F.col("_form"))
+    judged = F.lit(None)
+    for n, of_path in enumerate(by_path.values()):
+        lines = F.array(*[
+            F.struct(F.lit(i).alias("rule"), F.lit(r.operator).alias("operator"), F.lit(r.expected).alias("_expected"),
+                     D.rule_holds(value, r, opt).alias("_holds"))
+            for i, r in of_path
+        ])
+        judged = F.when(F.col("_n") == n, lines) if n == 0 else judged.when(F.col("_n") == n, lines)
+    out = formed.select(*keep, "path", "_v", "_kind", "_text", F.inline(judged))
+    detail = D.rule_detail(plain, F.col("operator"), F.col("_expected"), F.col("_holds"))
+    return out.select(
+        *keep, "rule", "path", "operator", D.rule_status(F.col("_holds")).alias("status"), detail.alias("detail")
     )
 
 
@@ -71,9 +71,8 @@ def rule_counts(results: DataFrame) -> DataFrame:
 def flatten_documents(df: DataFrame, doc: str, **options) -> DataFrame:
     """Paths of every document with the JSON type and a display text."""
     flat = D.flatten(df, doc, **options)
-    return flat.withColumn("type", V.json_type(F.col("value"))).withColumn(
-        "shown", V.display(F.col("value"), T.VariantType())
-    )
+    value = V.JsonValue(F.col("value"), F.col("type"), V.json_text(F.col("value")))
+    return flat.withColumn("shown", V.json_shown(value))
 
 
 def field_verdicts(docs: DataFrame, doc: str, table: DataFrame, match: tuple[str, str], mapping: Sequence[Mapping],

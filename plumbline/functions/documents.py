@@ -65,8 +65,7 @@ def with_status(doc: Column, path: str, status_code: Column | None, is_object: C
         is_object = V.json_type(doc) == "object"
     if path == "response.status_code":
         own = get_path(doc, "response")
-        injected = F.to_variant_object(F.struct(status_code.alias("v")))
-        return F.when(is_object & own.isNotNull(), get_path(doc, path)).otherwise(get_path(injected, "v"))
+        return F.when(is_object & own.isNotNull(), get_path(doc, path)).otherwise(status_code.cast("variant"))
     if path == "body" or path.startswith(("body.", "body[")):
         rest = path[len("body"):].lstrip(".")
         return F.when(is_object, get_path(doc, path)).otherwise(get_path(doc, rest))
@@ -150,6 +149,21 @@ def _items(v: Column) -> Column:
     return v.try_cast("array<variant>")
 
 
+# What reads as a floating point number; anything else is sorted out before it is cast.
+FLOAT_TEXT = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)\s*$"
+
+
+def list_holds(v: V.JsonValue, expected: str, opt: V.Options = V.DEFAULT) -> Column:
+    """Does a list hold an item equal to a text?  Each item is typed once."""
+    wanted = V.normalise(F.lit(expected), STRING, opt, True)
+    typed = F.transform(
+        _items(v.value), lambda x: F.struct(x.alias("value"), V.json_type(x).alias("kind"), V.json_text(x).alias("text"))
+    )
+    return F.exists(
+        typed, lambda s: V.json_form(V.JsonValue(s["value"], s["kind"], s["text"]), opt, True).eqNullSafe(wanted)
+    )
+
+
 def _length(v: V.JsonValue) -> Column:
     return (
         F.when(v.kind == "list", F.size(_items(v.value)))
@@ -158,8 +172,11 @@ def _length(v: V.JsonValue) -> Column:
     )
 
 
-def rule_holds(v: V.JsonValue, rule: Rule, opt: V.Options = V.DEFAULT) -> Column:
-    """Does the value satisfy the rule?  NULL when that cannot be told."""
+def rule_holds(v: V.JsonValue, rule: Rule, opt: V.Options = V.DEFAULT, listed: Column | None = None) -> Column:
+    """Does the value satisfy the rule?  NULL when that cannot be told.
+
+    ``listed`` is the result of ``list_holds`` if an earlier projection has it.
+    """
     op, exp = rule.operator, rule.expected
     kind, text, present = v.kind, v.text, v.value.isNotNull()
     unknown = F.lit(None).cast("boolean")
@@ -176,15 +193,14 @@ def rule_holds(v: V.JsonValue, rule: Rule, opt: V.Options = V.DEFAULT) -> Column
         equal = V.json_form(v, opt, True).eqNullSafe(V.normalise(F.lit(exp), STRING, opt, True))
         holds = equal if op == "equals" else ~equal
     elif op == "contains":
-        wanted = V.normalise(F.lit(exp), STRING, opt, True)
-        listed = F.exists(_items(v.value), lambda item: V.normalise(item, VARIANT, opt, True).eqNullSafe(wanted))
+        listed = list_holds(v, exp, opt) if listed is None else listed
         inside = F.lower(text).contains(exp.lower()) if opt.case_insensitive else text.contains(exp)
         holds = F.when(kind == "list", listed).when(kind == "string", inside)
     elif op == "matches regex":
         holds = F.when(kind == "string", text.rlike(exp)) if _valid_pattern(exp) else unknown
     elif op in ("greater than", "less than"):
         number = (
-            F.when(kind.isin("number", "string"), text.try_cast("double"))
+            F.when(kind.isin("number", "string") & text.rlike(FLOAT_TEXT), F.trim(text).try_cast("double"))
             .when(kind == "boolean", F.when(text == "true", 1.0).otherwise(0.0))
         )
         limit = F.lit(float(exp) if _is_number(exp) else None).cast("double")

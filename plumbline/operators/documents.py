@@ -44,13 +44,18 @@ def check_rules(df: DataFrame, doc: str, rules: Sequence[D.Rule], opt: V.Options
     plain = V.JsonValue(F.col("_v"), F.col("_kind"), F.col("_text"))
     compared = [n for n, of_path in enumerate(by_path.values()) if any(r.operator in ("equals", "not equals") for _, r in of_path)]
     form = F.when(F.col("_n").isin(compared), V.json_form(plain, opt, True)) if compared else F.lit(None).cast("string")
-    formed = typed.select("*", form.alias("_form"))
+    # list look-ups are columns of their own: a lambda inside the generator would take it out of generated code
+    look_ups = {
+        i: F.when((F.col("_n") == n) & (F.col("_kind") == "list"), D.list_holds(plain, r.expected, opt))
+        for n, of_path in enumerate(by_path.values()) for i, r in of_path if r.operator == "contains"
+    }
+    formed = typed.select("*", form.alias("_form"), *[c.alias(f"_in_{i}") for i, c in look_ups.items()])
     value = V.JsonValue(F.col("_v"), F.col("_kind"), F.col("_text"), form=F.col("_form"))
     judged = F.lit(None)
     for n, of_path in enumerate(by_path.values()):
         lines = F.array(*[
             F.struct(F.lit(i).alias("rule"), F.lit(r.operator).alias("operator"), F.lit(r.expected).alias("_expected"),
-                     D.rule_holds(value, r, opt).alias("_holds"))
+                     D.rule_holds(value, r, opt, F.col(f"_in_{i}") if i in look_ups else None).alias("_holds"))
             for i, r in of_path
         ])
         judged = F.when(F.col("_n") == n, lines) if n == 0 else judged.when(F.col("_n") == n, lines)

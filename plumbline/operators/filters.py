@@ -48,9 +48,26 @@ def typed_literal(text: str, dtype: T.DataType) -> Column:
     return F.lit(text).try_cast(dtype)
 
 
-def _like(col: Column, pattern: str) -> Column:
+def _like(col: Column, value: str, before: bool, after: bool) -> Column:
+    """LIKE with the value's own % and _ as wildcards, open before and/or after.
+
+    A value with an inner % becomes a pattern of atomic groups: each part is taken at its
+    first place, which decides the match, so long texts are read once instead of being
+    tried from every position.
+    """
+    text = col.cast("string")
     # a backslash escapes only %, _ and itself; anywhere else it is dropped, as SQL text does
-    return col.cast("string").like(re.sub(r"\\(?![%_\\])", "", pattern))
+    value = re.sub(r"\\(?![%_\\])", "", value)
+    pieces = re.findall(r"(?:\\.|[^%\\])+", value)
+    if len(pieces) < 2:
+        return text.like(("%" if before else "") + value + ("%" if after else ""))
+    before, after = before or value.startswith("%"), after or bool(re.search(r"(?<!\\)(?:\\\\)*%$", value))
+    regex = [
+        "".join("." if c == "_" else re.escape(c[-1]) for c in re.findall(r"\\.|.", piece, re.S)) for piece in pieces
+    ]
+    pattern = "(?s)^" + (f"(?>.*?{regex[0]})" if before else regex[0])
+    pattern += "".join(f"(?>.*?{p})" for p in regex[1:-1])
+    return text.rlike(pattern + (f".*?{regex[-1]}" if after else f".*{regex[-1]}\\z"))
 
 
 def predicate(col: Column, dtype: T.DataType, op: str, value: str, case_insensitive: bool = False) -> Column | None:
@@ -66,11 +83,11 @@ def predicate(col: Column, dtype: T.DataType, op: str, value: str, case_insensit
     if case_insensitive and (text or op in ("contains", "starts with", "ends with")):
         col, value = F.lower(col.cast("string")), value.lower()
     if op == "contains":
-        return _like(col, f"%{value}%")
+        return _like(col, value, True, True)
     if op == "starts with":
-        return _like(col, f"{value}%")
+        return _like(col, value, False, True)
     if op == "ends with":
-        return _like(col, f"%{value}")
+        return _like(col, value, True, False)
     parts = [typed_literal(p.strip(), dtype) for p in value.split(",") if p.strip()]
     if op == "between":
         return col.between(*parts) if len(parts) == 2 else None

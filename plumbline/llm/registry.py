@@ -1,10 +1,16 @@
 """The registered queries of the operators, opN_<name>, and their SQL where SQL can express them."""
 
-from plumbline.llm import exact_dedup, fingerprints, line_dedup
+from plumbline.llm import byte_bpe, exact_dedup, fingerprints, line_dedup, ngram_join, packing, quality, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+    "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_quality": quality.op9_quality,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions import values as V
 from plumbline.functions.names import DEFAULT_POLICY, NamePolicy
 
 # What is shown, and what is recognised inside text.
 HIDDEN = "•••• hidden"
 DOT = "•"
+# Patterns of addresses, phone numbers, secrets and literals in text.
 EMAIL_VALUE = r"([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*(@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
 PHONE_RUN = r"(?<!\d)(\+?\d{2})\d{6,9}(\d{2})(?!\d)"
 SECRET_PAIR = (
@@ -50,6 +52,8 @@ def masked_column(
     if show_personal:
         return col
     phone = policy.is_personal(name)
+    if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
+        return _masked_inside(name, col, dtype, policy)
     if phone:
         col = hide_phone(_phone_text(col, dtype))
     if phone or isinstance(dtype, T.StringType):
@@ -57,6 +61,25 @@ def masked_column(
     return col
 
 
+def _masked_inside(name: str, col: Column, dtype: T.DataType, policy: NamePolicy) -> Column:
+    """Fields, elements and entries of a nested column, each by its own name; the text of a VARIANT is scrubbed."""
+    if isinstance(dtype, T.StructType):
+        inner = [masked_column(f.name, col.getField(f.name), f.dataType, False, policy).alias(f.name) for f in dtype.fields]
+        return F.when(col.isNotNull(), F.struct(*inner))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(col, lambda x: masked_column(name, x, dtype.elementType, False, policy))
+    if isinstance(dtype, T.MapType):
+        def entry(k: Column, v: Column) -> Column:
+            shown = masked_column(name, v, dtype.valueType, False, policy)
+            if isinstance(dtype.keyType, T.StringType) and isinstance(dtype.valueType, T.StringType):
+                by_name = F.when(policy.personal_flag(k), hide_phone(v)).otherwise(shown)
+                return F.when(policy.secret_flag(k), F.lit(HIDDEN)).otherwise(by_name)
+            return shown
+
+        return F.transform_values(col, entry)
+    return scrub(F.to_json(col))
+
+
 def mask(df: DataFrame, show_personal: bool = False, policy: NamePolicy = DEFAULT_POLICY) -> DataFrame:
     """The whole frame with secrets hidden and, unless asked otherwise, personal data masked."""
     return df.select(
@@ -84,6 +107,7 @@ def scrub(text: Column) -> Column:
 def scrub_sql(sql: Column, policy: NamePolicy = DEFAULT_POLICY) -> Column:
     """SQL text safe to store: literals compared with personal or secret names are dotted."""
     words = "|".join(policy.personal_parts + policy.secret_parts)
+    # fixed values: a name that holds one of the words, and an IN list behind it
     name = rf"\b[\w.`]*(?:{words})[\w`]*"
     listed = rf"(?i)({name}\s+(?:not\s+)?in\s*\()([^)]*)\)"
     dotted = f"'{DOT * 3}'"
@@ -118,7 +142,7 @@ def canonical(col: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         text = F.concat(F.lit('"'), col.cast("string"), F.lit('"'))
     else:
-        text = col.cast("string")
+        text = V.plain_text(col, dtype)
     return F.coalesce(text, F.lit("null"))
 
 

@@ -11,23 +11,33 @@ from plumbline.functions.values import strip
 
 # Integer widths, text sizes, schedules and severities.
 INT_BITS = {"tinyint": 8, "smallint": 16, "mediumint": 24, "int": 32, "integer": 32, "bigint": 64}
-TEXT_MAX = {"tinytext": 255, "text": 65535, "mediumtext": 16777215, "longtext": 4294967295}
 DUE_AFTER_SECONDS = {"hourly": 3600, "daily": 24 * 3600, "weekly": 7 * 24 * 3600, "monthly": 30 * 24 * 3600}
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 STATUSES = ["failed", "error", "outdated", "passed", "info", "not run"]
 
 
+# The classes of an identifier, tried in this order on the stripped text; anything else is text.
+_MARKS = r"[ \t\n\r\f()+-]*"
+IDENTIFIER_CLASSES = {
+    "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
+    "phone": rf"^(?:(?=\+)(?:{_MARKS}[0-9]){{10,13}}|(?:{_MARKS}[0-9]){{10}}|(?:{_MARKS}[0-9]){{12}}){_MARKS}$",
+    "number": r"^-?[0-9]+$",
+}
+
+
 def classify(value: Column) -> Column:
     """email / phone / number / text of an identifier."""
     v = F.coalesce(strip(value), F.lit(""))
-    digits = F.regexp_replace(v, r"[\s+\-()]", "")
-    phone = digits.rlike(r"^\d{10,13}$") & (v.startswith("+") | F.length(digits).isin(10, 12))
-    return (
-        F.when(v.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), "email")
-        .when(phone, "phone")
-        .when(v.rlike(r"^-?\d+$"), "number")
-        .otherwise("text")
-    )
+    kind = F.lit("text")
+    for name, pattern in reversed(IDENTIFIER_CLASSES.items()):
+        kind = F.when(v.rlike(pattern), name).otherwise(kind)
+    return kind
+
+
+def class_of(value: str | None) -> str:
+    """The same class of a search term, at plan time."""
+    v = (value or "").strip()
+    return next((name for name, pattern in IDENTIFIER_CLASSES.items() if re.search(pattern, v, re.ASCII)), "text")
 
 
 def _group(col: Column, pattern: str, i: int) -> Column:
@@ -40,7 +50,7 @@ def parse_type(type_text: Column) -> Column:
     t = F.lower(F.trim(F.coalesce(type_text, F.lit(""))))
     base = F.coalesce(_group(t, r"^([a-z]+)", 1), t)
     sized = r"^[a-z]+\((\d+)(?:,\s*(\d+))?\)"
-    first, second = _group(t, sized, 1).cast("int"), _group(t, sized, 2).cast("int")
+    first, second = _group(t, sized, 1).try_cast("bigint"), _group(t, sized, 2).try_cast("bigint")
     is_decimal = base.isin("decimal", "numeric", "float", "double")
     length = F.when(~is_decimal, first)
     choices = F.when(
@@ -161,6 +171,7 @@ def change_text(delta: Column) -> Column:
 
 def alerts(rules: Column, status: Column, rows: Column, seconds: Column, previous: Column) -> Column:
     """Texts of the alert rules (an array column) that fire."""
+    # fixed values: the two rules with a number
     more_than = r"^rows\s*>\s*(\d+)$"
     slower = r"^slower than\s*(\d+(?:\.\d+)?)\s*s(?:econds?)?$"
 
@@ -169,14 +180,14 @@ def alerts(rules: Column, status: Column, rows: Column, seconds: Column, previou
         limit = F.nullif(F.regexp_extract(r, more_than, 1), F.lit(""))
         slow = F.nullif(F.regexp_extract(r, slower, 1), F.lit(""))
         return (
-            F.when(rows > limit.cast("bigint"), F.concat(rows.cast("string"), F.lit(" rows > "), limit))
+            F.when(rows > limit.try_cast("decimal(38,0)"), F.concat(rows.cast("string"), F.lit(" rows > "), limit))
             .when(
                 (r == "rows increased") & (rows > previous),
                 F.concat(F.lit("rows increased "), previous.cast("string"), F.lit(" → "), rows.cast("string")),
             )
             .when((r == "query failed") & status.isin("error", "outdated"), F.lit("query failed"))
             .when(
-                seconds > slow.cast("double"),
+                seconds > slow.try_cast("double"),
                 F.concat(F.lit("took "), F.round(seconds, 1).cast("decimal(12,1)").cast("string"), F.lit("s > "), slow, F.lit("s")),
             )
         )

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,12 +52,33 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
+def plain_text(col: Column, dtype: T.DataType) -> Column:
+    """The text of a value, a decimal without the zeros that only its scale adds."""
+    text = col.cast("string")
+    if isinstance(dtype, T.DecimalType) and dtype.scale:
+        return F.regexp_replace(text, r"\.?0+$", "")
+    return text
+
+
+def orderable(col: Column, dtype: T.DataType) -> Column:
+    """The value, or its JSON text where its type has no order."""
+    if isinstance(dtype, T.VariantType):
+        return F.to_json(col)
+    text = dtype.simpleString()
+    return F.to_json(F.to_variant_object(col)) if "map<" in text or "variant" in text else col
+
+
 def number_text(col: Column) -> Column:
-    """Canonical digits: no trailing zeros, 9 decimals; a double only beyond 29 digits."""
+    """Canonical digits at any length: no sign of zero, no outer zeros; decimals beyond nine are rounded where the whole number
+    has at most 29 digits and kept where it has more."""
     exact = col.try_cast("decimal(38,9)").cast("string")
+    text = col.cast("string")
+    digits = F.regexp_replace(F.regexp_replace(text, r"^[+-]?0*", ""), r"\.0*$|(\.\d*?[1-9])0+$", "$1")
     return F.coalesce(
         F.regexp_replace(exact, r"\.?0+$", ""),
-        col.try_cast("double").cast("string"),
+        F.when(text.rlike(PLAIN_NUMBER), F.concat(F.when(text.startswith("-"), "-").otherwise(""), digits)),
+        col.try_cast("decimal(38,0)").cast("string"),
+        text,
     )
 
 
@@ -182,6 +203,24 @@ def key_pair(
     return normalise(a, a_type, opt), normalise(b, b_type, opt)
 
 
+def raw_key(col: Column, own: T.DataType, other: T.DataType) -> Column:
+    """A key as it can be joined with a key of type ``other``: as it is where the types compare, else in a common type, NULL where
+    the value has none (a text that is no number has no equal among numbers)."""
+    for kinds in (NUMERIC, TIMES):
+        if own == other or isinstance(own, kinds) and isinstance(other, kinds):
+            return col
+    for kinds, common in ((NUMERIC, "decimal(38,9)"), (TIMES, "timestamp"), ((T.BooleanType,), "boolean")):
+        if isinstance(own, kinds) and isinstance(other, T.StringType) or isinstance(own, T.StringType) and isinstance(other, kinds):
+            return col.try_cast(common)
+    return col.cast("string")
+
+
+def raw_keys(left: DataFrame, a: str, right: DataFrame, b: str) -> tuple[Column, Column]:
+    """``raw_key`` of both sides of a join, the frames' columns by name."""
+    own, other = left.schema[a].dataType, right.schema[b].dataType
+    return raw_key(F.col(f"`{a}`"), own, other), raw_key(F.col(f"`{b}`"), other, own)
+
+
 def comparable_pair(
     a: Column, a_type: T.DataType, b: Column, b_type: T.DataType, opt: Options = DEFAULT
 ) -> tuple[Column, Column]:
@@ -204,18 +243,24 @@ JSON_TYPES = {"OBJECT": "object", "ARRAY": "list", "STRING": "string", "BOOLEAN"
 
 def json_type(col: Column) -> Column:
     """string / number / boolean / list / object / null of a variant; NULL when absent."""
-    names = F.create_map(*[F.lit(x) for pair in JSON_TYPES.items() for x in pair])
-    head = F.regexp_extract(F.schema_of_variant(col), "^[A-Z]+", 0)
-    return F.when(col.isNotNull(), F.coalesce(F.try_element_at(names, head), F.lit("number")))
+    head = F.schema_of_variant(col)
+    kind = F.when(col.isNull(), F.lit(None).cast("string"))
+    for start, name in JSON_TYPES.items():
+        kind = kind.when(head.startswith(start), name)
+    return kind.otherwise("number")
+
+
+#: characters of a container that are shown
+SHOWN = 200
 
 
-def json_shown(v: JsonValue) -> Column:
+def json_shown(v: JsonValue, most: int = SHOWN) -> Column:
     if v.shown is not None:
         return v.shown
     return (
         F.when(v.value.isNull(), F.lit(NOT_PRESENT))
         .when(v.kind == "null", F.lit(NULL_TEXT))
-        .when(v.kind.isin("object", "list"), F.substring(F.to_json(v.value), 1, 200))
+        .when(v.kind.isin("object", "list"), F.substring(F.to_json(v.value), 1, most))
         .otherwise(v.text)
     )
 
@@ -225,9 +270,13 @@ def display(col: Column, dtype: T.DataType, absent: Column | None = None) -> Col
     if isinstance(dtype, T.VariantType):
         text = json_shown(JsonValue.of(col))
     elif isinstance(dtype, NESTED):
-        text = F.coalesce(F.substring(F.to_json(F.to_variant_object(col)), 1, 200), F.lit(NULL_TEXT))
+        text = F.coalesce(F.substring(F.to_json(F.to_variant_object(col)), 1, SHOWN), F.lit(NULL_TEXT))
     elif isinstance(dtype, T.BinaryType):
         text = F.coalesce(F.hex(col), F.lit(NULL_TEXT))
+    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+        written = col.cast("string")
+        plain = F.when(written.contains("E") & (F.abs(col) >= 1) & (F.abs(col) < 1e29), number_text(col))
+        text = F.coalesce(F.when(plain.contains("."), plain), F.concat(plain, F.lit(".0")), written, F.lit(NULL_TEXT))
     else:
         text = F.coalesce(col.cast("string"), F.lit(NULL_TEXT))
     if absent is not None:

@@ -11,8 +11,10 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import text as X
 from plumbline.sources.catalog import local_frame
@@ -25,30 +27,28 @@ CHECK_SCHEMA = (
 )
 
 
-def with_defaults(check: Mapping) -> dict:
-    """A check definition with every field filled."""
-    expect = str(check.get("expect", "empty")).strip().lower()
-    fallback = "info" if expect == "info" else "medium"
-    severity = str(check.get("severity") or fallback).lower()
-    tags = check.get("tags") or []
-    tags = tags if isinstance(tags, (list, tuple)) else str(tags).split(",")
-    return {
-        **check,
-        "title": check.get("title", check.get("id", "Untitled check")),
-        "area": check.get("area", "Other"),
-        "expect": expect,
-        "severity": severity if severity in X.SEVERITIES else fallback,
-        "tags": [str(t).strip().lower() for t in tags if str(t).strip()],
-        "owner": check.get("owner", ""),
-        "alerts": [str(a).strip().lower() for a in check.get("alerts") or []],
-        "schedule": str(check.get("schedule") or "manual").lower(),
-    }
-
-
 def checks_frame(env: Env, checks: Sequence[Mapping]) -> DataFrame:
-    names = [c.split()[0] for c in CHECK_SCHEMA.split(", ")]
-    rows = [tuple(with_defaults(c).get(n) for n in names) for c in checks]
-    return local_frame(env.spark, rows, CHECK_SCHEMA)
+    """Check definitions with every field filled: what a definition leaves out gets its default as a column expression."""
+    schema = T.StructType.fromDDL(CHECK_SCHEMA)
+    lists = {f.name for f in schema.fields if isinstance(f.dataType, T.ArrayType)}
+
+    def cell(value, name: str):
+        if value is None or name not in lists:
+            return value if value is None else str(value)
+        return [str(x) for x in (value.split(",") if isinstance(value, str) else value)]
+
+    given = local_frame(env.spark, [tuple(cell(c.get(n), n) for n in schema.names) for c in checks], CHECK_SCHEMA)
+    filled = lambda name, *otherwise: F.coalesce(F.nullif(F.trim(name), F.lit("")), *otherwise)
+    words = lambda name: F.filter(F.transform(F.coalesce(name, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    expect = F.lower(filled("expect", F.lit("empty")))
+    usual = F.when(expect == "info", "info").otherwise("medium")
+    severity = F.lower(filled("severity", usual))
+    defaults = {
+        "title": F.coalesce("title", "id", F.lit("Untitled check")), "area": F.coalesce("area", F.lit("Other")), "expect": expect,
+        "severity": F.when(severity.isin(list(X.SEVERITIES)), severity).otherwise(usual), "tags": words("tags"),
+        "owner": F.coalesce("owner", F.lit("")), "alerts": words("alerts"), "schedule": F.lower(filled("schedule", F.lit("manual"))),
+    }
+    return given.select(*[defaults.get(n, F.col(n)).alias(n) for n in schema.names])
 
 
 def filter_checks(checks: DataFrame, database: str | None = None, severities: Sequence[str] = (),
@@ -91,10 +91,27 @@ def change(rows: Column, previous: Column) -> Column:
     return rows - previous
 
 
-def changes(runs: DataFrame) -> DataFrame:
-    """Every run with the count before it and the change since."""
-    before = Window.partitionBy("connection", "check_id").orderBy("run_id")
-    out = runs.withColumn("previous_rows", F.lag("result_rows").over(before))
+#: run ids of a bucket of one check's history
+RUNS_A_BUCKET = 100_000
+
+
+def changes(runs: DataFrame, bucket: int = RUNS_A_BUCKET) -> DataFrame:
+    """Every run with the count before it and the change since.
+
+    The history of a check is looked through in buckets of run ids, so no task holds all of it; the first run of a bucket takes
+    its predecessor from the last runs of the buckets, which are few.
+    """
+    check = ["connection", "check_id"]
+    placed = runs.withColumn("_bucket", F.floor(F.col("run_id") / bucket))
+    lasts = placed.groupBy(*check, "_bucket").agg(F.max(F.struct("run_id", "result_rows"))["result_rows"].alias("_last"))
+    carried = lasts.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*check).orderBy("_bucket"))).drop("_last")
+    keys = [F.col(f"_c_{c}") for c in (*check, "_bucket")]
+    carried = carried.select(*[F.col(c).alias(f"_c_{c}") for c in (*check, "_bucket")], "_carried")
+    before = Window.partitionBy(*check, "_bucket").orderBy("run_id")
+    own = placed.withColumn("_turn", F.row_number().over(before)).withColumn("_before", F.lag("result_rows").over(before))
+    met = [F.col(c).eqNullSafe(k) for c, k in zip((*check, "_bucket"), keys)]
+    out = own.join(carried, met, "left").select(
+        *runs.columns, F.when(F.col("_turn") == 1, F.col("_carried")).otherwise(F.col("_before")).alias("previous_rows"))
     delta = change(F.col("result_rows"), F.col("previous_rows"))
     return out.withColumn("change", delta).withColumn("change_text", X.change_text(delta))
 
@@ -186,7 +203,7 @@ def slowest(table: DataFrame, n: int = 5) -> DataFrame:
 def evaluated(runs: DataFrame) -> DataFrame:
     """Runs (expect, alerts, result_rows, seconds, error, previous_rows) with status and fired alerts."""
     failed = F.col("error").isNotNull()
-    status = X.evaluate(F.col("expect"), F.col("result_rows"), failed, F.lit(False))
+    status = X.evaluate(F.col("expect"), F.col("result_rows"), failed, F.coalesce(F.col("error").startswith(OUTDATED), F.lit(False)))
     out = runs.withColumn("status", status)
     return out.withColumn(
         "fired", X.alerts(F.col("alerts"), F.col("status"), F.col("result_rows"), F.col("seconds"), F.col("previous_rows"))
@@ -194,12 +211,19 @@ def evaluated(runs: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- batches
-def _run_one(env: Env, check: Mapping, cap: int | None) -> tuple[int | None, float, str | None]:
+#: how the error of a check begins that names a column that is not there any more
+OUTDATED = "no longer there"
+
+
+def _run_one(env: Env, session: SparkSession, check: Mapping, cap: int | None) -> tuple[int | None, float, str | None]:
     started = time.monotonic()
     try:
         run: Callable[[Env], DataFrame] | None = check.get("run")
-        df = run(env) if run else env.spark.sql(check["sql"])
+        df = run(env) if run else session.sql(check["sql"])
         rows, error = (df if cap is None else df.limit(cap + 1)).count(), None
+    except AnalysisException as e:
+        kind = OUTDATED if (e.getCondition() or "").startswith("UNRESOLVED_COLUMN") else type(e).__name__
+        rows, error = None, f"{kind}: {str(e).splitlines()[0]}"
     except Exception as e:  # a failing check is a result; it never stops the batch
         rows, error = None, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
     return rows, round(time.monotonic() - started, 2), error
@@ -213,11 +237,8 @@ def run_checks(env: Env, checks: Sequence[Mapping], history: DataFrame | None =
     the cluster.  Append the result to the history with ``stores.append_runs``.
     """
     connection = connection or env.name
-    checks = [with_defaults(c) for c in checks]
-    for table in env.tables:
-        env.table(table).createOrReplaceTempView(table)
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        outcomes = list(pool.map(lambda c: _run_one(env, c, cap), checks))
+    with env.as_views() as session, ThreadPoolExecutor(max_workers=workers) as pool:
+        outcomes = list(pool.map(lambda c: _run_one(env, session, c, cap), checks))
     moment = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     first_id = int(moment.timestamp() * 1_000_000)
     rows = [

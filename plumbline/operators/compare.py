@@ -50,7 +50,10 @@ def _matched(source: DataFrame, target: DataFrame, spec: Mapping, opt: V.Options
         sk.alias("_sk"), *[_c(c).alias(f"s_{i}") for i, c in enumerate(scols)]
     )
     # first target row = smallest in column order; a total order, so the same on every run
-    first = F.min(F.struct(*[_c(c).alias(f"t_{i}") for i, c in enumerate(tcols)])).alias("_first")
+    row = F.struct(*[_c(c).alias(f"t_{i}") for i, c in enumerate(tcols)])
+    order = F.struct(*[V.orderable(_c(c), ttypes[c]) for c in tcols])
+    plain = all(V.orderable(_c(c), ttypes[c])._jc.toString() == _c(c)._jc.toString() for c in tcols)
+    first = (F.min(row) if plain else F.min_by(row, order)).alias("_first")
     right = (
         target.filter(tk.isNotNull()).groupBy(tk.alias("_tk")).agg(first, F.count(F.lit(1)).alias("_copies"))
     )
@@ -121,6 +124,12 @@ def compare_summary(env_a: Env, env_b: Env, spec: Mapping, opt: V.Options = V.DE
     )
 
 
+def full_summary(env_a: Env, env_b: Env, spec: Mapping, opt: V.Options = V.DEFAULT, sample_newest: int | None = None) -> DataFrame:
+    """``compare_summary`` with missing_in_source: a scalar subquery over the target keys without a source row."""
+    missing = missing_in_source(env_a, env_b, spec).agg(F.count(F.lit(1)).alias("n"))
+    return compare_summary(env_a, env_b, spec, opt, sample_newest).withColumn("missing_in_source", missing.scalar())
+
+
 def missing_in_source(env_a: Env, env_b: Env, spec: Mapping, reverse_uses_filters: bool = False,
                       limit: int | None = None) -> DataFrame:
     """Target keys (one line per target row) without a source row; source filters do not apply by default."""
@@ -130,11 +139,9 @@ def missing_in_source(env_a: Env, env_b: Env, spec: Mapping, reverse_uses_filter
         source = apply_filters(source, src.get("filters"))
     target = apply_filters(env_b.table(tgt["table"]), tgt.get("filters"))
     keys = source.select(_c(src["key"]).alias("_key")).distinct()
-    out = (
-        target.select(_c(tgt["key"]).alias("target_key"))
-        .filter(F.col("target_key").isNotNull())
-        .join(keys, F.col("target_key") == F.col("_key"), "left_anti")
-    )
+    wanted = target.select(_c(tgt["key"]).alias("target_key")).filter(F.col("target_key").isNotNull())
+    own, other = V.raw_keys(wanted, "target_key", keys, "_key")
+    out = wanted.join(keys, own == other, "left_anti")
     return out.orderBy(F.desc("target_key")).limit(limit) if limit is not None else out
 
 
@@ -154,7 +161,7 @@ def mask_compared(details: DataFrame, show_personal: bool = False, policy: NameP
 
 
 def suggest_fields(columns: DataFrame, source: str, target: str, skip: Sequence[str] = (),
-                   policy: NamePolicy = DEFAULT_POLICY, limit: int | None = 15) -> DataFrame:
+                   policy: NamePolicy = DEFAULT_POLICY, limit: int | None = None) -> DataFrame:
     """Columns of the same name on both sides, in source order, without keys and bookkeeping columns."""
     ignored = list(dict.fromkeys([*skip, "id", "created", "updated", "created_at", "updated_at"]))
     safe = columns.filter(~policy.secret_flag(F.col("col")) & ~F.col("col").isin(ignored))
@@ -181,10 +188,11 @@ def _per_key(a: DataFrame, b: DataFrame, key: str, shared: Sequence[str]) -> Dat
     """
 
     def side(df: DataFrame, is_a: bool) -> DataFrame:
-        cells = F.struct(*[_c(c).cast("string").alias(f"v_{i}") for i, c in enumerate(shared)])
+        types = {f.name: f.dataType for f in df.schema.fields}
+        cells = F.struct(*[V.plain_text(_c(c), types[c]).alias(f"v_{i}") for i, c in enumerate(shared)])
         none = F.lit(None).cast("struct<" + ",".join(f"v_{i}:string" for i in range(len(shared))) + ">")
         return df.select(
-            _c(key).cast("string").alias("_key"),
+            V.plain_text(_c(key), types[key]).alias("_key"),
             (cells if is_a else none).alias("_a"),
             (none if is_a else cells).alias("_b"),
         )
@@ -235,8 +243,8 @@ def compare_results(a: DataFrame, b: DataFrame, key: str, ignore: Sequence[str]
     )
 
     def only(mine: DataFrame, other: DataFrame) -> DataFrame:
-        keys = other.select(_c(key).cast("string").alias("_key")).distinct()
-        rows = mine.join(keys, _c(key).cast("string").eqNullSafe(F.col("_key")), "left_anti")
+        keys = other.select(V.plain_text(_c(key), other.schema[key].dataType).alias("_key")).distinct()
+        rows = mine.join(keys, V.plain_text(_c(key), mine.schema[key].dataType).eqNullSafe(F.col("_key")), "left_anti")
         return P.mask(rows, show_personal, policy)
 
     return ResultComparison(summary, only(a, b), only(b, a), different)

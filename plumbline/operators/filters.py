@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions import values as V
 from plumbline.functions.values import INTEGRAL, NUMERIC
 from plumbline.sources.environment import Env
 
@@ -129,7 +130,12 @@ def apply_filters(df: DataFrame, filters: Sequence[Mapping] | None, case_insensi
 
 def newest(df: DataFrame, pk: str, n: int) -> DataFrame:
     """The n rows with the highest key."""
-    return df.orderBy(F.desc(f"`{pk}`"), *[F.asc(f"`{c}`") for c in df.columns if c != pk]).limit(n)
+    return df.orderBy(F.desc(f"`{pk}`"), *in_order(df, pk)).limit(n)
+
+
+def in_order(df: DataFrame, *but: str) -> list[Column]:
+    """All columns but some as ascending sort keys, so that ties come out in one order."""
+    return [V.orderable(F.col(f"`{f.name}`"), f.dataType).asc() for f in df.schema.fields if f.name not in but]
 
 
 def browse(
@@ -147,7 +153,7 @@ def browse(
     wanted = env.policy.safe(wanted)
     if sort in df.columns:
         order = F.desc(f"`{sort}`") if descending else F.asc(f"`{sort}`")
-        df = df.orderBy(order, *[F.asc(f"`{c}`") for c in wanted if c != sort])
+        df = df.orderBy(order, *in_order(df.select(*[f"`{c}`" for c in wanted]), sort))
     df = df.select(*[f"`{c}`" for c in wanted])
     return df.limit(limit) if limit is not None else df
 
@@ -179,16 +185,17 @@ def template_query(env: Env, sql: str, identifiers: Mapping[str, str], values: M
     missing = sorted(asked - set(identifiers) - set(values or {}))
     if missing:
         raise ValueError(f"no value for {', '.join(missing)}")
-    args = dict(values or {})
+    args, needed = dict(values or {}), []
     for name, target in identifiers.items():
         if name in column_of:
             table = identifiers[column_of[name]]
             if target not in env.table(table).columns:
                 raise ValueError(f"{table} has no column {target!r}")
         else:
-            env.table(target).createOrReplaceTempView(target)
+            needed.append(target)
         args[name] = target
-    return env.spark.sql(sql, args=args)
+    with env.as_views(needed) as session:
+        return session.sql(sql, args=args)
 
 
 def unique_names(df: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plumbline.functions import values as V
 from plumbline.sources.catalog import as_catalog, local_frame, union_all
 from plumbline.sources.environment import Env, Link
 
@@ -69,14 +71,23 @@ def discover_links(columns: DataFrame, declared: DataFrame | None = None,
 
 def verify_link(env: Env, link: Link) -> DataFrame:
     """How well the data honours one link; both sides are counted per key before they meet."""
+    own, other = env.table(link.table).schema[link.column].dataType, env.table(link.ref_table).schema[link.ref_column].dataType
     child = (
         env.table(link.table).groupBy(_c(link.column).alias("_k")).agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("_ck", V.raw_key(F.col("_k"), own, other))
     )
     parent = (
         env.table(link.ref_table).filter(_c(link.ref_column).isNotNull())
         .groupBy(_c(link.ref_column).alias("_p")).agg(F.count(F.lit(1)).alias("m"))
+        .withColumn("_cp", V.raw_key(F.col("_p"), other, own))
     )
-    joined = child.join(parent, F.col("_k") == F.col("_p"), "full_outer")
+    if own != other and T.StringType() in (own, other):
+        # several spellings of one key are one key; a text that is no key at all stays by itself
+        child = child.groupBy("_ck", F.when(F.col("_ck").isNull(), F.col("_k").cast("string")).alias("_k0")).agg(
+            F.sum("n").alias("n"), F.first(F.col("_k").cast("string")).alias("_k"))
+        parent = parent.groupBy("_cp", F.when(F.col("_cp").isNull(), F.col("_p").cast("string")).alias("_p0")).agg(
+            F.sum("m").alias("m"), F.first(F.col("_p").cast("string")).alias("_p"))
+    joined = child.join(parent, F.col("_ck") == F.col("_cp"), "full_outer")
     has_key, matched = F.col("_k").isNotNull(), F.col("_p").isNotNull()
 
     def rows(cond: Column) -> Column:
@@ -134,7 +145,7 @@ def _walks(edges: DataFrame, start: str, rounds: int) -> list[DataFrame]:
 
 
 def neighbourhood(links: DataFrame, table: str, depth: int = 1, include_guesses: bool = True,
-                  max_tables: int | None = 40) -> DataFrame:
+                  max_tables: int | None = None) -> DataFrame:
     """Tables within ``depth`` links of a table, in either direction, with their distance."""
     walks = _walks(_edges(links, include_guesses), table, depth)
     reached = union_all([w.select("tbl", F.lit(d).alias("distance")) for d, w in enumerate(walks)])
@@ -150,7 +161,7 @@ def join_path(links: DataFrame, start: str, goal: str, include_guesses: bool = T
     return shortest.select(F.posexplode("p.path").alias("step", "h")).select((F.col("step") + 1).alias("step"), "h.*")
 
 
-def join_along(env: Env, start: str, path: Sequence[tuple[str, str, str, str]], columns_per_table: int | None = 6,
+def join_along(env: Env, start: str, path: Sequence[tuple[str, str, str, str]], columns_per_table: int | None = None,
                where: Column | None = None) -> DataFrame:
     """Inner joins along (from table, from column, to table, to column) steps; columns are named table__column.
 
@@ -172,11 +183,13 @@ def join_along(env: Env, start: str, path: Sequence[tuple[str, str, str, str]],
 
     out = prefixed(start)
     for a, ac, b, bc in path:
-        out = out.join(prefixed(b), _c(f"{a}__{ac}") == _c(f"{b}__{bc}"), "inner")
+        right = prefixed(b)
+        own, other = V.raw_keys(out, f"{a}__{ac}", right, f"{b}__{bc}")
+        out = out.join(right, own == other, "inner")
     return out
 
 
-def linked_join(env: Env, table: str, link: Link, columns: int = 12, where: Column | None = None) -> DataFrame:
+def linked_join(env: Env, table: str, link: Link, columns: int | None = None, where: Column | None = None) -> DataFrame:
     """Rows of a table with the rows of one linked table, columns named table.column."""
     own_col, other, other_col = (
         (link.column, link.ref_table, link.ref_column) if link.table == table else (link.ref_column, link.table, link.column)
@@ -188,8 +201,9 @@ def linked_join(env: Env, table: str, link: Link, columns: int = 12, where: Colu
     def side(df: DataFrame, name: str, key: str, tag: str) -> DataFrame:
         return df.select(_c(key).alias(tag), *[_c(c).alias(f"{name}.{c}") for c in df.columns[:columns]])
 
-    joined = side(left, table, own_col, "_l").join(side(right, other, other_col, "_r"), F.col("_l") == F.col("_r"))
-    return joined.drop("_l", "_r")
+    a, b = side(left, table, own_col, "_l"), side(right, other, other_col, "_r")
+    own, there = V.raw_keys(a, "_l", b, "_r")
+    return a.join(b, own == there).drop("_l", "_r")
 
 
 def _present(col: Column) -> Column:
@@ -201,8 +215,8 @@ def _present(col: Column) -> Column:
 def linked_counts(env: Env, table: str, records: DataFrame, key: str, cap: int | None = None) -> DataFrame:
     """For a set of records: per link the matching rows on the other side, zeros included.
 
-    The other side is counted per value first, so a value in a third of its rows is one row
-    when it meets the records.
+    The other side is reduced to the values asked for and counted per value, so a value in a third of its rows
+    is one row when it meets the records.
     """
     out = []
     for link in [k for k in env.links if table in (k.table, k.ref_table)]:
@@ -211,13 +225,17 @@ def linked_counts(env: Env, table: str, records: DataFrame, key: str, cap: int |
             (link.column, link.ref_table, link.ref_column) if outgoing else (link.ref_column, link.table, link.column)
         )
         values = records.filter(_present(_c(own))).select(_c(key).cast("string").alias("key"), _c(own).alias("_v"))
+        rows, own_type = env.table(other), records.schema[own].dataType
+        wanted = values.select(V.raw_key(F.col("_v"), own_type, rows.schema[other_col].dataType).alias("_w")).distinct()
+        # only the values asked for are counted
         counts = (
-            env.table(other).filter(_c(other_col).isNotNull()).groupBy(_c(other_col).alias("_o"))
-            .agg(F.count(F.lit(1)).alias("matches"))
+            rows.select(V.raw_key(_c(other_col), rows.schema[other_col].dataType, own_type).alias("_o")).join(wanted, F.col("_o") == F.col("_w"), "left_semi")
+            .groupBy("_o").agg(F.count(F.lit(1)).alias("matches"))
         )
+        met = V.raw_key(F.col("_v"), own_type, rows.schema[other_col].dataType)
         matches = F.coalesce("matches", F.lit(0))
         out.append(
-            values.join(counts, F.col("_v") == F.col("_o"), "left").select(
+            values.join(counts, met == F.col("_o"), "left").select(
                 "key", F.lit("points to" if outgoing else "referenced by").alias("direction"),
                 F.lit(other).alias("tbl"), F.lit(other_col).alias("col"), F.lit(own).alias("this_column"),
                 F.col("_v").cast("string").alias("value"), F.lit(link.how).alias("how"),

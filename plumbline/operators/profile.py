@@ -64,10 +64,14 @@ def group_counts(df: DataFrame, columns: Sequence[str], filters=None, limit: int
     return out.orderBy(F.desc("rows"), *[F.asc(f"`{c}`") for c in columns]).limit(limit)
 
 
-def status_breakdown(df: DataFrame, column: str, limit: int = 100) -> DataFrame:
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
+
+
+def status_breakdown(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     """Rows per value, NULL included."""
     counts = df.groupBy(_c(column).alias("value")).agg(F.count(F.lit(1)).alias("row_count"))
-    return counts.orderBy(F.desc("row_count"), F.asc("value")).limit(limit)
+    return _first(counts.orderBy(F.desc("row_count"), F.asc("value")), limit)
 
 
 def _copies(df: DataFrame, columns: Sequence[str], long_values: bool = False) -> DataFrame:
@@ -91,9 +95,9 @@ def duplicates(df: DataFrame, columns: Sequence[str], long_values: bool = False)
     )
 
 
-def most_repeated(df: DataFrame, columns: Sequence[str], limit: int = 50, long_values: bool = False) -> DataFrame:
+def most_repeated(df: DataFrame, columns: Sequence[str], limit: int | None = None, long_values: bool = False) -> DataFrame:
     out = _copies(df, columns, long_values)
-    return out.orderBy(F.desc("copies"), *[F.asc(f"`{c}`") for c in columns]).limit(limit)
+    return _first(out.orderBy(F.desc("copies"), *[F.asc(f"`{c}`") for c in columns]), limit)
 
 
 def missing_values(df: DataFrame, column: str) -> DataFrame:
@@ -175,10 +179,10 @@ def profile(
     return out.join(distinct, "column", "left").select(*out.columns, "distinct")
 
 
-def examples_per_value(df: DataFrame, column: str, pk: str, limit: int = 50) -> DataFrame:
+def examples_per_value(df: DataFrame, column: str, pk: str, limit: int | None = None) -> DataFrame:
     """Every value with its rows and the highest key as an example."""
     out = df.groupBy(_c(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"), F.max(_c(pk)).alias("example"))
-    return out.orderBy(F.desc("rows"), F.asc("value")).limit(limit)
+    return _first(out.orderBy(F.desc("rows"), F.asc("value")), limit)
 
 
 # A column whose estimated distinct count is below this share of the rows cannot be unique: the

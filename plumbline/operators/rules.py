@@ -10,7 +10,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plumbline.functions import values as V
 from plumbline.operators.filters import apply_filters, newest
 from plumbline.sources.environment import Env
 
@@ -33,22 +35,30 @@ def _source(env: Env, spec: Mapping) -> DataFrame:
     return df
 
 
-def _target_keys(env: Env, spec: Mapping) -> DataFrame:
+def _target_keys(env: Env, spec: Mapping, source: T.DataType) -> DataFrame:
+    """Distinct target keys in the type in which they meet a source key."""
     tgt = spec["target"]
-    keys = apply_filters(env.table(tgt["table"]), tgt.get("filters")).select(_c(tgt["key"]).alias("_key"))
+    rows = apply_filters(env.table(tgt["table"]), tgt.get("filters"))
+    keys = rows.select(V.raw_key(_c(tgt["key"]), rows.schema[tgt["key"]].dataType, source).alias("_key"))
     return keys.filter(F.col("_key").isNotNull()).distinct()
 
 
+def _met(rows: DataFrame, column: str, env: Env, spec: Mapping) -> Column:
+    """A source key in the type in which it meets the target's; NULL where that type cannot hold it."""
+    tgt = spec["target"]
+    return V.raw_key(_c(column), rows.schema[column].dataType, env.table(tgt["table"]).schema[tgt["key"]].dataType)
+
+
 def rule_failures(env: Env, spec: Mapping, limit: int | None = None) -> DataFrame:
     """Source rows that break the rule: without a target row, or with one when it must not exist."""
     src = spec["source"]
     rows = _source(env, spec)
     rows = rows.select(*[_c(c) for c in env.policy.safe(rows.columns)])
-    keys = _target_keys(env, spec)
+    keys = _target_keys(env, spec, rows.schema[src["key"]].dataType)
     must_have = spec.get("expect", MUST_HAVE) != MUST_NOT_HAVE
     keyed = rows.filter(_c(src["key"]).isNotNull())
     how = "left_anti" if must_have else "left_semi"
-    out = keyed.join(keys, _c(src["key"]) == F.col("_key"), how)
+    out = keyed.join(keys, _met(keyed, src["key"], env, spec) == F.col("_key"), how)
     if must_have and not spec.get("skip_empty_keys", True):
         # a NULL key has no target: it fails as it stands
         out = out.unionByName(rows.filter(_c(src["key"]).isNull()))
@@ -58,8 +68,9 @@ def rule_failures(env: Env, spec: Mapping, limit: int | None = None) -> DataFram
 def rule_verdict(env: Env, spec: Mapping) -> DataFrame:
     """checked, failed, passed, pass_rate: rows are counted per key on both sides, then joined."""
     key = spec["source"]["key"]
-    counts = _source(env, spec).groupBy(_c(key).alias("_source_key")).agg(F.count(F.lit(1)).alias("n"))
-    keys = _target_keys(env, spec)
+    rows = _source(env, spec)
+    counts = rows.groupBy(_met(rows, key, env, spec).alias("_source_key")).agg(F.count(F.lit(1)).alias("n"))
+    keys = _target_keys(env, spec, rows.schema[key].dataType)
     joined = counts.join(keys, F.col("_source_key") == F.col("_key"), "left")
     exists = F.col("_key").isNotNull()
     bad = ~exists if spec.get("expect", MUST_HAVE) != MUST_NOT_HAVE else exists
@@ -82,7 +93,8 @@ def orphan_counts(child: DataFrame, child_column: str, parent: DataFrame, parent
         .agg(F.count(F.lit(1)).alias("child_rows"))
     )
     parents = parent.select(_c(parent_column).alias("_key")).distinct()
-    return counts.join(parents, F.col("missing_parent_value") == F.col("_key"), "left_anti")
+    own, other = V.raw_keys(counts, "missing_parent_value", parents, "_key")
+    return counts.join(parents, own == other, "left_anti")
 
 
 def orphan_total(child: DataFrame, child_column: str, parent: DataFrame, parent_column: str) -> DataFrame:
@@ -90,15 +102,16 @@ def orphan_total(child: DataFrame, child_column: str, parent: DataFrame, parent_
     return missing.agg(F.coalesce(F.sum("child_rows"), F.lit(0)).alias("orphan_rows"))
 
 
-def orphan_values(child: DataFrame, child_column: str, parent: DataFrame, parent_column: str, limit: int = 100) -> DataFrame:
-    missing = orphan_counts(child, child_column, parent, parent_column)
-    return missing.orderBy(F.desc("child_rows"), F.asc("missing_parent_value")).limit(limit)
+def orphan_values(child: DataFrame, child_column: str, parent: DataFrame, parent_column: str, limit: int | None = None) -> DataFrame:
+    missing = orphan_counts(child, child_column, parent, parent_column).orderBy(F.desc("child_rows"), F.asc("missing_parent_value"))
+    return missing if limit is None else missing.limit(limit)
 
 
 def orphan_rows(child: DataFrame, child_column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """The child rows themselves."""
     parents = parent.select(_c(parent_column).alias("_key")).distinct()
-    return child.filter(_c(child_column).isNotNull()).join(parents, _c(child_column) == F.col("_key"), "left_anti")
+    own, other = V.raw_keys(child, child_column, parents, "_key")
+    return child.filter(_c(child_column).isNotNull()).join(parents, own == other, "left_anti")
 
 
 def as_check(spec: Mapping, name: str, limit: int | None = None) -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import privacy as P
+from plumbline.functions import values as V
 from plumbline.functions.names import DEFAULT_POLICY, NamePolicy
 
 DASH = "—"
@@ -24,14 +25,14 @@ def snapshot(df: DataFrame, key_column: str, secret: bytes, policy: NamePolicy =
     types = {f.name: f.dataType for f in df.schema.fields}
 
     def text(c: str) -> Column:
-        shown = P.masked_column(c, _c(c), types[c], policy=policy).cast("string")
+        shown = V.plain_text(P.masked_column(c, _c(c), types[c], policy=policy), types[c])
         return F.coalesce(shown, F.lit(NULL_TEXT))
 
     fields = [x for c in df.columns for x in (F.lit(c), text(c))]
     digests = [
         x for c in policy.safe(df.columns) for x in (F.lit(c), P.fingerprint(_c(c), types[c], secret, digest_len))
     ]
-    key = _c(key_column).cast("string")
+    key = V.plain_text(_c(key_column), types[key_column])
     key_digest = F.substring(P.hmac_sha256(F.concat(F.lit('"'), key, F.lit('"')), secret), 1, digest_len)
     return df.filter(_c(key_column).isNotNull()).select(
         F.coalesce(P.masked_column(key_column, _c(key_column), types[key_column], policy=policy).cast("string"),

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import names as N
 from plumbline.functions import values as V
+from plumbline.operators.filters import in_order
 from plumbline.sources.catalog import union_all
 from plumbline.sources.environment import Env, Link
 
@@ -83,8 +84,9 @@ def linked_timeline(env: Env, table: str, records: DataFrame, key: str, links: S
         keys = records.filter(_c(own).isNotNull()).select(_c(key).cast("string").alias("record"), _c(own).alias("_v")).distinct()
         rows = env.safe_table(other)
         events = events_of(rows, other, (env.keys.get(other, rows.columns[0]),), keep=(other_col,))
+        there, here = V.raw_keys(events, other_col, keys, "_v")
         parts.append(
-            events.join(keys, _c(other_col) == F.col("_v")).select("record", "time", "table", "row", "column", "event", "status")
+            events.join(keys, there == here).select("record", "time", "table", "row", "column", "event", "status")
         )
     return union_all(parts)
 
@@ -110,7 +112,7 @@ def neighbours(df: DataFrame, column: str, value: Column, order_column: str, n:
     matching = df.filter(_c(column) == value)
     low = matching.agg(F.min(_c(order_column)).alias("low")).scalar()
     high = matching.agg(F.max(_c(order_column)).alias("high")).scalar()
-    rest = [F.asc(f"`{c}`") for c in df.columns if c != order_column]
+    rest = in_order(df, order_column)
     # the bounds are scalar subqueries, known before the scans start
     before = df.filter(_c(order_column) < low).orderBy(F.desc(f"`{order_column}`"), *rest).limit(n)
     after = df.filter(_c(order_column) > high).orderBy(F.asc(f"`{order_column}`"), *rest).limit(n)

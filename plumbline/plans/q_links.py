@@ -184,7 +184,7 @@ def table_search(env):
 @query(" UNION ALL ".join(f"SELECT '{t}' AS tbl, '{c}' AS col, count(*) - count({c}) AS nulls FROM {t}"
                           for t, cs in star.TABLES.items() for c in cs if "key" in c))
 def column_search(env):
-    return S.find_columns(C.column_nulls(env), "KEY").select("tbl", "col", "nulls")
+    return S.find_columns(C.column_nulls(env, lambda name, _: "key" in name.lower()), "KEY").select("tbl", "col", "nulls")
 
 
 def _assets(env):
@@ -210,14 +210,14 @@ _ASSETS = f"""(SELECT 'Table' AS kind, name AS title, '' AS detail FROM {_TABLE_
       WHEN regexp_matches(d, '(^|[^a-z0-9])part') THEN 20.0 WHEN contains(d, 'part') THEN 10.0 ELSE 0.0 END) AS score
     FROM (SELECT *, lower(title) AS t, lower(detail) AS d FROM {_ASSETS} a)) WHERE score > 0) WHERE place <= 25""")
 def asset_search(env):
-    return S.search_assets(_assets(env), "part", ["title", "detail"]).select("kind", "title", "detail", "score", "place")
+    return S.search_assets(_assets(env), "part", ["title", "detail"], 25).select("kind", "title", "detail", "score", "place")
 
 
 @query(rf"""SELECT kind, title, detail, score FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, title, detail) AS place FROM (
     SELECT kind, title, detail, least({', '.join(f"greatest(CASE WHEN t = '{w}' THEN 100.0 WHEN t LIKE '{w}%' THEN 60.0 WHEN regexp_matches(t, '(^|[^a-z0-9]){w}') THEN 40.0 WHEN contains(t, '{w}') THEN 20.0 ELSE 0.0 END, CASE WHEN d = '{w}' THEN 50.0 WHEN d LIKE '{w}%' THEN 30.0 WHEN regexp_matches(d, '(^|[^a-z0-9]){w}') THEN 20.0 WHEN contains(d, '{w}') THEN 10.0 ELSE 0.0 END)" for w in ('red', 'ring'))}) AS score
     FROM (SELECT *, lower(title) AS t, lower(detail) AS d FROM {_ASSETS} a)) WHERE score > 0) WHERE place <= 25""")
 def asset_search_words(env):
-    return S.search_assets(_assets(env), "red ring", ["title", "detail"]).select("kind", "title", "detail", "score")
+    return S.search_assets(_assets(env), "red ring", ["title", "detail"], 25).select("kind", "title", "detail", "score")
 
 
 # ---------------------------------------------------------------- health
@@ -300,7 +300,7 @@ def empty_tables(env):
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS tbl, '{c}' AS col, count({c}) AS filled FROM {t}" for t, c in [("orders", "o_orderdate"), ("lineitem", "l_shipdate"), ("events", "ts")]))
 def time_columns(env):
-    measured = C.column_nulls(env)
+    measured = C.column_nulls(env, TL.is_time_column)
     found = measured.filter(TL.time_column_flag(F.col("col"), F.col("type")))
     return found.select("tbl", "col", (F.col("rows") - F.col("nulls")).alias("filled"))
 
@@ -314,9 +314,8 @@ def time_columns(env):
         ('supplier', 's_name', (SELECT count(*) FROM supplier)), ('part', 'p_name', (SELECT count(*) FROM part))) v(t, c, n)
     UNION ALL SELECT 'pages', 'url', 2, 'Format', unnest(['No scheme', 'javascript: link', 'Very long URL']), (SELECT count(*) FROM pages))""")
 def columns_by_name_rule(env):
-    measured = C.column_nulls(env).select("tbl", "col", (F.col("rows") - F.col("nulls")).alias("filled"))
-    ruled = EC.columns_by_rule(measured.select("tbl", "col"))
-    return ruled.join(measured, ["tbl", "col"])
+    measured = C.column_nulls(env, lambda name, _: EC.has_rule(name)).select("tbl", "col", (F.col("rows") - F.col("nulls")).alias("filled"))
+    return EC.columns_by_rule(measured).drop("rows")
 
 
 @query("SELECT tables, count(*) AS columns FROM (SELECT col, count(DISTINCT tbl) AS tables FROM (" + " UNION ALL ".join(

@@ -102,13 +102,13 @@ def limit_truncated(env):
 @query("""SELECT o_custkey, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total
           FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 1000 GROUP BY o_custkey""")
 def named_values(env):
-    env.table("orders").createOrReplaceTempView("orders")
-    return FL.named_query(
-        env.spark,
-        "SELECT o_custkey, count(*) AS orders, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM orders "
-        "WHERE o_orderstatus = :status AND o_totalprice >= :low GROUP BY o_custkey",
-        {"status": "F", "low": 1000},
-    )
+    with env.as_views(["orders"]) as session:
+        return FL.named_query(
+            session,
+            "SELECT o_custkey, count(*) AS orders, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM orders "
+            "WHERE o_orderstatus = :status AND o_totalprice >= :low GROUP BY o_custkey",
+            {"status": "F", "low": 1000},
+        )
 
 
 @query("SELECT l_returnflag AS value, count(*) AS rows FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag")
@@ -143,7 +143,7 @@ def group_top(env):
 @query(f"""SELECT o_orderpriority AS value, count(*) AS row_count FROM {star.ORDERS_B} b GROUP BY 1
            ORDER BY row_count DESC, value NULLS FIRST LIMIT 100""")
 def status_breakdown(env):
-    return PF.status_breakdown(star.orders_b(env), "o_orderpriority")
+    return PF.status_breakdown(star.orders_b(env), "o_orderpriority", 100)
 
 
 @query(f"""SELECT count(*) AS total_rows,
@@ -168,7 +168,7 @@ def duplicate_texts(env):
 @query("""SELECT p_name, count(*) AS copies FROM part WHERE p_name IS NOT NULL GROUP BY p_name HAVING count(*) > 1
           ORDER BY copies DESC, p_name LIMIT 50""")
 def most_repeated_values(env):
-    return PF.most_repeated(env.table("part"), ["p_name"])
+    return PF.most_repeated(env.table("part"), ["p_name"], 50)
 
 
 @query("SELECT event_type, user_id, count(*) AS rows FROM events GROUP BY ALL")
@@ -261,7 +261,7 @@ def key_candidates_events(env):
 @query("""SELECT event_type AS value, count(*) AS rows, max(event_id) AS example FROM events GROUP BY event_type
           ORDER BY rows DESC, value LIMIT 50""")
 def examples_per_value(env):
-    return PF.examples_per_value(env.table("events"), "event_type", "event_id")
+    return PF.examples_per_value(env.table("events"), "event_type", "event_id", 50)
 
 
 _PII = "SELECT count(*) AS rows, '{c}' AS \"column\", '{named}' AS named, {cells} FROM {src} t"

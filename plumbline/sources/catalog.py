@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -83,23 +83,27 @@ def table_counts(env: Env) -> DataFrame:
     )
 
 
-def column_nulls(env: Env) -> DataFrame:
-    """Rows and NULLs of every column: one pass per table."""
+def column_nulls(env: Env, wanted: Callable[[str, T.DataType], bool] | None = None) -> DataFrame:
+    """Rows and NULLs of every column, or of those ``wanted`` by name and type: one pass per table over these columns only."""
 
-    def one(table: str) -> DataFrame:
+    def one(table: str) -> DataFrame | None:
         df = env.table(table)
+        chosen = [(i, c) for i, c in enumerate(df.columns) if wanted is None or wanted(c, df.schema[c].dataType)]
+        if not chosen:
+            return None
         aggs = [F.count(F.lit(1)).alias("rows")]
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)]
+        aggs += [F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in chosen]
         entries = [
             F.struct(
                 F.lit(c).alias("col"), F.lit(i + 1).alias("pos"), F.lit(type_name(df.schema[c].dataType)).alias("type"),
                 (F.col("rows") - F.col(f"n{i}")).alias("nulls"),
             )
-            for i, c in enumerate(df.columns)
+            for i, c in chosen
         ]
         return df.agg(*aggs).select(F.lit(table).alias("tbl"), "rows", F.inline(F.array(*entries)))
 
-    return union_all([one(t) for t in env.tables])
+    found = [x for x in map(one, env.tables) if x is not None]
+    return union_all(found) if found else local_frame(env.spark, [], "tbl string, rows bigint, col string, pos int, type string, nulls bigint")
 
 
 def files_changed(env: Env) -> DataFrame:

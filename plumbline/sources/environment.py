@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,23 @@ class Env:
         df = self.table(name)
         return df.select(*[f"`{c}`" for c in self.policy.safe(df.columns)])
 
+    @contextmanager
+    def as_views(self, tables: Iterable[str] | None = None) -> Iterator[SparkSession]:
+        """The session with tables of the environment as temporary views; views of the caller come back afterwards."""
+        named = list(self.tables if tables is None else tables)
+        temporary = {t.name.lower() for t in self.spark.catalog.listTables() if t.isTemporary}
+        held = {t: self.spark.table(f"`{t}`") for t in named if t.lower() in temporary}
+        try:
+            for t in named:
+                self.table(t).createOrReplaceTempView(f"`{t}`")
+            yield self.spark
+        finally:
+            for t in named:
+                if t in held:
+                    held[t].createOrReplaceTempView(f"`{t}`")
+                else:
+                    self.spark.catalog.dropTempView(t)
+
     def with_tables(self, name: str | None = None, drop: Iterable[str] = (), **frames: DataFrame) -> "Env":
         """The same environment with some tables replaced, added or dropped."""
         loaders = {t: f for t, f in self.loaders.items() if t not in set(drop)}

@@ -1,9 +1,14 @@
 """Which of many sets are alike, as components, without listing the pairs of a group.
 
-Candidates come as postings (key, node): two nodes that are alike share at least one key. A list is the nodes of one key. In
-each round, a list whose nodes are already in one component is done. A longer list compares its nodes with a few leaders, which
-then leave it; a shorter one compares all its nodes that are in different components. So a group of thousands of near copies costs one
-comparison for each copy, and still every pair that shares a key is either compared or connected through others.
+Candidates come as postings (key, node): two nodes that are alike share at least one key. A list is the nodes of one key.
+
+1. Every list has a leader, its smallest node, and each of its nodes is compared with it. That joins the bulk of any group of near
+   copies, with one comparison a copy.
+2. Lists whose nodes are then in one component are done. The others are gathered by the component most of their nodes are in. Any pair
+   not yet decided has a node outside that component, so only those nodes search, and they search all nodes of the group. A group
+   is cut into blocks of ``CHUNK`` nodes; a task has one block of searchers and one of searched, and each set travels once a block.
+
+So every pair that shares a key is either compared or connected through others.
 """
 
 from __future__ import annotations
@@ -11,80 +16,101 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import dropped, written
 from plumbline.llm.components import components
 
-#: nodes a leader is compared with in one task
-CHUNK = 2000
-#: nodes of a list that compares all its pairs; more take leaders, so many a round
-SMALL, LEADERS = 64, 8
+#: nodes of a block
+CHUNK = 1000
+
+#: index(rows) -> search(row) -> positions of the rows that are alike; a row is (node, n, grams)
+Index = Callable[[list[tuple]], Callable[[tuple], list[int]]]
+_LINKS = "a long, b long"
+
 
-#: links(leader's row, rows of others) -> positions of the others that are alike; rows are (node, n, grams)
-Verify = Callable[[tuple, list[tuple]], list[int]]
+def _rows(table: pa.Table, prefix: str = "") -> list[tuple]:
+    return list(zip(*(table.column(prefix + c).to_pylist() for c in ("node", "n", "grams"))))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, verify: Verify) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose sets are alike. ``sets`` has node, n, grams; the sets travel to the leader a, in chunks."""
-    sizes = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / CHUNK).alias("chunks"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
-    followers = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "n", "grams")
-    leaders = dealt.select("a", "chunk").distinct().join(sets.withColumnRenamed("node", "a"), "a").select(
-        F.col("a").alias("la"), F.col("chunk").alias("lchunk"), F.col("n").alias("ln"), F.col("grams").alias("lgrams"))
+def _links(a: list[int], b: list[int]) -> pa.Table:
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _stars(pairs: DataFrame, sets: DataFrame, index: Index) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose sets are alike; the sets of b travel to the leader a, in blocks."""
+    sizes = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / CHUNK).alias("blocks"))
+    dealt = pairs.join(sizes, "a").select("a", F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
+    followers = dealt.join(sets, "node")
+    leaders = dealt.select(F.col("a").alias("node"), F.col("block").alias("s_block")).distinct().join(sets, "node").select(
+        "s_block", *[F.col(c).alias(f"s_{c}") for c in ("node", "n", "grams")])
 
     def alike(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _links([], [])
+        leader, others = _rows(left, "s_")[0], _rows(right)
+        found = index(others)(leader)
+        return _links([leader[0]] * len(found), [others[i][0] for i in found])
+
+    return leaders.groupBy("s_node", "s_block").cogroup(followers.groupBy("a", "block")).applyInArrow(alike, _LINKS)
+
+
+def _searched(rest: DataFrame, sets: DataFrame, index: Index) -> DataFrame:
+    """Links between different components inside the open lists ``rest`` (key, node, comp); of those that join the same two
+    components in one task only one."""
+    common = rest.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
+    placed = rest.join(common, "key").select("main", "node", "comp").distinct()
+    sizes = placed.groupBy("main").agg(
+        F.ceil(F.count("*") / CHUNK).alias("blocks"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / CHUNK).alias("turns"))
+    each = placed.join(sizes, "main").withColumn("own", F.xxhash64("node")).join(sets, "node")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    searched = each.withColumn("block", F.pmod("own", "blocks")).withColumn("turn", numbers("turns"))
+    searchers = each.where("comp <> main").withColumn("s_turn", F.pmod("own", "turns")).withColumn("s_block", numbers("blocks"))
+    columns = ["node", "comp", "n", "grams"]
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
         if left.num_rows and right.num_rows:
-            one = left.slice(0, 1).to_pylist()[0]
-            others = list(zip(right.column("b").to_pylist(), right.column("n").to_pylist(), right.column("grams").to_pylist()))
-            found = verify((one["la"], one["ln"], one["lgrams"]), others)
-            a, b = [one["la"]] * len(found), [others[i][0] for i in found]
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            others = _rows(right)
+            search, comps, up = index(others), right.column("comp").to_pylist(), {}
+
+            def top(c):
+                while up.get(c, c) != c:
+                    c = up[c]
+                return c
 
-    return leaders.groupBy("la", "lchunk").cogroup(followers.groupBy("a", "chunk")).applyInArrow(alike, "a long, b long")
+            for row, comp in zip(_rows(left, "s_"), left.column("s_comp").to_pylist()):
+                for i in search(row):
+                    x, y = top(comp), top(comps[i])
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        a.append(row[0])
+                        b.append(others[i][0])
+        return _links(a, b)
 
+    left = searchers.select(F.col("main").alias("s_main"), "s_turn", "s_block", *[F.col(c).alias(f"s_{c}") for c in columns]).groupBy("s_main", "s_turn", "s_block")
+    return left.cogroup(searched.select("main", "turn", "block", *columns).groupBy("main", "turn", "block")).applyInArrow(block, _LINKS)
 
-def linked(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], verify: Verify, shortest: float = 0.75, small: int = SMALL,
-           leaders: int = LEADERS) -> DataFrame:
+
+def linked(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], index: Index, shortest: float = 0.75) -> DataFrame:
     """(node, comp) for every node with a link. ``postings``: key, node, n; ``sets_of`` gives node, n, grams (one row a node) for a
-    frame of nodes. Pairs whose n differ by more than the factor ``shortest`` are not compared."""
-    close = lambda x, y: (F.col(x) >= shortest * F.col(y)) & (F.col(y) >= shortest * F.col(x))
-    # the first round: every list has one leader, its smallest node
+    frame of nodes. Sets whose n differ by more than the factor ``shortest`` are not compared with a leader."""
     heads = postings.groupBy("key").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("na"), F.max("node").alias("last"))
     lists = written(postings.join(heads.where("a <> last").drop("last"), "key"), "lists")
     sets = sets_of(lists.select("node").distinct())
-    pairs = lists.where("node <> a").where(close("n", "na")).select("a", F.col("node").alias("b")).distinct()
-    links = written(verified(pairs, sets, verify), "alike")
+    close = (F.col("n") >= shortest * F.col("na")) & (F.col("na") >= shortest * F.col("n"))
+    pairs = lists.where("node <> a").where(close).select("a", F.col("node").alias("b")).distinct()
+    links = written(_stars(pairs, sets, index), "alike")
     comps = components(links)
-    rest = _open(lists, comps)
-    dropped(lists)
-    while not rest.isEmpty():
-        sized = rest.join(rest.groupBy("key").agg(F.count("*").alias("size")), "key")
-        few, many = sized.where(F.col("size") <= small), sized.where(F.col("size") > small)
-        left = few.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        right = few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        each = left.join(right, "key").where("a < b AND ca <> cb").where(close("na", "nb")).select("a", "b")
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        heads = many.withColumn("turn", turn).where(F.col("turn") <= leaders).select(
-            "key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        stars = many.join(heads, "key").where("node <> a AND comp <> ca").where(close("n", "na")).select(
-            F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        more = written(verified(each.unionByName(stars).distinct(), sets, verify), "alike")
-        both = written(links.unionByName(more), "alike")
-        old, comps = comps, components(both)
-        following = _open(many.join(heads.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"), comps)
-        for done in (links, more, old, rest):
-            dropped(done)
-        links, rest = both, following
-    dropped(rest)
-    dropped(links)
+    own = lists.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    several = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    rest = written(own.join(several, "key", "left_semi"), "open-lists")
+    if not rest.isEmpty():
+        more = written(_searched(rest, sets, index).unionByName(links), "alike")
+        old, comps = comps, components(more)
+        dropped(old)
+        dropped(more)
+    for done in (links, lists, rest):
+        dropped(done)
     return comps
-
-
-def _open(postings: DataFrame, comps: DataFrame) -> DataFrame:
-    """key, node, n, comp of the lists that still have nodes of different components."""
-    own = postings.select("key", "node", "n").join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    mixed = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    return written(own.join(mixed, "key", "left_semi"), "open-lists")

@@ -7,8 +7,9 @@
 2. A document keeps its shared shingles only, rarest class first. Fewer shared shingles than the required overlap T: linked with
    nothing. Otherwise it must share one of its first (shared - T + 1) shingles with each partner: these are its postings.
 3. Documents with equal sets become one node. ``linking`` picks the pairs to compare.
-4. A comparison is a T-occurrence search (DivideSkip): the nodes that came to a leader form inverted lists over the leader's
-   shingles; the short lists are merged with a heap, the long ones are only probed, by binary search, for nodes that can still reach T.
+4. A comparison is a T-occurrence search (DivideSkip): the nodes that met in a task form inverted lists by shingle; of the lists of a
+   searching node's shingles the short ones are merged with a heap, the long ones are only probed, by binary search, for nodes that
+   can still reach T.
 """
 
 from __future__ import annotations
@@ -27,80 +28,92 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import read_docs, written
 from plumbline.llm.linking import linked
-from plumbline.llm.shingles import WORDS_A_SHINGLE, WordHashes, from_bytes, pack_sorted, shingle_set, to_bytes, unpack_sorted
+from plumbline.llm.shingles import WORDS_A_SHINGLE, Hasher, buffers, from_bytes, pack_sorted, to_bytes, unpack_sorted
 
 #: similarity in percent
 PERCENT = 75
-#: characters of text in a block, hashes counted in one range
-BLOCK_CHARS, RANGE_HASHES = 16_000_000, 2_000_000
+#: bytes of text in a block, hashes counted in one range
+BLOCK_BYTES, RANGE_HASHES = 16_000_000, 2_000_000
 SETS = "doc_id long, n_shingles long, node long, required int, prefix int, shared binary"
 
 
-def overlap_needed(n: int, m: int, percent: int) -> int:
+def overlap_needed(n: int, m: int | np.ndarray, percent: int) -> int | np.ndarray:
     """Smallest overlap o of sets of n and m with 100 * o >= percent * (n + m - o)."""
     return -(-percent * (n + m) // (100 + percent))
 
 
-def divide_skip(query: np.ndarray, sets: list[np.ndarray], needed: list[int]) -> list[int]:
-    """Positions of the ``sets`` that share at least ``needed`` numbers with ``query``; all arrays sorted and distinct.
+class InvertedLists:
+    """For each number the positions of the sets that hold it. All sets sorted and distinct."""
 
-    With T the smallest number needed, the L longest lists are set aside: a set that reaches T must be in T - L of the others. Those
-    are merged with a heap; each set that comes often enough is looked up in the long lists by binary search, until it has what it
-    needs or cannot get it any more.
-    """
-    if not sets or not len(query):
-        return []
-    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.concatenate(sets) if len(owners) else np.zeros(0, query.dtype)
-    at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
-    hit = query[at] == flat
-    at, owners = at[hit], owners[hit]
-    order = np.lexsort((owners, at))
-    at, owners = at[order], owners[order]
-    ends = np.cumsum(np.bincount(at, minlength=len(query)))
-    lists = sorted((owners[e - n:e] for n, e in zip(np.bincount(at, minlength=len(query)), ends) if n), key=len)
-    least = max(1, min(needed))
-    if not lists or len(lists) < least:
-        return []
-    long = min(least - 1, int(least / (0.01 * math.log2(max(2, len(lists[-1]))) + 1)))
-    short, aside = lists[:len(lists) - long], lists[len(lists) - long:][::-1]
-    found = []
-    for one, run in groupby(heapq.merge(*[s.tolist() for s in short])):
-        count, want = sum(1 for _ in run), max(1, needed[one])
-        if count + long < want:
-            continue
-        for i, own in enumerate(aside):
-            if count >= want or count + len(aside) - i < want:
-                break
-            place = own.searchsorted(one)
-            count += bool(place < len(own) and own[place] == one)
-        if count >= want:
-            found.append(one)
-    return found
-
-
-def _search(percent: int):
-    def verify(leader: tuple, others: list[tuple]) -> list[int]:
-        _, n, grams = leader
-        return divide_skip(np.sort(from_bytes(grams)), [np.sort(from_bytes(g)) for _, _, g in others],
-                           [overlap_needed(n, m, percent) for _, m, _ in others])
-
-    return verify
+    def __init__(self, sets: list[np.ndarray]):
+        owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.owners = owners[order]
+        self.values, self.starts = np.unique(flat[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(flat))
+
+    def divide_skip(self, query: np.ndarray, needed: np.ndarray) -> list[int]:
+        """Positions of the sets that share at least ``needed`` (one number a set) numbers with ``query``.
+
+        With T the smallest number needed, the L longest lists are set aside: a set that reaches T must be in T - L of the others.
+        Those are merged with a heap; each set that comes often enough is looked up in the long lists by binary search, until it
+        has what it needs or cannot get it any more.
+        """
+        if not len(query) or not len(self.values):
+            return []
+        at = np.minimum(np.searchsorted(self.values, query), len(self.values) - 1)
+        at = at[self.values[at] == query]
+        lists = sorted((self.owners[a:b] for a, b in zip(self.starts[at], self.ends[at])), key=len)
+        least = max(1, int(needed.min()))
+        if len(lists) < least:
+            return []
+        long = min(least - 1, int(least / (0.01 * math.log2(max(2, len(lists[-1]))) + 1)))
+        short, aside = lists[:len(lists) - long], lists[len(lists) - long:][::-1]
+        found = []
+        for one, run in groupby(heapq.merge(*[s.tolist() for s in short])):
+            count, want = sum(1 for _ in run), max(1, int(needed[one]))
+            if count + long < want:
+                continue
+            for i, own in enumerate(aside):
+                if count >= want or count + len(aside) - i < want:
+                    break
+                place = own.searchsorted(one)
+                count += bool(place < len(own) and own[place] == one)
+            if count >= want:
+                found.append(one)
+        return found
+
+
+def _index(percent: int):
+    def index(others: list[tuple]):
+        lists = InvertedLists([np.sort(from_bytes(g)) for _, _, g in others])
+        sizes = np.array([m for _, m, _ in others])
+        return lambda row: lists.divide_skip(np.sort(from_bytes(row[2])), overlap_needed(row[1], sizes, percent))
+
+    return index
 
 
 def _in_blocks(batches, most: int):
-    """(number, ids, texts) of runs of documents of one partition."""
-    number, ids, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
+    """(number, ids, texts) of runs of rows of one partition, as Arrow arrays."""
+    number, held, size = TaskContext.get().partitionId() << 24, [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(doc_id)
-            texts.append(text)
-            size += len(text or "") + 8
+        data, bounds = buffers(batch.column(1))
+        at, n = 0, batch.num_rows
+        while at < n:
+            to = min(n, max(at + 1, int(np.searchsorted(bounds, bounds[at] + max(1, most - size), "right"))))
+            held.append(batch.slice(at, to - at))
+            size += int(bounds[to] - bounds[at]) + to - at
+            at = to
             if size >= most:
-                yield number, ids, texts
-                number, ids, texts, size = number + 1, [], [], 0
-    if ids:
-        yield number, ids, texts
+                yield number, *_joined(held)
+                number, held, size = number + 1, [], 0
+    if held:
+        yield number, *_joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
+    return pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(1) for b in held])
 
 
 def shared_shingles(docs: DataFrame, percent: int = PERCENT, words: int = WORDS_A_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,9 +128,14 @@ def shared_shingles(docs: DataFrame, percent: int = PERCENT, words: int = WORDS_
     starts = np.array([(r << bits) // ranges for r in range(ranges)], np.uint64)
 
     def sent(batches):
-        known = WordHashes()
-        for number, _, texts in _in_blocks(batches, BLOCK_CHARS):
-            values, counts = np.unique(np.concatenate([np.unique(shingle_set(t, known, words) >> cut) for t in texts]), return_counts=True)
+        hasher = Hasher()
+        for number, _, texts in _in_blocks(batches, BLOCK_BYTES):
+            flat, sizes, _ = hasher.sets(*buffers(texts), words)
+            flat >>= cut
+            new = np.ones(len(flat), bool)  # once a document; the documents are sorted
+            new[1:] = flat[1:] != flat[:-1]
+            new[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+            values, counts = np.unique(flat[new], return_counts=True)
             at = np.append(np.searchsorted(values, starts), len(values))
             out = [(r, number, pack_sorted(values[a:b]), zlib.compress(np.minimum(counts[a:b], 255).astype(np.uint8).tobytes(), 1))
                    for r, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
@@ -142,34 +160,37 @@ def shared_shingles(docs: DataFrame, percent: int = PERCENT, words: int = WORDS_
         return pa.table([table.column("part"), table.column("block"), pa.array(out, pa.binary())], ["part", "block", "classes"])
 
     def in_block(batches):
-        for number, ids, texts in _in_blocks(batches, BLOCK_CHARS):
+        for number, ids, texts in _in_blocks(batches, BLOCK_BYTES):
             for a in range(0, len(ids), 1024):
-                part = ids[a:a + 1024]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(part), pa.int64()), pa.array(part, pa.int64()),
-                                                  pa.array(texts[a:a + 1024], pa.string())], ["block", "doc_id", "text"])
+                part = ids.slice(a, 1024)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), part, texts.slice(a, 1024)], ["block", "doc_id", "text"])
 
     def chosen(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = WordHashes()
-        sets = [shingle_set(t, known, words) for t in left.column("text").to_pylist()]
-        values = np.unique(np.concatenate([s >> cut for s in sets])) if sets else np.zeros(0, np.uint64)
+        flat, sizes, _ = Hasher().sets(*buffers(left.column("text")), words)
         answers = sorted(zip(right.column("part").to_pylist(), right.column("classes").to_pylist()))
         classes = np.frombuffer(b"".join(zlib.decompress(c) for _, c in answers), np.uint8)
-        if len(classes) != len(values):
+        order = np.argsort(flat >> cut)
+        ordered = (flat >> cut)[order]
+        rank = np.cumsum(ordered[1:] != ordered[:-1])
+        if len(classes) != (rank[-1] + 1 if len(rank) else len(flat)):
             raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
-        out = []
-        for s in sets:
-            own = classes[np.searchsorted(values, s >> cut)] if len(s) else np.zeros(0, np.uint8)
-            n, m = len(s), int((own > 0).sum())
-            required = -(-percent * n // 100)  # with any partner: their union is n or more
-            if not n or m < required:
-                out.append((n, None, None, None, None))
-                continue
-            order = np.argsort(own[own > 0], kind="stable")  # hashes of one class stay sorted
-            node = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-            out.append((n, node, required, m - required + 1, to_bytes(s[own > 0][order])))
-        columns = list(zip(*out)) if out else [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.table([left.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds)]], [c.split()[0] for c in SETS.split(", ")])
+        own = np.empty(len(flat), np.uint8)
+        own[order] = classes[np.append(0, rank)] if len(flat) else classes
+        running = np.concatenate([[0], np.cumsum(own > 0)])
+        ends = np.cumsum(sizes)
+        shared = running[ends] - running[ends - sizes]
+        required = -(-percent * sizes // 100)  # with any partner: their union is n or more
+        able = (sizes > 0) & (shared >= required)
+        nodes, sets = [], []
+        for i in np.flatnonzero(able):
+            s, c = flat[ends[i] - sizes[i]:ends[i]], own[ends[i] - sizes[i]:ends[i]]
+            nodes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+            order = np.argsort(c[c > 0], kind="stable")  # hashes of one class stay sorted
+            sets.append(to_bytes(s[c > 0][order]))
+        place = pa.array(np.cumsum(able) - 1, pa.int64(), mask=~able)
+        return pa.table([
+            left.column("doc_id"), pa.array(sizes), pa.array(nodes, pa.int64()).take(place), pa.array(required.astype(np.int32), mask=~able),
+            pa.array((shared - required + 1).astype(np.int32), mask=~able), pa.array(sets, pa.binary()).take(place)], [c.split()[0] for c in SETS.split(", ")])
 
     answers = rows.mapInArrow(sent, "part long, block long, hashes binary, counts binary").groupBy("part").applyInArrow(
         answered, "part long, block long, classes binary")
@@ -197,7 +218,7 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS_A
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(node, prefix)), pa.array(np.repeat(n, prefix))], ["key", "node", "n"])
 
     postings = nodes.select("node", "n", "prefix", "grams").mapInArrow(posted, "key long, node long, n int")
-    comps = linked(postings, lambda _: nodes.select("node", "n", "grams"), _search(percent), percent / 100)
+    comps = linked(postings, lambda _: nodes.select("node", "n", "grams"), _index(percent), percent / 100)
     found = able.select("doc_id", "node").join(comps, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
     least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_node = found.select("node", "comp").distinct().join(least, "comp").select("node", "component_id")

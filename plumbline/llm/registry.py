@@ -1,11 +1,12 @@
 """The registered queries of the operators, opN_<name>, and their SQL where SQL can express them."""
 
-from plumbline.llm import byte_bpe, exact_dedup, fingerprints, line_dedup, ngram_join, packing, quality, substring_dedup, token_counts
+from plumbline.llm import byte_bpe, exact_dedup, fingerprints, line_dedup, lm_scoring, ngram_join, packing, quality, substring_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_packing": packing.op7_packing,

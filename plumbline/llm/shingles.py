@@ -1,49 +1,121 @@
-"""Hashed word shingles, and sorted sets of hashes as few bytes."""
+"""Hashed word shingles of many texts at once, and sorted sets of hashes as few bytes.
+
+Words are runs of bytes other than ``[\\x20\\x09-\\x0D]``, A-Z in lower case. They are hashed in the UTF-8 buffer they come in: a
+word's hash is a polynomial over random values of its bytes, taken as the difference of two running sums.
+"""
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
-from plumbline.llm.common import mixed, words_of
+from plumbline.llm.common import mixed
 
 WORDS_A_SHINGLE = 5
-#: odd multipliers, one for each place in a shingle
-_PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
-                    0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered until there are too many."""
-
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.most:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-def shingled(words: list[bytes], known: WordHashes, size: int = WORDS_A_SHINGLE) -> np.ndarray:
-    """The hash of each shingle in order (one for fewer words than a shingle, none for no words)."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.array([known[w] for w in words], np.uint64)
-    size = min(size, len(words))
-    total = np.full(len(words) - size + 1, size, np.uint64)
-    for j in range(size):
-        total += mixed(hashes[j:len(words) - size + 1 + j] + _PLACES[j])* _PLACES[j]
-    return mixed(total)
-
-
-def shingle_set(text: str | None, known: WordHashes, size: int = WORDS_A_SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    return np.unique(shingled(words_of(text), known, size))
+#: bytes hashed at a time; a longer text is taken whole
+_PIECE = 1 << 20
+
+
+def _constants() -> tuple[np.ndarray, np.ndarray, int, int]:
+    """A value for each byte (0 for blanks, equal for a letter and its capital), whether it is a blank, the base and its inverse."""
+    value = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    value[65:91] = value[97:123]
+    blank = np.zeros(256, bool)
+    blank[[9, 10, 11, 12, 13, 32]] = True
+    value[blank] = 0
+    base = 0xD6E8FEB86659FD93
+    return value, blank, base, pow(base, -1, 1 << 64)
+
+
+_VALUE, _BLANK, _BASE, _INVERSE = _constants()
+_PLACES = mixed(np.arange(11, 11 + 64, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+
+
+class Hasher:
+    """Word and shingle hashes; holds the powers of the base."""
+
+    def __init__(self):
+        self.powers = self.inverses = np.zeros(0, np.uint64)
+
+    def _grown(self, n: int) -> None:
+        if len(self.powers) < n:
+            n = max(n, _PIECE)
+            for name, base in (("powers", _BASE), ("inverses", _INVERSE)):
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+
+    def words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of the segments ``data[bounds[i]:bounds[i + 1]]``, and how many words each has."""
+        found, counts = [], []
+        at, n = 0, len(bounds) - 1
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _PIECE, "right")) - 1)
+            h, c = self._piece(data[bounds[at]:bounds[to]], bounds[at:to + 1] - bounds[at])
+            found.append(h)
+            counts.append(c)
+            at = to
+        none = np.zeros(0, np.uint64)
+        return np.concatenate(found) if found else none, np.concatenate(counts) if counts else none.astype(np.int64)
+
+    def _piece(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
+        self._grown(len(data))
+        blank = _BLANK[data]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[bounds] = True
+        cut[1:] |= blank  # a word ends before each blank ...
+        ends = np.flatnonzero(~blank & (cut[1:] | np.append(blank[1:], True))) + 1
+        before = np.append(True, blank[:-1])  # ... and starts behind one
+        before[bounds[bounds < len(data)]] = True
+        starts = np.flatnonzero(~blank & before)
+        sums = np.cumsum(_VALUE[data] * self.powers[:len(data)], dtype=np.uint64)
+        whole = sums[ends - 1]
+        whole[starts > 0] -= sums[starts[starts > 0] - 1]
+        hashes = mixed(whole * self.inverses[starts] + (ends - starts).astype(np.uint64))
+        return hashes, np.diff(np.searchsorted(starts, bounds))
+
+    def sets(self, data: np.ndarray, bounds: np.ndarray, size: int = WORDS_A_SHINGLE, least_words: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct shingle hashes of each segment one after the other, how many each has, and its number of words. A segment
+        with fewer words than a shingle has one shingle, one with fewer than ``least_words`` none."""
+        words, counts = self.words(data, bounds)
+        ends = np.cumsum(counts)
+        starts = ends - counts
+        used = counts >= max(1, least_words)
+        n = np.where(used, np.maximum(counts - size + 1, 1), 0)
+        first = np.repeat(starts, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+        width = np.repeat(np.minimum(counts, size), n)
+        flat = width.astype(np.uint64)
+        for j in range(size):
+            if len(words):
+                part = words[np.minimum(first + j, len(words) - 1)]
+                flat += np.where(j < width, (part ^ (part >> np.uint64(29))) * _PLACES[j], np.uint64(0))
+        flat = mixed(flat)
+        stops = np.cumsum(n)
+        for a, b in zip((stops - n)[used].tolist(), stops[used].tolist()):
+            flat[a:b].sort()
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        new[(stops - n)[used]] = True
+        running = np.concatenate([[0], np.cumsum(new)])
+        return flat[new], running[stops] - running[stops - n], counts
+
+
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a text column and the bounds of its values; NULL is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    column = column.fill_null("") if column.null_count else column
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    bounds = np.frombuffer(column.buffers()[1], kind, len(column) + 1, column.offset * np.dtype(kind).itemsize).astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
 def pack_sorted(values: np.ndarray) -> bytes:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import mixed, read_docs, written
 from plumbline.llm.linking import linked
-from plumbline.llm.shingles import WORDS_A_SHINGLE, WordHashes, from_bytes, shingled, to_bytes
+from plumbline.llm.shingles import WORDS_A_SHINGLE, Hasher, buffers, from_bytes, to_bytes
 
 PERCENT, MIN_WORDS = 75, 40
 BANDS, ROWS = 10, 3
@@ -28,35 +28,44 @@ def _multipliers(k: int) -> np.ndarray:
     return mixed(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """For each (not empty) set the keys of its bands, as 64-bit numbers."""
-    lengths = np.array([len(s) for s in sets])
-    flat, at = np.concatenate(sets), np.cumsum(lengths) - lengths
-    out = np.zeros((len(sets), bands), np.uint64)
+def band_keys(flat: np.ndarray, sizes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """For each set (not empty; ``sizes`` of them, one after the other) the keys of its bands, as 64-bit numbers."""
+    at = np.cumsum(sizes) - sizes
+    out = np.zeros((len(sizes), bands), np.uint64)
     for i, m in enumerate(_multipliers(bands * rows)):
-        least = np.minimum.reduceat(mixed_quickly(flat, m), at)
+        turned = (flat ^ m) * m
+        least = np.minimum.reduceat(turned ^ (turned >> np.uint64(32)), at)
         out[:, i // rows] = mixed(out[:, i // rows] + least + np.uint64(i))
     return out
 
 
-def mixed_quickly(flat: np.ndarray, m: np.uint64) -> np.ndarray:
-    x = (flat ^ m) * m
-    return x ^ (x >> np.uint64(32))
-
-
-def _paragraphs(texts: list[str | None], known: WordHashes, min_words: int, words: int):
-    """(row, paragraph, start, line, number of words, shingle set) of each long enough line."""
-    for row, text in enumerate(texts):
-        start = 0
-        for i, line in enumerate((text or "").split("\n")):
-            own = line.encode().lower().split()
-            if len(own) >= max(1, min_words):
-                yield row, i, start, line, len(own), np.unique(shingled(own, known, words))
-            start += len(line) + 1
-
-
-def _node(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _paragraphs(column: pa.Array, hasher: Hasher, min_words: int, words: int):
+    """Row, number, first byte, last byte, number of words of each long enough line, then their shingle sets and the sets' sizes."""
+    data, bounds = buffers(column)
+    breaks = np.flatnonzero(data == 10)
+    of_break = np.searchsorted(bounds, breaks, "right") - 1
+    lines = np.bincount(of_break, minlength=len(column)) + 1
+    first = np.cumsum(lines) - lines
+    row = np.repeat(np.arange(len(column)), lines)
+    number = np.arange(len(row)) - np.repeat(first, lines)
+    stop = np.empty(len(row), np.int64)
+    last = first + lines - 1
+    stop[last] = bounds[1:]
+    inner = np.ones(len(row), bool)
+    inner[last] = False
+    stop[inner] = breaks
+    start = np.empty(len(row), np.int64)
+    start[1:] = stop[:-1] + 1
+    start[first] = bounds[:-1]
+    # segments for the hasher: each line, with its break as a blank at the end
+    flat, sizes, counts = hasher.sets(data, np.append(start, len(data)), words, min_words)
+    long = counts >= max(1, min_words)
+    return data, row[long], number[long], start[long], stop[long], counts[long], flat, sizes[long], bounds
+
+
+def _nodes(flat: np.ndarray, sizes: np.ndarray) -> list[int]:
+    ends = np.cumsum(sizes)
+    return [int.from_bytes(hashlib.blake2b(flat[e - n:e].tobytes(), digest_size=8).digest(), "little", signed=True) for n, e in zip(sizes, ends)]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -75,19 +84,19 @@ def repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS,
     source = _rows(docs, id_col, text_col)
 
     def signed(batches):
-        known = WordHashes()
+        hasher = Hasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = list(_paragraphs(part.column(2).to_pylist(), known, min_words, words))
-                if not found:
+                data, row, number, start, stop, counts, flat, sizes, bounds = _paragraphs(part.column(2), hasher, min_words, words)
+                if not len(row):
                     continue
-                take = pa.array([f[0] for f in found])
-                keys = band_keys([f[5] for f in found], bands, rows)
-                columns = [part.column(0).take(take), part.column(1).take(take)] + [
-                    pa.array([f(x) for x in found], kind) for f, kind in zip(
-                        (lambda x: x[1], lambda x: x[2], lambda x: len(x[3]), lambda x: x[4], lambda x: _node(x[5]), lambda x: len(x[5])),
-                        list(_KINDS.values())[2:])]
+                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
+                take = pa.array(row)
+                columns = [part.column(0).take(take), part.column(1).take(take)] + [pa.array(c, kind) for c, kind in zip(
+                    (number, points[start] - points[bounds[row]], points[stop] - points[start], counts, _nodes(flat, sizes), sizes),
+                    list(_KINDS.values())[2:])]
+                keys = band_keys(flat, sizes, bands, rows)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([k.tobytes() for k in keys], pa.binary())], [*_KINDS, "bands"])
 
     paragraphs = written(source.mapInArrow(
@@ -104,27 +113,33 @@ def repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS,
     postings = paragraphs.select("node", "n", "bands").mapInArrow(posted, "key long, node long, n int")
 
     def grams(batches):
-        known = WordHashes()
+        hasher = Hasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                found = [f[5] for f in _paragraphs(batch.slice(at, 512).column(0).to_pylist(), known, min_words, words)]
+                *_, flat, sizes, _ = _paragraphs(batch.slice(at, 512).column(0), hasher, min_words, words)
+                ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([_node(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()),
-                    pa.array([to_bytes(s) for s in found], pa.binary())], ["node", "n", "grams"])
+                    pa.array(_nodes(flat, sizes), pa.int64()), pa.array(sizes.astype(np.int32)),
+                    pa.array([to_bytes(flat[e - n:e]) for n, e in zip(sizes, ends)], pa.binary())], ["node", "n", "grams"])
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         every = source.select("text").mapInArrow(grams, "node long, n int, grams binary")
         return written(every.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "op10-sets")
 
-    def alike(leader: tuple, others: list[tuple]) -> list[int]:
-        own = np.sort(from_bytes(leader[2]))
-        lengths = np.array([m for _, m, _ in others], np.int64)
+    def index(others: list[tuple]):
         flat = from_bytes(b"".join(g for _, _, g in others))
-        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-        overlap = np.bincount(np.repeat(np.arange(len(others)), lengths), own[place] == flat, len(others)).astype(np.int64)
-        return np.flatnonzero(100 * overlap >= percent * (len(own) + lengths - overlap)).tolist()
+        lengths = np.array([m for _, m, _ in others], np.int64)
+        owners = np.repeat(np.arange(len(others)), lengths)
+
+        def search(row: tuple) -> list[int]:
+            own = np.sort(from_bytes(row[2]))
+            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            overlap = np.bincount(owners, own[place] == flat, len(others)).astype(np.int64)
+            return np.flatnonzero(100 * overlap >= percent * (len(own) + lengths - overlap)).tolist()
+
+        return search
 
-    comps = linked(postings, sets_of, alike, percent / 100)
+    comps = linked(postings, sets_of, index, percent / 100)
     members = paragraphs.drop("bands", "n").join(comps, "node", "left").withColumn("root", F.coalesce("comp", "node"))
     groups = members.groupBy("root").agg(
         F.count("*").alias("group_size"), F.min(F.struct("doc_id", "paragraph", "row_hash")).alias("first")).where("group_size > 1")

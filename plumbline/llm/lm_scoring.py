@@ -59,6 +59,9 @@ class Counts:
     top: dict[tuple[int, int], int]  # (count, hash) of a common word -> class
     in_class: np.ndarray  # training tokens of each class
 
+    def parts(self) -> tuple:
+        return self.total, self.known, self.once, self.twice, self.end, self.top, self.in_class
+
     def class_of(self, count: np.ndarray, hashes: np.ndarray, is_end: np.ndarray) -> np.ndarray:
         out = np.full(len(count), RARE, np.uint8)
         more = count >= 2
@@ -180,10 +183,10 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         "block", "code", "dictionary", F.sum("n").over(of_word).alias("count"), F.pmod(F.xxhash64("word"), F.lit(1 << 16)).cast("int").alias("hash"),
         (F.row_number().over(of_word.orderBy("block", "code")) == 1).alias("first"), (F.col("word") == F.lit(bytearray(END))).alias("is_end")), "op4-counts")
     counts = _counted(answers)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(counts.parts())  # plain values travel without the class
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = shared.value
+        own = Counts(*shared.value)
         count, hashes = right.column("count").to_numpy(), right.column("hash").to_numpy()
         classes = own.class_of(count, hashes, right.column("is_end").to_numpy())
         base = np.log10((count + 1.0) / (own.total + own.known + 1.0))

@@ -87,6 +87,10 @@ class Ordinal:
     weights: np.ndarray
     thresholds: np.ndarray  # GRADES - 1, rising
 
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the model is made of; plain arrays travel without the class."""
+        return self.features, self.weights, self.thresholds
+
     def score(self, found: np.ndarray) -> float:
         if not len(self.features) or not len(found):
             return 0.0
@@ -177,10 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 def scored(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, expected_grade (0 to 2), tail (P of grade 2), kept (tail of ``KEEP`` or more) for each row of ``docs``. NULL
     and empty texts are scored by their form alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the sample's features
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())  # as large as the sample's features
 
     def rows(batches):
-        own = shared.value
+        own = Ordinal(*shared.value)
         known = Features(frozenset(own.features.tolist()))
         for batch in batches:
             scores = [own.score(known.of(t)) for t in batch.column(1).to_pylist()]
@@ -195,11 +199,11 @@ def scored(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: st
 
 def kept_documents(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model keeps, all columns; each row is judged where it is read, so nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
     at = docs.columns.index(text_col)
 
     def rows(batches):
-        own = shared.value
+        own = Ordinal(*shared.value)
         known = Features(frozenset(own.features.tolist()))
         for batch in batches:
             keep = [bool(own.tails(own.score(known.of(t)))[-1] >= KEEP) for t in batch.column(at).to_pylist()]

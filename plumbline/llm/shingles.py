@@ -49,20 +49,24 @@ class Hasher:
 
     def words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words of the segments ``data[bounds[i]:bounds[i + 1]]``, and how many words each has."""
-        found, counts = [], []
+        return self.placed(data, bounds)[:2]
+
+    def placed(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``words``, and the first byte of each word and the byte behind it."""
+        parts = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         at, n = 0, len(bounds) - 1
         while at < n:
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _PIECE, "right")) - 1)
-            h, c = self._piece(data[bounds[at]:bounds[to]], bounds[at:to + 1] - bounds[at])
-            found.append(h)
-            counts.append(c)
+            hashes, counts, starts, ends = self._piece(data[bounds[at]:bounds[to]], bounds[at:to + 1] - bounds[at])
+            for part, own in zip(parts, (hashes, counts, starts + bounds[at], ends + bounds[at])):
+                part.append(own)
             at = to
-        none = np.zeros(0, np.uint64)
-        return np.concatenate(found) if found else none, np.concatenate(counts) if counts else none.astype(np.int64)
+        return tuple(np.concatenate(p) for p in parts)
 
-    def _piece(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _piece(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if not len(data):
-            return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
+            none = np.zeros(0, np.int64)
+            return none.astype(np.uint64), np.zeros(len(bounds) - 1, np.int64), none, none
         self._grown(len(data))
         blank = _BLANK[data]
         cut = np.zeros(len(data) + 1, bool)
@@ -76,7 +80,7 @@ class Hasher:
         whole = sums[ends - 1]
         whole[starts > 0] -= sums[starts[starts > 0] - 1]
         hashes = mixed(whole * self.inverses[starts] + (ends - starts).astype(np.uint64))
-        return hashes, np.diff(np.searchsorted(starts, bounds))
+        return hashes, np.diff(np.searchsorted(starts, bounds)), starts, ends
 
     def sets(self, data: np.ndarray, bounds: np.ndarray, size: int = WORDS_A_SHINGLE, least_words: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct shingle hashes of each segment one after the other, how many each has, and its number of words. A segment
@@ -104,6 +108,30 @@ class Hasher:
         return flat[new], running[stops] - running[stops - n], counts
 
 
+def windows(words: np.ndarray, size: int, reach: int, shingle: int = WORDS_A_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Places of windows of ``size`` words, and the hashes of these windows; ``size`` is a multiple of ``shingle``.
+
+    A window starts where the shingle hash is the smallest of some ``reach`` neighbouring ones, so two texts that share
+    ``size + reach - 1`` words or more in a row have a window in common, wherever it stands. Of equal windows of a text the first counts.
+    """
+    n = len(words) - size + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    total = np.zeros(len(words) - shingle + 1, np.uint64)
+    for j in range(shingle):
+        part = words[j:len(words) - shingle + 1 + j]
+        total += (part ^ (part >> np.uint64(29))) * _PLACES[j]
+    shingles = mixed(total)
+    view = np.lib.stride_tricks.sliding_window_view(shingles, min(reach, len(shingles)))
+    at = np.unique(view.argmin(1) + np.arange(len(view)))
+    at = at[at < n]
+    hashes = np.zeros(len(at), np.uint64)
+    for j in range(size // shingle):
+        hashes += (shingles[at + j * shingle] ^ np.uint64(j)) * _PLACES[16 + j]
+    hashes, first = np.unique(mixed(hashes), return_index=True)
+    return at[first], hashes
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and the bounds of its values; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,8 +1,12 @@
-"""Operator 10, substring dedup: passages that repeat, across documents or within one, by paragraph.
+"""Operator 10, substring dedup: passages that repeat, across documents or within one.
 
 Paragraphs (lines of ``MIN_WORDS`` words or more) are sets of word shingles. Their MinHash values, ``ROWS`` to a band, give ``BANDS``
 keys: a pair at the threshold of 0.75 shares one with probability 1 - (1 - 0.75^ROWS)^BANDS = 0.996. Paragraphs with equal sets are
 one node; ``linking`` compares nodes that collide by their exact Jaccard similarity; of each component the first paragraph stays.
+
+A passage need not be a line of its own: it may stand in the middle of a longer line or run over several short ones. So each text also
+gives windows of ``WINDOW`` words that start where the text's own words say (``shingles.windows``): two documents that share 50 words
+in a row share a window. Equal windows that lie together are one passage; the document with the smallest id keeps it.
 """
 
 from __future__ import annotations
@@ -11,15 +15,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import mixed, read_docs, written
 from plumbline.llm.linking import linked
-from plumbline.llm.shingles import WORDS_A_SHINGLE, Hasher, buffers, from_bytes, to_bytes
+from plumbline.llm.shingles import WORDS_A_SHINGLE, Hasher, buffers, from_bytes, to_bytes, windows
 
 PERCENT, MIN_WORDS = 75, 40
 BANDS, ROWS = 10, 3
+#: words of a window, and shingles among which a window's start is the smallest: together 50 words
+WINDOW, REACH = 25, 26
 _KINDS = {"doc_id": pa.int64(), "row_hash": pa.int64(), "paragraph": pa.int32(), "start": pa.int64(), "n_chars": pa.int32(),
           "n_words": pa.int32(), "node": pa.int64(), "n": pa.int32()}
 
@@ -73,8 +79,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row_hash"), text.alias("text"))
 
 
-def repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, words: int = WORDS_A_SHINGLE, bands: int = BANDS,
-            rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, words: int = WORDS_A_SHINGLE, bands: int = BANDS,
+                        rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per paragraph that has a near copy: doc_id, row_hash, paragraph (number of the line, from 0), start and n_chars (code
     points), n_words, group_size (paragraphs), keep_id and keep_paragraph (the one that stays: the first by id and paragraph; NULL
     ids come first), kept.
@@ -149,23 +155,96 @@ def repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS,
                       F.col("first.paragraph").alias("keep_paragraph"), kept.alias("kept"))
 
 
+def repeated_passages(docs: DataFrame, window: int = WINDOW, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per run of words that other documents have too: doc_id, row_hash, start and n_chars (code points), n_words (at
+    least), group_size (documents that share a part of it, at most), keep_id (the smallest id among them), kept (it is this document's).
+
+    Rows repeated with one id and one text are one document; NULL ids come first.
+    """
+
+    def placed(batches):
+        hasher = Hasher()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                data, bounds = buffers(part.column(2))
+                hashes, counts, starts, ends = hasher.placed(data, bounds)
+                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                row, at, keys, last = [], [], [], 0
+                for i, n in enumerate(counts.tolist()):
+                    places, own = windows(hashes[last:last + n], window, reach)
+                    row.append(np.full(len(places), i))
+                    at.append(places + last)
+                    keys.append(own)
+                    last += n
+                row, at, keys = np.concatenate(row), np.concatenate(at), np.concatenate(keys)
+                if len(row):
+                    take, zero = pa.array(row), points[bounds[row]]
+                    yield pa.RecordBatch.from_arrays([
+                        part.column(0).take(take), part.column(1).take(take), pa.array(keys.astype(np.int64)), pa.array((at - (np.cumsum(counts) - counts)[row]).astype(np.int32)),
+                        pa.array(points[starts[at]] - zero), pa.array(points[ends[at + window - 1]] - zero)],
+                        ["doc_id", "row_hash", "key", "word", "start", "stop"])
+
+    kinds = "doc_id long, row_hash long, key long, word int, start long, stop long"
+    every = written(_rows(docs, id_col, text_col).mapInArrow(placed, kinds), "op10-windows").withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    common = every.groupBy("key").agg(
+        F.min("place").alias("low"), F.max("place").alias("high"), F.min("row_hash").alias("a"), F.max("row_hash").alias("b"), F.count("*").alias("size"))
+    common = common.where("low <> high OR a <> b").select("key", "low", "size")
+    shared = every.join(common, "key").withColumn("kept", F.col("place") == F.col("low"))
+    own = Window.partitionBy("doc_id", "row_hash", "kept").orderBy("word")
+    reached = F.max(F.col("word") + window).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    runs = shared.withColumn("opens", F.coalesce(F.col("word") > reached, F.lit(True)).cast("int")).withColumn("run", F.sum("opens").over(own))
+    return runs.groupBy("doc_id", "row_hash", "kept", "run").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("word") + window - F.min("word")).alias("n_words"),
+        F.max("size").alias("group_size"), F.min("low").alias("low")).select(
+        "doc_id", "row_hash", "start", (F.col("stop") - F.col("start")).cast("int").alias("n_chars"), "n_words", "group_size",
+        F.when(F.col("low") > -(1 << 63), F.col("low")).alias("keep_id"), "kept")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``repeated_paragraphs`` and, with NULL as paragraph, ``repeated_passages``."""
+    lines = repeated_paragraphs(docs, id_col=id_col, text_col=text_col, **options)
+    return lines.unionByName(repeated_passages(docs, id_col=id_col, text_col=text_col), allowMissingColumns=True)
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
-    """``docs`` with the repeated paragraphs taken out of ``text_col`` (their line breaks too); all columns as they were, but for
-    ``length_col``, the text's code points, if named. Documents that lost all their text go."""
+    """``docs`` with the repeats that are not kept taken out of ``text_col`` (a paragraph with its line break); all columns as they
+    were, but for ``length_col``, the text's code points, if named. Documents that lost all their words go."""
+    stop = F.col("start") + F.col("n_chars") + F.when(F.col("paragraph").isNotNull(), 1).otherwise(0)
     gone = repeats(docs, id_col=id_col, text_col=text_col, **options).where(~F.col("kept")).groupBy("doc_id", "row_hash").agg(
-        F.collect_set("paragraph").alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("row_hash").alias("g_hash"), "gone")
+        F.array_sort(F.collect_set(F.struct(F.col("start"), stop.alias("stop")))).alias("gone"))
+    gone = gone.select(F.col("doc_id").alias("g_id"), F.col("row_hash").alias("g_hash"), F.col("gone.start").alias("g_starts"), F.col("gone.stop").alias("g_stops"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.withColumn("g_own", F.xxhash64(F.col(id_col).cast("long"), text))
     joined = own.join(gone, (F.col("g_own") == F.col("g_hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("g_id")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    marked = F.map_from_arrays("gone", "gone")
-    kept = F.filter(F.arrays_zip(lines.alias("line"), F.sequence(F.lit(0), F.size(lines) - 1).alias("at")), lambda x: ~F.map_contains_key(marked, x["at"]))
-    cut = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
-    out = joined.withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(cut)).where(
-        F.col("gone").isNull() | (F.trim(F.col(text_col)) != ""))
-    if length_col:
-        out = out.withColumn(length_col, F.when(F.col("gone").isNull(), F.col(length_col)).otherwise(F.char_length(text_col).cast(docs.schema[length_col].dataType)))
-    return out.select(*docs.columns)
+    joined = joined.select(*docs.columns, "g_starts", "g_stops")
+    at, sized = docs.columns.index(text_col), docs.columns.index(length_col) if length_col else None
+
+    def cut(batches):
+        for batch in batches:
+            texts, starts, stops = (batch.column(i).to_pylist() for i in (at, batch.num_columns - 2, batch.num_columns - 1))
+            left = [_left(t, a, b) if a else t for t, a, b in zip(texts, starts, stops)]
+            columns = list(batch.columns[:-2])
+            columns[at] = pa.array(left, pa.string())
+            if sized is not None:
+                lengths = [len(t) if a else n for t, a, n in zip(left, starts, columns[sized].to_pylist())]
+                columns[sized] = pa.array(lengths, columns[sized].type)
+            keep = pa.array([not a or bool(t.strip()) for t, a in zip(left, starts)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2]).filter(keep)
+
+    return joined.mapInArrow(cut, docs.schema)
+
+
+def _left(text: str, starts: list[int], stops: list[int]) -> str:
+    """The text without the given spans, which may overlap; a line break that ended the last line goes with it."""
+    pieces, end = [], 0
+    for start, stop in zip(starts, stops):
+        if start > end:
+            pieces.append(text[end:start])
+        end = max(end, stop)
+    tail = text[end:]
+    whole = "".join(pieces)
+    return whole + tail if tail or end <= len(text) or not whole.endswith("\n") else whole[:-1]
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

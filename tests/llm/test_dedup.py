@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import exact_dedup, line_dedup, linking, ngram_join, substring_dedup
 from plumbline.llm.components import components
-from plumbline.llm.shingles import pack_sorted, to_bytes, unpack_sorted
+from plumbline.llm.shingles import Hasher, pack_sorted, to_bytes, unpack_sorted, windows
 
 
 def counted(rows):
@@ -146,12 +146,12 @@ def repeat_want(rows, min_words):
 
 
 def test_repeats_equal_brute_force(docs, rows):
-    got = substring_dedup.repeats(docs, min_words=20).select("doc_id", "paragraph", "group_size", "keep_id", "keep_paragraph").collect()
+    got = substring_dedup.repeated_paragraphs(docs, min_words=20).select("doc_id", "paragraph", "group_size", "keep_id", "keep_paragraph").collect()
     assert counted(got) == repeat_want(rows, 20)
 
 
 def test_planted_passage_is_found_and_cut(docs, rows):
-    got = substring_dedup.repeats(docs).where("doc_id IN (30, 31, 32)").select("doc_id", "kept").collect()
+    got = substring_dedup.repeated_paragraphs(docs).where("doc_id IN (30, 31, 32)").select("doc_id", "kept").collect()
     assert {(r.doc_id, r.kept) for r in got} == {(30, True), (31, False), (32, False)}
     text = dict(rows)
     left = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).where("doc_id IN (4, 30, 31, 32)").collect()}
@@ -159,6 +159,40 @@ def test_planted_passage_is_found_and_cut(docs, rows):
     assert left == {4: "One", 30: text[30], 31: cut(text[31], 0), 32: cut(text[32], 1)}
 
 
+def test_windows_of_common_runs_are_common():
+    rng = np.random.default_rng(3)
+    hasher = Hasher()
+    texts = [" ".join(map(str, rng.integers(0, 10**6, n))) for n in (50, 80, 300)]
+    for run in texts:
+        found = []
+        for before, after in ((0, 0), (7, 90), (200, 13)):
+            text = " ".join([*map(str, rng.integers(0, 10**6, before)), run, *map(str, rng.integers(0, 10**6, after))]).encode()
+            words = hasher.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+            found.append(set(windows(words, 25, 26)[1].tolist()))
+        assert set.intersection(*found)
+    assert len(windows(np.zeros(24, np.uint64), 25, 26)[0]) == 0 and len(windows(np.zeros(900, np.uint64), 25, 26)[0]) == 1
+
+
+def test_passages_inside_lines_and_over_lines_are_found_and_cut(make_docs):
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join(map(str, rng.integers(0, 10**9, n)))
+    run = [prose(20), prose(20), prose(20)]
+    texts = [(1, prose(30) + " " + " ".join(run) + " " + prose(40)), (2, prose(8) + "\n" + "\n".join(run) + "\n" + prose(30)),
+             (3, prose(33) + " " + " ".join(run)), (4, prose(200)), (5, "é " * 60), (None, prose(90)), (6, None)]
+    docs = make_docs(texts)
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(docs).collect()}
+    assert set(got) == {1, 2, 3} and [got[i].kept for i in (1, 2, 3)] == [True, False, False]
+    words = set(" ".join(run).split())
+    for i, r in got.items():
+        span = dict(texts)[i][r.start:r.start + r.n_chars].split()
+        assert set(span) <= words and len(span) == r.n_words >= 25 and r.keep_id == 1
+    left = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).collect()}
+    assert all(left[i] == dict(texts)[i] for i in (1, 4, 5, 6, None))
+    for i in (2, 3):
+        r, whole = got[i], dict(texts)[i]
+        assert left[i] == whole[:r.start] + whole[r.start + r.n_chars:]
+
+
 def test_repeats_of_nothing(nothing):
     assert substring_dedup.repeats(nothing).collect() == [] and substring_dedup.without_repeats(nothing).collect() == []
 

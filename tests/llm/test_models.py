@@ -96,7 +96,7 @@ def test_stages_are_the_pipeline():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "substring dedup", "packing"]
 
 
-def test_pipeline_equals_plain_steps(spark, sf_dir, sample_texts):
+def test_pipeline_equals_plain_steps(spark, sf_dir, sample_texts, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     tables = pytest.importorskip("public_tokenizers")
     docs = read_docs(spark, sf_dir)
@@ -106,14 +106,18 @@ def test_pipeline_equals_plain_steps(spark, sf_dir, sample_texts):
     last = {brute.lower(t): i for i, t in rows}
     rows = [(i, t) for i, t in rows if last[brute.lower(t)] == i]
     rows = [r for r, c in zip(rows, brute.components(rows)) if c == r[0]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.write.parquet(str(tmp_path / "rows"))
+    gone = collections.defaultdict(set)
+    for r in substring_dedup.repeats(spark.read.parquet(str(tmp_path / "rows"))).where("NOT kept").collect():
+        gone[r.doc_id].update(range(r.start, r.start + r.n_chars + (r.paragraph is not None)))
     found = brute.paragraphs(rows, substring_dedup.MIN_WORDS)
-    gone = {(n, i) for k, ((n, i, _), root) in enumerate(zip(found, brute.groups([s for *_, s in found]))) if root != k}
-    left = []
-    for n, (i, t) in enumerate(rows):
-        lines = t.split("\n")
-        kept = "\n".join(x for k, x in enumerate(lines) if (n, k) not in gone)
-        if kept.strip(" ") or not any((n, k) in gone for k in range(len(lines))):
-            left.append((i, kept))
+    repeated = {(rows[n][0], i) for k, ((n, i, _), root) in enumerate(zip(found, brute.groups([s for *_, s in found]))) if root != k}
+    text_of = dict(rows)
+    starts = lambda t: np.cumsum([0] + [len(x) + 1 for x in t.split("\n")])
+    assert all(starts(text_of[d])[i] in gone[d] for d, i in repeated)
+    left = [(d, "".join(c for k, c in enumerate(t) if k not in gone[d])) for d, t in rows]
+    left = [(d, t) for d, t in left if d not in gone or t.strip()]
     tokenizer = tokenizers.Tokenizer.from_file(tables.path("word_bpe_49k.json"))
     tokenizer.encode_special_tokens = True
     want = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in left}

@@ -8,6 +8,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,17 +43,34 @@ def json_error(text: Column) -> Column:
     return F.when(blank, "no JSON text").when(parse(text).isNull(), hint)
 
 
-def spark_path(path: str) -> str:
-    """``data.items[0].id`` as a variant path; an empty path or ``$`` is the whole document."""
-    if path in ("", "$"):
-        return "$"
-    parts = re.findall(r"[^.\[\]]+|\[\d+\]", path)
-    return "$" + "".join(p if p.startswith("[") else '["' + p + '"]' for p in parts)
+def path_parts(path: str) -> list[str]:
+    """``data.items[0].id`` as names and positions in brackets; an empty path or ``$`` has none."""
+    return [] if path in ("", "$") else re.findall(r"[^.\[\]]+|\[\d+\]", path)
+
+
+def spark_path(path: str) -> str | None:
+    """The path as Spark reads it; None if a name holds both kinds of quotes, which a path cannot say."""
+    steps = []
+    for part in path_parts(path):
+        quote = "'" if '"' in part else '"'
+        if quote in part:
+            return None
+        steps.append(part if part.startswith("[") else f"[{quote}{part}{quote}]")
+    return "$" + "".join(steps)
 
 
 def get_path(doc: Column, path: str) -> Column:
     """The value at a path as VARIANT, NULL when absent."""
-    return F.try_variant_get(doc, spark_path(path), "variant")
+    known = spark_path(path)
+    if known is not None:
+        return F.try_variant_get(doc, known, "variant")
+    value = doc
+    for part in path_parts(path):  # names with both kinds of quotes are looked up in the members
+        if part.startswith("["):
+            value = F.try_variant_get(value, "$" + part, "variant")
+        else:
+            value = F.try_element_at(value.try_cast("map<string,variant>"), F.lit(part))
+    return value
 
 
 def with_status(doc: Column, path: str, status_code: Column | None, is_object: Column | None = None) -> Column:
@@ -72,15 +92,30 @@ def with_status(doc: Column, path: str, status_code: Column | None, is_object: C
     return F.when(is_object, get_path(doc, path))
 
 
-def flatten(df: DataFrame, doc: str, max_depth: int = 8, list_items: int | None = None) -> DataFrame:
+def nesting(doc: Column) -> Column:
+    """How many containers lie inside each other in a document, itself included."""
+    brackets = F.regexp_replace(F.regexp_replace(F.to_json(doc), r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(at: Column, bracket: Column) -> Column:
+        now = at["now"] + F.when(bracket.isin("[", "{"), 1).when(bracket.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), start, step)["most"]
+
+
+def flatten(df: DataFrame, doc: str, max_depth: int | None = None, list_items: int | None = None) -> DataFrame:
     """One row per leaf and per list of every document: the frame's columns plus ``path``, ``value`` and ``type``.
 
     Every level is a generator over the members of objects and lists; leaves pass through,
-    so there is no shuffle and no array of a document's fields.  Containers below
-    ``max_depth`` stay whole as the value of their path.  ``list_items`` keeps only the
-    first members of each list.
+    so there is no shuffle and no array of a document's fields.  There are as many levels as
+    the deepest document has, which one aggregate finds first; with a ``max_depth`` the
+    containers below it stay whole as the value of their path.  ``list_items`` keeps only
+    the first members of each list.
     """
     spark = df.sparkSession
+    if max_depth is None:
+        max_depth = df.agg(F.max(nesting(F.col(f"`{doc}`")))).first()[0] or 0
     keep = [F.col(f"`{c}`") for c in df.columns if c != doc]
     path, value, kind, done = F.col("_path"), F.col("_value"), F.col("_kind"), F.col("_done")
     out = df.filter(F.col(doc).isNotNull()).select(
@@ -138,9 +173,10 @@ def _is_whole(text: str) -> bool:
 
 
 def _valid_pattern(text: str) -> bool:
+    """Does the engine that will run the pattern take it?"""
     try:
-        re.compile(text)
-    except re.error:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(text)
+    except (IllegalArgumentException, Py4JJavaError):
         return False
     return True
 

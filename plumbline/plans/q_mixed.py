@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from plumbline.functions import documents as D
 from plumbline.functions import privacy as P
 from plumbline.operators import compare as CM
+from plumbline.operators import documents as DO
 from plumbline.operators import edge_cases as EC
 from plumbline.operators import links as LK
 from plumbline.operators import rules as R
@@ -107,6 +109,29 @@ def edge_cases_measured(env):
     return EC.measured_cases(env.table("events"), ["event_id"], {"user_id": ("customer", env.table("customer"), "c_custkey")}, {"event_type": ["click"]})
 
 
+_DEEP = "abcdefghijkl"
+
+
+@query(f"SELECT o_orderkey, '{'.'.join(_DEEP)}' AS path, 'number' AS type, CAST(o_custkey AS VARCHAR) AS shown FROM orders WHERE o_orderkey < 500")
+def json_flatten_deep(env):
+    """Twelve levels of objects: as many levels are opened as there are."""
+    inner = F.col("o_custkey").cast("string")
+    for name in reversed(_DEEP):
+        inner = F.concat(F.lit('{"' + name + '":'), inner, F.lit("}"))
+    docs = env.table("orders").where("o_orderkey < 500").select("o_orderkey", F.parse_json(inner).alias("doc"))
+    return DO.flatten_documents(docs, "doc").select("o_orderkey", "path", "type", "shown")
+
+
+@query("""SELECT rule, path, status FROM (VALUES (1, 'a"b', 'pass'), (2, 'a"b''c', 'pass'), (3, 'text', 'warn'), (4, 'text', 'pass')) v(rule, path, status)
+    WHERE (SELECT count(*) FROM region WHERE r_regionkey = 0) = 1""")
+def json_rules_odd(env):
+    """Quotes in a path, and patterns that only another engine takes, judge one document without stopping the job."""
+    text = """{"a\\"b": 1, "a\\"b'c": 2, "text": "xy"}"""
+    docs = env.table("region").where("r_regionkey = 0").select(F.parse_json(F.lit(text)).alias("doc"))
+    rules = [D.Rule('a"b', "equals", "1"), D.Rule("a\"b'c", "equals", "2"), D.Rule("text", "matches regex", "(?P<x>x)"), D.Rule("text", "matches regex", "(?<x>x)")]
+    return DO.check_rules(docs, "doc", rules).select("rule", "path", "status")
+
+
 @query()
 def schema_fingerprint(env):
     """Columns and checksum of the whole catalog, beside the rows it stands for."""

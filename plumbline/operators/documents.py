@@ -178,7 +178,7 @@ def verdict_counts(verdicts: DataFrame) -> DataFrame:
 
 def mask_verdicts(verdicts: DataFrame, show_personal: bool = False, policy: NamePolicy = DEFAULT_POLICY) -> DataFrame:
     """Verdicts safe to show: the last path segment or the column name decides."""
-    last = F.element_at(F.split(F.col("field"), r"\."), -1)
+    last = F.regexp_replace(F.element_at(F.split(F.col("field"), r"\."), -1), r"(\[\d+\])+$", "")
     hidden = policy.secret_flag(last) | policy.secret_flag(F.col("db_column"))
     out = verdicts
     for c in ("expected", "api", "db"):

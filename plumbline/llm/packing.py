@@ -1,6 +1,6 @@
 """Operator 7, packing: token sequences of a fixed length with little padding, by the sum-of-squares rule.
 
-Documents are tokenized where they are read (each distinct word of a partition once) and packed in the same task, so nothing is
+Documents are tokenized where they are read (each distinct word once a task) and packed in the same task, so nothing is
 shuffled. A document longer than a sequence gives whole sequences and a rest. A rest goes, whole, to an open sequence: ``levels``
 counts the open sequences at each fill level, and the level chosen is the one after which the sum of squared counts is smallest;
 an empty level opens a sequence. A full sequence is written out. What is open when the partition ends (or when ``max_open``
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import gathered, read_docs
+from plumbline.llm.shingles import Hasher, buffers
 
 LENGTH = 4096
 #: open sequences a task may hold (two or four bytes a token)
@@ -100,7 +101,8 @@ class SumOfSquares:
 
 
 class WordIds(dict):
-    """Ids of a word by word; white space ends a token of this vocabulary, so a text's ids are those of its words."""
+    """Ids by word; white space ends a token of this vocabulary and letter case does not count, so a text's ids are those of its
+    words. A word is known by its 64-bit hash, as a number of ``starts`` and ``lengths`` into ``flat``."""
 
     def __init__(self, tokenizer_json: str, most: int = MAX_WORDS):
         super().__init__()
@@ -109,31 +111,32 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.most = Tokenizer.from_str(tokenizer_json), most
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used, self.starts, self.lengths = 0, [], []
-
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that are new, together."""
-        if len(self) + len(words) > self.most and len(self):
-            self.clear()
-            self.used, self.starts, self.lengths = 0, [], []
-        new = [w for w in words if w not in self]
-        for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids = code.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.used:self.used + len(ids)] = ids
-            self[word] = len(self.starts)
-            self.starts.append(self.used)
-            self.lengths.append(len(ids))
-            self.used += len(ids)
-
-
-def words_of_text(text: str | None) -> list[str]:
-    """The text cut at ASCII white space only; other white space is left to the tokenizer."""
-    for blank in "\t\n\x0b\x0c\r":
-        text = text.replace(blank, " ") if text else ""
-    return [w for w in text.split(" ") if w]
+        self._emptied()
+
+    def _emptied(self) -> None:
+        self.clear()
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def numbers(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each word; words that are new are encoded, each once."""
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        if len(self) + len(keys) > self.most:
+            self._emptied()
+        new = [i for i, h in enumerate(keys) if h not in self]
+        whole = data.tobytes()
+        at = first[new]
+        words = [whole[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        for begin in range(0, len(words), 8192):
+            codes = self.tokenizer.encode_batch_fast(words[begin:begin + 8192], add_special_tokens=False)
+            found = [c.ids for c in codes]
+            lengths = np.array([len(f) for f in found], np.int64)
+            flat = np.array([x for f in found for x in f], np.uint32)
+            self.update(zip((keys[i] for i in new[begin:begin + 8192]), range(len(self.starts), len(self.starts) + len(found))))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.flat = np.concatenate([self.flat, flat])
+        return np.array([self[h] for h in keys], np.int64)[back] if keys else np.zeros(0, np.int64)
 
 
 def pack(docs: DataFrame, tokenizer_json: str, end_id: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
@@ -147,23 +150,19 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int = 2, length: int = LE
     shared = spark.sparkContext.broadcast(tokenizer_json)  # as large as the vocabulary file
 
     def packed(batches):
-        known = WordIds(shared.value)
+        known, hasher = WordIds(shared.value), Hasher()
         packer = SumOfSquares(length, TaskContext.get().partitionId() << 32, max_open)
         for batch in batches:
-            rows = []
-            ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids_of), 256):
-                split = [words_of_text(t) for t in texts.slice(at, 256).to_pylist()]
-                known.learn(set().union(*split))
-                starts, lengths = np.array(known.starts, np.int64), np.array(known.lengths, np.int64)
-                for doc_id, words in zip(ids_of[at:at + 256], split):
-                    codes = np.array([known[w] for w in words], np.int64)
-                    ids = np.empty(int(lengths[codes].sum()) + 1 if len(codes) else 1, np.uint32)
-                    if len(codes):
-                        ids[:-1] = gathered(known.flat, starts[codes], lengths[codes])
-                    ids[-1] = end_id
-                    for start in range(0, len(ids), length):
-                        rows.extend(packer.add((doc_id, start, ids[start:start + length].copy(), len(ids))))
+            data, bounds = buffers(batch.column(1))
+            hashes, counts, starts, ends = hasher.placed(data, bounds)
+            numbers = known.numbers(data, hashes, starts, ends)
+            rows, last = [], 0
+            for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist()):
+                own = numbers[last:last + n]
+                last += n
+                ids = np.append(gathered(known.flat, known.starts[own], known.lengths[own]), np.uint32(end_id))
+                for start in range(0, len(ids), length):
+                    rows.extend(packer.add((doc_id, start, ids[start:start + length].copy(), len(ids))))
             yield _batch(rows)
         yield _batch(list(packer.closed()))
 

@@ -104,17 +104,21 @@ class Ordinal:
 
 def _telling(rows: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
     """Numbers of the features that tell grades apart; chance differences of rare words would add up in long texts."""
-    flat, of = np.concatenate(rows), np.repeat(grades, [len(r) for r in rows])
-    numbers, at = np.unique(flat, return_inverse=True)
-    df, n, telling = np.bincount(at), len(rows), np.zeros(len(numbers), bool)
+    n = len(rows)
+    numbers, df = np.unique(np.concatenate(rows), return_counts=True)
+    often = df >= min(LEAST, max(1, n // 20))
+    numbers, df = numbers[often], df[often]
+    telling = np.zeros(len(numbers), bool)
     for k in range(GRADES - 1):
         above = int((grades > k).sum())
         if 0 < above < n:
-            high = np.bincount(at, of > k, len(numbers))
+            found, counts = np.unique(np.concatenate([r for r, g in zip(rows, grades) if g > k]), return_counts=True)
+            at = np.minimum(np.searchsorted(found, numbers), len(found) - 1)
+            high = np.where(found[at] == numbers, counts[at], 0)
             p = df / n
             error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / above + 1 / (n - above)))
             telling |= np.abs(high / above - (df - high) / (n - above)) >= min(SIGNIFICANT, n / 8) * error
-    return numbers[telling & (df >= min(LEAST, max(1, n // 20)))]
+    return numbers[telling]
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 400, rate: float = 0.15, ridge: float = 1e-5) -> Ordinal:
@@ -169,13 +173,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     def made(batches):
         known = Features()
         for batch in batches:
-            found = [known.of(t).astype("<u4").tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "grade", "features"])
+            found = [known.of(t).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["grade", "features"])
 
-    rows = pairs.select("doc_id", "grade", "text").mapInArrow(made, "doc_id long, grade int, features binary").collect()
+    made_rows = pairs.select("grade", "text").mapInArrow(made, "grade int, features binary")
+    rows = [(r["features"], r["grade"]) for r in made_rows.collect()]  # at most ``sample`` rows
     # one row for each set of features and grade: copies of one document would make its chance words look telling
-    once = sorted({(bytes(r["features"]), r["grade"]) for r in rows})
-    return fit([np.frombuffer(f, "<u4").astype(np.int64) for f, _ in once], np.array([g for _, g in once], np.int64))
+    once = sorted({(bytes(f), g) for f, g in rows})
+    del rows
+    return fit([np.frombuffer(f, "<i4") for f, _ in once], np.array([g for _, g in once], np.int64))
 
 
 def scored(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

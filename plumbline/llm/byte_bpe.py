@@ -1,13 +1,14 @@
 """Operator 6, byte-level BPE encoding and decoding.
 
-Texts are cut into pre-tokens by the tokenizer's pattern. Pre-tokens leave a block of documents once each, with their number in the
-block (``blocks``); they are shuffled by word over the whole corpus, each distinct one is encoded once, and its ids go back to every
+Texts are cut into pre-tokens by the tokenizer's pattern. Pre-tokens leave a block of documents once each, in packed lists by part of
+all words (``blocks``); a part meets over the whole corpus, each distinct word in it is encoded once, and its ids go back to every
 block that has it, where a document's ids are put together by position. Decoding joins the table of token bytes.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,10 @@ from plumbline.llm import blocks
 from plumbline.llm.common import gathered, read_docs
 
 
+#: characters of text for one part of all words
+PART_CHARS = 20_000_000
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: base64 of a token's bytes and its rank on each line."""
     with open(path, "rb") as lines:
@@ -35,23 +40,29 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
         return [m.encode() for m in regex.findall(pattern, text)] if text else []
 
-    def encoded(batches):
+    def encoded(table: pa.Table) -> pa.Table:
         import tiktoken
 
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
-        last, ids = None, b""
-        for batch in batches:
-            out = []
-            for word in batch.column(3).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(own.encode_ordinary(word.decode()), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["block", "code", "dictionary", "ids"])
+        known: dict[bytes, bytes] = {}  # each word of this part of all words once
+        out = []
+        for sizes, words in zip(table.column("sizes").to_pylist(), table.column("words").to_pylist()):
+            ids = []
+            for word in blocks.unpacked_pieces(sizes, words):
+                if word not in known:
+                    known[word] = np.array(own.encode_ordinary(word.decode()), "<u4").tobytes()
+                ids.append(known[word])
+            out.append((blocks.packed(np.array([len(x) // 4 for x in ids], np.int64)), blocks.packed(np.frombuffer(b"".join(ids), "<u4"))))
+        return pa.table([table.column("part"), table.column("block"), table.column("dictionary"), pa.array([o[0] for o in out], pa.binary()),
+                         pa.array([o[1] for o in out], pa.binary())], [c.split()[0] for c in answer.split(", ")])
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        data, sizes = blocks.flat_binary(right.column("ids"))
-        flat, lengths = data.view("<u4") if len(data) else np.zeros(0, "<u4"), sizes // 4
+        order = np.argsort(right.column("part").to_numpy())
+        take = lambda name: [x for i in order for x in [right.column(name)[int(i)].as_py()]]
+        none = np.zeros(0, np.int64)
+        lengths = np.concatenate([none, *[blocks.unpacked(x).astype(np.int64) for x in take("lengths")]])
+        flat = np.concatenate([none.astype("<u4"), *[blocks.unpacked(x).astype("<u4") for x in take("ids")]])
+        blocks.checked(left, right, len(lengths))
         starts = np.cumsum(lengths) - lengths
         out = []
         for codes in left.column("codes").to_pylist():
@@ -59,9 +70,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             out.append(gathered(flat, starts[codes], lengths[codes]).tobytes() if len(codes) else b"")
         return pa.table([left.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    by_word = blocks.words(rows, pre_tokens).drop("n").repartition("word").sortWithinPartitions("word")
-    answers = by_word.mapInArrow(encoded, "block long, code int, dictionary long, ids binary")
-    return blocks.matched(blocks.texts(rows, pre_tokens), answers, put_together, "doc_id long, ids binary")
+    answer = "part long, block long, dictionary long, lengths binary, ids binary"
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((rows.agg(F.sum(F.char_length(text_col))).first()[0] or 0) / PART_CHARS))
+    answers = blocks.word_lists(rows, pre_tokens, parts).groupBy("part").applyInArrow(encoded, answer)
+    own = blocks.texts(rows, pre_tokens, parts=parts)
+    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(put_together, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

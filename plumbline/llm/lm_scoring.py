@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import blocks
-from plumbline.llm.common import dropped, read_docs, words_of, written
+from plumbline.llm.common import dropped, read_docs, written
 
 #: rows of the weight table; classes: end, TOP common words, BINS shares, rare
 WIDTH, TOP, BINS = 1 << 15, 30, 16
@@ -38,10 +38,6 @@ END = b"\n"
 _CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, hashes binary, classes binary"
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return [*words_of(text), END]
-
-
 def held_out(doc_id: int | None) -> bool:
     """crc32 of the id as text, modulo 7, is 2; a NULL id is no text and is learned from."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
@@ -177,7 +173,7 @@ def _batches_of(batch: pa.RecordBatch, at: int, learn: bool):
 def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Counts]:
     """A table of the documents as token hashes and classes with their base scores, and the counts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    each = blocks.words(rows, tokens_of, lambda i: not held_out(i))
+    each = blocks.words(rows, END, lambda i: not held_out(i))
     of_word = Window.partitionBy("word")
     answers = written(each.select(
         "block", "code", "dictionary", F.sum("n").over(of_word).alias("count"), F.pmod(F.xxhash64("word"), F.lit(1 << 16)).cast("int").alias("hash"),
@@ -201,7 +197,7 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         columns = list(zip(*out)) if out else [[]] * len(kinds)
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in _CODED.split(", ")])
 
-    table = written(blocks.matched(blocks.texts(rows, tokens_of), answers, put_together, _CODED), "op4-coded")
+    table = written(blocks.matched(blocks.texts(rows, END), answers, put_together, _CODED), "op4-coded")
     dropped(answers)
     return table, counts
 

@@ -122,13 +122,21 @@ def features(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """log P(class | context) of each token."""
-    out = weights[rows[0]]
+def _sums(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Unnormalised log-probabilities of the classes, the largest of each token 0."""
+    out, part = np.empty((2, rows.shape[1], weights.shape[1]), np.float32)
+    np.take(weights, rows[0], 0, out=out, mode="clip")
     for r in rows[1:]:
-        out += weights[r]
+        np.take(weights, r, 0, out=part, mode="clip")
+        out += part
     out += bias
     out -= out.max(1, keepdims=True)
+    return out
+
+
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """log P(class | context) of each token."""
+    out = _sums(weights, bias, rows)
     out -= np.log(np.exp(out).sum(1, keepdims=True))
     return out
 
@@ -141,18 +149,22 @@ class Trainer:
         self.squares, self.seen = np.full(len(weights), 1e-4, np.float32), np.zeros(len(weights), np.float32)
 
     def step(self, rows: np.ndarray, classes: np.ndarray) -> None:
-        slope = np.exp(_logits(self.weights, self.bias, rows))
+        slope = _sums(self.weights, self.bias, rows)
+        np.exp(slope, out=slope)
+        slope /= slope.sum(1, keepdims=True)
         slope[np.arange(len(classes)), classes] -= 1
+        part = np.empty_like(slope)
         for r in rows:
             order = np.argsort(r, kind="stable")
             own = r[order]
             starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            summed = np.add.reduceat(slope[order], starts)
-            row, n = own[starts], np.diff(np.append(starts, len(own)))
+            summed = np.add.reduceat(np.take(slope, order, 0, out=part, mode="clip"), starts)
+            row, n = own[starts], np.diff(np.append(starts, len(own))).astype(np.float32)
             summed /= n[:, None]  # the mean, so that common features do not overshoot
             self.seen[row] += n
-            self.squares[row] += np.einsum("ij,ij->i", summed, summed) / summed.shape[1] * 4
-            self.weights[row] -= (RATE / np.sqrt(self.squares[row]))[:, None] * summed
+            self.squares[row] += np.einsum("ij,ij->i", summed, summed) * np.float32(4 / summed.shape[1])
+            summed *= (np.float32(RATE) / np.sqrt(self.squares[row]))[:, None]
+            self.weights[row] -= summed
 
 
 def _batches_of(batch: pa.RecordBatch, at: int, learn: bool):

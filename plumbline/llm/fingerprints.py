@@ -78,13 +78,14 @@ def _in_buckets(rows: DataFrame, n: int) -> DataFrame:
         bucket = F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + below(inner))
     else:
         bucket = F.lit(0)
-    rows = rows.withColumn("bucket", bucket.cast("int"))
+    # never NULL, so that no reader adds a filter and all can share one shuffle
+    rows = rows.withColumn("bucket", F.coalesce(bucket.cast("int"), F.lit(0)))
     firsts = sorted((r["bucket"], r["place"]) for r in rows.groupBy("bucket").agg(F.min("place").alias("place")).collect())
     if not firsts:
         return rows.withColumn("guard", F.lit(False))
     follows = [(place, firsts[i - 1][0]) for i, (_, place) in enumerate(firsts)]
     small = rows.sparkSession.createDataFrame(follows, "place long, before int")
-    guards = rows.drop("bucket").join(F.broadcast(small), "place").withColumnRenamed("before", "bucket")
+    guards = rows.drop("bucket").join(F.broadcast(small), "place").withColumn("bucket", F.coalesce("before", F.lit(0))).drop("before")
     return rows.withColumn("guard", F.lit(False)).unionByName(guards.withColumn("guard", F.lit(True)))
 
 
@@ -99,7 +100,7 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).withColumn(
         "place", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    order = Window.partitionBy("bucket").orderBy("guard", "place", "row_hash")
+    order = Window.partitionBy("bucket").orderBy("guard", "place", "doc_id", "row_hash")
     turn = _in_buckets(rows, n).withColumn("row_hash", F.xxhash64("body"))
     sized = turn.withColumn("n_chars", F.char_length("body").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")

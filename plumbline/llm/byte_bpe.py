@@ -21,6 +21,8 @@ from plumbline.llm.common import gathered, read_docs
 
 #: characters of text for one part of all words
 PART_CHARS = 20_000_000
+#: characters of text in a block; a task holds one block, its ids and its decoded bytes
+BLOCK_CHARS = 8_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -72,8 +74,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     answer = "part long, block long, dictionary long, lengths binary, ids binary"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((rows.agg(F.sum(F.char_length(text_col))).first()[0] or 0) / PART_CHARS))
-    answers = blocks.word_lists(rows, pre_tokens, parts).groupBy("part").applyInArrow(encoded, answer)
-    own = blocks.texts(rows, pre_tokens, parts=parts)
+    answers = blocks.word_lists(rows, pre_tokens, parts, BLOCK_CHARS).groupBy("part").applyInArrow(encoded, answer)
+    own = blocks.texts(rows, pre_tokens, BLOCK_CHARS, parts)
     return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(put_together, "doc_id long, ids binary")
 
 

@@ -117,19 +117,30 @@ def windows(words: np.ndarray, size: int, reach: int, shingle: int = WORDS_A_SHI
     n = len(words) - size + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total = np.zeros(len(words) - shingle + 1, np.uint64)
-    for j in range(shingle):
-        part = words[j:len(words) - shingle + 1 + j]
-        total += (part ^ (part >> np.uint64(29))) * _PLACES[j]
-    shingles = mixed(total)
-    view = np.lib.stride_tricks.sliding_window_view(shingles, min(reach, len(shingles)))
+    runs = word_runs(words, shingle)
+    view = np.lib.stride_tricks.sliding_window_view(runs, min(reach, len(runs)))
     at = np.unique(view.argmin(1) + np.arange(len(view)))
     at = at[at < n]
+    hashes, first = np.unique(window_hashes(runs, at, size, shingle), return_index=True)
+    return at[first], hashes
+
+
+def word_runs(words: np.ndarray, shingle: int = WORDS_A_SHINGLE) -> np.ndarray:
+    """Hash of the ``shingle`` words that start at each word but the last ones."""
+    n = max(0, len(words) - shingle + 1)
+    total = np.zeros(n, np.uint64)
+    for j in range(shingle):
+        part = words[j:n + j]
+        total += (part ^ (part >> np.uint64(29))) * _PLACES[j]
+    return mixed(total)
+
+
+def window_hashes(runs: np.ndarray, at: np.ndarray, size: int, shingle: int = WORDS_A_SHINGLE) -> np.ndarray:
+    """Hashes of the windows of ``size`` words at the given places; ``runs`` are those of ``word_runs``."""
     hashes = np.zeros(len(at), np.uint64)
     for j in range(size // shingle):
-        hashes += (shingles[at + j * shingle] ^ np.uint64(j)) * _PLACES[16 + j]
-    hashes, first = np.unique(mixed(hashes), return_index=True)
-    return at[first], hashes
+        hashes += (runs[at + j * shingle] ^ np.uint64(j)) * _PLACES[16 + j]
+    return mixed(hashes)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,26 +6,32 @@ one node; ``linking`` compares nodes that collide by their exact Jaccard similar
 
 A passage need not be a line of its own: it may stand in the middle of a longer line or run over several short ones. So each text also
 gives windows of ``WINDOW`` words that start where the text's own words say (``shingles.windows``): two documents that share 50 words
-in a row share a window. Equal windows that lie together are one passage; the document with the smallest id keeps it.
+in a row share a window. These are seeds: around those that occur twice every window is looked up by its key, so a passage is found
+from its first word to its last. Windows travel as packed lists, each block of texts naming a key once, and meet by range of keys; what
+returns to the block says which occur elsewhere and who keeps them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import mixed, read_docs, written
 from plumbline.llm.linking import linked
-from plumbline.llm.shingles import WORDS_A_SHINGLE, Hasher, buffers, from_bytes, to_bytes, windows
+from plumbline.llm.shingles import WORDS_A_SHINGLE, Hasher, buffers, from_bytes, to_bytes, window_hashes, windows, word_runs
 
 PERCENT, MIN_WORDS = 75, 40
 BANDS, ROWS = 10, 3
 #: words of a window, and shingles among which a window's start is the smallest: together 50 words
 WINDOW, REACH = 25, 26
+#: bytes of text whose windows are dealt out together
+PIECE_BYTES = 8_000_000
 _KINDS = {"doc_id": pa.int64(), "row_hash": pa.int64(), "paragraph": pa.int32(), "start": pa.int64(), "n_chars": pa.int32(),
           "n_words": pa.int32(), "node": pa.int64(), "n": pa.int32()}
 
@@ -155,50 +161,223 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
                       F.col("first.paragraph").alias("keep_paragraph"), kept.alias("kept"))
 
 
+def _pieces(batches, hasher: Hasher):
+    """Rows of ``_rows`` in pieces of some ``PIECE_BYTES`` of text, and their words: (rows, bytes, bounds, hashes, counts, starts, ends)."""
+    for batch in batches:
+        at, sizes = 0, buffers(batch.column(2))[1]
+        while at < batch.num_rows:
+            to = min(batch.num_rows, max(at + 1, int(np.searchsorted(sizes, sizes[at] + PIECE_BYTES, "right")) - 1))
+            rows = batch.slice(at, to - at)
+            data, bounds = buffers(rows.column(2))
+            yield rows, data, bounds, *hasher.placed(data, bounds)
+            at = to
+
+
+def _seeds(hashes: np.ndarray, counts: np.ndarray, window: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place among all words of the piece, and hash of each text's sampled windows."""
+    row, at, keys, last = [], [], [], 0
+    for i, n in enumerate(counts.tolist()):
+        places, own = windows(hashes[last:last + n], window, reach)
+        row.append(np.full(len(places), i))
+        at.append(places + last)
+        keys.append(own)
+        last += n
+    return np.concatenate(row), np.concatenate(at), np.concatenate(keys)
+
+
+def _dealt(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Part of all keys that each belongs to; it grows with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _marks(keys: np.ndarray) -> np.ndarray:
+    """Four of 64 bits."""
+    out = np.zeros(len(keys), np.uint64)
+    for shift in (24, 30, 36, 42):
+        out |= np.uint64(1) << (keys >> np.uint64(shift) & np.uint64(63))
+    return out
+
+
+class _Filter:
+    """A Bloom filter of keys, some 16 bits a key, by part; it may accept other keys too, but refuses none of its own."""
+
+    def __init__(self, slices: dict[int, bytes], parts: int):
+        words = [np.frombuffer(slices.get(p, bytes(8)), "<u8") for p in range(parts)]
+        self.sizes = np.array([len(w) for w in words], np.uint64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bits = np.concatenate(words)
+
+    @staticmethod
+    def slice(keys: np.ndarray) -> bytes:
+        words = np.zeros(1 << max(0, (len(keys) // 4).bit_length()), np.uint64)
+        np.bitwise_or.at(words, keys & np.uint64(len(words) - 1), _marks(keys))
+        return words.astype("<u8").tobytes()
+
+    def accepts(self, keys: np.ndarray) -> np.ndarray:
+        part, marks = _dealt(keys, len(self.sizes)), _marks(keys)
+        return self.bits[self.starts[part] + (keys & (self.sizes[part] - np.uint64(1)))] & marks == marks
+
+
+def _shared_seeds(source: DataFrame, window: int, reach: int, parts: int) -> _Filter:
+    """Sampled windows that occur twice or more."""
+
+    def sampled(batches):
+        hasher = Hasher()
+        for _, _, _, hashes, counts, *_ in _pieces(batches, hasher):
+            keys, n = np.unique(_seeds(hashes, counts, window, reach)[2], return_counts=True)
+            keys = np.repeat(keys, np.minimum(n, 2))
+            cuts = np.searchsorted(_dealt(keys, parts), np.arange(parts + 1))
+            own = np.flatnonzero(np.diff(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([keys[cuts[p]:cuts[p + 1]].tobytes() for p in own], pa.binary())], ["part", "keys"])
+
+    def met(table: pa.Table) -> pa.Table:
+        keys, n = np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64), return_counts=True)
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([_Filter.slice(keys[n > 1])], pa.binary())})
+
+    slices = source.mapInArrow(sampled, "part long, keys binary").groupBy("part").applyInArrow(met, "part long, bits binary").collect()
+    return _Filter({r.part: bytes(r.bits) for r in slices}, parts)
+
+
+def _packed(values: np.ndarray, kind: str) -> bytes:
+    """Numbers as their differences, compressed."""
+    return zlib.compress(np.diff(values.astype(kind), prepend=values.astype(kind)[:0].dtype.type(0)).astype(kind).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), kind), dtype=kind)
+
+
+def _runs(doc: np.ndarray, word: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each row of windows that overlap or touch, in order of document and word."""
+    opens = np.ones(len(doc), bool)
+    opens[1:] = (doc[1:] != doc[:-1]) | (word[1:] > word[:-1] + window)
+    first = np.flatnonzero(opens)
+    return first, np.append(first[1:], len(doc)) - 1
+
+
+_PLACED = "block long, part int, base long, keys binary, n binary, doc binary, word binary, place binary, hash binary, start binary, stop binary, none binary"
+
+
 def repeated_passages(docs: DataFrame, window: int = WINDOW, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per run of words that other documents have too: doc_id, row_hash, start and n_chars (code points), n_words (at
-    least), group_size (documents that share a part of it, at most), keep_id (the smallest id among them), kept (it is this document's).
+    """One row per run of words that stand elsewhere too: doc_id, row_hash, start and n_chars (code points), n_words, group_size
+    (occurrences of a part of it, at most), keep_id (the smallest id among them), kept (it is this document's).
 
-    Rows repeated with one id and one text are one document; NULL ids come first.
+    A run is a union of windows: each ``window`` words in a row of it occur elsewhere, and the first occurrence, by id, text hash and
+    word, stays. Around a seed that two texts share, runs are whole: every window up to ``reach`` words from a seed is looked up by
+    key, and two seeds of a common run are no further apart. Windows that overlap the first occurrence in their own text are neither
+    kept nor dropped. Rows repeated with one id and one text are one document; NULL ids come first.
     """
+    source, spark = _rows(docs, id_col, text_col), docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast(_shared_seeds(source, window, reach, parts).__dict__)
 
     def placed(batches):
-        hasher = Hasher()
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
-                data, bounds = buffers(part.column(2))
-                hashes, counts, starts, ends = hasher.placed(data, bounds)
-                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                row, at, keys, last = [], [], [], 0
-                for i, n in enumerate(counts.tolist()):
-                    places, own = windows(hashes[last:last + n], window, reach)
-                    row.append(np.full(len(places), i))
-                    at.append(places + last)
-                    keys.append(own)
-                    last += n
-                row, at, keys = np.concatenate(row), np.concatenate(at), np.concatenate(keys)
-                if len(row):
-                    take, zero = pa.array(row), points[bounds[row]]
-                    yield pa.RecordBatch.from_arrays([
-                        part.column(0).take(take), part.column(1).take(take), pa.array(keys.astype(np.int64)), pa.array((at - (np.cumsum(counts) - counts)[row]).astype(np.int32)),
-                        pa.array(points[starts[at]] - zero), pa.array(points[ends[at + window - 1]] - zero)],
-                        ["doc_id", "row_hash", "key", "word", "start", "stop"])
-
-    kinds = "doc_id long, row_hash long, key long, word int, start long, stop long"
-    every = written(_rows(docs, id_col, text_col).mapInArrow(placed, kinds), "op10-windows").withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    common = every.groupBy("key").agg(
-        F.min("place").alias("low"), F.max("place").alias("high"), F.min("row_hash").alias("a"), F.max("row_hash").alias("b"), F.count("*").alias("size"))
-    common = common.where("low <> high OR a <> b").select("key", "low", "size")
-    shared = every.join(common, "key").withColumn("kept", F.col("place") == F.col("low"))
-    own = Window.partitionBy("doc_id", "row_hash", "kept").orderBy("word")
-    reached = F.max(F.col("word") + window).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    runs = shared.withColumn("opens", F.coalesce(F.col("word") > reached, F.lit(True)).cast("int")).withColumn("run", F.sum("opens").over(own))
-    return runs.groupBy("doc_id", "row_hash", "kept", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("word") + window - F.min("word")).alias("n_words"),
-        F.max("size").alias("group_size"), F.min("low").alias("low")).select(
-        "doc_id", "row_hash", "start", (F.col("stop") - F.col("start")).cast("int").alias("n_chars"), "n_words", "group_size",
-        F.when(F.col("low") > -(1 << 63), F.col("low")).alias("keep_id"), "kept")
+        hasher, seeds = Hasher(), _Filter({}, 1)
+        seeds.__dict__.update(shared.value)
+        block = TaskContext.get().partitionId() << 24
+        for rows, data, bounds, hashes, counts, starts, ends in _pieces(batches, hasher):
+            row, at, keys = _seeds(hashes, counts, window, reach)
+            hit = seeds.accepts(keys)
+            row, at, first = row[hit], at[hit], np.cumsum(counts) - counts
+            change = np.bincount(np.maximum(at - reach, first[row]), minlength=len(hashes) + 1)
+            change -= np.bincount(np.minimum(at + reach + 1, first[row] + counts[row] - window + 1), minlength=len(hashes) + 1)
+            at = np.flatnonzero(np.cumsum(change) > 0)
+            if not len(at):
+                continue
+            doc = np.searchsorted(first + counts, at, "right")
+            used, doc = np.unique(doc, return_inverse=True)
+            first = first[used]
+            place = rows.column(0).take(pa.array(used))
+            none = place.is_null().to_numpy(zero_copy_only=False)
+            place, hashed = place.fill_null(-(1 << 63)).to_numpy(), rows.column(1).take(pa.array(used)).to_numpy()
+            rank = np.unique(np.stack([place, hashed], 1), axis=0, return_inverse=True)[1].reshape(-1)
+            word = at - first[doc]
+            own = window_hashes(word_runs(hashes), at, window)
+            order = np.lexsort((word, rank[doc], own))
+            a, b = order[1:], order[:-1]
+            new = np.append(True, own[a] != own[b])
+            other = ~new & np.append(False, (rank[doc[a]] != rank[doc[b]]) | (word[a] != word[b]))
+            lead, number = order[new], np.empty(len(at), np.int64)
+            number[order] = np.cumsum(new) - 1
+            n = np.bincount(number) * 2 + (np.bincount(number[order], other) > 0)  # occurrences, and whether they are at two places
+            points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            zero = points[bounds[used]][doc]
+            lines = [(block, -1, 0, number.astype("<u4").tobytes(), b"", _packed(doc, "<i4"), _packed(word, "<i4"), place.tobytes(), hashed.tobytes(),
+                      _packed(points[starts[at]] - zero, "<i4"), _packed(points[ends[at + window - 1]] - zero, "<i4"), none.tobytes())]
+            cuts = np.searchsorted(_dealt(own[lead], parts), np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                mine = lead[cuts[p]:cuts[p + 1]]
+                named, inner = np.unique(doc[mine], return_inverse=True)
+                lines.append((block, p, cuts[p], own[mine].tobytes(), _packed(n[cuts[p]:cuts[p + 1]], "<i4"), _packed(inner, "<i4"), _packed(word[mine], "<i4"),
+                              place[named].tobytes(), hashed[named].tobytes(), b"", b"", b""))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 9)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*lines), kinds)], [c.split()[0] for c in _PLACED.split(", ")])
+            block += 1
+
+    every = written(source.mapInArrow(placed, _PLACED), "op10-windows")
+
+    def decided(table: pa.Table) -> pa.Table:
+        """For each block the keys that occur at two places: whether the first is its own, the first one's id, the occurrences."""
+        lists = table.to_pylist()
+        keys = [np.frombuffer(x["keys"], np.uint64) for x in lists]
+        doc = [_unpacked(x["doc"], "<i4") for x in lists]
+        place = np.concatenate([np.frombuffer(x["place"], "<i8")[d] for x, d in zip(lists, doc)])
+        hashed = np.concatenate([np.frombuffer(x["hash"], "<i8")[d] for x, d in zip(lists, doc)])
+        word, n = (np.concatenate([_unpacked(x[c], "<i4") for x in lists]) for c in ("word", "n"))
+        lengths, flat = [len(k) for k in keys], np.concatenate(keys)
+        order = np.lexsort((word, hashed, place, flat))
+        new = np.append(True, flat[order[1:]] != flat[order[:-1]])
+        group = np.empty(len(flat), np.int64)
+        group[order] = np.cumsum(new) - 1
+        lead = order[new][group]
+        first = (place == place[lead]) & (hashed == hashed[lead]) & (word == word[lead])
+        twice = (np.bincount(group, ~first | (n % 2 == 1)) > 0)[group]
+        size = np.bincount(group, n // 2).astype(np.int64)[group]
+        out, end = [], 0
+        for x, length in zip(lists, lengths):
+            at = np.flatnonzero(twice[end:end + length])
+            far = at + end
+            names, name = np.unique(place[lead[far]], return_inverse=True)
+            out.append((x["block"], _packed(at + x["base"], "<i8"), np.packbits(first[far]).tobytes(), names.tobytes(), _packed(name, "<i4"), _packed(size[far], "<i8")))
+            end += length
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), *[pa.binary()] * 5))], ["block", "at", "first", "names", "name", "size"])
+
+    answers = every.where("part >= 0").groupBy("part").applyInArrow(decided, "block long, at binary, first binary, names binary, name binary, size binary")
+    kinds = {"doc_id": pa.int64(), "row_hash": pa.int64(), "start": pa.int64(), "n_chars": pa.int32(), "n_words": pa.int32(), "group_size": pa.int64(),
+             "keep_id": pa.int64(), "kept": pa.bool_()}
+
+    def joined(own: pa.Table, found: pa.Table) -> pa.Table:
+        x = own.to_pylist()[0]
+        number = np.frombuffer(x["keys"], "<u4").astype(np.int64)
+        doc, word, start, stop = (_unpacked(x[c], "<i4") for c in ("doc", "word", "start", "stop"))
+        place, hashed, none = np.frombuffer(x["place"], "<i8"), np.frombuffer(x["hash"], "<i8"), np.frombuffer(x["none"], bool)
+        twice, mine, low, size = np.zeros(number.max() + 1, bool), np.zeros(number.max() + 1, bool), np.zeros(number.max() + 1, np.int64), np.zeros(number.max() + 1, np.int64)
+        for y in found.to_pylist():
+            at = _unpacked(y["at"], "<i8")
+            twice[at], size[at] = True, _unpacked(y["size"], "<i8")
+            mine[at] = np.unpackbits(np.frombuffer(y["first"], np.uint8), count=len(at))
+            low[at] = np.frombuffer(y["names"], "<i8")[_unpacked(y["name"], "<i4")]
+        rank = np.unique(np.stack([place, hashed], 1), axis=0, return_inverse=True)[1].reshape(-1)[doc]
+        order = np.lexsort((word, rank, number))
+        lead = order[np.append(True, number[order[1:]] != number[order[:-1]])][number]
+        near = mine[number] & (rank == rank[lead])
+        kept = near & (word == word[lead])
+        parts = []
+        for value, those in ((True, kept), (False, ~kept & ~(near & (word < word[lead] + window)))):
+            at = np.flatnonzero(those & twice[number])
+            if not len(at):
+                continue
+            a, b = _runs(doc[at], word[at], window)
+            begin, end, d = at[a], at[b], doc[at[a]]
+            least, most = np.minimum.reduceat(low[number[at]], a), np.maximum.reduceat(size[number[at]], a)
+            parts.append(pa.table([pa.array(c, k) for c, k in zip((
+                pa.array(place[d], mask=none[d]), hashed[d], start[begin], stop[end] - start[begin], word[end] + window - word[begin], most,
+                pa.array(least, mask=least == -(1 << 63)), np.full(len(d), value)), kinds.values())], list(kinds)))
+        return pa.concat_tables(parts) if parts else pa.schema(kinds.items()).empty_table()
+
+    runs = every.where("part < 0").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        joined, "doc_id long, row_hash long, start long, n_chars int, n_words int, group_size long, keep_id long, kept boolean")
+    return runs.distinct()  # rows repeated give theirs once
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

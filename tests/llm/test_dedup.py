@@ -193,6 +193,54 @@ def test_passages_inside_lines_and_over_lines_are_found_and_cut(make_docs):
         assert left[i] == whole[:r.start] + whole[r.start + r.n_chars:]
 
 
+def covered(texts, spans):
+    """(id, kept) -> words covered, by number."""
+    out = collections.defaultdict(set)
+    for i, start, n_chars, n_words, kept in spans:
+        first, n = len(texts[i][:start].split()), len(texts[i][start:start + n_chars].split())
+        assert n == n_words
+        out[i, kept] |= set(range(first, first + n))
+    return dict(out)
+
+
+def covered_want(texts, size=25):
+    """Every window of ``size`` words, by its earliest place; one that overlaps that place in its own text is neither kept nor dropped."""
+    places = collections.defaultdict(list)
+    for i, text in sorted(texts.items()):
+        tokens = brute.words(text)
+        for w in range(len(tokens) - size + 1):
+            places[tuple(tokens[w:w + size])].append((i, w))
+    out = collections.defaultdict(set)
+    for (i, w), *others in places.values():
+        if others:
+            out[i, True] |= set(range(w, w + size))
+        for j, v in others:
+            if j != i or v >= w + size:
+                out[j, False] |= set(range(v, v + size))
+    return dict(out)
+
+
+def passages_found(make_docs, texts):
+    got = substring_dedup.repeated_passages(make_docs(sorted(texts.items()))).select("doc_id", "start", "n_chars", "n_words", "kept").collect()
+    return covered(texts, [tuple(r) for r in got])
+
+
+def test_repeated_passages_are_whole_runs(make_docs):
+    """Shared runs of 50 to 130 words, inside and over lines, some part of a longer run whose other part an earlier text has."""
+    rng = np.random.default_rng(6)
+    prose = lambda n: " ".join(map(str, rng.integers(0, 10**9, n)))
+    texts = {i: prose(40) for i in (90, 91)}
+    for k, n in enumerate((50, 51, 52, 60, 75, 76, 101, 130)):
+        run = prose(n)
+        for j in range(3):
+            texts[10 * k + j] = prose(int(rng.integers(0, 70))) + "\n " + (run if j else run.replace(" ", "\n")) + " é " + prose(int(rng.integers(0, 70)))
+    head, middle, tail = prose(30), prose(55), prose(31)
+    texts |= {200: prose(9) + " " + middle + " " + prose(9), 201: prose(5) + " " + " ".join((head, middle, tail)), 202: " ".join((head, middle, tail)) + " " + prose(7)}
+    want = covered_want(texts)
+    assert passages_found(make_docs, texts) == want
+    assert [len(want[10 * k + 1, False]) for k in range(8)] == [50 + 1, 51 + 1, 52 + 1, 60 + 1, 75 + 1, 76 + 1, 101 + 1, 130 + 1]
+
+
 def test_repeats_of_nothing(nothing):
     assert substring_dedup.repeats(nothing).collect() == [] and substring_dedup.without_repeats(nothing).collect() == []
 

@@ -108,11 +108,12 @@ class Hasher:
         return flat[new], running[stops] - running[stops - n], counts
 
 
-def windows(words: np.ndarray, size: int, reach: int, shingle: int = WORDS_A_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def windows(words: np.ndarray, size: int, reach: int, shingle: int = WORDS_A_SHINGLE, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Places of windows of ``size`` words, and the hashes of these windows; ``size`` is a multiple of ``shingle``.
 
     A window starts where the shingle hash is the smallest of some ``reach`` neighbouring ones, so two texts that share
-    ``size + reach - 1`` words or more in a row have a window in common, wherever it stands. Of equal windows of a text the first counts.
+    ``size + reach - 1`` words or more in a row have a window in common, wherever it stands. Of equal windows of a text the first counts,
+    or ``every`` one.
     """
     n = len(words) - size + 1
     if n < 1:
@@ -121,7 +122,10 @@ def windows(words: np.ndarray, size: int, reach: int, shingle: int = WORDS_A_SHI
     view = np.lib.stride_tricks.sliding_window_view(runs, min(reach, len(runs)))
     at = np.unique(view.argmin(1) + np.arange(len(view)))
     at = at[at < n]
-    hashes, first = np.unique(window_hashes(runs, at, size, shingle), return_index=True)
+    hashes = window_hashes(runs, at, size, shingle)
+    if every:
+        return at, hashes
+    hashes, first = np.unique(hashes, return_index=True)
     return at[first], hashes
 
 

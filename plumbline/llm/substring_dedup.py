@@ -177,7 +177,7 @@ def _seeds(hashes: np.ndarray, counts: np.ndarray, window: int, reach: int) -> t
     """Row, place among all words of the piece, and hash of each text's sampled windows."""
     row, at, keys, last = [], [], [], 0
     for i, n in enumerate(counts.tolist()):
-        places, own = windows(hashes[last:last + n], window, reach)
+        places, own = windows(hashes[last:last + n], window, reach, every=True)
         row.append(np.full(len(places), i))
         at.append(places + last)
         keys.append(own)
@@ -264,8 +264,9 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, reach: int = REACH,
 
     A run is a union of windows: each ``window`` words in a row of it occur elsewhere, and the first occurrence, by id, text hash and
     word, stays. Around a seed that two texts share, runs are whole: every window up to ``reach`` words from a seed is looked up by
-    key, and two seeds of a common run are no further apart. Windows that overlap the first occurrence in their own text are neither
-    kept nor dropped. Rows repeated with one id and one text are one document; NULL ids come first.
+    key, and two seeds of a common run are no further apart. Inside one text, windows that overlap the first occurrence are neither kept
+    nor dropped, and words that only go on repeating themselves (each window overlaps its copy) are dropped from ``window + reach - 1`` words
+    on, the length from which runs are found for certain. Rows repeated with one id and one text are one document; NULL ids come first.
     """
     source, spark = _rows(docs, id_col, text_col), docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -362,9 +363,19 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, reach: int = REACH,
         lead = order[np.append(True, number[order[1:]] != number[order[:-1]])][number]
         near = mine[number] & (rank == rank[lead])
         kept = near & (word == word[lead])
+        order = np.lexsort((word, doc, number))
+        c, d = order[1:], order[:-1]
+        overlaps = np.zeros(len(doc), bool)  # the same window in the same text, less than its length before
+        overlaps[c] = (number[c] == number[d]) & (doc[c] == doc[d]) & (word[c] < word[d] + window)
+        dropped = np.flatnonzero(twice[number] & ~kept & ~(near & (word < word[lead] + window)))
+        if len(dropped):
+            a, b = _runs(doc[dropped], word[dropped], window)
+            over = np.logical_and.reduceat((near & overlaps)[dropped], a) & (word[dropped[b]] - word[dropped[a]] < reach - 1)
+            dropped = dropped[~np.repeat(over, b - a + 1)]
+        local = np.bincount(number)
+        others = (size > local) | (np.bincount(number[dropped], minlength=len(local)) > 0)
         parts = []
-        for value, those in ((True, kept), (False, ~kept & ~(near & (word < word[lead] + window)))):
-            at = np.flatnonzero(those & twice[number])
+        for value, at in ((True, np.flatnonzero(kept & twice[number] & others[number])), (False, dropped)):
             if not len(at):
                 continue
             a, b = _runs(doc[at], word[at], window)

@@ -203,20 +203,35 @@ def covered(texts, spans):
     return dict(out)
 
 
-def covered_want(texts, size=25):
-    """Every window of ``size`` words, by its earliest place; one that overlaps that place in its own text is neither kept nor dropped."""
+def covered_want(texts, size=25, least=50):
+    """Every window of ``size`` words, by its earliest place; one that overlaps that place in its own text is neither kept nor dropped,
+    and a run of windows that all overlap their copies there is dropped from ``least`` words on."""
     places = collections.defaultdict(list)
     for i, text in sorted(texts.items()):
         tokens = brute.words(text)
         for w in range(len(tokens) - size + 1):
             places[tuple(tokens[w:w + size])].append((i, w))
-    out = collections.defaultdict(set)
+    gone = collections.defaultdict(dict)
     for (i, w), *others in places.values():
-        if others:
-            out[i, True] |= set(range(w, w + size))
-        for j, v in others:
+        for (h, u), (j, v) in zip([(i, w), *others], others):
             if j != i or v >= w + size:
-                out[j, False] |= set(range(v, v + size))
+                gone[j][v] = j == i == h and v < u + size
+    for found in gone.values():
+        runs = []
+        for v in sorted(found):
+            if runs and v <= runs[-1][-1] + size:
+                runs[-1].append(v)
+            else:
+                runs.append([v])
+        for run in runs:
+            if all(found[v] for v in run) and run[-1] + size - run[0] < least:
+                for v in run:
+                    del found[v]
+    out = collections.defaultdict(set)
+    for (i, w), *others in places.values():
+        others = [(j, v) for j, v in others if v in gone[j]]
+        for j, v, kept in [(i, w, True)] * bool(others) + [(j, v, False) for j, v in others]:
+            out[j, kept] |= set(range(v, v + size))
     return dict(out)
 
 
@@ -241,6 +256,23 @@ def test_repeated_passages_are_whole_runs(make_docs):
     assert [len(want[10 * k + 1, False]) for k in range(8)] == [50 + 1, 51 + 1, 52 + 1, 60 + 1, 75 + 1, 76 + 1, 101 + 1, 130 + 1]
 
 
+def test_passages_repeated_in_one_text(make_docs):
+    """A run twice in one text and once in an earlier one, runs that only one text repeats, in and over lines, and a phrase over and over."""
+    rng = np.random.default_rng(8)
+    prose = lambda n: " ".join(map(str, rng.integers(0, 10**9, n)))
+    run, own, phrase = prose(60), prose(70), prose(10)
+    texts = {1: prose(20) + " " + run + " " + prose(20), 5: " ".join((prose(9), run, prose(30), run, prose(3))),
+             6: prose(12) + " " + own + " " + prose(33) + "\n" + own.replace(" ", "\n") + "\n" + prose(8) + " " + own, 7: " ".join([phrase] * 30), 8: "w " * 300, 9: "v " * 60}
+    want = covered_want(texts)
+    assert passages_found(make_docs, texts) == want
+    assert len(want[5, False]) == 120 and len(want[6, False]) == 140 and (1, False) not in want and len(want[6, True]) == 70
+    assert len(want[7, False]) == 270 and len(want[8, False]) == 275 and (9, True) not in want
+    left = {r.doc_id: r.text.split() for r in substring_dedup.without_repeats(make_docs(sorted(texts.items()))).collect()}
+    for i, text in texts.items():
+        if i < 7:  # the last two are lines of 40 words or more that repeat nothing as lines
+            assert left[i] == [w for n, w in enumerate(text.split()) if n not in want.get((i, False), ())]
+
+
 def test_repeats_of_nothing(nothing):
     assert substring_dedup.repeats(nothing).collect() == [] and substring_dedup.without_repeats(nothing).collect() == []
 

@@ -16,7 +16,7 @@ from plumbline.llm.common import ascii_lower, read_docs, written
 
 #: salts of a hash; 64 keep a line of a third of all documents below 1 % of the rows in one run
 SALTS = 64
-_BLANKS = "' \\t\\n\\u000B\\f\\r'"
+_BLANKS = "' \\t\\n\\u000B\\u000C\\r'"
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

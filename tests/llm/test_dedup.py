@@ -70,6 +70,17 @@ def test_line_dedup_of_common_lines(docs, rows, min_docs):
     assert counted(got) == line_want(rows, min_docs)
 
 
+def test_form_feeds_are_blanks_and_the_letter_f_is_not(make_docs):
+    """Lines of f and lines with form feeds at their ends, in nine documents and in ten."""
+    lines = {"f": 10, "ff": 9, "F ": 0, "if": 5, "i": 5, "of": 10, "o": 9, "fee": 9, "\x0cee": 1, "\x0cpage\x0c": 5, "page": 5, "\x0cnine": 9, "\x0c \x0c": 10}
+    rows = [(d, "\n".join([f"own {d}"] + [line for line, n in lines.items() if d < n or line == "F " and d == 9])) for d in range(12)]
+    docs = make_docs(rows)
+    got = line_dedup.kept_texts(docs, line_dedup.keep_bitmaps(docs, salts=4)).collect()
+    assert counted(got) == line_want(rows, 10)
+    left = {x for r in got for x in r.kept_text.split("\n")}
+    assert not left & {"f", "F ", "of"} and left >= {"ff", "if", "i", "o", "fee", "\x0cee", "\x0cnine"}
+
+
 def test_line_dedup_keeps_first_occurrences(make_docs):
     rows = [(1, "a\nb\na"), (2, "B \nc\n\n"), (3, None), (4, "d\nc\ne")]
     docs = make_docs(rows)

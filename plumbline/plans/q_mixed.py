@@ -62,17 +62,35 @@ def verified_links_mixed(env):
     'lines.l_shipdate' AS event FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber <> 7 WHERE o_orderkey < 200
     UNION ALL SELECT CAST(o_orderkey AS VARCHAR), o_orderdate, 'orders', 'o_orderkey=' || o_orderkey, 'o_orderdate', 'orders.o_orderdate' FROM orders WHERE o_orderkey < 200""")
 def linked_timeline_mixed(env):
+    return _mixed_timeline(env, env.table("orders").where("o_orderkey < 200"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS record, l_shipdate AS time, 'lines' AS "table", 'l_key=' || l_orderkey AS "row", 'l_shipdate' AS "column",
+    'lines.l_shipdate' AS event FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber <> 7
+    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), o_orderdate, 'orders', 'o_orderkey=' || o_orderkey, 'o_orderdate', 'orders.o_orderdate' FROM orders""")
+def linked_timeline_mixed_whole(env):
+    return _mixed_timeline(env, env.table("orders"))
+
+
+def _mixed_timeline(env, orders):
     own = _text_lines(env)
     own = own.with_tables(lines=own.table("lines").select("l_key", "l_shipdate"))
-    records = env.table("orders").where("o_orderkey < 200").select("o_orderkey", "o_orderdate")
-    out = TL.linked_timeline(own, "orders", records, "o_orderkey", [Link("lines", "l_key", "orders", "o_orderkey")])
+    out = TL.linked_timeline(own, "orders", orders.select("o_orderkey", "o_orderdate"), "o_orderkey", [Link("lines", "l_key", "orders", "o_orderkey")])
     return out.select("record", "time", "table", "row", "column", "event")
 
 
 @query("SELECT count(*) AS compared, 0::BIGINT AS matching, 0::BIGINT AS mismatched, count(*) AS missing_in_target, 0::BIGINT AS duplicate_in_target, count(*) AS missing_in_source FROM orders WHERE o_orderkey < 2000")
 def table_compare_long_keys(env):
     """Keys of 33 digits that differ in the last one only."""
-    rows = env.table("orders").where("o_orderkey < 2000")
+    return _long_keys(env, env.table("orders").where("o_orderkey < 2000"))
+
+
+@query("SELECT count(*) AS compared, 0::BIGINT AS matching, 0::BIGINT AS mismatched, count(*) AS missing_in_target, 0::BIGINT AS duplicate_in_target, count(*) AS missing_in_source FROM orders")
+def table_compare_long_keys_whole(env):
+    return _long_keys(env, env.table("orders"))
+
+
+def _long_keys(env, rows):
     long = lambda end: F.concat(F.lit("1" + "0" * 20), F.lpad(F.col("o_orderkey").cast("string"), 11, "0"), F.lit(end))
     a, b = (env.with_tables(long=rows.select(long(end).alias("k"), "o_totalprice")) for end in ("1", "2"))
     spec = {"source": {"table": "long", "key": "k"}, "target": {"table": "long", "key": "k"}, "fields": [{"source": "o_totalprice", "target": "o_totalprice"}]}
@@ -82,7 +100,15 @@ def table_compare_long_keys(env):
 @query("SELECT count(*) AS records FROM orders WHERE o_orderkey < 1000")
 def snapshot_decimal_scale(env):
     """Two scales of one decimal: every record is found on both sides, none has changed."""
-    rows = env.table("orders").where("o_orderkey < 1000")
+    return _two_scales(env.table("orders").where("o_orderkey < 1000"))
+
+
+@query("SELECT count(*) AS records FROM orders")
+def snapshot_decimal_scale_whole(env):
+    return _two_scales(env.table("orders"))
+
+
+def _two_scales(rows):
     sides = [SN.snapshot(rows.select(F.col("o_orderkey").cast(f"decimal(20,{s})").alias("k"), F.col("o_totalprice").cast(f"decimal(18,{s})").alias("p")), "k", b"key") for s in (2, 4)]
     return SN.snapshot_diff(*sides).where("field = 'p' AND change = 'same'").agg(F.count("*").alias("records"))
 
@@ -115,10 +141,19 @@ _DEEP = "abcdefghijkl"
 @query(f"SELECT o_orderkey, '{'.'.join(_DEEP)}' AS path, 'number' AS type, CAST(o_custkey AS VARCHAR) AS shown FROM orders WHERE o_orderkey < 500")
 def json_flatten_deep(env):
     """Twelve levels of objects: as many levels are opened as there are."""
+    return _flattened_deep(env.table("orders").where("o_orderkey < 500"))
+
+
+@query(f"SELECT o_orderkey, '{'.'.join(_DEEP)}' AS path, 'number' AS type, CAST(o_custkey AS VARCHAR) AS shown FROM orders")
+def json_flatten_deep_whole(env):
+    return _flattened_deep(env.table("orders"))
+
+
+def _flattened_deep(orders):
     inner = F.col("o_custkey").cast("string")
     for name in reversed(_DEEP):
         inner = F.concat(F.lit('{"' + name + '":'), inner, F.lit("}"))
-    docs = env.table("orders").where("o_orderkey < 500").select("o_orderkey", F.parse_json(inner).alias("doc"))
+    docs = orders.select("o_orderkey", F.parse_json(inner).alias("doc"))
     return DO.flatten_documents(docs, "doc").select("o_orderkey", "path", "type", "shown")
 
 
@@ -132,6 +167,17 @@ def json_rules_odd(env):
     return DO.check_rules(docs, "doc", rules).select("rule", "path", "status")
 
 
+@query("""SELECT o_orderkey, rule, path, CASE rule WHEN 1 THEN if(o_orderkey % 2 = 1, 'pass', 'fail') WHEN 2 THEN if(o_custkey % 3 = 2, 'pass', 'fail')
+    WHEN 3 THEN 'warn' ELSE if(o_orderstatus = 'F', 'pass', 'fail') END AS status
+    FROM orders, (VALUES (1, 'a"b'), (2, 'a"b''c'), (3, 'text'), (4, 'text')) v(rule, path)""")
+def json_rules_odd_whole(env):
+    """The odd paths and patterns over a document of each order."""
+    text = F.format_string('{"a\\"b": %d, "a\\"b\'c": %d, "text": "%s"}', F.col("o_orderkey") % 2, F.col("o_custkey") % 3, "o_orderstatus")
+    docs = env.table("orders").select("o_orderkey", F.parse_json(text).alias("doc"))
+    rules = [D.Rule('a"b', "equals", "1"), D.Rule("a\"b'c", "equals", "2"), D.Rule("text", "matches regex", "(?P<f>F)"), D.Rule("text", "matches regex", "(?<f>F)")]
+    return DO.check_rules(docs, "doc", rules).select("o_orderkey", "rule", "path", "status")
+
+
 @query()
 def schema_fingerprint(env):
     """Columns and checksum of the whole catalog, beside the rows it stands for."""

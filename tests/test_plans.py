@@ -106,3 +106,13 @@ def test_catalog_queries_read_the_columns_they_name(spark, queries):
 def test_history_is_not_windowed_by_check_alone(spark, queries):
     text = plan(queries["changes_between_runs"](spark, SF_DIR))
     assert "_bucket" in text
+
+
+WHOLE = ["linked_timeline_mixed_whole", "table_compare_long_keys_whole", "snapshot_decimal_scale_whole", "json_flatten_deep_whole", "json_rules_odd_whole"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_mixed_queries_over_whole_tables(spark, queries, name):
+    for word in ("LessThan", "r_regionkey"):
+        assert word not in plan(queries[name](spark, SF_DIR))
+    test_against_sql(spark, queries, name)

@@ -1,6 +1,6 @@
 """The registered queries of the operators, opN_<name>, and their SQL where SQL can express them."""
 
-from plumbline.llm import byte_bpe, exact_dedup, fingerprints, line_dedup, lm_scoring, ngram_join, packing, quality, substring_dedup, token_counts
+from plumbline.llm import byte_bpe, exact_dedup, fingerprints, line_dedup, lm_scoring, merkle, ngram_join, packing, quality, substring_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality": quality.op9_quality,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_merkle_manifest": merkle.ORACLE}

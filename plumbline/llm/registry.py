@@ -1,6 +1,6 @@
 """The registered queries of the operators, opN_<name>, and their SQL where SQL can express them."""
 
-from plumbline.llm import byte_bpe, exact_dedup, fingerprints, line_dedup, lm_scoring, merkle, ngram_join, packing, quality, substring_dedup, token_counts, whitening
+from plumbline.llm import byte_bpe, exact_dedup, fingerprints, line_dedup, lm_scoring, merkle, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, whitening
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_merkle_manifest": merkle.ORACLE}

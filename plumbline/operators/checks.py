@@ -91,27 +91,33 @@ def change(rows: Column, previous: Column) -> Column:
     return rows - previous
 
 
-#: run ids of a bucket of one check's history
-RUNS_A_BUCKET = 100_000
+def ranged(runs: DataFrame) -> DataFrame:
+    """The history sorted into ranges of (connection, check, run), cut at quantiles Spark samples, with the number of the range.
+
+    Ranges hold about equally many runs, however the run ids are spaced and however many of them are one check's.
+    """
+    order = ["connection", "check_id", "run_id", "result_rows"]
+    return runs.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
 
 
-def changes(runs: DataFrame, bucket: int = RUNS_A_BUCKET) -> DataFrame:
-    """Every run with the count before it and the change since.
+def changes(runs: DataFrame) -> DataFrame:
+    """Every run with the count before it and the change since; runs of one id go by their counts.
 
-    The history of a check is looked through in buckets of run ids, so no task holds all of it; the first run of a bucket takes
-    its predecessor from the last runs of the buckets, which are few.
+    Each range is looked through by itself. Only the first run of a check in a range lacks its predecessor, which is the last one of
+    that check in an earlier range: the last runs send a copy of their count, and per check these copies meet the first runs, a
+    row or two a range. All of it is one pass over one partitioning, so both sides see the same cuts.
     """
     check = ["connection", "check_id"]
-    placed = runs.withColumn("_bucket", F.floor(F.col("run_id") / bucket))
-    lasts = placed.groupBy(*check, "_bucket").agg(F.max(F.struct("run_id", "result_rows"))["result_rows"].alias("_last"))
-    carried = lasts.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*check).orderBy("_bucket"))).drop("_last")
-    keys = [F.col(f"_c_{c}") for c in (*check, "_bucket")]
-    carried = carried.select(*[F.col(c).alias(f"_c_{c}") for c in (*check, "_bucket")], "_carried")
-    before = Window.partitionBy(*check, "_bucket").orderBy("run_id")
-    own = placed.withColumn("_turn", F.row_number().over(before)).withColumn("_before", F.lag("result_rows").over(before))
-    met = [F.col(c).eqNullSafe(k) for c, k in zip((*check, "_bucket"), keys)]
-    out = own.join(carried, met, "left").select(
-        *runs.columns, F.when(F.col("_turn") == 1, F.col("_carried")).otherwise(F.col("_before")).alias("previous_rows"))
+    inside = Window.partitionBy("_range", *check).orderBy("run_id", "result_rows")
+    own = ranged(runs).withColumn("_turn", F.row_number().over(inside)).withColumn("_before", F.lag("result_rows").over(inside)).withColumn(
+        "_last", F.lead(F.lit(1)).over(inside).isNull())
+    # _copy 1: what a last run sends on. Rows that have their predecessor stay among their range
+    sent = own.withColumn("_copy", F.explode(F.when(F.col("_last"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    meets = (F.col("_copy") == 1) | (F.col("_turn") == 1)
+    sent = sent.withColumn("_at", F.when(meets, F.lit(-1)).otherwise(F.col("_range")))
+    between = Window.partitionBy(*check, "_at").orderBy("_range", "_copy", "run_id")
+    carried = F.when(F.col("_at") == -1, F.lag("result_rows").over(between)).otherwise(F.col("_before"))
+    out = sent.withColumn("previous_rows", carried).filter("_copy = 0").select(*runs.columns, "previous_rows")
     delta = change(F.col("result_rows"), F.col("previous_rows"))
     return out.withColumn("change", delta).withColumn("change_text", X.change_text(delta))
 

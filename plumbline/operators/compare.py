@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import privacy as P
@@ -160,14 +160,30 @@ def mask_compared(details: DataFrame, show_personal: bool = False, policy: NameP
     )
 
 
-def suggest_fields(columns: DataFrame, source: str, target: str, skip: Sequence[str] = (),
-                   policy: NamePolicy = DEFAULT_POLICY, limit: int | None = None) -> DataFrame:
-    """Columns of the same name on both sides, in source order, without keys and bookkeeping columns."""
+def suggest_fields(columns: DataFrame, source: str, target: str, skip: Sequence[str] = (), policy: NamePolicy = DEFAULT_POLICY,
+                   limit: int | None = None, alike: DataFrame | None = None, likeness: float = 0.5) -> DataFrame:
+    """Columns of the same name on both sides, in source order, without keys and bookkeeping columns.
+
+    With ``alike`` (``inclusion.matching_fields``: source, target, likeness) columns of one name must share a value, and a source
+    column without a namesake gets the free target column whose values are most like its own, from ``likeness`` on. Of several source
+    columns that are most like one target, the likest takes it; then the first one.
+    """
     ignored = list(dict.fromkeys([*skip, "id", "created", "updated", "created_at", "updated_at"]))
     safe = columns.filter(~policy.secret_flag(F.col("col")) & ~F.col("col").isin(ignored))
     s = safe.filter(F.col("tbl") == source).select(F.col("col").alias("source"), "pos")
     t = safe.filter(F.col("tbl") == target).select(F.col("col").alias("target"))
-    out = s.join(t, F.col("source") == F.col("target")).orderBy("pos").select("source", "target", "pos")
+    out = s.join(t, F.col("source") == F.col("target"))
+    if alike is not None:
+        pairs = alike.select("source", "target", "likeness").join(s, "source").join(t, "target")
+        out = out.join(pairs.filter("source = target").select("source"), "source", "left_semi")
+        namesakes = out.select("source")
+        free = pairs.filter(F.col("likeness") >= likeness).join(namesakes, "source", "left_anti").join(
+            namesakes.withColumnRenamed("source", "target"), "target", "left_anti")
+        best = Window.partitionBy("source").orderBy(F.desc("likeness"), "target")
+        taken = Window.partitionBy("target").orderBy(F.desc("likeness"), "pos")
+        renamed = free.withColumn("_n", F.row_number().over(best)).filter("_n = 1").withColumn("_n", F.row_number().over(taken)).filter("_n = 1")
+        out = out.select("source", "target", "pos").unionByName(renamed.select("source", "target", "pos"))
+    out = out.orderBy("pos").select("source", "target", "pos")
     return out.limit(limit) if limit is not None else out
 
 

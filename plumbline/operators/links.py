@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import values as V
-from plumbline.sources.catalog import as_catalog, local_frame, union_all
+from plumbline.operators.inclusion import COVERAGE
+from plumbline.sources.catalog import union_all
 from plumbline.sources.environment import Env, Link
 
 
@@ -19,31 +20,35 @@ def _c(name: str) -> Column:
 
 # Where a link comes from, strongest first.
 LINK_ORIGINS = ["foreign key", "configured link", "name pattern"]
+#: origin of links that no name suggests, only the values
+BY_VALUES = "contained values"
 
 
 def discover_links(columns: DataFrame, declared: DataFrame | None = None,
-                   column_links: DataFrame | None = None) -> DataFrame:
-    """One link per column at most: declared, else configured by column name, else by name pattern.
+                   column_links: DataFrame | None = None, contained: DataFrame | None = None, coverage: float = COVERAGE) -> DataFrame:
+    """One link per column at most: declared, else configured by column name, else by name pattern, else by the values.
 
     ``columns`` has (tbl, col); ``declared`` (tbl, col, ref_tbl, ref_col, how);
-    ``column_links`` (col, ref_tbl, ref_col) for every table with such a column.
+    ``column_links`` (col, ref_tbl, ref_col) for every table with such a column; ``contained`` what ``inclusion.contained_links``
+    found: with it, links that only names suggest need every value of the column among those of its target, and a column
+    without any link gets the key it fills best, if it holds the share ``coverage`` of its values.
     """
     cols = columns.select("tbl", "col")
     targets = cols.select(F.col("tbl").alias("ref_tbl"), F.col("col").alias("ref_col"))
     out_cols = ["tbl", "col", "ref_tbl", "ref_col", "how", "rank"]
-    found = []
+    found, named = [], []
     if declared is not None:
         origin = F.array_position(F.array(*[F.lit(o) for o in LINK_ORIGINS]), F.col("how"))
         found.append(
             declared.join(cols, ["tbl", "col"], "left_semi")
             .filter((F.col("how") == LINK_ORIGINS[0]) | (F.col("tbl") != F.col("ref_tbl")))
-            .withColumn("rank", (origin * 10).cast("int")).select(*out_cols)
+            .withColumn("rank", (origin * 10).cast("double")).select(*out_cols)
         )
     if column_links is not None:
-        found.append(
+        named.append(
             cols.join(column_links, "col")
             .filter(F.col("tbl") != F.col("ref_tbl"))
-            .withColumn("how", F.lit(LINK_ORIGINS[1])).withColumn("rank", F.lit(21)).select(*out_cols)
+            .withColumn("how", F.lit(LINK_ORIGINS[1])).withColumn("rank", F.lit(21.0)).select(*out_cols)
         )
     # <base>_id points at a table called base, bases, basees or (y to) ies that has an id column
     base = F.expr("substring(col, 1, length(col) - 3)")
@@ -53,15 +58,20 @@ def discover_links(columns: DataFrame, declared: DataFrame | None = None,
             F.when(base.endswith("y"), F.concat(F.expr("substring(col, 1, length(col) - 4)"), F.lit("ies"))),
         )
     )
-    guesses = (
+    named.append(
         cols.filter(F.col("col").endswith("_id") & (F.length("col") > 3))
         .select("tbl", "col", F.posexplode(names).alias("n", "ref_tbl"))
         .filter(F.col("tbl") != F.col("ref_tbl"))
         .select("tbl", "col", "ref_tbl", F.lit("id").alias("ref_col"), F.lit(LINK_ORIGINS[2]).alias("how"),
-                (F.col("n") + 30).cast("int").alias("rank"))
+                (F.col("n") + 30).cast("double").alias("rank"))
     )
-    found.append(guesses)
-    known = union_all(found).join(targets, ["ref_tbl", "ref_col"], "left_semi")
+    by_name = union_all(named)
+    if contained is not None:
+        by_name = by_name.join(contained, ["tbl", "col", "ref_tbl", "ref_col"], "left_semi")
+        # after all names; the fuller the key, the earlier
+        found.append(contained.filter(F.col("coverage") >= coverage).select(
+            "tbl", "col", "ref_tbl", "ref_col", F.lit(BY_VALUES).alias("how"), (F.lit(51.0) - F.col("coverage")).alias("rank")))
+    known = union_all([*found, by_name]).join(targets, ["ref_tbl", "ref_col"], "left_semi")
     best = Window.partitionBy("tbl", "col").orderBy("rank", "ref_tbl", "ref_col")
     return (
         known.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") == 1)
@@ -111,54 +121,55 @@ def verify_links(env: Env, links: Sequence[Link] | None = None) -> DataFrame:
     return union_all([verify_link(env, k) for k in (links or env.links)])
 
 
-def _edges(links: DataFrame, include_guesses: bool) -> DataFrame:
-    """Links walkable both ways: from table and column (a, ac) to table and column (b, bc)."""
+_HOP = "struct<from_tbl:string,from_col:string,to_tbl:string,to_col:string,how:string>"
+_WALK = f"struct<tbl:string,seen:array<string>,turns:int,path:array<{_HOP}>>"
+
+
+def _walks(links: DataFrame, start: str, rounds: int, include_guesses: bool) -> DataFrame:
+    """One row: w0, w1, ... are the tables reached by so many links and the first way to each, never through a table twice.
+
+    Links can be walked both ways. They are a row for each column of a catalog at most, so the frontier is an array that each round
+    expands by the links' array; nothing is shuffled but the links, once.
+    """
     if not include_guesses:
-        links = links.filter(F.col("how") != "name pattern")
-    links = as_catalog(links.select("tbl", "col", "ref_tbl", "ref_col", "how"))
-    both = [("tbl", "col", "ref_tbl", "ref_col"), ("ref_tbl", "ref_col", "tbl", "col")]
-    return union_all(
-        [
-            links.select(*[F.col(c).alias(n) for c, n in zip(cols, ("a", "ac", "b", "bc"))], "how", F.lit(i).alias("backwards"))
-            for i, cols in enumerate(both)
-        ]
-    )
+        links = links.filter(~F.col("how").isin("name pattern", BY_VALUES))
 
+    def edge(a: str, ac: str, b: str, bc: str, backwards: int) -> Column:
+        return F.struct(F.struct(a, ac, b, bc, "how").cast(_HOP).alias("hop"), F.lit(backwards).alias("backwards"))
 
-def _walks(edges: DataFrame, start: str, rounds: int) -> list[DataFrame]:
-    """Per number of links the tables reached and one way there, never through a table twice."""
-    hop = "struct<from_tbl:string,from_col:string,to_tbl:string,to_col:string,how:string>"
-    spark = edges.sparkSession
-    walk = local_frame(spark, [(start,)], "tbl string").select(
-        "tbl", F.array("tbl").alias("seen"), F.array().cast(f"array<{hop}>").alias("path"), F.lit(0).alias("turns"))
-    out = [walk]
-    for _ in range(rounds):
-        step = walk.join(edges, (F.col("tbl") == F.col("a")) & ~F.array_contains("seen", F.col("b"))).select(
-            F.col("b").alias("tbl"), F.concat("seen", F.array("b")).alias("seen"),
-            F.concat("path", F.array(F.struct("a", "ac", "b", "bc", "how").cast(hop))).alias("path"),
-            (F.col("turns") + F.col("backwards")).alias("turns"),
-        )
-        best = F.min(F.struct("seen", "turns", "path")).alias("w")
-        walk = step.groupBy("tbl").agg(best).select("tbl", "w.seen", "w.path", "w.turns")
-        out.append(walk)
-    return out
+    both = F.array(edge("tbl", "col", "ref_tbl", "ref_col", 0), edge("ref_tbl", "ref_col", "tbl", "col", 1))
+    row = links.select(F.explode(both).alias("e")).agg(F.array_sort(F.collect_list("e")).alias("edges"))
+    begin = F.struct(F.lit(start), F.array(F.lit(start)), F.lit(0), F.array().cast(f"array<{_HOP}>")).cast(_WALK)
+    row = row.withColumn("w0", F.array(begin))
+    for k in range(1, rounds + 1):
+        before = f"w{k - 1}"
+
+        def onward(w: Column) -> Column:
+            way = F.filter("edges", lambda e: (e["hop"]["from_tbl"] == w["tbl"]) & ~F.array_contains(w["seen"], e["hop"]["to_tbl"]))
+            return F.transform(way, lambda e: F.struct(
+                e["hop"]["to_tbl"].alias("tbl"), F.concat(w["seen"], F.array(e["hop"]["to_tbl"])).alias("seen"),
+                (w["turns"] + e["backwards"]).alias("turns"), F.concat(w["path"], F.array(e["hop"])).alias("path")).cast(_WALK))
+
+        row = row.withColumn("ways", F.array_sort(F.flatten(F.transform(before, onward))))
+        # sorted by table first: one way to each stays
+        row = row.withColumn(f"w{k}", F.filter("ways", lambda w, i: (i == 0) | (F.get("ways", i - 1)["tbl"] != w["tbl"])))
+    return row
 
 
 def neighbourhood(links: DataFrame, table: str, depth: int = 1, include_guesses: bool = True,
                   max_tables: int | None = None) -> DataFrame:
     """Tables within ``depth`` links of a table, in either direction, with their distance."""
-    walks = _walks(_edges(links, include_guesses), table, depth)
-    reached = union_all([w.select("tbl", F.lit(d).alias("distance")) for d, w in enumerate(walks)])
-    reached = reached.groupBy("tbl").agg(F.min("distance").alias("distance"))
-    return reached.orderBy("distance", "tbl").limit(max_tables) if max_tables else reached
+    row = _walks(links, table, depth, include_guesses)
+    reached = [F.arrays_zip(F.col(f"w{d}.tbl").alias("tbl"), F.array_repeat(F.lit(d), F.size(f"w{d}")).alias("distance")) for d in range(depth + 1)]
+    out = row.select(F.inline(F.flatten(F.array(*reached)))).groupBy("tbl").agg(F.min("distance").alias("distance"))
+    return out.orderBy("distance", "tbl").limit(max_tables) if max_tables else out
 
 
 def join_path(links: DataFrame, start: str, goal: str, include_guesses: bool = True, max_depth: int = 4) -> DataFrame:
     """The shortest chain of links between two tables: step, from, to, condition columns; empty when there is none."""
-    walks = _walks(_edges(links, include_guesses), start, max_depth)
-    arrived = union_all([w.filter(F.col("tbl") == goal).select("path") for w in walks[1:]])
-    shortest = arrived.filter(F.lit(start != goal)).agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("p"))
-    return shortest.select(F.posexplode("p.path").alias("step", "h")).select((F.col("step") + 1).alias("step"), "h.*")
+    row = _walks(links, start, max_depth, include_guesses).filter(F.lit(start != goal))
+    arrived = F.coalesce(*[F.get(F.filter(f"w{d}", lambda w: w["tbl"] == goal), F.lit(0))["path"] for d in range(1, max_depth + 1)])
+    return row.select(F.posexplode(arrived).alias("step", "h")).select((F.col("step") + 1).alias("step"), "h.*")
 
 
 def join_along(env: Env, start: str, path: Sequence[tuple[str, str, str, str]], columns_per_table: int | None = None,

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import privacy as P
 from plumbline.functions import values as V
 from plumbline.operators import compare as CM
 from plumbline.operators import links as LK
 from plumbline.operators import health as H
+from plumbline.operators import inclusion as IN
 from plumbline.operators import snapshots as SN
 from plumbline.plans import star
 from plumbline.plans.registry import query
@@ -152,14 +154,32 @@ def table_compare_masked(env):
     return CM.mask_compared(details).drop("status")
 
 
-@query("""SELECT a.col AS source, b.col AS target, a.pos AS pos FROM (VALUES ('o_custkey', 2), ('o_orderstatus', 3), ('o_totalprice', 4),
-          ('o_orderdate', 5), ('o_orderpriority', 6)) a(col, pos) JOIN (SELECT 1 FROM orders HAVING count(*) > 0) ON TRUE
-          JOIN (VALUES ('o_custkey'), ('o_orderstatus'), ('o_totalprice'), ('o_orderdate'), ('o_orderpriority')) b(col) ON a.col = b.col""")
+_PAIRED = {"customer": ("customer", ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]), "customer_b": ("b", ["c_name", "c_nationkey", "c_balance", "segment", "c_mktsegment"])}
+_PAIRED_VALUES = " UNION ALL ".join(
+    f"SELECT DISTINCT '{t}' AS tbl, '{c}' AS col, {i} AS pos, CAST({c} AS VARCHAR) AS v FROM {source} WHERE {c} IS NOT NULL"
+    for t, (source, columns) in _PAIRED.items() for i, c in enumerate(columns, start=2))
+
+
+@query(f"""WITH b AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal AS c_balance, c_mktsegment AS segment, 'no ' || c_custkey AS c_mktsegment FROM customer WHERE c_custkey % 10 <> 0),
+    v AS ({_PAIRED_VALUES}), d AS (SELECT tbl, col, pos, count(*) AS n FROM v GROUP BY tbl, col, pos),
+    p AS (SELECT x.s AS source, x.t AS target, a.pos, met / (a.n + c.n - met) AS likeness FROM (SELECT a.col AS s, c.col AS t, count(*) AS met
+        FROM v a JOIN v c ON a.v = c.v AND a.tbl = 'customer' AND c.tbl = 'customer_b' GROUP BY a.col, c.col) x
+        JOIN d a ON a.tbl = 'customer' AND a.col = x.s JOIN d c ON c.tbl = 'customer_b' AND c.col = x.t),
+    same AS (SELECT source AS col FROM p WHERE source = target),
+    free AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY likeness DESC, target) AS rn FROM p WHERE likeness >= 0.5
+        AND source NOT IN (SELECT col FROM same) AND target NOT IN (SELECT col FROM same))
+    SELECT source, target, CAST(pos AS INT) AS pos FROM p WHERE source = target
+    UNION ALL SELECT source, target, CAST(pos AS INT) FROM free WHERE rn = 1 QUALIFY row_number() OVER (PARTITION BY target ORDER BY likeness DESC, pos) = 1""")
 def suggested_fields(env):
-    # columns that hold no value at all are left out, so the catalog is the measured one
-    both = env.with_tables(orders_b=star.orders_b(env)).only("orders", "orders_b")
-    used = C.column_nulls(both).filter(F.col("nulls") < F.col("rows"))
-    return CM.suggest_fields(used, "orders", "orders_b", ["o_orderkey"])
+    """An export without a tenth of the customers: the balance has a new name, and another column took that of the segment."""
+    c = env.table("customer").filter(F.col("c_custkey") % 10 != 0)
+    export = c.select(
+        "c_custkey", "c_name", "c_nationkey", F.col("c_acctbal").alias("c_balance"), F.col("c_mktsegment").alias("segment"),
+        F.concat(F.lit("no "), F.col("c_custkey").cast("string")).alias("c_mktsegment"))
+    both = env.with_tables(customer_b=export).only("customer", "customer_b")
+    wanted = lambda name, dtype: IN.linkable(name, dtype) or isinstance(dtype, T.DoubleType)
+    alike = IN.matching_fields(IN.overlaps(both, wanted), "customer", "customer_b")
+    return CM.suggest_fields(C.catalog_columns(both), "customer", "customer_b", ["c_custkey"], alike=alike)
 
 
 # ---------------------------------------------------------------- two results

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import values as V
 from plumbline.operators import health as H
+from plumbline.operators import inclusion as IN
 from plumbline.operators import links as LK
 from plumbline.operators import search as S
 from plumbline.operators import testdata as TD
@@ -45,49 +46,90 @@ def verified_links_b(env):
     return LK.verify_links(env.with_tables(orders=star.orders_b(env)), [k for k in env.links if "orders" in (k.table, k.ref_table)])
 
 
-def _shop(env):
-    """The star schema under the names an application would use; links are found by name."""
-    def as_(df, **names):
-        return df.select(*[F.col(v).alias(k) for k, v in names.items()])
+_SHOP = {
+    "customers": ("customer", {"id": "c_custkey", "name": "c_name", "nation_code": "c_nationkey"}),
+    "nations": ("nation", {"id": "n_nationkey", "name": "n_name", "region_id": "n_regionkey"}),
+    "region": ("region", {"id": "r_regionkey", "name": "r_name"}),
+    "purchases": ("orders", {"id": "o_orderkey", "customer_id": "o_custkey", "part_id": "o_custkey", "status": "o_orderstatus"}),
+    "purchase_lines": ("lineitem", {"order_no": "l_orderkey", "part_id": "l_partkey", "supplier_ref": "l_suppkey"}),
+    "parts": ("part", {"id": "p_partkey", "name": "p_name"}),
+    "suppliers": ("supplier", {"id": "s_suppkey", "name": "s_name", "nation_code": "s_nationkey"}),
+}
+_PART_SHARE = 3  # parts of a shop that sells only some: a third of the part numbers
+
 
+def _shop(env):
+    """The star schema under the names an application would use: one declared link, one configured by column name, some that
+    follow the usual pattern (one of them wrongly: the numbers in ``purchases.part_id`` are those of customers), one under no known name."""
+    tables = {
+        name: env.table(table).select(*[F.col(v).alias(k) for k, v in columns.items()]) for name, (table, columns) in _SHOP.items()}
+    tables["parts"] = tables["parts"].filter(F.col("id") % _PART_SHARE == 0)
     return replace(
-        env.with_tables(
-            customers=as_(env.table("customer"), id="c_custkey", name="c_name", nation_id="c_nationkey"),
-            nations=as_(env.table("nation"), id="n_nationkey", name="n_name", region_id="n_regionkey"),
-            region=as_(env.table("region"), id="r_regionkey", name="r_name"),
-            purchases=as_(env.table("orders"), id="o_orderkey", customer_id="o_custkey", status="o_orderstatus"),
-            purchase_lines=as_(env.table("lineitem"), order_no="l_orderkey", part_id="l_partkey", supplier_ref="l_suppkey"),
-            parts=as_(env.table("part"), id="p_partkey", name="p_name"),
-        ).only("customers", "nations", "region", "purchases", "purchase_lines", "parts"),
-        links=(Link("purchase_lines", "order_no", "purchases", "id", "foreign key"),),
-        keys={t: "id" for t in ("customers", "nations", "region", "purchases", "parts")},
+        env.with_tables(**tables).only(*_SHOP), links=(Link("purchase_lines", "order_no", "purchases", "id", "foreign key"),),
+        keys={t: "id" for t in ("customers", "nations", "region", "purchases", "parts", "suppliers")},
     )
 
 
 def _found_links(shop):
-    # only columns that hold values can link anything: the measured catalog
-    used = C.column_nulls(shop).filter(F.col("nulls") < F.col("rows"))
-    return LK.discover_links(used.select("tbl", "col"), C.catalog_links(shop))
-
-
-@query("""SELECT * FROM (VALUES ('purchase_lines', 'order_no', 'purchases', 'id', 'foreign key'), ('purchase_lines', 'part_id', 'parts', 'id', 'name pattern'),
-    ('purchases', 'customer_id', 'customers', 'id', 'name pattern'), ('customers', 'nation_id', 'nations', 'id', 'name pattern'),
-    ('nations', 'region_id', 'region', 'id', 'name pattern')) v(tbl, col, ref_tbl, ref_col, how)
-    WHERE (SELECT count(*) FROM orders) > 0 AND (SELECT count(*) FROM lineitem) > 0""")
+    configured = C.local_frame(shop.spark, [("nation_code", "nations", "id")], "col string, ref_tbl string, ref_col string")
+    contained = IN.contained_links(IN.inclusions(IN.overlaps(shop)))
+    return LK.discover_links(C.catalog_columns(shop), C.catalog_links(shop), configured, contained)
+
+
+def _values_sql(tables: dict) -> str:
+    """v (tbl, col, pos, v, n), d (per column), o (per pair of columns the values they share) of the tables' columns."""
+    cells = " UNION ALL ".join(
+        f"SELECT '{t}' AS tbl, '{k}' AS col, {i} AS pos, CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {source} GROUP BY {c}"
+        for t, (source, columns) in tables.items() for i, k, c in columns)
+    return f"""v AS (SELECT * FROM ({cells}) WHERE v IS NOT NULL),
+    d AS (SELECT tbl, col, pos, count(*) AS vals, max(n) = 1 AS uniq FROM v GROUP BY tbl, col, pos),
+    o AS (SELECT x.tbl, x.col, x.pos, x.ref_tbl, x.ref_col, x.shared, d.vals AS col_values, e.vals AS ref_values, e.uniq AS ref_unique FROM (
+        SELECT a.tbl, a.col, a.pos, b.tbl AS ref_tbl, b.col AS ref_col, count(*) AS shared FROM v a JOIN v b ON a.v = b.v AND (a.tbl <> b.tbl OR a.col <> b.col)
+        GROUP BY a.tbl, a.col, a.pos, b.tbl, b.col) x JOIN d USING (tbl, col) JOIN d e ON e.tbl = ref_tbl AND e.col = ref_col)"""
+
+
+_STAR_VALUES = _values_sql({
+    t: (t, [(i, c, c) for i, c in enumerate(cs, start=1) if c not in ("c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "o_orderdate",
+        "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "ts", "value", "embedding")]) for t, cs in star.TABLES.items()})
+_SHOP_VALUES = _values_sql({
+    t: (f"(SELECT * FROM part WHERE p_partkey % {_PART_SHARE} = 0)" if t == "parts" else table, [(i, k, c) for i, (k, c) in enumerate(columns.items(), start=1)])
+    for t, (table, columns) in _SHOP.items()})
+#: links of the shop: candidates by name, strongest first, which the values must bear out; then the key that a column fills best
+_SHOP_LINKS = f"""{_SHOP_VALUES},
+    c AS (SELECT tbl, col, ref_tbl, ref_col, col_values / ref_values AS coverage FROM o WHERE shared = col_values AND ref_unique AND tbl <> ref_tbl),
+    links AS (SELECT tbl, col, ref_tbl, ref_col, how FROM (SELECT *, row_number() OVER (PARTITION BY tbl, col ORDER BY rank, ref_tbl, ref_col) AS rn FROM (
+        SELECT 'purchase_lines' AS tbl, 'order_no' AS col, 'purchases' AS ref_tbl, 'id' AS ref_col, 'foreign key' AS how, 10.0 AS rank
+        UNION ALL SELECT c.tbl, c.col, c.ref_tbl, c.ref_col, n.how, n.rank FROM c JOIN (VALUES ('nation_code', 'nations', 'configured link', 21.0),
+            ('region_id', 'region', 'name pattern', 30.0), ('customer_id', 'customers', 'name pattern', 31.0), ('part_id', 'parts', 'name pattern', 31.0))
+            n(col, ref_tbl, how, rank) ON c.col = n.col AND c.ref_tbl = n.ref_tbl AND c.ref_col = 'id'
+        UNION ALL SELECT tbl, col, ref_tbl, ref_col, 'contained values', 51.0 - coverage FROM c WHERE coverage >= 0.5)) WHERE rn = 1)"""
+
+
+@query(f"WITH {_STAR_VALUES} SELECT tbl, col, ref_tbl, ref_col, col_values, ref_values, ref_unique, coverage FROM (SELECT *, col_values / ref_values AS coverage FROM o WHERE shared = col_values)")
+def inclusion_dependencies(env):
+    return IN.inclusions(IN.overlaps(env)).drop("pos", "shared")
+
+
+@query(f"WITH {_SHOP_LINKS} SELECT * FROM links")
 def discovered_links(env):
     return _found_links(_shop(env))
 
 
-@query("""SELECT tbl, distance FROM (VALUES ('purchases', 0), ('purchase_lines', 1), ('customers', 1), ('nations', 2), ('parts', 2)) v(tbl, distance)
-    WHERE (SELECT count(*) FROM orders) > 0""")
+@query(f"""WITH RECURSIVE {_SHOP_LINKS}, e AS (SELECT tbl AS a, ref_tbl AS b FROM links UNION ALL SELECT ref_tbl, tbl FROM links),
+    w AS (SELECT 'purchases' AS tbl, 0 AS distance UNION SELECT e.b, w.distance + 1 FROM w JOIN e ON e.a = w.tbl WHERE w.distance < 2)
+    SELECT tbl, min(distance) AS distance FROM w GROUP BY tbl""")
 def link_neighbourhood(env):
     return LK.neighbourhood(_found_links(_shop(env)), "purchases", depth=2)
 
 
-@query("""SELECT step, from_tbl, from_col, to_tbl, to_col, how FROM (VALUES
-    (1, 'purchase_lines', 'order_no', 'purchases', 'id', 'foreign key'), (2, 'purchases', 'customer_id', 'customers', 'id', 'name pattern'),
-    (3, 'customers', 'nation_id', 'nations', 'id', 'name pattern'), (4, 'nations', 'region_id', 'region', 'id', 'name pattern'))
-    v(step, from_tbl, from_col, to_tbl, to_col, how) WHERE (SELECT count(*) FROM orders) > 0""")
+@query(f"""WITH RECURSIVE {_SHOP_LINKS}, e AS (SELECT tbl AS a, col AS ac, ref_tbl AS b, ref_col AS bc, how, 0 AS back FROM links
+        UNION ALL SELECT ref_tbl, ref_col, tbl, col, how, 1 FROM links),
+    w AS (SELECT 'purchase_lines' AS tbl, ['purchase_lines'] AS seen, 0 AS turns, CAST([] AS STRUCT(from_tbl VARCHAR, from_col VARCHAR, to_tbl VARCHAR, to_col VARCHAR, how VARCHAR)[]) AS path
+        UNION ALL SELECT e.b, list_append(w.seen, e.b), w.turns + e.back, list_append(w.path, {{'from_tbl': e.a, 'from_col': e.ac, 'to_tbl': e.b, 'to_col': e.bc, 'how': e.how}})
+        FROM w JOIN e ON e.a = w.tbl WHERE NOT list_contains(w.seen, e.b) AND len(w.path) < 4),
+    p AS (SELECT path FROM w WHERE tbl = 'region' ORDER BY len(path), seen, turns, path LIMIT 1),
+    h AS (SELECT unnest(path) AS h, generate_subscripts(path, 1) AS step FROM p)
+    SELECT CAST(step AS INT) AS step, h.from_tbl, h.from_col, h.to_tbl, h.to_col, h.how FROM h""")
 def link_path(env):
     return LK.join_path(_found_links(_shop(env)), "purchase_lines", "region")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +24,15 @@ class Link:
     how: str = "configured link"
 
 
+def _kept(load: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+    """A loader that looks for files and reads the schema the first time only."""
+    return lru_cache(maxsize=1)(load)
+
+
 @dataclass(frozen=True)
 class Env:
+    """Tables are looked up when they are first asked for; files that change afterwards need a new environment."""
+
     spark: SparkSession
     loaders: dict[str, Callable[[], DataFrame]]
     name: str = "default"
@@ -36,22 +44,14 @@ class Env:
     def from_parquet(cls, spark: SparkSession, path: str, tables: Iterable[str], **options) -> "Env":
         """Tables stored as ``<path>/<table>.parquet`` (a file or a folder)."""
         configure(spark)
-
-        def loader(name: str) -> Callable[[], DataFrame]:
-            return lambda: spark.read.parquet(f"{path}/{name}.parquet")
-
-        return cls(spark, {t: loader(t) for t in tables}, **options)
+        return cls(spark, {t: _kept(lambda t=t: spark.read.parquet(f"{path}/{t}.parquet")) for t in tables}, **options)
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str, **options) -> "Env":
         """All tables of a catalog schema."""
         configure(spark)
-
-        def loader(name: str) -> Callable[[], DataFrame]:
-            return lambda: spark.table(f"`{database}`.`{name}`")
-
         names = [t.name for t in spark.catalog.listTables(database)]
-        return cls(spark, {t: loader(t) for t in names}, **options)
+        return cls(spark, {t: _kept(lambda t=t: spark.table(f"`{database}`.`{t}`")) for t in names}, **options)
 
     @property
     def tables(self) -> list[str]:

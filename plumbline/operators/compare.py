@@ -17,6 +17,7 @@ from plumbline.functions import privacy as P
 from plumbline.functions import values as V
 from plumbline.functions.names import DEFAULT_POLICY, NamePolicy
 from plumbline.operators.filters import apply_filters, newest
+from plumbline.operators.first_rows import first_per_key
 from plumbline.sources.catalog import local_frame, table_counts
 from plumbline.sources.environment import Env
 
@@ -50,16 +51,9 @@ def _matched(source: DataFrame, target: DataFrame, spec: Mapping, opt: V.Options
         sk.alias("_sk"), *[_c(c).alias(f"s_{i}") for i, c in enumerate(scols)]
     )
     # first target row = smallest in column order; a total order, so the same on every run
-    row = F.struct(*[_c(c).alias(f"t_{i}") for i, c in enumerate(tcols)])
-    order = F.struct(*[V.orderable(_c(c), ttypes[c]) for c in tcols])
-    plain = all(V.orderable(_c(c), ttypes[c])._jc.toString() == _c(c)._jc.toString() for c in tcols)
-    first = (F.min(row) if plain else F.min_by(row, order)).alias("_first")
-    right = (
-        target.filter(tk.isNotNull()).groupBy(tk.alias("_tk")).agg(first, F.count(F.lit(1)).alias("_copies"))
-    )
-    joined = left.join(right, F.col("_sk") == F.col("_tk"), "left").select(
-        "*", *[F.col(f"_first.t_{i}").alias(f"t_{i}") for i in range(len(tcols))]
-    )
+    right = target.select(tk.alias("_tk"), *[_c(c).alias(f"t_{i}") for i, c in enumerate(tcols)]).filter(F.col("_tk").isNotNull())
+    right = first_per_key(right, ["_tk"], [V.orderable(F.col(f"t_{i}"), ttypes[c]) for i, c in enumerate(tcols)])
+    joined = left.join(right, F.col("_sk") == F.col("_tk"), "left")
     compared = []
     for f in fields:
         s = F.col(f"s_{scols.index(f['source'])}") if f["source"] in stypes else None
@@ -196,30 +190,26 @@ class ResultComparison:
     different: DataFrame
 
 
-def _per_key(a: DataFrame, b: DataFrame, key: str, shared: Sequence[str]) -> DataFrame:
-    """One row per key text: rows on each side and the first row of each side, from one shuffle.
-
-    Both inputs are stacked and aggregated together, so there is no join to skew and the
-    copies of a key are combined before they are sent.
-    """
+def _key_counts(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row per key text: rows on each side. Both sides are stacked and counted together, so there is no join to skew."""
 
     def side(df: DataFrame, is_a: bool) -> DataFrame:
+        text = V.plain_text(_c(key), df.schema[key].dataType)
+        return df.select(text.alias("_key"), F.lit(int(is_a)).alias("_a"), F.lit(int(not is_a)).alias("_b"))
+
+    return side(a, True).unionAll(side(b, False)).groupBy("_key").agg(F.sum("_a").alias("rows_a"), F.sum("_b").alias("rows_b"))
+
+
+def _paired(a: DataFrame, b: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """The keys that both sides have, with the first row of each side as texts a_0, a_1, ... and b_0, ..."""
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
         types = {f.name: f.dataType for f in df.schema.fields}
-        cells = F.struct(*[V.plain_text(_c(c), types[c]).alias(f"v_{i}") for i, c in enumerate(shared)])
-        none = F.lit(None).cast("struct<" + ",".join(f"v_{i}:string" for i in range(len(shared))) + ">")
-        return df.select(
-            V.plain_text(_c(key), types[key]).alias("_key"),
-            (cells if is_a else none).alias("_a"),
-            (none if is_a else cells).alias("_b"),
-        )
+        cells = [V.plain_text(_c(c), types[c]).alias(f"{tag}_{i}") for i, c in enumerate(fields)]
+        rows = df.select(V.plain_text(_c(key), types[key]).alias(f"{tag}_key"), *cells)
+        return first_per_key(rows, [f"{tag}_key"], [f"{tag}_{i}" for i in range(len(fields))])
 
-    return (
-        side(a, True).unionAll(side(b, False)).groupBy("_key")
-        .agg(
-            F.count("_a").alias("rows_a"), F.count("_b").alias("rows_b"),
-            F.min("_a").alias("_a"), F.min("_b").alias("_b"),
-        )
-    )
+    return side(a, "a").drop("_copies").join(side(b, "b").drop("_copies"), F.col("a_key").eqNullSafe(F.col("b_key")))
 
 
 def compare_results(a: DataFrame, b: DataFrame, key: str, ignore: Sequence[str] = (),
@@ -229,7 +219,7 @@ def compare_results(a: DataFrame, b: DataFrame, key: str, ignore: Sequence[str]
     if key not in shared:
         raise ValueError(f"{key!r} is not a column of both results")
     fields = [c for c in shared if c != key and not policy.is_secret(c)]
-    per_key = _per_key(a, b, key, [key] + fields)
+    per_key = _key_counts(a, b, key)
     both = (F.col("rows_a") > 0) & (F.col("rows_b") > 0)
     summary = per_key.agg(
         F.coalesce(F.sum("rows_a"), F.lit(0)).alias("rows_a"),
@@ -243,8 +233,8 @@ def compare_results(a: DataFrame, b: DataFrame, key: str, ignore: Sequence[str]
         F.lit(", ".join(c for c in b.columns if c not in a.columns)).alias("columns_only_b"),
     )
     lines = []
-    for i, c in enumerate(fields, start=1):
-        va, vb = F.col(f"_a.v_{i}"), F.col(f"_b.v_{i}")
+    for i, c in enumerate(fields):
+        va, vb = F.col(f"a_{i}"), F.col(f"b_{i}")
 
         def shown(v: Column) -> Column:
             if not show_personal:
@@ -254,8 +244,8 @@ def compare_results(a: DataFrame, b: DataFrame, key: str, ignore: Sequence[str]
         lines.append(
             F.when(~va.eqNullSafe(vb), F.struct(F.lit(c).alias("field"), shown(va).alias("in_a"), shown(vb).alias("in_b")))
         )
-    different = per_key.filter(both).select(
-        F.coalesce("_key", F.lit("None")).alias("key"), F.inline(F.array_compact(F.array(*lines)))
+    different = _paired(a, b, key, fields).select(
+        F.coalesce("a_key", F.lit("None")).alias("key"), F.inline(F.array_compact(F.array(*lines)))
     )
 
     def only(mine: DataFrame, other: DataFrame) -> DataFrame:
@@ -268,7 +258,7 @@ def compare_results(a: DataFrame, b: DataFrame, key: str, ignore: Sequence[str]
 
 def key_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Distinct key texts only in A, only in B and in both, counted."""
-    per_key = _per_key(a, b, key, [key])
+    per_key = _key_counts(a, b, key)
     where = F.when(F.col("rows_b") == 0, "only A").when(F.col("rows_a") == 0, "only B").otherwise("both")
     return per_key.groupBy(where.alias("found")).agg(F.count(F.lit(1)).alias("keys"))
 

@@ -12,6 +12,7 @@ from plumbline.functions import documents as D
 from plumbline.functions import privacy as P
 from plumbline.functions import values as V
 from plumbline.functions.names import DEFAULT_POLICY, NamePolicy
+from plumbline.operators.first_rows import first_per_key
 
 VERDICTS = ["Match", "Mismatch", "Missing in API", "Missing in DB"]
 
@@ -93,11 +94,8 @@ def field_verdicts(docs: DataFrame, doc: str, table: DataFrame, match: tuple[str
     wanted = [m.get("db_column") for m in mapping if m.get("db_column") in types]
     cols = list(dict.fromkeys([column] + wanted))
     # the table side has one row per key before the join, so copies never multiply documents
-    first = F.min(F.struct(*[_c(c).alias(f"t_{i}") for i, c in enumerate(cols)])).alias("_row")
-    rows = (
-        table.filter(_c(column).isNotNull()).groupBy(_c(column).alias("_key"))
-        .agg(first, F.count(F.lit(1)).alias("_rows"))
-    )
+    rows = table.select(_c(column).alias("_key"), *[_c(c).alias(f"t_{i}") for i, c in enumerate(cols)]).filter(F.col("_key").isNotNull())
+    rows = first_per_key(rows, ["_key"], [V.orderable(F.col(f"t_{i}"), types[c]) for i, c in enumerate(cols)], "_rows")
     key = F.try_variant_get(_c(doc), D.spark_path(path), types[column].simpleString())
     mapping = [
         {"api": (m.get("api_field") or "").strip(), "db": (m.get("db_column") or "").strip(),
@@ -115,14 +113,14 @@ def field_verdicts(docs: DataFrame, doc: str, table: DataFrame, match: tuple[str
     found = F.col("_rows").isNotNull()
     variant, string = T.VariantType(), T.StringType()
     typed = joined.select(
-        *kept, "_rows", "_row", *[f"v_{i}" for i in range(len(mapping))],
+        *kept, "_rows", *[f"t_{i}" for i in range(len(cols))], *[f"v_{i}" for i in range(len(mapping))],
         *[V.json_type(F.col(f"v_{i}")).alias(f"k_{i}") for i in range(len(mapping))],
         *[V.json_text(F.col(f"v_{i}")).alias(f"x_{i}") for i in range(len(mapping))],
     )
     sides = []
     for i, m in enumerate(mapping):
         known = m["db"] in types
-        db = F.col(f"_row.t_{cols.index(m['db'])}") if known else F.lit(None).cast("string")
+        db = F.col(f"t_{cols.index(m['db'])}") if known else F.lit(None).cast("string")
         db_type = types[m["db"]] if known else string
         api = V.JsonValue(F.col(f"v_{i}"), F.col(f"k_{i}"), F.col(f"x_{i}"))
         no_db = ~found if known else F.lit(True)

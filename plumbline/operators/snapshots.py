@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import privacy as P
 from plumbline.functions import values as V
 from plumbline.functions.names import DEFAULT_POLICY, NamePolicy
+from plumbline.operators.first_rows import first_per_key
 
 DASH = "—"
 NULL_TEXT = "NULL"
@@ -43,30 +44,21 @@ def snapshot(df: DataFrame, key_column: str, secret: bytes, policy: NamePolicy =
     )
 
 
-CELL = "struct<digests:map<string,string>>"
-
-
 def snapshot_diff(before: DataFrame, after: DataFrame, policy: NamePolicy = DEFAULT_POLICY,
                   only_changes: bool = False) -> DataFrame:
     """Per record and field: hidden, added, removed, changed or same, or the side that lacks the record.
 
-    Both snapshots are stacked and grouped by key digest: one shuffle, no join.  When a key
-    has several rows, the first in a fixed order stands for the record.
+    Each side is cut to one row per key digest, the first in a fixed order, and the sides are joined on it.
     """
 
-    def side(df: DataFrame, is_before: bool) -> DataFrame:
+    def side(df: DataFrame, tag: str) -> DataFrame:
         # entries sorted by name can be ordered, maps cannot
-        row = F.struct(
-            F.array_sort(F.map_entries("digests")).alias("digests"),
-            F.array_sort(F.map_entries("fields")).alias("fields"),
-            F.col("key_label"),
-        )
-        return df.select("key_digest", F.when(F.lit(is_before), row).alias("b"), F.when(F.lit(not is_before), row).alias("a"))
-
-    both = (
-        side(before, True).unionAll(side(after, False)).groupBy("key_digest")
-        .agg(F.min("b").alias("b"), F.min("a").alias("a"))
-    )
+        entries = df.select("key_digest", *[F.array_sort(F.map_entries(c)).alias(c) for c in ("digests", "fields")], "key_label")
+        first = first_per_key(entries, ["key_digest"], ["digests", "fields", "key_label"])
+        return first.select(F.col("key_digest").alias(f"{tag}_key"), F.struct("digests", "fields", "key_label").alias(tag))
+
+    both = side(before, "b").join(side(after, "a"), F.col("b_key") == F.col("a_key"), "full_outer").withColumn(
+        "key_digest", F.coalesce("b_key", "a_key"))
 
     def as_map(entries: str) -> Column:
         return F.map_from_entries(F.coalesce(F.col(entries), F.array().cast("array<struct<key:string,value:string>>")))

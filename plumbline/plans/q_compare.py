@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +17,8 @@ from plumbline.operators import snapshots as SN
 from plumbline.plans import star
 from plumbline.plans.registry import query
 from plumbline.sources import catalog as C
+from plumbline.sources import snapshot_store as SS
+from plumbline.sources import stores as ST
 
 # ---------------------------------------------------------------- two tables
 PLAIN = {
@@ -373,6 +377,16 @@ def snapshot_changes(env):
     return diff.select("key_label", "field", "change")
 
 
+@query(f"SELECT * FROM ({_SNAP_LINES}) WHERE change NOT IN ('same', 'hidden')")
+def snapshot_changes_saved(env):
+    """Both snapshots saved, then compared by their trees of digests."""
+    path = f"{ST.shared_folder(env.spark)}/snapshots-{uuid.uuid4().hex}"
+    columns = ["c_custkey", "c_name", "email", "mobile_number", "api_token"]
+    SS.save_snapshot(SN.snapshot(star.contacts(env).select(*columns), "c_custkey", SECRET), path, "before")
+    SS.save_snapshot(SN.snapshot(_contacts_changed(env).select(*columns).filter(F.col("c_custkey") % 13 != 0), "c_custkey", SECRET), path, "after")
+    return SS.saved_snapshot_diff(env.spark, path, "before", "after").select("key_label", "field", "change")
+
+
 @query(f"""WITH a AS (SELECT o_orderkey, o_orderstatus, CAST(o_custkey AS VARCHAR) AS c, o_orderpriority FROM orders WHERE o_orderkey IN (50, 61, 97, 100, 121)),
     b AS (SELECT o_orderkey, o_orderstatus, CAST(o_custkey AS VARCHAR) AS c, o_orderpriority FROM {star.ORDERS_B} x WHERE o_orderkey IN (50, 61, 97, 100, 121)),
     j AS (SELECT a.o_orderkey AS k, b.o_orderkey IS NULL AS gone, a.o_orderstatus AS s1, b.o_orderstatus AS t1, a.c AS s2, b.c AS t2,

@@ -40,7 +40,12 @@ def daily_issue_trend(env):
 
 @query(f"SELECT run_id, check_id, status, result_rows FROM {star.CHECK_RUNS} r WHERE connection = 'db1' AND check_id = 'purchase' ORDER BY run_id DESC LIMIT 500")
 def newest_runs(env):
-    return check_history(star.check_runs(env), "db1", "purchase").select("run_id", "check_id", "status", "result_rows")
+    return check_history(star.check_runs(env), "db1", "purchase", 500).select("run_id", "check_id", "status", "result_rows")
+
+
+@query(f"SELECT run_id, check_id, status, result_rows FROM {star.CHECK_RUNS} r WHERE connection = 'db1'")
+def run_history(env):
+    return check_history(star.check_runs(env), "db1").select("run_id", "check_id", "status", "result_rows")
 
 
 @query(f"SELECT status, count(*) AS checks FROM {star.CHECK_RUNS} r GROUP BY status")

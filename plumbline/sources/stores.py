@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +51,18 @@ def jdbc_table(
     return reader.load()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where Spark runs on one machine only."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="plumbline-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def json_documents(df: DataFrame, column: str, doc: str = "doc") -> DataFrame:
     """The frame with a parsed document and, for texts that are not JSON, the reason."""
     return df.withColumn(doc, D.parse(F.col(column))).withColumn("json_error", D.json_error(F.col(column)))
@@ -64,21 +78,13 @@ def read_runs(spark: SparkSession, path: str, connection: str | None = None) ->
     return runs.filter(F.col("connection") == connection) if connection else runs
 
 
-def check_history(runs: DataFrame, connection: str, check_id: str | None = None, limit: int = 500) -> DataFrame:
-    """The newest runs of a connection or of one check."""
+def check_history(runs: DataFrame, connection: str, check_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """The runs of a connection or of one check, newest first; ``limit`` keeps the newest ones."""
     runs = runs.filter(F.col("connection") == connection)
     if check_id is not None:
         runs = runs.filter(F.col("check_id") == check_id)
-    return runs.orderBy(F.desc("run_id")).limit(limit)
-
-
-def save_snapshot(snapshot: DataFrame, path: str, label: str) -> None:
-    """Write a snapshot under its label; several labels live side by side."""
-    snapshot.withColumn("label", F.lit(label)).write.mode("append").partitionBy("label").parquet(path)
-
-
-def read_snapshot(spark: SparkSession, path: str, label: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("label") == label).drop("label")
+    runs = runs.orderBy(F.desc("run_id"))
+    return runs if limit is None else runs.limit(limit)
 
 
 def write_masked_csv(df: DataFrame, path: str, show_personal: bool = False) -> None:

@@ -103,12 +103,17 @@ def test_catalog_queries_read_the_columns_they_name(spark, queries):
     assert "embedding" not in text and "html" not in text and text.count("FileScan") <= 14
 
 
+@pytest.mark.parametrize("name", ["table_compare_details", "table_compare_summary", "field_verdicts", "result_compare_different", "snapshot_changes", "record_diff"])
+def test_first_rows_need_no_sorted_aggregate(spark, queries, name):
+    assert "SortAggregate" not in plan(queries[name](spark, SF_DIR))
+
+
 def test_history_is_not_windowed_by_check_alone(spark, queries):
     text = plan(queries["changes_between_runs"](spark, SF_DIR))
     assert "rangepartitioning(connection" in text and "hashpartitioning(_range" in text
 
 
-WHOLE = ["linked_timeline_mixed_whole", "table_compare_long_keys_whole", "snapshot_decimal_scale_whole", "json_flatten_deep_whole", "json_rules_odd_whole"]
+WHOLE = ["linked_timeline_mixed", "table_compare_long_keys", "snapshot_decimal_scale", "json_flatten_deep", "json_rules_odd"]
 
 
 @pytest.mark.parametrize("name", WHOLE)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -198,6 +199,20 @@ def status_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("status").agg(F.count(F.lit(1)).alias("checks"))
 
 
+def batch_summary(results: DataFrame) -> DataFrame:
+    """One row: checks run, how many passed, and the ids of those that failed, could not run (error or outdated), or set off an alert.
+
+    ``results`` are the runs of a batch, a row per check, with ``fired`` as ``run_checks`` returns it.
+    """
+
+    def ids(cond: Column) -> Column:
+        return F.array_sort(F.collect_set(F.when(cond, F.col("check_id"))))
+
+    return results.agg(
+        F.count(F.lit(1)).alias("checks"), F.count_if(F.col("status") == "passed").alias("passed"), ids(F.col("status") == "failed").alias("failed"),
+        ids(F.col("status").isin("error", "outdated")).alias("errored"), ids(F.size("fired") > 0).alias("alerting"))
+
+
 def top_issues(table: DataFrame, n: int = 15) -> DataFrame:
     return table.filter(F.col("status") == "failed").orderBy(F.desc("rows"), "id").limit(n)
 
@@ -221,8 +236,10 @@ def evaluated(runs: DataFrame) -> DataFrame:
 OUTDATED = "no longer there"
 
 
-def _run_one(env: Env, session: SparkSession, check: Mapping, cap: int | None) -> tuple[int | None, float, str | None]:
+def _run_one(env: Env, session: SparkSession, check: Mapping, cap: int | None, pool: str) -> tuple[int | None, float, str | None]:
     started = time.monotonic()
+    # a property of this thread: with spark.scheduler.mode FAIR, batches share the cluster evenly, without it it does nothing
+    env.spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
     try:
         run: Callable[[Env], DataFrame] | None = check.get("run")
         df = run(env) if run else session.sql(check["sql"])
@@ -240,11 +257,12 @@ def run_checks(env: Env, checks: Sequence[Mapping], history: DataFrame | None =
     """Run a batch and return its runs: only counts come to the driver, never rows.
 
     Every check is one Spark job; a few are submitted at a time so that small jobs share
-    the cluster.  Append the result to the history with ``stores.append_runs``.
+    the cluster, each batch in a scheduler pool and a session of its own.  Append the result to the history with ``stores.append_runs``.
     """
     connection = connection or env.name
-    with env.as_views() as session, ThreadPoolExecutor(max_workers=workers) as pool:
-        outcomes = list(pool.map(lambda c: _run_one(env, session, c, cap), checks))
+    batch = f"checks-{uuid.uuid4().hex}"
+    with env.isolated() as session, ThreadPoolExecutor(max_workers=workers) as threads:
+        outcomes = list(threads.map(lambda c: _run_one(env, session, c, cap, batch), checks))
     moment = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     first_id = int(moment.timestamp() * 1_000_000)
     rows = [

@@ -360,6 +360,15 @@ def schema_diff(columns_a: DataFrame, columns_b: DataFrame, links_a: DataFrame |
     return out
 
 
+def filter_differences(diff: DataFrame, kinds: Sequence[str] = (), text: str = "") -> DataFrame:
+    """Differences of some kinds whose table or column holds a text, in any letter case."""
+    out = diff.filter(F.col("difference").isin(list(kinds))) if kinds else diff
+    if text:
+        named = F.lower(F.concat_ws(".", "table", "column"))
+        out = out.filter(named.contains(text.lower()))
+    return out
+
+
 def difference_counts(diff: DataFrame) -> DataFrame:
     """Differences per kind, every kind listed."""
     kinds = local_frame(diff.sparkSession, [(k,) for k in DIFFERENCE_KINDS], "difference string")

@@ -67,6 +67,18 @@ def check_rules(df: DataFrame, doc: str, rules: Sequence[D.Rule], opt: V.Options
     )
 
 
+def check_texts(df: DataFrame, body: str, rules: Sequence[D.Rule], opt: V.Options = V.DEFAULT, status_code: str | None = None) -> DataFrame:
+    """``check_rules`` for documents that are still text: rule 0, "is JSON", holds the reason for a text that cannot be read, and
+    such a text is judged by no other rule. Every text has a row."""
+    keep = [_c(c) for c in df.columns if c != body]
+    read = df.withColumn("_doc", D.parse(_c(body)))
+    readable = F.col("_doc").isNotNull()
+    first = read.select(
+        *keep, F.lit(0).alias("rule"), F.lit("").alias("path"), F.lit("is JSON").alias("operator"), F.when(readable, "pass").otherwise("fail").alias("status"),
+        F.when(readable, "").otherwise(F.coalesce(D.json_error(_c(body)), F.lit("no JSON text"))).alias("detail"))
+    return first.unionByName(check_rules(read.filter(readable).drop(body), "_doc", rules, opt, status_code))
+
+
 def rule_counts(results: DataFrame) -> DataFrame:
     """Documents per rule and status."""
     return results.groupBy("rule", "path", "operator").agg(

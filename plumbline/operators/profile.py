@@ -17,6 +17,7 @@ from plumbline.functions import names as N
 from plumbline.functions import values as V
 from plumbline.operators.filters import apply_filters, newest
 from plumbline.sources.catalog import local_frame, union_all
+from plumbline.sources.environment import Env
 
 
 def _c(name: str) -> Column:
@@ -268,32 +269,54 @@ def tables_per_column(columns: DataFrame) -> DataFrame:
     return columns.groupBy("col").agg(F.countDistinct("tbl").alias("tables"))
 
 
-def pii_scan(df: DataFrame, policy: N.NamePolicy = N.DEFAULT_POLICY) -> DataFrame:
-    """Personal data per column over the whole table: e-mails, phone runs, secret pairs, and what the name says."""
+def _detectors(c: Column) -> dict[str, Column]:
+    """Conditions on a text cell."""
     from plumbline.functions import privacy as P
 
+    return {
+        "email_rows": P.personal_text(c), "at_rows": c.contains("@"), "phone_rows": c.rlike(P.PHONE_RUN), "secret_rows": c.rlike(P.SECRET_PAIR)}
+
+
+def pii_parts(df: DataFrame, policy: N.NamePolicy = N.DEFAULT_POLICY) -> DataFrame:
+    """One pass over a table: column, named, detector, rows, hits, texts; a row for each text column and detector, and one without
+    a detector for each other column.
+
+    ``hits`` are cells the detector fires on, ``texts`` a sketch of the distinct ones: both can be added up over parts of a table
+    (``pii_merged``). ``named`` says what the column's name promises. Nothing of the texts themselves is kept.
+    """
     aggs, entries = [F.count(F.lit(1)).alias("rows")], []
     for i, f in enumerate(df.schema.fields):
-        c = _c(f.name)
-        is_text = isinstance(f.dataType, T.StringType)
-        found = {
-            "email_rows": P.personal_text(c) if is_text else None,
-            "at_rows": c.contains("@") if is_text else None,
-            "phone_rows": c.rlike(P.PHONE_RUN) if is_text else None,
-            "secret_rows": c.rlike(P.SECRET_PAIR) if is_text else None,
-        }
-        for name, cond in found.items():
-            if cond is not None:
-                aggs.append(F.count_if(cond).alias(f"{name}{i}"))
         named = "secret" if policy.is_secret(f.name) else "personal" if policy.is_personal(f.name) else ""
-        entries.append(
-            F.struct(
-                F.lit(f.name).alias("column"),
-                F.lit(named).alias("named"),
-                *[
-                    (F.col(f"{name}{i}") if cond is not None else F.lit(0)).cast("bigint").alias(name)
-                    for name, cond in found.items()
-                ],
-            )
-        )
+        found = _detectors(_c(f.name)) if isinstance(f.dataType, T.StringType) else {}
+        for name, fires in found.items():
+            aggs += [F.count_if(fires).alias(f"{name}{i}"), F.hll_sketch_agg(F.when(fires, _c(f.name))).alias(f"{name}{i}_texts")]
+        cells = [(name, F.col(f"{name}{i}"), F.col(f"{name}{i}_texts")) for name in found] or [("", F.lit(0).cast("bigint"), F.lit(None).cast("binary"))]
+        entries += [
+            F.struct(F.lit(f.name).alias("column"), F.lit(named).alias("named"), F.lit(name.removesuffix("_rows")).alias("detector"),
+                     hits.alias("hits"), texts.alias("texts")) for name, hits, texts in cells]
+    return df.agg(*aggs).select("rows", F.inline(F.array(*entries)))
+
+
+def pii_merged(parts: DataFrame, *keys: str) -> DataFrame:
+    """Parts of tables added up: per column and detector rows, hits and about how many distinct texts (an estimate, error some 2 %)."""
+    names = [*keys, "column", "named", "detector"]
+    return parts.groupBy(*names).agg(
+        F.sum("rows").alias("rows"), F.sum("hits").alias("hits"), F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("texts")), F.lit(0)).alias("distinct_texts"))
+
+
+def pii_catalog(env: Env) -> DataFrame:
+    """``pii_parts`` of every table of an environment, with the table: one pass each, a few rows out of it."""
+    return union_all([pii_parts(env.table(t), env.policy).select(F.lit(t).alias("tbl"), "*") for t in env.tables])
+
+
+def pii_scan(df: DataFrame, policy: N.NamePolicy = N.DEFAULT_POLICY) -> DataFrame:
+    """Personal data per column over the whole table: e-mails, phone runs, secret pairs, and what the name says."""
+    aggs, entries = [F.count(F.lit(1)).alias("rows")], []
+    names = ["email_rows", "at_rows", "phone_rows", "secret_rows"]
+    for i, f in enumerate(df.schema.fields):
+        found = _detectors(_c(f.name)) if isinstance(f.dataType, T.StringType) else {}
+        aggs += [F.count_if(cond).alias(f"{name}{i}") for name, cond in found.items()]
+        named = "secret" if policy.is_secret(f.name) else "personal" if policy.is_personal(f.name) else ""
+        counts = [(F.col(f"{name}{i}") if name in found else F.lit(0)).cast("bigint").alias(name) for name in names]
+        entries.append(F.struct(F.lit(f.name).alias("column"), F.lit(named).alias("named"), *counts))
     return df.agg(*aggs).select("rows", F.inline(F.array(*entries)))

@@ -13,6 +13,7 @@ from plumbline.functions import names as N
 from plumbline.functions import text as X
 from plumbline.functions.values import INTEGRAL
 from plumbline.operators.filters import typed_literal
+from plumbline.operators.value_filter import value_filter
 from plumbline.sources.catalog import local_frame, union_all
 from plumbline.sources.environment import Env
 
@@ -38,26 +39,6 @@ def searchable(kind: str, name: str, dtype: T.DataType) -> bool:
     return text and N.matches(N.ID_NAME, name)
 
 
-def searchable_columns(columns: DataFrame, kind: str) -> DataFrame:
-    """The same rule over a catalog frame (tbl, col, type, key)."""
-    base = F.regexp_extract(F.lower("type"), r"^([a-z]+)", 1)
-    text = base.isin("char", "varchar", "text", "tinytext", "mediumtext", "longtext")
-    short_text = base.contains("char")
-    number = base.isin("int", "bigint", "smallint", "mediumint", "decimal")
-    id_name, phone_name = N.name_flag(N.ID_NAME, F.col("col")), N.name_flag(N.PHONE_NAME, F.col("col"))
-    ok = {
-        "email": text & N.name_flag(N.EMAIL_NAME, F.col("col")),
-        "phone": (text | base.isin("bigint", "decimal")) & phone_name,
-        "number": (number | short_text) & (id_name | phone_name)
-        & ~((F.col("col") == "id") & (F.coalesce("key", F.lit("")) == "PRI")),
-        "text": short_text & id_name,
-    }[kind]
-    rank = F.lit(3)
-    for key, r in KEY_RANK.items():
-        rank = F.when(F.col("key") == key, F.lit(r)).otherwise(rank)
-    return columns.filter(ok & ~N.DEFAULT_POLICY.secret_flag(F.col("col"))).withColumn("rank", rank)
-
-
 def search_values(
     env: Env,
     values: Sequence[str],
@@ -121,22 +102,19 @@ def ranked_hits(hits: DataFrame) -> DataFrame:
 
 
 def search_ids(env: Env, ids: DataFrame, id_column: str, columns: Mapping[str, Sequence[str]]) -> DataFrame:
-    """The multi-value form: a frame of identifiers against chosen columns.
+    """The multi-value form: a frame of identifiers against chosen columns; value, tbl, col, matches.
 
-    Every column is counted per value before it meets the identifiers.
+    Each table is read once, its columns unpivoted. A filter made of the identifiers drops most cells in the scan; the rest is
+    counted per value, and only the counts meet the identifiers.
     """
-    wanted = ids.select(_c(id_column).cast("string").alias("value")).distinct()
+    wanted = ids.select(_c(id_column).cast("string").alias("value")).filter(F.col("value").isNotNull()).distinct()
+    passes = value_filter(wanted)
     parts = []
     for table, names in columns.items():
-        for c in names:
-            counts = (
-                env.table(table).filter(_c(c).isNotNull()).groupBy(_c(c).cast("string").alias("value"))
-                .agg(F.count(F.lit(1)).alias("matches"))
-            )
-            parts.append(
-                counts.join(wanted, "value", "left_semi").select("value", F.lit(table).alias("tbl"), F.lit(c).alias("col"), "matches")
-            )
-    return union_all(parts)
+        cells = F.array(*[F.struct(F.lit(c).alias("col"), _c(c).cast("string").alias("value")) for c in names])
+        parts.append(env.table(table).select(F.lit(table).alias("tbl"), F.inline(cells)).filter(F.col("value").isNotNull() & passes(F.col("value"))))
+    counts = union_all(parts).groupBy("value", "tbl", "col").agg(F.count(F.lit(1)).alias("matches"))
+    return counts.join(wanted, "value", "left_semi")
 
 
 def find_by_id(env: Env, column: str, value: str, rows: int | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:

@@ -330,6 +330,12 @@ def schema_diff(env):
     return CM.schema_diff(*_catalogs(env))
 
 
+@query(f"""SELECT difference, "table", "column" FROM ({_schema_sql()}) x WHERE difference IN ('Missing column', 'Extra column', 'Nullable differs') AND (contains(lower("table" || '.' || "column"), 'customer.c_'))""")
+def schema_diff_filtered(env):
+    diff = CM.filter_differences(CM.schema_diff(*_catalogs(env)), ["Missing column", "Extra column", "Nullable differs"], "CUSTOMER.c_")
+    return diff.select("difference", "table", "column")
+
+
 @query(f"""SELECT k.d AS difference, count(x.difference) AS rows FROM (VALUES {', '.join(f"('{d}')" for d in CM.DIFFERENCE_KINDS)}) k(d)
     LEFT JOIN ({_schema_sql()}) x ON x.difference = k.d GROUP BY k.d""")
 def schema_difference_counts(env):

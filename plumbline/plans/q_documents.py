@@ -68,6 +68,13 @@ def json_rules(env):
     return results.select("o_orderkey", "rule", "path", "operator", "status")
 
 
+@query(f"""{_rule_sql()} UNION ALL SELECT o_orderkey, 0, '', 'is JSON', CASE WHEN valid THEN 'pass' ELSE 'fail' END FROM {_DOCS} d""")
+def json_rules_all(env):
+    """Texts that are no JSON included."""
+    results = DO.check_texts(star.order_documents(env), "body", [r for r, _, _ in RULES], status_code="status_code")
+    return results.select("o_orderkey", "rule", "path", "operator", "status")
+
+
 @query(f"""SELECT rule, path, operator, count(*) FILTER (WHERE status = 'pass') AS pass, count(*) FILTER (WHERE status = 'fail') AS fail,
     count(*) FILTER (WHERE status = 'warn') AS warn FROM ({_rule_sql()}) GROUP BY ALL""")
 def json_rule_counts(env):
@@ -86,7 +93,7 @@ def json_rule_counts(env):
         FROM {_DOCS} d WHERE valid AND has_note
     UNION ALL SELECT o_orderkey, 'data.paid', 'boolean', CASE WHEN paid THEN 'true' ELSE 'false' END FROM {_DOCS} d WHERE valid)""")
 def json_flatten(env):
-    flat = DO.flatten_documents(_parsed(env).drop("status_code"), "doc", max_depth=4)
+    flat = DO.flatten_documents(_parsed(env).drop("status_code"), "doc")
     # numbers of two decimals print without trailing zeros
     shown = F.when((F.col("path") == "data.total") & F.col("shown").contains("."), F.regexp_replace("shown", r"\.?0+$", "")).otherwise(F.col("shown"))
     return flat.select("o_orderkey", "path", "type", shown.alias("shown"))

@@ -230,17 +230,16 @@ def column_search(env):
 
 
 def _assets(env):
-    """Everything with a name: tables, columns, parts as saved queries, and the query log."""
-    tables = _tables_frame(env).select(F.lit("Table").alias("kind"), F.col("name").alias("title"), F.lit("").alias("detail"))
-    columns = C.column_nulls(env).select(
-        F.lit("Column").alias("kind"), F.concat("tbl", F.lit("."), "col").alias("title"), F.col("tbl").alias("detail"))
+    """Everything with a name: tables, columns, parts as saved queries, and the query log. Names of tables and columns come from the schemas."""
+    named = C.catalog_columns(env)
+    tables = named.select("tbl").distinct().select(F.lit("Table").alias("kind"), F.col("tbl").alias("title"), F.lit("").alias("detail"))
+    columns = named.select(F.lit("Column").alias("kind"), F.concat("tbl", F.lit("."), "col").alias("title"), F.col("tbl").alias("detail"))
     saved = env.table("part").select(F.lit("Saved query").alias("kind"), F.col("p_name").alias("title"), F.col("p_type").alias("detail"))
     log = star.query_log(env).select(F.lit("History").alias("kind"), F.col("sql").alias("title"), F.lit("").alias("detail"))
     return C.union_all([tables, columns, saved, log])
 
 
 _ASSETS = f"""(SELECT 'Table' AS kind, name AS title, '' AS detail FROM {_TABLE_ROWS} t
-    UNION ALL SELECT 'Column', '{{}}' , '' WHERE FALSE
     UNION ALL {' UNION ALL '.join(f"SELECT 'Column', '{t}.{c}', '{t}'" for t, cs in star.TABLES.items() for c in cs)}
     UNION ALL SELECT 'Saved query', p_name, p_type FROM part
     UNION ALL SELECT DISTINCT 'History', sql, '' FROM {star.QUERY_LOG} l)"""
@@ -405,14 +404,19 @@ def rows_without_parent(env):
     return found["l_orderkey points to a missing orders"].select("l_orderkey", "l_partkey")
 
 
-@query("""SELECT CAST(i AS BIGINT) AS o_orderkey, (SELECT list(c_custkey ORDER BY c_custkey) FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 1000))
-    [CAST((i - 1) % least(1000, (SELECT count(*) FROM customer)) + 1 AS BIGINT)] AS o_custkey, 'qa_test_' || i AS o_orderstatus, 100.0 AS o_totalprice,
-    'qa_test_' || i AS o_orderpriority FROM range(1, 5001) r(i)""")
+_PARENTS = """(SELECT list(c_custkey ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey) FROM (SELECT DISTINCT c_custkey FROM customer))
+    [CAST((i - 1) % (SELECT count(DISTINCT c_custkey) FROM customer) + 1 AS BIGINT)]"""
+
+
+@query(f"""SELECT CAST(i AS BIGINT) AS o_orderkey, {_PARENTS} AS o_custkey, 'qa_test_' || i AS o_orderstatus, 100.0 AS o_totalprice,
+    'qa_test_' || i AS o_orderpriority FROM range(1, (SELECT count(*) FROM orders) + 1) r(i)""")
 def generated_rows(env):
-    return TD.generate_rows(env, "orders", "valid", 5000).drop("o_orderdate")
+    """As many orders as there are."""
+    return TD.generate_rows(env, "orders", "valid", env.table("orders").count()).drop("o_orderdate")
 
 
-@query()
+@query(f"""SELECT 9223372036854775807 AS o_orderkey, {_PARENTS} AS o_custkey, 'x' AS o_orderstatus, 100.0 AS o_totalprice, TIMESTAMP '{TD.LONGEST_MOMENT}' AS o_orderdate,
+    repeat('x', {TD.DEFAULT_LENGTH}) AS o_orderpriority FROM range(1, 1001) r(i)""")
 def generated_rows_longest(env):
     return TD.generate_rows(env, "orders", "longest", 1000, limits={"o_orderstatus": 1})
 

@@ -11,6 +11,7 @@ from plumbline.operators import links as LK
 from plumbline.operators import rules as R
 from plumbline.operators import snapshots as SN
 from plumbline.operators import timeline as TL
+from plumbline.plans import star
 from plumbline.plans.registry import query
 from plumbline.sources import catalog as C
 from plumbline.sources.environment import Link
@@ -146,7 +147,27 @@ def json_rules_odd(env):
     return DO.check_rules(docs, "doc", rules).select("o_orderkey", "rule", "path", "status")
 
 
-@query()
+@query(f"""SELECT count(*) AS rows, 'user_id' AS "column", 'Links' AS category, "case", max(n) AS rows_showing FROM events, (VALUES
+    ('Points to a missing contacts', (SELECT count(*) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM {star.CONTACTS} c))),
+    ('Points to a deleted / inactive contacts', (SELECT count(*) FROM events WHERE user_id IN (SELECT c_custkey FROM {star.CONTACTS} c WHERE is_deleted)))) v("case", n) GROUP BY "case" """)
+def edge_cases_deleted_parent(env):
+    found = EC.measured_cases(env.table("events"), links={"user_id": ("contacts", star.contacts(env), "c_custkey")})
+    return found.drop("example")
+
+
+#: CRC-32 of a text, in SQL: a table of 256 remainders, then a step a byte
+_CRC = """crc(i, v, b) AS (SELECT 0, CAST(r.b AS BIGINT), r.b FROM range(256) r(b)
+        UNION ALL SELECT i + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, b FROM crc WHERE i < 8),
+    remainders AS (SELECT list(v ORDER BY b) AS t FROM crc WHERE i = 8),
+    steps AS (SELECT line, 1 AS i, CAST(4294967295 AS BIGINT) AS v FROM lines
+        UNION ALL SELECT line, i + 1, xor(t[CAST(xor(v % 256, ord(substr(line, i, 1))) AS BIGINT) + 1], v // 256) FROM steps, remainders WHERE i <= length(line))"""
+
+
+@query(f"""WITH RECURSIVE lines AS (SELECT table_name || '.' || column_name || ' ' || CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+        WHEN 'VARCHAR' THEN 'longtext' WHEN 'DOUBLE' THEN 'double' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'datetime' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp'
+        WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END AS line FROM information_schema.columns WHERE table_name IN ({', '.join(f"'{t}'" for t in star.TABLES)})), {_CRC}
+    SELECT count(*) AS columns, CAST(sum(xor(v, 4294967295)) AS BIGINT) AS checksum, (SELECT CAST(sum(n) AS BIGINT) FROM ({" UNION ALL ".join(f"SELECT count(*) AS n FROM {t}" for t in star.TABLES)})) AS rows
+    FROM steps WHERE i = length(line) + 1""")
 def schema_fingerprint(env):
     """Columns and checksum of the whole catalog, beside the rows it stands for."""
     return C.schema_fingerprint(C.catalog_columns(env)).withColumn("rows", C.table_counts(env).agg(F.sum("rows")).scalar())

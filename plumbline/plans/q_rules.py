@@ -102,13 +102,26 @@ def orphan_rows(env):
         FROM orders WHERE o_totalprice > 499000
     UNION ALL SELECT 'broken', 'outdated', NULL, 'Other', 'low')""")
 def check_batch(env):
-    checks = [
+    return CH.run_checks(env.only("orders", "lineitem"), _batch()).select("check_id", "status", "result_rows", "area", "severity")
+
+
+@query(f"""SELECT 4 AS checks, CAST((n = 0) AS INT) + CAST((big <= 5) AS INT) AS passed,
+    concat_ws(', ', CASE WHEN big > 5 THEN 'few_big_orders' END, CASE WHEN n > 0 THEN 'paid_orders_have_returns' END) AS failed,
+    'broken' AS errored, 'broken' AS alerting FROM (SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F' AND NOT {_HAS}) AS n,
+    (SELECT count(*) FROM orders WHERE o_totalprice > 499000) AS big)""")
+def check_batch_summary(env):
+    summary = CH.batch_summary(CH.run_checks(env.only("orders", "lineitem"), _batch()))
+    return summary.select(F.col("checks").cast("int").alias("checks"), F.col("passed").cast("int").alias("passed"),
+                          *[F.array_join(c, ", ").alias(c) for c in ("failed", "errored", "alerting")])
+
+
+def _batch():
+    return [
         R.as_check({**RETURNED, "id": "paid_orders_have_returns"}, "Paid orders have returns"),
         {"id": "orders_overview", "area": "Overview", "sql": "SELECT * FROM orders", "expect": "info"},
         {"id": "few_big_orders", "sql": "SELECT * FROM orders WHERE o_totalprice > 499000", "expect": "at most 5"},
         {"id": "broken", "sql": "SELECT no_such_column FROM orders", "severity": "low", "alerts": ["query failed"]},
     ]
-    return CH.run_checks(env.only("orders", "lineitem"), checks).select("check_id", "status", "result_rows", "area", "severity")
 
 
 # ---------------------------------------------------------------- playbooks

@@ -10,6 +10,7 @@ from plumbline.functions import values as V
 from plumbline.operators import edge_cases as EC
 from plumbline.operators import filters as FL
 from plumbline.operators import profile as PF
+from plumbline.operators import profile_store as PS
 from plumbline.plans import star
 from plumbline.plans.registry import query
 from plumbline.sources import catalog as C
@@ -290,6 +291,30 @@ def pii_scan_documents(env):
     return PF.pii_scan(env.table("documents"))
 
 
+_TEXTS = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"],
+          "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"],
+          "documents": ["text", "lang", "source"], "pages": ["url", "html"], "benchmark": ["text"], "conversations": ["role", "text"]}
+
+
+def _pii_catalog_sql() -> str:
+    parts = []
+    for t, columns in star.TABLES.items():
+        for c in columns:
+            if c in _TEXTS.get(t, ()):
+                tests = {"email": f"regexp_matches({c}, '{_EMAIL_SQL}')", "at": f"contains({c}, '@')", "phone": f"regexp_matches({c}, '{_PHONE_SQL}')",
+                         "secret": f"regexp_matches({c}, '{_SECRET_SQL}')"}
+            else:
+                tests = {"": "FALSE"}
+            parts += [f"SELECT '{t}' AS tbl, '{c}' AS \"column\", '' AS named, '{d}' AS detector, count(*) AS rows, count(*) FILTER ({cond}) AS hits FROM {t}" for d, cond in tests.items()]
+    return " UNION ALL ".join(parts)
+
+
+@query(_pii_catalog_sql())
+def pii_catalog(env):
+    """Every detector on every text cell of all tables."""
+    return PF.pii_merged(PF.pii_catalog(env), "tbl").drop("distinct_texts")
+
+
 @query(_pii_sql(star.CONTACTS, [
     ("c_custkey", False, ""), ("c_name", True, ""), ("email", True, ""), ("mobile_number", True, "personal"),
     ("phone2", False, "personal"), ("password", True, "secret"), ("api_token", True, "secret"), ("status", True, ""),
@@ -427,6 +452,28 @@ def catalog_columns_measured(env):
     return C.column_nulls(env).drop("type")
 
 
+def _merged_sql(table: str, columns: dict[str, str]) -> str:
+    """columns: name to number, text or other."""
+    null = "CAST(NULL AS {})"
+    parts = []
+    for c, kind in columns.items():
+        number, text = kind == "number", kind == "text"
+        cells = {
+            "empty": f"count(*) FILTER ({c} = '')" if text else null.format("BIGINT"),
+            "smallest": f"CAST(min({c}) AS DOUBLE)" if number else null.format("DOUBLE"), "largest": f"CAST(max({c}) AS DOUBLE)" if number else null.format("DOUBLE"),
+            "shortest": f"min(length({c}))" if text else null.format("BIGINT"), "longest": f"max(length({c}))" if text else null.format("BIGINT"),
+        }
+        parts.append(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, " + ", ".join(f"{v} AS {k}" for k, v in cells.items()) + f" FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+@query(_merged_sql("lineitem", {c: "text" if c in ("l_returnflag", "l_linestatus") else "other" if c == "l_shipdate" else "number" for c in star.TABLES["lineitem"]}))
+def profile_merged(env):
+    """The profile of all lines, merged from a part for each month they were shipped in."""
+    parts = PS.profile_parts(env.table("lineitem"), F.date_format("l_shipdate", "yyyy-MM"))
+    return PS.merged_profile(parts).drop("distinct_values", "q25", "q50", "q75")
+
+
 @query()
 def recently_changed_tables(env):
     return C.files_changed(env).orderBy(F.desc("updated")).limit(50)

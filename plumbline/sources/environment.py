@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
@@ -84,6 +85,26 @@ class Env:
                 else:
                     self.spark.catalog.dropTempView(t)
 
+    @contextmanager
+    def isolated(self, tables: Iterable[str] | None = None) -> Iterator[SparkSession]:
+        """A session of its own, with the settings of this one, in which tables of the environment are temporary views.
+
+        Views of the caller and of other batches are neither seen nor replaced.
+        """
+        tag, named = f"batch_{uuid.uuid4().hex}", list(self.tables if tables is None else tables)
+        session = self.spark.newSession()
+        for row in self.spark.sql("SET").collect():
+            if session.conf.isModifiable(row["key"]):
+                session.conf.set(row["key"], row["value"])
+        try:
+            for i, t in enumerate(named):
+                self.table(t).createGlobalTempView(f"{tag}_{i}")
+                session.sql(f"CREATE TEMPORARY VIEW `{t}` AS SELECT * FROM global_temp.`{tag}_{i}`")
+            yield session
+        finally:
+            for i in range(len(named)):
+                self.spark.catalog.dropGlobalTempView(f"{tag}_{i}")
+
     def with_tables(self, name: str | None = None, drop: Iterable[str] = (), **frames: DataFrame) -> "Env":
         """The same environment with some tables replaced, added or dropped."""
         loaders = {t: f for t, f in self.loaders.items() if t not in set(drop)}

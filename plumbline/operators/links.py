@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import values as V
 from plumbline.operators.inclusion import COVERAGE
-from plumbline.sources.catalog import union_all
+from plumbline.sources.catalog import local_frame, union_all
 from plumbline.sources.environment import Env, Link
 
 
@@ -118,7 +118,39 @@ def verify_link(env: Env, link: Link) -> DataFrame:
 
 
 def verify_links(env: Env, links: Sequence[Link] | None = None) -> DataFrame:
-    return union_all([verify_link(env, k) for k in (links or env.links)])
+    """``verify_link`` for many links, each table read once.
+
+    The linked columns of a table are unpivoted to (link, side, value), and all links are grouped by value together, so a value of a
+    third of the rows is one row of two counts. Links between columns of different types are verified one by one.
+    """
+    links = list(env.links if links is None else links)
+    dtype = lambda table, column: env.table(table).schema[column].dataType
+    alike = [dtype(k.table, k.column) == dtype(k.ref_table, k.ref_column) for k in links]
+    roles: dict[str, list[Column]] = {}
+    for i, k in enumerate(links):
+        for table, column, child in ((k.table, k.column, 1), (k.ref_table, k.ref_column, 0)) if alike[i] else ():
+            roles.setdefault(table, []).append(F.struct(
+                F.lit(i).alias("i"), _c(column).cast("string").alias("v"), F.lit(child).alias("child"), F.lit(1 - child).alias("parent")))
+    out = [verify_link(env, k) for i, k in enumerate(links) if not alike[i]]
+    if roles:
+        cells = union_all([env.table(t).select(F.inline(F.array(*own))) for t, own in roles.items()])
+        values = cells.groupBy("i", "v").agg(F.sum("child").alias("c"), F.sum("parent").alias("p"))
+        has_key = F.col("v").isNotNull()
+
+        def rows(cond: Column) -> Column:
+            return F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0))
+
+        counts = values.groupBy("i").agg(
+            F.sum("c").alias("child_rows"), rows(~has_key).alias("null_rows"), rows(has_key & (F.col("p") > 0)).alias("matched_rows"),
+            rows(has_key & (F.col("p") == 0)).alias("orphan_rows"), F.count_if(has_key & (F.col("c") > 0) & (F.col("p") == 0)).alias("orphan_values"),
+            F.count_if(has_key & (F.col("p") > 0) & (F.col("c") == 0)).alias("unused_parents"),
+            (F.coalesce(F.max(F.when(has_key, F.col("p"))), F.lit(0)) <= 1).alias("parent_unique"))
+        named = [(i, f"{k.table}.{k.column}", f"{k.ref_table}.{k.ref_column}", k.how) for i, k in enumerate(links) if alike[i]]
+        listed = local_frame(env.spark, named, "i int, link string, points_to string, how string")
+        found = ["child_rows", "null_rows", "matched_rows", "orphan_rows", "orphan_values", "unused_parents"]
+        out.append(listed.join(counts, "i", "left").select(
+            "link", "points_to", "how", *[F.coalesce(c, F.lit(0)).alias(c) for c in found], F.coalesce("parent_unique", F.lit(True)).alias("parent_unique")))
+    return union_all(out)
 
 
 _HOP = "struct<from_tbl:string,from_col:string,to_tbl:string,to_col:string,how:string>"

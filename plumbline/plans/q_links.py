@@ -404,7 +404,7 @@ def rows_without_parent(env):
     return found["l_orderkey points to a missing orders"].select("l_orderkey", "l_partkey")
 
 
-_PARENTS = """(SELECT list(c_custkey ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey) FROM (SELECT DISTINCT c_custkey FROM customer))
+_PARENTS = """(SELECT list(c_custkey ORDER BY c_custkey) FROM (SELECT DISTINCT c_custkey FROM customer))
     [CAST((i - 1) % (SELECT count(DISTINCT c_custkey) FROM customer) + 1 AS BIGINT)]"""
 
 

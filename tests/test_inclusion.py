@@ -10,6 +10,7 @@ from plumbline.operators import compare as CM
 from plumbline.operators import inclusion as IN
 from plumbline.operators import links as LK
 from plumbline.sources import catalog as C
+from plumbline.sources.environment import Link
 
 
 def rows(df, *cols):
@@ -97,3 +98,18 @@ def test_an_environment_reads_a_schema_once(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
     env = Env.from_parquet(spark, str(tmp_path), ["t"])
     assert env.table("t") is env.table("t") and env.only("t").table("t") is env.table("t")
+
+
+def test_links_verified_together_as_one_by_one(spark):
+    """A hot value, NULLs on both sides, a parent that is not unique, an empty child, a link between types."""
+    tables = {
+        "a": ([(7, None, 1)] * 60 + [(None, 3, 2), (8, 3, 3), (99, 4, None)], ["x", "y", "z"]),
+        "b": ([(i, i % 3) for i in range(10)] + [(None, 5)], ["id", "code"]),
+        "c": ([(str(i),) for i in range(5)], ["t"]),
+        "none": ([], ["x"]),
+    }
+    env = env_of_tables(spark, tables, {"t": "string"})
+    links = [Link("a", "x", "b", "id"), Link("a", "y", "b", "id"), Link("a", "z", "b", "code"), Link("none", "x", "b", "id"), Link("a", "y", "c", "t"), Link("b", "code", "none", "x")]
+    together = LK.verify_links(env, links)
+    one_by_one = [tuple(LK.verify_link(env, k).first()) for k in links]
+    assert sorted(tuple(r) for r in together.collect()) == sorted(one_by_one)

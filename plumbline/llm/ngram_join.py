@@ -227,7 +227,11 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS_A
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the first of their group or in none, all columns."""
+    """The rows of ``docs`` that are the first of their group or in none, all columns.
+
+    NULL, empty and blank texts are in no group and stay. Rows that share the smallest id of a group all stay. Rows without an id are not
+    told apart: all of them stay if one of them has no partner with an id. An empty table stays empty.
+    """
     groups = jaccard_groups(docs, id_col=id_col, text_col=text_col)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
     return docs.join(first, docs[id_col].cast("long").eqNullSafe(first["first_id"]), "left_semi")

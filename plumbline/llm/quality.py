@@ -185,8 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 
 def scored(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, expected_grade (0 to 2), tail (P of grade 2), kept (tail of ``KEEP`` or more) for each row of ``docs``. NULL
-    and empty texts are scored by their form alone."""
+    """doc_id, score, expected_grade (0 to 2), tail (P of grade 2), kept (tail of ``KEEP`` or more) for each row of ``docs``.
+
+    NULL and empty texts are scored by their form alone, texts of any length whole. Rows repeated have one score each, the same; a tail of
+    exactly ``KEEP`` is kept. NULL ids stay, an empty table gives no rows, other columns are not read, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())  # as large as the sample's features
 
     def rows(batches):
@@ -204,7 +207,8 @@ def scored(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: st
 
 
 def kept_documents(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model keeps, all columns; each row is judged where it is read, so nothing is shuffled."""
+    """The rows of ``docs`` that the model keeps, all columns, whatever their names; each row is judged where it is read, so nothing is
+    shuffled. NULL and empty texts are judged by their form, rows repeated alike, and an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())
     at = docs.columns.index(text_col)
 

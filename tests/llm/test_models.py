@@ -136,3 +136,31 @@ def test_stages_return_the_documents_columns(spark, sf_dir, docs):
         out = stage(spark, rows, sf_dir)
         assert out.schema == rows.schema and out.count() > 0
         assert stage(spark, rows.limit(0), sf_dir).count() == 0
+
+
+def test_quality_fit_is_at_the_top_of_the_likelihood():
+    """The ordinal log-likelihood, written out grade by grade, has no slope at the fitted weights and thresholds (central differences)."""
+    rng = np.random.default_rng(8)
+    grades = rng.integers(0, 3, 240)
+    rows = [np.flatnonzero(rng.random(6) < [[.8, .5, .1, .3, .2, .5], [.3, .6, .4, .3, .7, .5], [.1, .5, .8, .9, .3, .5]][g]) for g in grades]
+    ridge = 1e-3
+    model = quality.fit(rows, grades, steps=6000, rate=0.02, ridge=ridge)
+    assert len(model.features) >= 2 and (np.diff(model.thresholds) > 0).all()
+
+    def likelihood(x):
+        weight, cuts = dict(zip(model.features.tolist(), x)), x[len(model.features):]
+        total = 0.0
+        for row, grade in zip(rows, grades):
+            score = sum(weight.get(f, 0.0) for f in row.tolist())
+            above = [1.0, *[1 / (1 + math.exp(c - score)) for c in cuts], 0.0]
+            total += math.log(above[grade] - above[grade + 1])
+        return total / len(rows) - ridge / 2 * sum(w * w for w in weight.values())
+
+    x = np.concatenate([model.weights, model.thresholds])
+    for i in range(len(x)):
+        step = np.zeros(len(x))
+        step[i] = 1e-4
+        assert abs(likelihood(x + step) - likelihood(x - step)) / 2e-4 < 2e-3
+    tails = model.tails(model.score(rows[0]))
+    score = sum(w for f, w in zip(model.features.tolist(), model.weights) if f in rows[0])
+    assert np.allclose(tails, [1 / (1 + math.exp(c - score)) for c in model.thresholds])

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import read_docs
+from plumbline.llm.common import dropped, read_docs, written
 
 #: bytes of the identifier dictionary, and the words it is made of
 DICTIONARY, WORDS = 64 << 10, 16_000
@@ -75,9 +75,18 @@ def identifiers(docs: DataFrame, text_col: str = "text", words: int = WORDS) ->
                 found = Counter()
         yield _counts(found)
 
-    counts = docs.select(F.col(f"`{text_col}`").alias("t")).mapInArrow(counted, "word string, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return {row["word"]: row["n"] for row in top.collect()}  # ``words`` rows at most
+    parts = docs.select(F.col(f"`{text_col}`").alias("t")).mapInArrow(counted, "word string, n long")
+    counts = written(parts.groupBy("word").agg(F.sum("n").alias("n")), "op13-words").withColumn("size", F.length(F.bin("n")))
+    # words per size of count, some 60 rows: only words of the sizes that hold the commonest ones are sorted
+    left, least = words, 1
+    for row in counts.groupBy("size").count().orderBy(F.desc("size")).collect():
+        least, left = row["size"], left - row["count"]
+        if left <= 0:
+            break
+    top = counts.where(F.col("size") >= least).orderBy(F.desc("n"), "word").limit(words)
+    found = {row["word"]: row["n"] for row in top.collect()}  # ``words`` rows at most
+    dropped(counts)
+    return found
 
 
 def trained(counts: dict[str, int], size: int = DICTIONARY, lines: int = 4000) -> bytes:

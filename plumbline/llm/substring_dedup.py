@@ -1,7 +1,7 @@
 """Operator 10, substring dedup: passages that repeat, across documents or within one.
 
 Paragraphs (lines of ``MIN_WORDS`` words or more) are sets of word shingles. Their MinHash values, ``ROWS`` to a band, give ``BANDS``
-keys: a pair at the threshold of 0.75 shares one with probability 1 - (1 - 0.75^ROWS)^BANDS = 0.996. Paragraphs with equal sets are
+keys: a pair at the threshold of 0.75 shares one with probability 1 - (1 - 0.75^ROWS)^BANDS = 0.997. Paragraphs with equal sets are
 one node; ``linking`` compares nodes that collide by their exact Jaccard similarity; of each component the first paragraph stays.
 
 A passage need not be a line of its own: it may stand in the middle of a longer line or run over several short ones. So each text also
@@ -27,11 +27,13 @@ from plumbline.llm.linking import linked
 from plumbline.llm.shingles import WORDS_A_SHINGLE, Hasher, buffers, from_bytes, to_bytes, window_hashes, windows, word_runs
 
 PERCENT, MIN_WORDS = 75, 40
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 15, 4
 #: words of a window, and shingles among which a window's start is the smallest: together 50 words
 WINDOW, REACH = 25, 26
 #: bytes of text whose windows are dealt out together
-PIECE_BYTES = 8_000_000
+PIECE_BYTES = 4_000_000
+#: characters of text to a part of all windows
+PART_CHARS = 8_000_000
 _KINDS = {"doc_id": pa.int64(), "row_hash": pa.int64(), "paragraph": pa.int32(), "start": pa.int64(), "n_chars": pa.int32(),
           "n_words": pa.int32(), "node": pa.int64(), "n": pa.int32()}
 
@@ -115,14 +117,23 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
         signed, "doc_id long, row_hash long, paragraph int, start long, n_chars int, n_words int, node long, n int, bands binary"), "op10-paragraphs")
 
     def posted(batches):
+        seen: set[int] = set()  # a task posts a node once, however many copies of a paragraph it has
         for batch in batches:
-            keys = [np.frombuffer(k, "<i8") for k in batch.column(2).to_pylist()]
+            nodes = batch.column(0).to_pylist()
+            new = []
+            for i, node in enumerate(nodes):
+                if node not in seen:
+                    seen.add(node)
+                    new.append(i)
+            part = batch.take(pa.array(new, pa.int64()))
+            keys = [np.frombuffer(k, "<i8") for k in part.column(2).to_pylist()]
             lengths = [len(k) for k in keys]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), lengths)),
-                pa.array(np.repeat(batch.column(1).to_numpy(), lengths))], ["key", "node", "n"])
+                pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), lengths)),
+                pa.array(np.repeat(part.column(1).to_numpy(), lengths))], ["key", "node", "n"])
 
-    postings = paragraphs.select("node", "n", "bands").mapInArrow(posted, "key long, node long, n int")
+    # copies of a paragraph are one node; its postings meet by key, where those of several tasks become one
+    postings = paragraphs.select("node", "n", "bands").mapInArrow(posted, "key long, node long, n int").repartition("key").distinct()
 
     def grams(batches):
         hasher = Hasher()
@@ -269,7 +280,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, reach: int = REACH,
     on, the length from which runs are found for certain. Rows repeated with one id and one text are one document; NULL ids come first.
     """
     source, spark = _rows(docs, id_col, text_col), docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = source.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
     shared = spark.sparkContext.broadcast(_shared_seeds(source, window, reach, parts).__dict__)
 
     def placed(batches):
@@ -301,10 +313,12 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, reach: int = REACH,
             lead, number = order[new], np.empty(len(at), np.int64)
             number[order] = np.cumsum(new) - 1
             n = np.bincount(number) * 2 + (np.bincount(number[order], other) > 0)  # occurrences, and whether they are at two places
-            points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            points = np.zeros(len(data) + 1, np.int32)
+            np.cumsum((data & 0xC0) != 0x80, dtype=np.int32, out=points[1:])
             zero = points[bounds[used]][doc]
             lines = [(block, -1, 0, number.astype("<u4").tobytes(), b"", _packed(doc, "<i4"), _packed(word, "<i4"), place.tobytes(), hashed.tobytes(),
                       _packed(points[starts[at]] - zero, "<i4"), _packed(points[ends[at + window - 1]] - zero, "<i4"), none.tobytes())]
+            del points, zero, data, starts, ends, hashes, change
             cuts = np.searchsorted(_dealt(own[lead], parts), np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 mine = lead[cuts[p]:cuts[p + 1]]
@@ -404,10 +418,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = repeats(docs, id_col=id_col, text_col=text_col, **options).where(~F.col("kept")).groupBy("doc_id", "row_hash").agg(
         F.array_sort(F.collect_set(F.struct(F.col("start"), stop.alias("stop")))).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("g_id"), F.col("row_hash").alias("g_hash"), F.col("gone.start").alias("g_starts"), F.col("gone.stop").alias("g_stops"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.withColumn("g_own", F.xxhash64(F.col(id_col).cast("long"), text))
-    joined = own.join(gone, (F.col("g_own") == F.col("g_hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("g_id")), "left")
-    joined = joined.select(*docs.columns, "g_starts", "g_stops")
+    # the row travels as one struct, so its columns may have any names
+    ident, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    own = docs.select(F.struct("*").alias("row"), ident.alias("own_id"), F.xxhash64(ident, text).alias("own_hash"))
+    joined = own.join(gone, (F.col("own_hash") == F.col("g_hash")) & F.col("own_id").eqNullSafe(F.col("g_id")), "left")
+    names = docs.columns
+    joined = joined.select(*[F.col(f"row.`{c}`").alias(f"c_{i}") for i, c in enumerate(names)], "g_starts", "g_stops")
     at, sized = docs.columns.index(text_col), docs.columns.index(length_col) if length_col else None
 
     def cut(batches):
@@ -420,7 +436,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 lengths = [len(t) if a else n for t, a, n in zip(left, starts, columns[sized].to_pylist())]
                 columns[sized] = pa.array(lengths, columns[sized].type)
             keep = pa.array([not a or bool(t.strip()) for t, a in zip(left, starts)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2]).filter(keep)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(keep)
 
     return joined.mapInArrow(cut, docs.schema)
 

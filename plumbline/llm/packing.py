@@ -10,9 +10,12 @@ lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from string import ascii_letters
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,15 @@ from plumbline.llm.shingles import Hasher, buffers
 LENGTH = 4096
 #: open sequences a task may hold (two or four bytes a token)
 MAX_OPEN = 4096
-#: distinct words a task remembers the ids of
+#: distinct pieces of words a task remembers the ids of
 MAX_WORDS = 400_000
+MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
+# How the public vocabulary reads a text. Runs of letters, digits, and other signs are cut from each other.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -100,43 +110,89 @@ class SumOfSquares:
         self.next += 1
 
 
-class WordIds(dict):
-    """Ids by word; white space ends a token of this vocabulary and letter case does not count, so a text's ids are those of its
-    words. A word is known by its 64-bit hash, as a number of ``starts`` and ``lengths`` into ``flat``."""
+class WordIds:
+    """Ids of words; white space ends a token of this vocabulary and letter case does not count, so a text's ids are those of its
+    words. Where its rule for cutting words is the known one, marks at a word's ends are pieces of their own, so a word is encoded once
+    whatever stands around it. Pieces are remembered until there are ``most``; then those of the last batch stay.
+    """
 
     def __init__(self, tokenizer_json: str, most: int = MAX_WORDS):
-        super().__init__()
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.most = Tokenizer.from_str(tokenizer_json), most
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._emptied()
-
-    def _emptied(self) -> None:
-        self.clear()
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def numbers(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The number of each word; words that are new are encoded, each once."""
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self) + len(keys) > self.most:
-            self._emptied()
-        new = [i for i, h in enumerate(keys) if h not in self]
-        whole = data.tobytes()
-        at = first[new]
-        words = [whole[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-        for begin in range(0, len(words), 8192):
-            codes = self.tokenizer.encode_batch_fast(words[begin:begin + 8192], add_special_tokens=False)
-            found = [c.ids for c in codes]
-            lengths = np.array([len(f) for f in found], np.int64)
-            flat = np.array([x for f in found for x in f], np.uint32)
-            self.update(zip((keys[i] for i in new[begin:begin + 8192]), range(len(self.starts), len(self.starts) + len(found))))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, flat])
-        return np.array([self[h] for h in keys], np.int64)[back] if keys else np.zeros(0, np.int64)
+        settings = json.loads(tokenizer_json)
+        self.plain, self.most = Tokenizer.from_str(tokenizer_json), most
+        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.known = (settings.get("normalizer"), settings.get("pre_tokenizer")) == (NORMALIZER, PRE_TOKENIZER)
+        self.joining = Tokenizer.from_str(tokenizer_json)
+        # letters in lower case are one piece and stay as they are: only their bytes are looked up
+        self.letters = Tokenizer.from_str(json.dumps(settings | {"normalizer": None, "pre_tokenizer": PRE_TOKENIZER["pretokenizers"][1]})) if self.known else self.joining
+        special = [t for t in settings.get("added_tokens", []) if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"])]
+        self.between, self.between_id = (special[0]["content"], special[0]["id"]) if special else (None, None)
+        self.apart = set("".join(t["content"] for t in settings.get("added_tokens", []))) - set(ascii_letters)
+        self._start([], np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _start(self, pieces: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        """Piece 0 is the empty one."""
+        self.index = {"": 0} | {p: i for i, p in enumerate(pieces, 1)}
+        self.flat, self.lengths = flat, np.append(np.int64(0), lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def _parts(self, word: str) -> tuple[str, str, str]:
+        """Marks before a word, the word, marks behind it, where they are cut there in any case."""
+        core = word.strip(MARKS)
+        if not self.known or core == word or not core or not (core[0].isalnum() and core[-1].isalnum()):
+            return "", word, ""
+        at = word.index(core)
+        before = word[:at]
+        if before.endswith("'"):  # may belong to the letters behind it
+            return "", word, ""
+        return before, core, word[at + len(core):]
+
+    def _encoded(self, pieces: list[str]) -> None:
+        """Remember the ids of new pieces: many at once, a special token between them, and those that hold a sign of such a token alone."""
+        routes: dict[str, list[str]] = {"letters": [], "joining": [], "plain": []}
+        for p in pieces:
+            if self.between and self.known and p.isalpha() and p == p.lower() and (p.isascii() or is_normalized("NFC", p)):
+                routes["letters"].append(p)
+            else:
+                routes["joining" if self.between and self.apart.isdisjoint(p) else "plain"].append(p)
+        flat, lengths = [self.flat], [self.lengths]
+        for route in ("letters", "joining"):
+            own, tokenizer = routes[route], getattr(self, route)
+            for i in range(0, len(own), 65536):
+                texts = [self.between.join(own[k:min(k + 256, i + 65536)]) for k in range(i, min(i + 65536, len(own)), 256)]
+                codes = [np.array([*c.ids, self.between_id], np.uint32) for c in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                ids = np.concatenate(codes)
+                flat.append(ids[ids != self.between_id])
+                lengths.append(np.diff(np.flatnonzero(ids == self.between_id), prepend=-1) - 1)
+        for i in range(0, len(routes["plain"]), 8192):
+            found = [c.ids for c in self.plain.encode_batch_fast(routes["plain"][i:i + 8192], add_special_tokens=False)]
+            flat.append(np.array([x for f in found for x in f], np.uint32))
+            lengths.append(np.array([len(f) for f in found], np.int64))
+        self.index.update(zip((p for own in routes.values() for p in own), range(len(self.index), len(self.index) + len(pieces))))
+        self.flat, self.lengths = np.concatenate(flat), np.concatenate(lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def words(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each word its number, and for each number start and length in the ids that come last."""
+        coded = pa.array(hashes).dictionary_encode()
+        numbers = coded.indices.to_numpy().astype(np.int64)
+        first = np.zeros(len(coded.dictionary), np.int64)
+        first[numbers[::-1]] = np.arange(len(numbers))[::-1]
+        whole = data.tobytes().lower()  # of bytes: A-Z only
+        parts: list[str] = []
+        for a, b in zip(starts[first].tolist(), ends[first].tolist()):
+            word = whole[a:b].decode()
+            parts += ("", word, "") if word.isalnum() else self._parts(word)
+        if len(self.index) > self.most:
+            held = [p for p in dict.fromkeys(parts) if p and p in self.index]
+            at = np.array([self.index[p] for p in held], np.int64)
+            self._start(held, gathered(self.flat, self.starts[at], self.lengths[at]), self.lengths[at])
+        self._encoded([p for p in dict.fromkeys(parts) if p not in self.index])
+        at = np.array([self.index[p] for p in parts], np.int64)
+        flat, lengths = gathered(self.flat, self.starts[at], self.lengths[at]), self.lengths[at].reshape(-1, 3).sum(1)
+        return numbers, np.cumsum(lengths) - lengths, lengths, flat
 
 
 def pack(docs: DataFrame, tokenizer_json: str, end_id: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
@@ -155,12 +211,12 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int = 2, length: int = LE
         for batch in batches:
             data, bounds = buffers(batch.column(1))
             hashes, counts, starts, ends = hasher.placed(data, bounds)
-            numbers = known.numbers(data, hashes, starts, ends)
+            numbers, at, sizes, flat = known.words(data, hashes, starts, ends)
             rows, last = [], 0
             for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist()):
                 own = numbers[last:last + n]
                 last += n
-                ids = np.append(gathered(known.flat, known.starts[own], known.lengths[own]), np.uint32(end_id))
+                ids = np.append(gathered(flat, at[own], sizes[own]), np.uint32(end_id))
                 for start in range(0, len(ids), length):
                     rows.extend(packer.add((doc_id, start, ids[start:start + length].copy(), len(ids))))
             yield _batch(rows)

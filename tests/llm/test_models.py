@@ -164,3 +164,26 @@ def test_quality_fit_is_at_the_top_of_the_likelihood():
     tails = model.tails(model.score(rows[0]))
     score = sum(w for f, w in zip(model.features.tolist(), model.weights) if f in rows[0])
     assert np.allclose(tails, [1 / (1 + math.exp(c - score)) for c in model.thresholds])
+
+
+def test_word_ids_are_those_of_the_whole_text():
+    """Marks, apostrophes, letters with marks of their own, capitals of many scripts, strings of special tokens; also with a small memory."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from plumbline.llm.common import gathered
+    from plumbline.llm.shingles import Hasher, buffers
+
+    rng = np.random.default_rng(3)
+    signs = list("ab'.,!<|>éñΣ1²_-s t") + ["é", "́", "‍", "…", " ", "<|endoftext|>"]
+    texts = ["don't (won't) 'silly 'tis dogs' \"it's\" 've", "a.b,c;d!! ...x… ….  ≠ ≮ é. .é é́. .́a", "x<|startoftext|>y |a| <b> a< >b |", "ΑΣ. Σ! İx ſ K. 12. .34 5's ½. x²",
+             "--a--b-- _a_", "́abc. ‍a. ａ．Ｂ！"] + ["".join(rng.choice(signs, 120)) for _ in range(200)]
+    for most in (packing.MAX_WORDS, 30):
+        known = packing.WordIds(packing.read_tokenizer(public_tokenizers.path("word_bpe_49k.json")), most)
+        assert known.known
+        for part in ([texts] if most > 30 else [[t] for t in texts]):
+            data, bounds = buffers(pa.array(part))
+            hashes, counts, starts, ends = Hasher().placed(data, bounds)
+            numbers, at, sizes, flat = known.words(data, hashes, starts, ends)
+            for text, own in zip(part, np.split(numbers, np.cumsum(counts)[:-1])):
+                assert gathered(flat, at[own], sizes[own]).tolist() == known.plain.encode(text, add_special_tokens=False).ids

@@ -34,7 +34,7 @@ def test_token_counts_equal_a_whole_text_search(docs, rows, spark, sf_dir, sampl
     assert set(got) == set(sample_texts)
     some = sorted(sample_texts)[::4]
     assert [got[i] for i in some] == [best_count(sample_texts[i], pieces) for i in some]
-    odd = collections.Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs, pieces, max_nodes=500).collect())
+    odd = collections.Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs, pieces).collect())
     assert odd == collections.Counter((i, best_count(t, pieces)) for i, t in rows)
 
 

@@ -13,29 +13,28 @@ BITS_A_VALUE, MOST_BITS = 10, 1 << 26
 PROBES = 3
 
 
-def _places(value: Column, bits: Column) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(seed), value), bits) for seed in range(PROBES)]
+def _places(value: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(seed), value), F.lit(bits)) for seed in range(PROBES)]
 
 
-def value_filter(values: DataFrame, column: str = "value") -> Callable[[Column], Column]:
+def value_filter(values: DataFrame, column: str = "value", expected: int | None = None) -> Callable[[Column], Column]:
     """A condition on text columns: true for every value of the frame, and for a few per cent of the others.
 
-    The bits are set by an aggregate and read as one array, a scalar subquery of the plan that uses the condition. Put the exact semi
-    join behind it.
+    The bits are set by an aggregate and read as one array, a scalar subquery of the plan that uses the condition. There are as many as
+    ``expected`` values need; without it the values are counted, which is a job. Put the exact semi join behind it.
     """
-    n = F.count(F.lit(1))
-    wanted = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n * BITS_A_VALUE, F.lit(64)).cast("double"))))
-    bits = values.agg(F.least(wanted, F.lit(float(MOST_BITS))).cast("bigint").alias("bits")).scalar()
+    expected = values.count() if expected is None else expected
+    bits = min(MOST_BITS, 1 << max(6, (expected * BITS_A_VALUE - 1).bit_length()))
     value = F.col(f"`{column}`")
     set_bits = values.filter(value.isNotNull()).select(F.explode(F.array(*_places(value, bits))).alias("at")).select(
         F.floor(F.col("at") / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % 64).cast("int")).alias("bits"))
-    no_bits = values.agg(n.alias("n")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(bits / 64) - 1)).alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    no_bits = values.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
     words = set_bits.unionAll(no_bits).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     held = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("held")).scalar()
 
     def passes(cell: Column) -> Column:
         found = None
-        for at in _places(cell, F.size(held).cast("bigint") * 64):
+        for at in _places(cell, bits):
             bit = F.call_function("getbit", F.get(held, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1
             found = bit if found is None else found & bit
         return found

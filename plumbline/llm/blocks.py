@@ -39,17 +39,21 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 class Block:
-    """A dictionary (distinct words by number), how often the counted documents have each, and the documents' codes."""
+    """A dictionary (distinct words by number), how often the counted documents have each, and the documents' codes; ``listed`` ones
+    hold the words only, in the order in which they come."""
 
-    def __init__(self, number: int):
-        self.number, self.size = number, 0
+    def __init__(self, number: int, listed: bool = False):
+        self.number, self.size, self.listed = number, 0, listed
         self.index: dict[bytes, int] | list[bytes] = {}
         self.n = np.zeros(1024, np.int64)
         self.ids: list = []
         self.codes: list[np.ndarray] = []
 
-    def add(self, doc_id, words: list[bytes], counted: bool, keep: bool) -> None:
+    def add(self, doc_id, words: list[bytes] | list[str], counted: bool, keep: bool) -> None:
         index = self.index
+        if self.listed:
+            index.update(dict.fromkeys(words))
+            return
         codes = np.array([index.setdefault(w, len(index)) for w in words], np.int64)
         if len(index) > len(self.n):
             self.n = np.concatenate([self.n, np.zeros(max(len(index), len(self.n)), np.int64)])
@@ -61,7 +65,7 @@ class Block:
 
     def dealt(self, parts: int) -> list[list[bytes]]:
         """The words of each of so many parts of all words (by checksum); codes now follow that order."""
-        words = list(self.index)
+        words = [w.encode() if isinstance(w, str) else w for w in self.index]
         part = np.array([zlib.crc32(w) % parts for w in words], np.int64)
         order = np.argsort(part, kind="stable")
         rank = np.empty(len(order), np.int32)
@@ -78,7 +82,7 @@ class Block:
         return crc << 24 | len(self.index) & 0xFFFFFF
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], split: Callable | bytes, counted: Callable, most: int, keep: bool) -> Iterator[Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], split: Callable | bytes, counted: Callable, most: int, keep: bool, listed: bool = False) -> Iterator[Block]:
     """Blocks of a partition. ``split`` cuts a text into words as bytes; bytes instead of a function mean words between
     blanks, A-Z in lower case, and these bytes behind them, which are found for a whole block at once."""
     number = TaskContext.get().partitionId() << 24
@@ -91,7 +95,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], split: Callable | bytes, counted:
                 yield _worded(batch.slice(at, to - at), hasher, number, split, counted, keep)
                 number, at = number + 1, to
         return
-    block = Block(number)
+    block = Block(number, listed)
     parts = (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256))
     for batch in parts:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -99,7 +103,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], split: Callable | bytes, counted:
             block.size += len(text or "") + 8
             if block.size >= most:
                 yield block
-                block = Block(block.number + 1)
+                block = Block(block.number + 1, listed)
     if block.size:
         yield block
 
@@ -136,11 +140,12 @@ def words(docs: DataFrame, split: Callable[[str | None], list[bytes]] | bytes, c
     return docs.mapInArrow(rows, WORDS)
 
 
-def word_lists(docs: DataFrame, split: Callable[[str | None], list[bytes]], parts: int, most: int = BLOCK_CHARS) -> DataFrame:
-    """A row for each block and part of all words: the block's words in that part, packed. Far smaller than ``words``."""
+def word_lists(docs: DataFrame, split: Callable[[str | None], list[str]], parts: int, most: int = BLOCK_CHARS) -> DataFrame:
+    """A row for each block and part of all words: the block's words in that part, packed. Far smaller than ``words``. Here and in
+    ``texts`` with parts, ``split`` gives text; a block's distinct words become bytes."""
 
     def rows(batches):
-        for block in _blocks(batches, split, lambda i: False, most, False):
+        for block in _blocks(batches, split, lambda i: False, most, False, True):
             lists, crc = block.dealt(parts), block.checksum()
             out = [(p, block.number, crc, *packed_pieces(own)) for p, own in enumerate(lists) if own]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -159,7 +164,7 @@ def unpacked_pieces(sizes: bytes, data: bytes) -> list[bytes]:
     return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def texts(docs: DataFrame, split: Callable[[str | None], list[bytes]] | bytes, most: int = BLOCK_CHARS, parts: int | None = None) -> DataFrame:
+def texts(docs: DataFrame, split: Callable[[str | None], list[str]] | bytes, most: int = BLOCK_CHARS, parts: int | None = None) -> DataFrame:
     """A row for each document: its block and its words as codes of the block's dictionary (in the order of ``word_lists`` with
     so many parts)."""
 

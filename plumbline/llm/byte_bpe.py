@@ -32,7 +32,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit) for each row of ``docs``. NULL text counts as empty and gives no ids."""
+    """doc_id, ids (binary: little-endian unsigned 32-bit) for each row of ``docs``.
+
+    NULL text counts as empty and gives no ids. Rows repeated and NULL ids stay as they are, pre-tokens of any length are encoded whole, an
+    empty table gives no rows; other columns are not read, whatever their names.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary file
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
@@ -40,7 +44,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     def pre_tokens(text):
         import regex
 
-        return [m.encode() for m in regex.findall(pattern, text)] if text else []
+        return regex.findall(pattern, text) if text else []
 
     def encoded(table: pa.Table) -> pa.Table:
         import tiktoken
@@ -80,8 +84,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """All columns of ``encoded`` and ``bytes``: its ids joined with the table of token bytes, in order."""
+    """All columns of ``encoded`` and ``bytes``: its ids joined with the table of token bytes, in order.
+
+    A column that is called ``bytes`` already gives way. NULL ids decode to nothing; rows repeated stay; an empty table gives no rows.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
+    encoded = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c != "bytes"])
     at = encoded.columns.index("ids")
 
     def decoded(batches):

@@ -51,12 +51,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns, one for each distinct text."""
+    """The rows of ``docs`` that stay, all columns, whatever their names: one for each distinct text, that of the largest id.
+
+    NULL text counts as empty. Of several rows with that id and text (repeated ones, or texts that differ in the case of A-Z only) the
+    smallest row stays, by all its columns; any one where the columns have no order. Nothing remains of an empty table.
+    """
     winners = groups(docs, id_col, text_col, salts).select(F.col("keep_id").alias("w_id"), F.col("digest").alias("w_digest"))
-    text = ascii_lower(F.coalesce(docs[text_col], F.lit("")))
-    keys = [docs[id_col].cast("long").eqNullSafe(F.col("w_id")), F.sha2(text, 256) == F.col("w_digest")]
-    out = docs.join(winners, keys, "left_semi")
-    return out.dropDuplicates([id_col, text_col])
+    text = ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    # the row travels as one struct, so its columns may have any names
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("own_id"), F.sha2(text, 256).alias("own_digest"))
+    found = rows.join(winners, F.col("own_id").eqNullSafe(F.col("w_id")) & (F.col("own_digest") == F.col("w_digest")), "left_semi")
+    ordered = not any(word in docs.schema.simpleString() for word in ("map<", "variant"))
+    return found.groupBy("own_id", "own_digest").agg((F.min if ordered else F.first)("row").alias("row")).select("row.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

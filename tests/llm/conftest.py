@@ -7,7 +7,8 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 
 #: columns of the operators' own frames, as columns of the input
-CLASHING = ["key", "node", "kept", "digest", "norm", "block", "comp", "h1", "salt", "group_size", "fingerprint", "line", "body", "bucket", "rn", "place"]
+CLASHING = ["key", "node", "kept", "digest", "norm", "block", "comp", "h1", "salt", "group_size", "fingerprint", "line", "body", "bucket", "rn", "place", "w_id",
+            "w_digest", "row", "own_id", "own_digest", "own_hash", "g_id", "g_hash", "g_own", "g_starts", "g_stops"]
 
 
 def prose(rng, n):

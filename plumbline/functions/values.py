@@ -203,12 +203,27 @@ def key_pair(
     return normalise(a, a_type, opt), normalise(b, b_type, opt)
 
 
+def whole_text(text: Column) -> Column:
+    """The whole number that a text equals as a decimal of nine places, or NULL.
+
+    Plain digits never become a decimal, and a text that starts with a letter is not tried: it would cost an exception a row.
+    """
+    plain = text.try_cast("bigint")
+    exact = F.when(~F.ascii(text).between(65, 122), text.try_cast("decimal(38,9)"))
+    whole = exact.try_cast("bigint")
+    return F.when(plain.cast("string") == text, plain).when(whole == exact, whole)
+
+
 def raw_key(col: Column, own: T.DataType, other: T.DataType) -> Column:
     """A key as it can be joined with a key of type ``other``: as it is where the types compare, else in a common type, NULL where
     the value has none (a text that is no number has no equal among numbers)."""
     for kinds in (NUMERIC, TIMES):
         if own == other or isinstance(own, kinds) and isinstance(other, kinds):
             return col
+    if isinstance(own, T.StringType) and isinstance(other, INTEGRAL):
+        return whole_text(col)
+    if isinstance(own, INTEGRAL) and isinstance(other, T.StringType):
+        return col.cast("bigint")
     for kinds, common in ((NUMERIC, "decimal(38,9)"), (TIMES, "timestamp"), ((T.BooleanType,), "boolean")):
         if isinstance(own, kinds) and isinstance(other, T.StringType) or isinstance(own, T.StringType) and isinstance(other, kinds):
             return col.try_cast(common)
@@ -221,6 +236,26 @@ def raw_keys(left: DataFrame, a: str, right: DataFrame, b: str) -> tuple[Column,
     return raw_key(F.col(f"`{a}`"), own, other), raw_key(F.col(f"`{b}`"), other, own)
 
 
+def raw_join(left: DataFrame, a: str, right: DataFrame, b: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` where the ``raw_keys`` of ``a`` and ``b`` are equal.
+
+    Keys that are cast become columns first: a join would cast them again for the shuffle and for every step of its sort. Rows of an
+    anti join whose key has no form on the other side are dealt by their own value; as NULL keys they would meet in one task.
+    """
+    own, other = raw_keys(left, a, right, b)
+    kind, other_kind = left.schema[a].dataType, right.schema[b].dataType
+    if kind == other_kind or isinstance(kind, NUMERIC) and isinstance(other_kind, NUMERIC) or isinstance(kind, TIMES) and isinstance(other_kind, TIMES):
+        return left.join(right, own == other, how)
+    left, right = left.withColumn("_own_form", own), right.withColumn("_other_form", other)
+    met = F.col("_own_form") == F.col("_other_form")
+    if how == "left_anti":
+        unmet = F.when(F.col("_own_form").isNull(), F.col(f"`{a}`").cast("string"))
+        left = left.withColumn("_own_spread", F.xxhash64("_own_form", unmet))
+        right = right.withColumn("_other_spread", F.xxhash64("_other_form"))
+        met &= F.col("_own_spread") == F.col("_other_spread")
+    return left.join(right, met, how).drop("_own_form", "_other_form", "_own_spread", "_other_spread")
+
+
 def comparable_pair(
     a: Column, a_type: T.DataType, b: Column, b_type: T.DataType, opt: Options = DEFAULT
 ) -> tuple[Column, Column]:

@@ -134,8 +134,7 @@ def missing_in_source(env_a: Env, env_b: Env, spec: Mapping, reverse_uses_filter
     target = apply_filters(env_b.table(tgt["table"]), tgt.get("filters"))
     keys = source.select(_c(src["key"]).alias("_key")).distinct()
     wanted = target.select(_c(tgt["key"]).alias("target_key")).filter(F.col("target_key").isNotNull())
-    own, other = V.raw_keys(wanted, "target_key", keys, "_key")
-    out = wanted.join(keys, own == other, "left_anti")
+    out = V.raw_join(wanted, "target_key", keys, "_key", "left_anti")
     return out.orderBy(F.desc("target_key")).limit(limit) if limit is not None else out
 
 

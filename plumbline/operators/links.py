@@ -92,10 +92,17 @@ def verify_link(env: Env, link: Link) -> DataFrame:
         .withColumn("_cp", V.raw_key(F.col("_p"), other, own))
     )
     if own != other and T.StringType() in (own, other):
-        # several spellings of one key are one key; a text that is no key at all stays by itself
-        child = child.groupBy("_ck", F.when(F.col("_ck").isNull(), F.col("_k").cast("string")).alias("_k0")).agg(
+        # several spellings of one key are one key, also of a number that the other side cannot hold; a text that is no key stays by itself
+        numbers = isinstance(own, V.NUMERIC) or isinstance(other, V.NUMERIC)
+
+        def unmet(form: str, key: str) -> Column:
+            text = F.col(key).cast("string")
+            number = F.when(~F.ascii(text).between(65, 122), text.try_cast("decimal(38,9)")).cast("string")
+            return F.when(F.col(form).isNull(), F.coalesce(number, text) if numbers else text)
+
+        child = child.groupBy("_ck", unmet("_ck", "_k").alias("_k0")).agg(
             F.sum("n").alias("n"), F.first(F.col("_k").cast("string")).alias("_k"))
-        parent = parent.groupBy("_cp", F.when(F.col("_cp").isNull(), F.col("_p").cast("string")).alias("_p0")).agg(
+        parent = parent.groupBy("_cp", unmet("_cp", "_p").alias("_p0")).agg(
             F.sum("m").alias("m"), F.first(F.col("_p").cast("string")).alias("_p"))
     joined = child.join(parent, F.col("_ck") == F.col("_cp"), "full_outer")
     has_key, matched = F.col("_k").isNotNull(), F.col("_p").isNotNull()
@@ -227,8 +234,7 @@ def join_along(env: Env, start: str, path: Sequence[tuple[str, str, str, str]],
     out = prefixed(start)
     for a, ac, b, bc in path:
         right = prefixed(b)
-        own, other = V.raw_keys(out, f"{a}__{ac}", right, f"{b}__{bc}")
-        out = out.join(right, own == other, "inner")
+        out = V.raw_join(out, f"{a}__{ac}", right, f"{b}__{bc}")
     return out
 
 
@@ -245,8 +251,7 @@ def linked_join(env: Env, table: str, link: Link, columns: int | None = None, wh
         return df.select(_c(key).alias(tag), *[_c(c).alias(f"{name}.{c}") for c in df.columns[:columns]])
 
     a, b = side(left, table, own_col, "_l"), side(right, other, other_col, "_r")
-    own, there = V.raw_keys(a, "_l", b, "_r")
-    return a.join(b, own == there).drop("_l", "_r")
+    return V.raw_join(a, "_l", b, "_r").drop("_l", "_r")
 
 
 def _present(col: Column) -> Column:

@@ -84,9 +84,8 @@ def linked_timeline(env: Env, table: str, records: DataFrame, key: str, links: S
         keys = records.filter(_c(own).isNotNull()).select(_c(key).cast("string").alias("record"), _c(own).alias("_v")).distinct()
         rows = env.safe_table(other)
         events = events_of(rows, other, (env.keys.get(other, rows.columns[0]),), keep=(other_col,))
-        there, here = V.raw_keys(events, other_col, keys, "_v")
         parts.append(
-            events.join(keys, there == here).select("record", "time", "table", "row", "column", "event", "status")
+            V.raw_join(events, other_col, keys, "_v").select("record", "time", "table", "row", "column", "event", "status")
         )
     return union_all(parts)
 

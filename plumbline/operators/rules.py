@@ -93,8 +93,7 @@ def orphan_counts(child: DataFrame, child_column: str, parent: DataFrame, parent
         .agg(F.count(F.lit(1)).alias("child_rows"))
     )
     parents = parent.select(_c(parent_column).alias("_key")).distinct()
-    own, other = V.raw_keys(counts, "missing_parent_value", parents, "_key")
-    return counts.join(parents, own == other, "left_anti")
+    return V.raw_join(counts, "missing_parent_value", parents, "_key", "left_anti")
 
 
 def orphan_total(child: DataFrame, child_column: str, parent: DataFrame, parent_column: str) -> DataFrame:
@@ -110,8 +109,7 @@ def orphan_values(child: DataFrame, child_column: str, parent: DataFrame, parent
 def orphan_rows(child: DataFrame, child_column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """The child rows themselves."""
     parents = parent.select(_c(parent_column).alias("_key")).distinct()
-    own, other = V.raw_keys(child, child_column, parents, "_key")
-    return child.filter(_c(child_column).isNotNull()).join(parents, own == other, "left_anti")
+    return V.raw_join(child.filter(_c(child_column).isNotNull()), child_column, parents, "_key", "left_anti")
 
 
 def as_check(spec: Mapping, name: str, limit: int | None = None) -> dict:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import values as V
 from plumbline.operators import links as LK
+from plumbline.operators import rules as R
 from plumbline.operators import timeline as TL
 from plumbline.sources.environment import Link
 
@@ -35,6 +36,17 @@ def test_text_meets_the_number_it_equals_as_a_decimal(spark):
     assert {r.t for r in V.raw_join(texts, "t", small, "n", "left_semi").collect()} == {"5", " 5", "+5", "5.0", "5e0", "05", "5.0000000001", "-0", "0", "٥", ".5e1", "\t5\n"}
 
 
+def test_texts_that_are_no_numbers_are_dealt_over_tasks(spark):
+    child = spark.range(400).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("k"))
+    parent = spark.range(10).select(F.col("id").alias("p"))
+    def build():
+        out = R.orphan_counts(child, "k", parent, "p")
+        return out.select("*", F.spark_partition_id().alias("at")).collect()
+    rows = _settled(spark, build)
+    assert len(rows) == 400 and {r.child_rows for r in rows} == {1}
+    assert len({r["at"] for r in rows}) == 4
+
+
 def test_joins_sort_by_keys_that_are_columns(spark, env_of):
     env = env_of(orders=([(1,), (2,)], "o bigint"), lines=([("1", "2020-01-01"), ("x2", "2020-01-02")], "k string, day string"))
     env = env.with_tables(lines=env.table("lines").withColumn("day", F.to_date("day")))

@@ -274,7 +274,7 @@ def _detectors(c: Column) -> dict[str, Column]:
     from plumbline.functions import privacy as P
 
     return {
-        "email_rows": P.personal_text(c), "at_rows": c.contains("@"), "phone_rows": c.rlike(P.PHONE_RUN), "secret_rows": c.rlike(P.SECRET_PAIR)}
+        "email_rows": P.personal_text(c), "at_rows": c.contains("@"), "phone_rows": P.phone_text(c), "secret_rows": P.secret_text(c)}
 
 
 def pii_parts(df: DataFrame, policy: N.NamePolicy = N.DEFAULT_POLICY) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import hmac
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,15 @@ def test_fingerprint_is_hmac(spark, value, dtype, message):
 def test_long_keys_are_refused():
     with pytest.raises(ValueError):
         P.hmac_sha256(F.lit("x"), b"k" * 65)
+
+
+def test_presence_of_personal_data_is_what_the_patterns_find(spark):
+    rng = random.Random(3)
+    pieces = ["password", "PassWd", "pan", "token", "access_token", "OTP", "api_key", "aadhaar", "authorization", "secret", '"', "'", ":", "=", " ", "\n", ",", "}",
+              "x", "+", "1", "23", "4567890", "98765", "é", "٣", "@", "a.b", "mail@host", ".com", ".c", "%", "-", "K"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 9))) for _ in range(4000)] + [None, "", "p" * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    pairs = [(P.personal_text(t), t.rlike(P.EMAIL_VALUE)), (P.phone_text(t), t.rlike(P.PHONE_RUN)), (P.secret_text(t), t.rlike(P.SECRET_PAIR))]
+    row = df.agg(*[F.count_if(~a.eqNullSafe(b)) for a, b in pairs], *[F.count_if(b) for _, b in pairs]).first()
+    assert row[:3] == (0, 0, 0) and min(row[3:]) > 20

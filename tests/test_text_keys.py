@@ -64,3 +64,11 @@ def test_spellings_of_a_number_that_no_key_holds_stay_one_value(env_of):
     env = env_of(lines=([("5.5",), ("5.50",), ("7",), ("07",), ("x",), ("1",)], "k string"), orders=([(1,), (3,)], "o bigint"))
     row = LK.verify_link(env, Link("lines", "k", "orders", "o")).first()
     assert (row.matched_rows, row.orphan_rows, row.orphan_values, row.unused_parents) == (1, 5, 3, 1)
+
+
+def test_rules_deal_texts_that_are_no_numbers_too(spark, env_of):
+    env = env_of(parents=([(1,), (2,)], "p bigint"))
+    env = env.with_tables(lines=spark.range(400).select(F.when(F.col("id") < 3, F.col("id").cast("string")).otherwise(F.concat(F.lit("x"), F.col("id").cast("string"))).alias("k")))
+    spec = {"source": {"table": "lines", "key": "k"}, "target": {"table": "parents", "key": "p"}, "expect": "exists"}
+    rows = _settled(spark, lambda: R.rule_failures(env, spec).select("k", F.spark_partition_id().alias("at")).collect())
+    assert len(rows) == 398 and "0" in {r.k for r in rows} and len({r["at"] for r in rows}) == 4

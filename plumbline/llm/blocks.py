@@ -31,11 +31,13 @@ TEXTS = "block long, dictionary long, doc_id long, codes binary"
 
 def packed(codes: np.ndarray) -> bytes:
     wide = len(codes) and int(codes.max()) >= 1 << 16
-    return (b"4" if wide else b"2") + zlib.compress(codes.astype("<u4" if wide else "<u2").tobytes(), 1)
+    data = codes.astype("<u4" if wide else "<u2").tobytes()
+    return (b"4" if wide else b"2") + len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), "<u4" if data[:1] == b"4" else "<u2")
+    whole = pa.decompress(data[9:], int.from_bytes(data[1:9], "little"), "zstd", asbytes=True)
+    return np.frombuffer(whole, "<u4" if data[:1] == b"4" else "<u2")
 
 
 class Block:
@@ -112,7 +114,10 @@ def _worded(batch: pa.RecordBatch, hasher: Hasher, number: int, end: bytes, coun
     block, ids = Block(number), batch.column(0).to_pylist()
     data, bounds = buffers(batch.column(1))
     hashes, counts, starts, ends = hasher.placed(data, bounds)
-    distinct, first, codes = np.unique(hashes, return_index=True, return_inverse=True)
+    coded = pa.array(hashes).dictionary_encode()  # numbers words as they come; np.unique would sort them all
+    distinct, codes = coded.dictionary, coded.indices.to_numpy()
+    first = np.zeros(len(distinct), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
     whole = data.tobytes()
     block.index = [whole[a:b].lower() for a, b in zip(starts[first].tolist(), ends[first].tolist())] + [end]
     learned = np.array([counted(i) for i in ids], bool)

@@ -31,6 +31,8 @@ WIDTH, TOP, BINS = 1 << 15, 30, 16
 CLASSES = TOP + BINS + 2
 RARE = CLASSES - 1
 ROUNDS, BATCH, RATE = 2, 4096, 0.3
+#: logarithms up to this size become powers as they are
+_PLAIN = 60
 #: rows of weights that travel together
 _PART = 2048
 #: no word holds a line break
@@ -123,21 +125,41 @@ def features(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _sums(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Unnormalised log-probabilities of the classes, the largest of each token 0."""
+    """Unnormalised log-probabilities of the classes, in a range whose powers are neither too large nor all zero."""
     out, part = np.empty((2, rows.shape[1], weights.shape[1]), np.float32)
     np.take(weights, rows[0], 0, out=out, mode="clip")
     for r in rows[1:]:
         np.take(weights, r, 0, out=part, mode="clip")
         out += part
-    out += bias
-    out -= out.max(1, keepdims=True)
+    part[:] = bias
+    out += part
+    if max(out.max(initial=0), -out.min(initial=0)) > _PLAIN:
+        out -= out.max(1, keepdims=True)
     return out
 
 
-def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """log P(class | context) of each token."""
+def _totals(powers: np.ndarray) -> np.ndarray:
+    """The sum of each row; a product is quicker than so many short sums."""
+    return powers @ np.ones(powers.shape[1], np.float32)
+
+
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
+    """log P(class | context) of each token: of all classes, or of its own one."""
     out = _sums(weights, bias, rows)
-    out -= np.log(np.exp(out).sum(1, keepdims=True))
+    own = out if classes is None else out[np.arange(len(classes)), classes]
+    total = np.log(_totals(np.exp(out, out=None if classes is None else out)))
+    return own - (total[:, None] if classes is None else total)
+
+
+def _summed_runs(values: np.ndarray, order: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rows of ``values``, taken in this order, summed over runs of so many rows. Most runs are one row, which is only copied."""
+    out = np.take(values, order[np.cumsum(counts) - counts], 0, mode="clip")
+    longer = counts > 1
+    if longer.any():
+        n = counts[longer]
+        own = np.take(values, order[np.repeat(longer, counts)], 0, mode="clip")
+        # a sum of complex numbers is that of both halves: reduceat goes column by column, so this halves its calls
+        out[longer] = np.add.reduceat(own.view(np.complex64), np.cumsum(n) - n).view(np.float32)
     return out
 
 
@@ -147,24 +169,28 @@ class Trainer:
     def __init__(self, weights: np.ndarray, bias: np.ndarray):
         self.weights, self.bias = weights.copy(), bias
         self.squares, self.seen = np.full(len(weights), 1e-4, np.float32), np.zeros(len(weights), np.float32)
+        self._whole = self.weights.view(f"V{weights.shape[1] * weights.itemsize}")[:, 0]  # the same memory, a row as one value
 
     def step(self, rows: np.ndarray, classes: np.ndarray) -> None:
         slope = _sums(self.weights, self.bias, rows)
         np.exp(slope, out=slope)
-        slope /= slope.sum(1, keepdims=True)
+        slope /= _totals(slope)[:, None]
         slope[np.arange(len(classes)), classes] -= 1
-        part = np.empty_like(slope)
         for r in rows:
             order = np.argsort(r, kind="stable")
             own = r[order]
             starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            summed = np.add.reduceat(np.take(slope, order, 0, out=part, mode="clip"), starts)
-            row, n = own[starts], np.diff(np.append(starts, len(own))).astype(np.float32)
-            summed /= n[:, None]  # the mean, so that common features do not overshoot
+            counts = np.diff(np.append(starts, len(own)))
+            row, n = own[starts].astype(np.int64), counts.astype(np.float32)
+            summed = _summed_runs(slope, order, counts)
             self.seen[row] += n
-            self.squares[row] += np.einsum("ij,ij->i", summed, summed) * np.float32(4 / summed.shape[1])
-            summed *= (np.float32(RATE) / np.sqrt(self.squares[row]))[:, None]
-            self.weights[row] -= summed
+            # of the mean of a row's slopes, so that common features do not overshoot
+            squares = self.squares[row] + np.einsum("ij,ij->i", summed, summed) * np.float32(4 / summed.shape[1]) / (n * n)
+            self.squares[row] = squares
+            summed *= (np.float32(RATE) / (np.sqrt(squares) * n))[:, None]
+            now = np.take(self.weights, row, 0, mode="clip")
+            now -= summed
+            self._whole[row] = now.view(self._whole.dtype)[:, 0]
 
 
 def _batches_of(batch: pa.RecordBatch, at: int, learn: bool):
@@ -186,10 +212,11 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     """A table of the documents as token hashes and classes with their base scores, and the counts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     each = blocks.words(rows, END, lambda i: not held_out(i))
-    of_word = Window.partitionBy("word")
+    of_word = Window.partitionBy("word").orderBy("block", "code")  # one order for both, so that rows are sorted once
+    whole = of_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     answers = written(each.select(
-        "block", "code", "dictionary", F.sum("n").over(of_word).alias("count"), F.pmod(F.xxhash64("word"), F.lit(1 << 16)).cast("int").alias("hash"),
-        (F.row_number().over(of_word.orderBy("block", "code")) == 1).alias("first"), (F.col("word") == F.lit(bytearray(END))).alias("is_end")), "op4-counts")
+        "block", "code", "dictionary", F.sum("n").over(whole).alias("count"), F.pmod(F.xxhash64("word"), F.lit(1 << 16)).cast("int").alias("hash"),
+        (F.row_number().over(of_word) == 1).alias("first"), (F.col("word") == F.lit(bytearray(END))).alias("is_end")), "op4-counts")
     counts = _counted(answers)
     shared = docs.sparkSession.sparkContext.broadcast(counts.parts())  # plain values travel without the class
 
@@ -278,7 +305,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
                 log_p = np.empty(len(classes), np.float64)
                 for at in range(0, len(classes), BATCH):
                     own = slice(at, at + BATCH)
-                    log_p[own] = _logits(weights, bias, rows[:, own])[np.arange(len(classes[own])), classes[own]]
+                    log_p[own] = _logits(weights, bias, rows[:, own], classes[own])
                 found.append(np.add.reduceat(log_p, ends - np.diff(ends, prepend=0)))
             outside = np.concatenate(found) / math.log(10) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays(

@@ -1,5 +1,6 @@
 import collections
 import math
+import time
 import os
 
 import brute
@@ -62,6 +63,49 @@ def test_trainer_learns_what_follows_what():
     assert lm_scoring._logits(trainer.weights, bias, rows)[np.arange(4000), classes].mean() > -0.2
 
 
+def plain_step(trainer, rows, classes):
+    """A step as it is defined: softmax, mean slope of each row, adaptive rate; feature by feature."""
+    out = sum(trainer.weights[r] for r in rows) + trainer.bias
+    slope = np.exp(out - out.max(1, keepdims=True))
+    slope /= slope.sum(1, keepdims=True)
+    slope[np.arange(len(classes)), classes] -= 1
+    for r in rows:
+        order = np.argsort(r, kind="stable")
+        row, starts, n = np.unique(r[order], return_index=True, return_counts=True)
+        mean = np.add.reduceat(slope[order], starts) / n[:, None].astype(np.float32)
+        trainer.seen[row] += n
+        trainer.squares[row] += (mean * mean).sum(1) * np.float32(4 / mean.shape[1])
+        trainer.weights[row] -= mean * (lm_scoring.RATE / np.sqrt(trainer.squares[row]))[:, None]
+
+
+def test_step_is_the_plain_one_and_quicker():
+    rng = np.random.default_rng(3)
+    hashes = (rng.zipf(1.3, 20 * 4096) % 65536).astype(np.uint32)
+    rows = lm_scoring.features(hashes, np.arange(4096, len(hashes) + 1, 4096))
+    classes = rng.integers(0, lm_scoring.CLASSES, len(hashes)).astype(np.uint8)
+    bias = np.log(rng.random(lm_scoring.CLASSES)).astype(np.float32)
+    took = {}
+    for name, step in (("plain", plain_step), ("own", lm_scoring.Trainer.step)) * 3:
+        trainer, began = lm_scoring.Trainer(np.zeros((lm_scoring.WIDTH, lm_scoring.CLASSES), np.float32), bias), time.process_time()
+        for at in range(0, len(hashes), 4096):
+            step(trainer, rows[:, at:at + 4096], classes[at:at + 4096])
+        took.setdefault(name, []).append((time.process_time() - began, trainer))
+    plain, own = took["plain"][0][1], took["own"][0][1]
+    assert np.abs(plain.weights).max() > 0.5 and np.abs(plain.weights - own.weights).max() < 1e-4 and (plain.seen == own.seen).all()
+    np.testing.assert_allclose(plain.squares, own.squares, rtol=1e-4)
+    assert min(t for t, _ in took["own"]) < 0.75 * min(t for t, _ in took["plain"])
+
+
+def test_large_weights_stay_finite():
+    weights, bias = np.zeros((lm_scoring.WIDTH, lm_scoring.CLASSES), np.float32), np.zeros(lm_scoring.CLASSES, np.float32)
+    weights[0], weights[1, 0] = -100, 100
+    rows = np.array([[0, 1, 2]] * 4, np.uint16)
+    found = lm_scoring._logits(weights, bias, rows)
+    assert found[0] == pytest.approx(-np.log(lm_scoring.CLASSES)) and found[2] == pytest.approx(-np.log(lm_scoring.CLASSES))
+    assert found[1, 0] == pytest.approx(0) and found[1, 1] == pytest.approx(-400)
+    assert (lm_scoring._logits(weights, bias, rows, np.array([5, 1, 0])) == found[[0, 1, 2], [5, 1, 0]]).all()
+
+
 def test_quality_accuracy_on_held_out_labels(spark, sf_dir):
     big = "/root/testdata/sf0.01"
     docs, labels = read_docs(spark, big if os.path.isdir(big) else sf_dir), read_docs(spark, big if os.path.isdir(big) else sf_dir, "labels")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import gathered, read_docs
-from plumbline.llm.shingles import Hasher, buffers
+from plumbline.llm.shingles import Hasher, buffers, slices
 
 LENGTH = 4096
 #: open sequences a task may hold (two or four bytes a token)
@@ -113,7 +113,7 @@ class SumOfSquares:
 class WordIds:
     """Ids of words; white space ends a token of this vocabulary and letter case does not count, so a text's ids are those of its
     words. Where its rule for cutting words is the known one, marks at a word's ends are pieces of their own, so a word is encoded once
-    whatever stands around it. Pieces are remembered until there are ``most``; then those of the last batch stay.
+    whatever stands around it. Pieces are remembered until there are ``most``; then those of the last texts stay.
     """
 
     def __init__(self, tokenizer_json: str, most: int = MAX_WORDS):
@@ -206,25 +206,30 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int = 2, length: int = LE
     shared = spark.sparkContext.broadcast(tokenizer_json)  # as large as the vocabulary file
 
     def packed(batches):
-        known, hasher = WordIds(shared.value), Hasher()
-        packer = SumOfSquares(length, TaskContext.get().partitionId() << 32, max_open)
-        for batch in batches:
-            data, bounds = buffers(batch.column(1))
-            hashes, counts, starts, ends = hasher.placed(data, bounds)
-            numbers, at, sizes, flat = known.words(data, hashes, starts, ends)
-            rows, last = [], 0
-            for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist()):
-                own = numbers[last:last + n]
-                last += n
-                ids = np.append(gathered(flat, at[own], sizes[own]), np.uint32(end_id))
-                for start in range(0, len(ids), length):
-                    rows.extend(packer.add((doc_id, start, ids[start:start + length].copy(), len(ids))))
-            yield _batch(rows)
-        yield _batch(list(packer.closed()))
+        return pieces(batches, WordIds(shared.value), SumOfSquares(length, TaskContext.get().partitionId() << 32, max_open), end_id)
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(packed, PIECES)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], known: WordIds, packer: SumOfSquares, end_id: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``pack`` for batches of ids and texts, some of them at a time."""
+    hasher, length = Hasher(), packer.length
+    kind = np.uint16 if max(end_id, *known.plain.get_vocab().values()) < 1 << 16 else np.uint32  # what open sequences hold
+    for batch in slices(batches, 1):
+        data, bounds = buffers(batch.column(1))
+        hashes, counts, starts, ends = hasher.placed(data, bounds)
+        numbers, at, sizes, flat = known.words(data, hashes, starts, ends)
+        rows, last = [], 0
+        for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist()):
+            own = numbers[last:last + n]
+            last += n
+            ids = np.append(gathered(flat, at[own], sizes[own]), np.uint32(end_id))
+            for start in range(0, len(ids), length):
+                rows.extend(packer.add((doc_id, start, ids[start:start + length].astype(kind), len(ids))))
+        yield _batch(rows)
+    yield _batch(list(packer.closed()))
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[]] * 7
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in PIECES.split(", ")])

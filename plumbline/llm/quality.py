@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import read_docs
+from plumbline.llm.shingles import slices
 
 #: labelled documents the model is fitted on, at most
 SAMPLE = 12_000
@@ -215,7 +216,7 @@ def kept_documents(docs: DataFrame, model: Ordinal, text_col: str = "text") -> D
     def rows(batches):
         own = Ordinal(*shared.value)
         known = Features(frozenset(own.features.tolist()))
-        for batch in batches:
+        for batch in slices(batches, at):
             keep = [bool(own.tails(own.score(known.of(t)))[-1] >= KEEP) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

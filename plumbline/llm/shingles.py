@@ -7,6 +7,7 @@ word's hash is a polynomial over random values of its bytes, taken as the differ
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ import pyarrow as pa
 from plumbline.llm.common import mixed
 
 WORDS_A_SHINGLE = 5
+#: bytes of text that a task works on at a time
+SLICE_BYTES = 2_000_000
 #: bytes hashed at a time; a longer text is taken whole
 _PIECE = 1 << 20
 
@@ -161,6 +164,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in runs whose texts (column ``at``) have at most so many bytes, or one longer text: a batch has some
+    thousand rows however long they are, and what is computed from each byte or word takes many times their size."""
+    for batch in batches:
+        bounds, start = buffers(batch.column(at))[1], 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + most, "right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Sorted unsigned 64-bit numbers as the bytes of their differences, byte by byte of the same place."""
     steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")

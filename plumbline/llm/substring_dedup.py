@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import mixed, read_docs, written
 from plumbline.llm.linking import linked
-from plumbline.llm.shingles import WORDS_A_SHINGLE, Hasher, buffers, from_bytes, to_bytes, window_hashes, windows, word_runs
+from plumbline.llm.shingles import WORDS_A_SHINGLE, Hasher, buffers, from_bytes, slices, to_bytes, window_hashes, windows, word_runs
 
 PERCENT, MIN_WORDS = 75, 40
 BANDS, ROWS = 15, 4
@@ -174,14 +174,9 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
 
 def _pieces(batches, hasher: Hasher):
     """Rows of ``_rows`` in pieces of some ``PIECE_BYTES`` of text, and their words: (rows, bytes, bounds, hashes, counts, starts, ends)."""
-    for batch in batches:
-        at, sizes = 0, buffers(batch.column(2))[1]
-        while at < batch.num_rows:
-            to = min(batch.num_rows, max(at + 1, int(np.searchsorted(sizes, sizes[at] + PIECE_BYTES, "right")) - 1))
-            rows = batch.slice(at, to - at)
-            data, bounds = buffers(rows.column(2))
-            yield rows, data, bounds, *hasher.placed(data, bounds)
-            at = to
+    for rows in slices(batches, 2, PIECE_BYTES):
+        data, bounds = buffers(rows.column(2))
+        yield rows, data, bounds, *hasher.placed(data, bounds)
 
 
 def _seeds(hashes: np.ndarray, counts: np.ndarray, window: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -427,7 +422,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at, sized = docs.columns.index(text_col), docs.columns.index(length_col) if length_col else None
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches, at):
             texts, starts, stops = (batch.column(i).to_pylist() for i in (at, batch.num_columns - 2, batch.num_columns - 1))
             left = [_left(t, a, b) if a else t for t, a, b in zip(texts, starts, stops)]
             columns = list(batch.columns[:-2])

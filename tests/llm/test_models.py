@@ -1,15 +1,18 @@
 import collections
 import math
-import time
 import os
+import time
+import tracemalloc
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from plumbline.llm import lm_scoring, packing, quality, substring_dedup
 from plumbline.llm.common import read_docs
+from plumbline.llm.shingles import slices
 
 
 def lm_want(rows):
@@ -106,6 +109,24 @@ def test_large_weights_stay_finite():
     assert (lm_scoring._logits(weights, bias, rows, np.array([5, 1, 0])) == found[[0, 1, 2], [5, 1, 0]]).all()
 
 
+def test_packing_holds_little_of_a_batch():
+    import public_tokenizers
+
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(5000)])
+    texts = [" ".join(words[rng.integers(0, 5000, 400)]) for _ in range(8000)]  # 19 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(8000)), pa.array(texts)], ["doc_id", "text"])
+    known = packing.WordIds(packing.read_tokenizer(public_tokenizers.path("word_bpe_49k.json")))
+    tracemalloc.start()
+    tokens = sum(sum(b.column(2).to_pylist()) for b in packing.pieces(iter([batch]), known, packing.SumOfSquares(4096, 0), 2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tokens > 8000 * 401 and peak < 100e6
+    cut = list(slices(iter([batch, batch.slice(0, 0)]), 1, 10_000))
+    assert pa.Table.from_batches(cut).to_batches()[0].schema == batch.schema and pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+    assert len(cut) > 1500 and [b.num_rows for b in slices(iter([batch.slice(0, 3)]), 1, 1)] == [1, 1, 1]
+
+
 def test_quality_accuracy_on_held_out_labels(spark, sf_dir):
     big = "/root/testdata/sf0.01"
     docs, labels = read_docs(spark, big if os.path.isdir(big) else sf_dir), read_docs(spark, big if os.path.isdir(big) else sf_dir, "labels")
